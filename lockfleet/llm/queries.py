@@ -21,6 +21,30 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination)}
+def _ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lockfleet.llm.bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), _ranks_path())
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lockfleet.llm.token_histogram import report
+
+    return report(table(spark, sf_dir, "documents"), _ranks_path())
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lockfleet.llm.quality import judged
+
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op4_byte_level_bpe, op5_token_counts, op7_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}

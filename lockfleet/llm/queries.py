@@ -51,7 +51,15 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op4_byte_level_bpe, op5_token_counts, op7_quality_rules, op9_warc)}
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lockfleet.llm.chat import digests
+
+    said = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
+    return digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op4_byte_level_bpe, op5_token_counts, op7_quality_rules, op9_warc, op10_chat_formatting)}
 
 _OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -81,5 +89,26 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
 FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
+_OP10_SQL = """
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+a AS (SELECT *, (strlen(text) + 3) // 4 + 8 AS t, row_number() OVER w = 1 AND role = 'system' AS sys,
+             length(role) + length(regexp_replace(role, '[^~<\\[\\]]', '', 'g')) + length(text) + length(regexp_replace(text, '[^~<\\[\\]]', '', 'g')) + 3 AS chars
+      FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+b AS (SELECT *, CAST(sum(t) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) - t AS p FROM a),
+c AS (SELECT *, greatest(8, (768 - first(CASE WHEN sys THEN t ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY p)) // 2) AS s FROM b),
+d AS (SELECT *, coalesce(lag(t > s) OVER (PARTITION BY conv_id ORDER BY p), false) OR t > s AS cut, p // s AS bin FROM c),
+e AS (SELECT *, sum(CAST(cut AS INT)) OVER (PARTITION BY conv_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS block FROM d),
+f AS (SELECT *, (lag(block) OVER w IS DISTINCT FROM block) OR (lag(bin) OVER w IS DISTINCT FROM bin) AS head,
+             sum(CASE WHEN sys THEN 0 ELSE chars END) OVER (PARTITION BY conv_id ORDER BY p RANGE BETWEEN 256 PRECEDING AND 1 PRECEDING) AS back,
+             sum(CASE WHEN sys THEN chars ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lead_sys
+      FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY p))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY p)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY p), '')) AS loss_sha256,
+       CAST(sum(chars + CASE WHEN head THEN 7 + coalesce(back, 0) + coalesce(lead_sys, 0) ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
 #: SQL with the same result, by query.
-ORACLE_SQL: dict[str, str] = {"op2_benchmark_decontamination": _OP2_SQL, "op9_warc": _OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_benchmark_decontamination": _OP2_SQL, "op9_warc": _OP9_SQL, "op10_chat_formatting": _OP10_SQL}

@@ -21,6 +21,12 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lockfleet.llm.suffix_tree import scored
+
+    return scored(table(spark, sf_dir, "documents"))
+
+
 def _ranks_path() -> str:
     import public_tokenizers
 
@@ -59,7 +65,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op4_byte_level_bpe, op5_token_counts, op7_quality_rules, op9_warc, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_lm_scoring, op4_byte_level_bpe, op5_token_counts, op7_quality_rules, op9_warc, op10_chat_formatting)}
 
 _OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

@@ -57,6 +57,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lockfleet.llm.licenses import scanned
+
+    return scanned(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lockfleet.llm.warc import round_trip
 
@@ -71,7 +77,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_lm_scoring, op4_byte_level_bpe, op5_token_counts, op6_substring_dedup, op7_quality_rules, op9_warc, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_lm_scoring, op4_byte_level_bpe, op5_token_counts, op6_substring_dedup, op7_quality_rules, op8_license_scans, op9_warc, op10_chat_formatting)}
 
 _OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

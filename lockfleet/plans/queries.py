@@ -486,7 +486,7 @@ def ablation_grid(t: Fleet) -> DataFrame:
 )
 def policy_sweep(t: Fleet) -> DataFrame:
     names = similarity.unknown(t.packages.withColumn("ecosystem", F.lit("pypi")), t.corpus).select("norm").distinct()
-    policies = names.crossJoin(names.sparkSession.createDataFrame([(1, 5), (2, 4)], "most int, per int"))  # a stated set of two
+    policies = names.select("norm", F.explode(F.array(*[F.struct(F.lit(m).alias("most"), F.lit(p).alias("per")) for m, p in ((1, 5), (2, 4))])).alias("x")).select("norm", "x.*")
     cuts = similarity.deletions
     left = policies.withColumn("k", F.least(F.col("most"), F.floor(F.length("norm") / F.col("per")).cast("int"))).where("k > 0").select("*", F.explode(cuts(F.col("norm"), 2)).alias("part"))
     right = t.corpus.select("name", F.explode(cuts(F.col("name"), 2)).alias("part"))

@@ -133,6 +133,8 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append((source, fmt, entries, got.roots, got.install_scripts, None, 0, 0))
             except Refused as e:
                 rows.append((source, fmt, [], [], False, e.what, e.line, e.col))
+            except Exception as e:  # noqa: BLE001  one bad file must not fail the fleet
+                rows.append((source, fmt, [], [], False, f"not readable: {type(e).__name__}: {e}"[:500], 0, 0))
         yield pd.DataFrame(rows, columns=["source", "format", "entries", "wanted", "scripts", "what", "line", "col"])
 
 
@@ -154,7 +156,7 @@ def read(raw: DataFrame) -> Tables:
     false = F.lit(False)
     pip_packages = numbered.select("source", "idx", "x.name", "x.version", F.col("x.name").alias("key"), false.alias("dev"), false.alias("optional"), false.alias("first_party"), false.alias("install_script"), "x.has_integrity", "x.pin_kind", "x.pin_spec", "x.origin", F.lit(True).alias("is_root"))
 
-    docs = raw.where("format <> 'pip'").select("source", "format", "text").mapInPandas(_parse, f"source string, format string, entries array<{_ENTRY}>, wanted array<string>, scripts boolean, what string, line int, col int")
+    docs = raw.where("format <> 'pip'").select("source", "format", "text").mapInPandas(_parse, f"source string, format string, entries array<{_ENTRY}>, wanted array<string>, scripts boolean, what string, line int, col int").persist()  # each file is parsed once, not once for each table
     doc_errors = docs.where("what is not null").select("source", F.when(F.col("line") > 0, "syntax").otherwise("usage").alias("kind"), "what", "line", "col")
     good = docs.where("what is null")
     entries = good.select("source", "format", F.posexplode("entries").alias("idx", "e")).select("source", "format", "idx", "e.*")

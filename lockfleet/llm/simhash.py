@@ -78,18 +78,19 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
         b: list[int] = []
         for members in batch.column(0).to_pylist():
-            rest = np.array(sorted(members), dtype=np.int64)
+            rest = np.array(sorted(members), dtype=np.int64).view(np.uint64)  # bit counts of signed numbers leave out the sign
             while len(rest):
                 queue, rest = [int(rest[0])], rest[1:]
                 while queue and len(rest):
                     one = queue.pop()
-                    near = np.bitwise_count(rest ^ np.int64(one)) <= 3
+                    near = np.bitwise_count(rest ^ np.uint64(one)) <= 3
                     for x in rest[near].tolist():
                         a.append(one)
                         b.append(x)
                         queue.append(x)
                     rest = rest[~near]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        ends = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]
+        yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
 
 def _centres(hot: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import json
+import os
 import sys
 from dataclasses import dataclass
 
@@ -71,14 +73,34 @@ class Engine:
         t = self.read(paths)
         eco = t.lockfiles.select("source", "ecosystem", "records_edges")
         hits = t.packages.join(eco, "source").where(normalize(F.col("name"), F.col("ecosystem")) == normalize(F.lit(package), F.col("ecosystem")))
-        parents = graph.parents(t.edges, t.packages).groupBy("source", "idx").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("parent")).alias("parents"))
+        kin = graph.parents(t.edges, t.packages).select("source", F.col("idx").alias("of"), F.col("parent_idx").alias("idx"))
+        kin = kin.join(t.packages.select("source", "idx", "name", "version", graph.place(t.packages).alias("p")), ["source", "idx"])
+        parents = kin.groupBy("source", F.col("of").alias("idx")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("p", "name", "version"))).alias("x"))
+        parents = parents.select("source", "idx", "n", F.transform("x", lambda x: F.struct(x["name"].alias("name"), x["version"].alias("version"))).alias("parents"))
         hits = hits.join(parents, ["source", "idx"], "left")
         degree = F.when(F.col("records_edges"), F.coalesce("n", F.lit(0)))
-        hits = hits.select("source", "ecosystem", "idx", "name", "version", "key", "dev", "optional", "first_party", F.col("is_root").alias("direct"), degree.alias("in_degree"), "parents")
+        hits = hits.select("source", "ecosystem", "idx", "name", "version", "key", "dev", "optional", "first_party", F.col("is_root").alias("direct"), "records_edges", degree.alias("in_degree"), "parents", graph.place(t.packages).alias("place"))
         walk = graph.walks(hits.select("source", F.col("idx").alias("hit")), t.packages, t.edges, depth)
-        names = t.packages.select("source", "idx", label(F.col("name"), F.col("version")).alias("label"))
+        names = t.packages.select("source", "idx", "name", "version", label(F.col("name"), F.col("version")).alias("label"))
         return hits, walk.join(names, ["source", "idx"])
 
+    def tree_json(self, paths: str | list[str], package: str, depth: int = 3) -> str:
+        """One JSON object of a lookup: its occurrences with nested dependencies, or near names. A lookup's rows are few."""
+        hits, walk = self.tree(paths, package, depth)
+        rows = hits.orderBy("source", "place").collect()
+        steps: dict[tuple, list] = {}
+        for w in walk.orderBy("source", "hit", "seq").collect():
+            steps.setdefault((w.source, w.hit), []).append(w)
+        found = []
+        for h in rows:
+            own = {k: h[k] for k in ("source", "ecosystem", "name", "version", "key", "first_party", "direct", "records_edges")}
+            kin = [{"name": x.name, "version": x.version} for x in h.parents or []]
+            own |= {"in_degree": h.in_degree, "parents": kin if h.records_edges else [], "dependencies": _nested(steps.get((h.source, h.idx), []))}
+            found.append(own)
+        near = [] if rows else [{"name": n.name, "distance": n.distance, "source": n.source} for n in self.near(paths, package).collect()]
+        out = {"query": package, "found": bool(rows), "lockfiles": self.read(paths).lockfiles.count(), "depth": depth, "occurrences": found, "near": near}
+        return json.dumps(out, ensure_ascii=False, separators=(",", ":"))
+
     def near(self, paths: str | list[str], package: str) -> DataFrame:
         """The closest names in the fleet, eight at most."""
         t = self.read(paths)
@@ -97,6 +119,36 @@ class Engine:
         return Diff(old, new, diffs.added(p, q), diffs.added(q, p), diffs.changed(p, q), diffs.introduced(fa, fb), diffs.introduced(fb, fa))
 
 
+def _nested(steps: list) -> list[dict]:
+    """Rows of a walk in preorder as nested objects."""
+    top: list[dict] = []
+    open_ = [top]
+    for w in steps:
+        node = {"name": w.name, "version": w.version}
+        if w.stop:
+            node |= {"stop": w.stop} | ({"hidden": w.hidden} if w.stop == "depth" else {})
+        node["dependencies"] = []
+        del open_[w.depth :]
+        open_[-1].append(node)
+        open_.append(node["dependencies"])
+    return top
+
+
+def blind_spots(listing: lockfiles.Listing, as_json: bool = True, verbose: bool = False) -> str:
+    """What a scan could not see, for people or as the JSON object that has no source; empty if nothing."""
+    if as_json:
+        seen = {"unreadable": listing.unreadable, "unsupported": listing.unsupported}
+        return json.dumps(seen, ensure_ascii=False, separators=(",", ":")) if any(seen.values()) else ""
+    out = []
+    if n := len(listing.unreadable):
+        out += ["", f"  could not look inside {n} path{'s' * (n > 1)} — this scan is incomplete", *("     " + p for p in listing.unreadable)]
+    if listing.unsupported:
+        out += ["", "  found but not read: " + ", ".join(listing.unsupported)]
+    if verbose and listing.skipped:
+        out += ["", f"  not descended into ({len(listing.skipped)})", *(f"     {p} {why}" for p, why in listing.skipped)]
+    return "\n".join(out)
+
+
 def main(argv: list[str] | None = None) -> int:
     """``scan PATH``, ``tree PACKAGE PATH`` and ``diff OLD NEW``; exit codes 0, 1 (gate hit) and 2."""
     p = argparse.ArgumentParser(prog="lockfleet")
@@ -121,7 +173,10 @@ def main(argv: list[str] | None = None) -> int:
             return int(bool(o.fail_on) and report.gate(d.introduced, o.fail_on))
         if o.command == "tree":
             hits, walk = engine.tree(o.path, o.package, o.depth)
-            rows = hits.orderBy("source", "name", "version", "key").collect()
+            if o.format == "json":
+                print(engine.tree_json(o.path, o.package, o.depth))
+                return 0
+            rows = hits.orderBy("source", "place").collect()
             for h in rows:
                 print(f"{h.source}: {h.name}@{h.version} in-degree {h.in_degree}")
                 for w in walk.where((F.col("source") == h.source) & (F.col("hit") == h.idx)).orderBy("seq").collect():
@@ -129,6 +184,9 @@ def main(argv: list[str] | None = None) -> int:
             for n in [] if rows else engine.near(o.path, o.package).collect():
                 print(f"near: {n.name} (d={n.distance}) in {n.source}")
             return 0
+        listing = lockfiles.discover(o.path) if os.path.isdir(o.path) else lockfiles.Listing([], [], [], [])
+        if said := blind_spots(listing, o.format == "json", o.verbose):
+            print(said)
         s = engine.scan(o.path)
         errors = s.tables.errors.orderBy("source").collect()
         for e in errors:
@@ -138,7 +196,7 @@ def main(argv: list[str] | None = None) -> int:
         for n, row in enumerate(out, 1):
             if not (o.quiet and o.format == "human"):
                 print(row[1])
-        return report.exit_code(False, n, bool(o.fail_on) and s.gate(o.fail_on))
+        return report.exit_code(bool(listing.unreadable), n, bool(o.fail_on) and s.gate(o.fail_on))
     except Unusable as e:
         print(e, file=sys.stderr)
         return 2

@@ -43,3 +43,24 @@ def test_report_for_people(spark, tmp_path):
     (tmp_path / "requirements.txt").write_text("a==1\nb\n")
     text = Engine(spark).scan(str(tmp_path)).human(verbose=True).first()["text"]
     assert "2 packages   (2 direct · 0 transitive)" in text and "UNPINNED               1     no exact version recorded" in text and "risk 52/100" in text
+
+
+def test_tree_json(spark, tmp_path):
+    (tmp_path / "package-lock.json").write_text('{"lockfileVersion":3,"packages":{"":{"dependencies":{"a":"1"}},"node_modules/a":{"version":"1.0.0","dependencies":{"b":"1"}},"node_modules/b":{"version":"2.0.0","dependencies":{"a":"1","c":"1"}},"node_modules/c":{"version":"3.0.0","dependencies":{"a":"1"}}}}')
+    e = Engine(spark)
+    got = json.loads(e.tree_json(str(tmp_path), "A", 2))
+    one = got["occurrences"][0]
+    assert (got["found"], got["lockfiles"], got["near"]) == (True, 1, []) and (one["in_degree"], one["direct"]) == (2, True)
+    assert [p["name"] for p in one["parents"]] == ["b", "c"]
+    assert one["dependencies"] == [{"name": "b", "version": "2.0.0", "dependencies": [{"name": "a", "version": "1.0.0", "stop": "cycle", "dependencies": []}, {"name": "c", "version": "3.0.0", "stop": "depth", "hidden": 1, "dependencies": []}]}]
+    lost = json.loads(e.tree_json(str(tmp_path), "bb"))
+    assert not lost["found"] and [n["name"] for n in lost["near"]] == ["b", "a", "c"]
+
+
+def test_blind_spots():
+    from lockfleet.plans.engine import blind_spots
+    from lockfleet.sources.lockfiles import Listing
+
+    seen = Listing([], ["/x"], ["go.sum"], [("/y", "hidden")])
+    assert blind_spots(seen) == '{"unreadable":["/x"],"unsupported":["go.sum"]}' and blind_spots(Listing([], [], [], [])) == ""
+    assert "not descended into (1)" in blind_spots(seen, False, True)

@@ -6,9 +6,21 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text that a worker takes up at once. A longer text is a slice of its own.
 SLICE_BYTES = 2_000_000
+#: Most rows in an Arrow batch of documents; Spark's own default would hold tens of megabytes of text at a time.
+BATCH_ROWS = 2_000
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """``df``, for mapInArrow over texts: lowers the session's rows in a batch to BATCH_ROWS, unless they are fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:

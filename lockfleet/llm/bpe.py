@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lockfleet.llm.arrow import appended, fresh, slices
+from lockfleet.llm.arrow import appended, batched, fresh, slices
 from lockfleet.llm.pretokenize import pieces
 
 #: Pieces that a worker's cache holds before it starts anew; longer pieces than KEEP bytes aren't kept.
-CACHE, KEEP = 250_000, 64
+CACHE, KEEP = 150_000, 64
 #: No pair's rank.
 NONE = np.iinfo(np.int32).max
 
@@ -253,7 +253,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     all rows and columns stay.
     """
     a, b = fresh(docs.columns, "token_ids"), fresh(docs.columns, "token_offsets")
-    docs = docs.withColumn("text", F.col("text").cast("string"))
+    docs = batched(docs).withColumn("text", F.col("text").cast("string"))
 
     def make(part, raw, own):
         got = list(own.encode(_texts(raw)))
@@ -287,7 +287,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         sha = lambda x: hashlib.sha256(x).hexdigest()
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_count, got), pa.int64()), pa.array(map(sha, got)), pa.array(map(sha, own.decode(got)))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_mapper(_ranks(docs, path), make), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -297,4 +297,4 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     def make(part, raw, own):
         return pa.RecordBatch.from_arrays([pa.array(map(_count, own.encode(_texts(raw))), pa.int64())], names=["n_tokens"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_mapper(_ranks(docs, path), make), "n_tokens long")
+    return batched(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(_mapper(_ranks(docs, path), make), "n_tokens long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lockfleet.llm.arrow import appended, fresh, slices
+from lockfleet.llm.arrow import appended, batched, fresh, slices
 
 WINDOW = 13
 #: Bytes of benchmark text in a block that is sent to every task.
@@ -195,6 +195,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     hits, items, count = names or tuple(fresh(docs.columns, x) for x in ("hit_bits", "item_ids", "word_count"))
     spark, out = docs.sparkSession, docs.withColumn("text", F.col("text").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + f", `{hits}` binary, `{items}` array<bigint>, `{count}` bigint"
+    batched(docs)
     for block in _blocks(benchmark, block_bytes):
         out = out.mapInArrow(_searcher(spark.sparkContext.broadcast(Windows(block, window)), hits, items, count), schema)
     return out
@@ -250,4 +251,4 @@ def proximity(docs: DataFrame, queries: list[tuple[int, str]], span: int) -> Dat
                 out = [(ids[d], i) for i, t in asked for d in index.near(t, span).tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["doc_id", "query_id"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(find, "doc_id long, query_id long")
+    return batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(find, "doc_id long, query_id long")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lockfleet.llm.arrow import slices
+from lockfleet.llm.arrow import appended, batched, fresh, slices
 from lockfleet.llm.graph import components, skew_join
 from lockfleet.llm.scratch import written
 
@@ -61,7 +61,20 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp)`` for each row of ``docs``."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+
+
+def with_fingerprint(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with each text's fingerprint as 16 hex digits, and that column's name."""
+    name, docs = fresh(docs.columns, "fingerprint"), docs.withColumn("text", F.col("text").cast("string"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch):
+                yield appended(part, **{name: pa.array([f"{fingerprint(t) % 2**64:016x}" for t in texts], pa.string())})
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` string"])
+    return batched(docs).mapInArrow(add, schema), name
 
 
 def _variants(fps: DataFrame) -> DataFrame:

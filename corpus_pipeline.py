@@ -22,15 +22,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component the document of least doc_id stays; of rows that repeat it, one.
 
-    Rows with a null doc_id stay only where their component has no other id, one of each text.
+    Rows with a null doc_id go where their component has an id; of those without any, one of each fingerprint stays.
     """
-    groups = simhash.near_duplicates(docs)
-    keepers = written(groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct(), "keepers")
-    named = docs.join(keepers, F.col("doc_id").cast("long") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
+    groups = written(simhash.near_duplicates(docs), "groups")
+    mine = F.col("doc_id").cast("long")
+    keepers = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
+    named = docs.join(keepers, mine == F.col("__keep"), "left_semi")
+    if groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").take(1):
+        named = named.dropDuplicates(["doc_id"])
     lone = groups.where("doc_id is null and component_id is null").select("fingerprint").distinct()
     if not lone.take(1):
         return named
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    nameless, name = simhash.with_fingerprint(docs.where("doc_id is null"))
+    nameless = nameless.join(lone.withColumnRenamed("fingerprint", name), name, "left_semi").dropDuplicates([name])
+    return named.unionByName(nameless.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def substring_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,14 @@ def test_stages(spark, folder):
     assert n[201] < len(lib.encode_ordinary(texts[201]))
     whole = {r.doc_id: r.ids_sha256 for r in cp.run(spark, sf).collect()}
     assert whole == {r.doc_id: r.ids_sha256 for r in docs.collect()}
+
+
+def test_near_duplicates_without_ids(spark):
+    from corpus_pipeline import near_duplicates
+
+    text = "one two three four five six"
+    rows = [(5, text), (5, text), (9, text.upper()), (None, text), (None, "alone and without id"), (None, "Alone and without ID"), (7, "quite another text here"), (8, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, (r.text or "").lower()) for r in got.collect()), key=str) == sorted([(5, text), (7, "quite another text here"), (8, ""), (None, "alone and without id")], key=str)

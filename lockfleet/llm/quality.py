@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lockfleet.llm.arrow import appended, fresh, slices
+from lockfleet.llm.arrow import appended, batched, fresh, slices
+from lockfleet.llm.sample import least_hashed
 
 #: Most labelled rows that the list is fitted on: those of least hash.
 SAMPLE = 20_000
@@ -66,7 +67,7 @@ def statistics(raw: bytes | None) -> tuple[int, ...]:
 def with_statistics(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with the statistics of each text as long columns, and their names (underscored on clashes)."""
     names = {s: fresh(docs.columns, s) for s in STATS}
-    docs = docs.withColumn("text", F.col("text").cast("string"))
+    docs = batched(docs).withColumn("text", F.col("text").cast("string"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +200,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
 
     The sample's bound is what makes it safe to broadcast to the documents and to bring to the driver.
     """
-    few = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    few = least_hashed(labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), "doc_id", sample)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")
     measured, names = with_statistics(chosen)
     rows = measured.select("doc_id", "quality", *names.values()).collect()

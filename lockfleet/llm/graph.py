@@ -12,14 +12,18 @@ from lockfleet.llm.scratch import drop, written
 HOT_SHARE = 512
 
 
-def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
+def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", rows: str | None = None) -> DataFrame:
     """Joins ``big`` to ``small``, which has one row for each key, where a key may hold a third of ``big``.
 
     The keys with over 1/512 of the rows (511 at most) are joined by broadcast, where their rows
     stand; all others by shuffle. ``how`` is "left" or "inner". Null keys match nothing; under
-    "left" they stay. Both sides must be cheap to read twice (written tables).
+    "left" they stay. Both sides must be cheap to read twice (written tables). ``rows`` names a column
+    of ``small`` that already holds how many rows of ``big`` each key has; it spares the count.
     """
-    counts = big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
+    if rows:
+        counts, small = small.select(key, F.col(rows).alias("__n")), small.drop(rows)
+    else:
+        counts = big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
     total = big.count()
     hot = [r[0] for r in counts.where(F.col("__n") * HOT_SHARE > total).select(key).collect()] if total > 10 * HOT_SHARE else []
     if not hot:

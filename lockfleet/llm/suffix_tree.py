@@ -1,15 +1,15 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-A context may enter the tree only if its share of the training tokens is ``SHARE`` or more, as in the
-published algorithm (its P_min); so a level has at most 1 / SHARE contexts and as many kept
-continuations, however large the corpus, and can be broadcast. What is counted is not bounded: every
-word, and every pair of frequent words, is counted over the whole corpus and shuffled.
+``scored`` keeps no bound on the tree: every context of up to ``DEPTH`` words is counted over the whole
+corpus, every continuation seen ``LEAST`` times or more is kept, and the retention test alone decides.
+A text's positions are shuffled by the word before them, so one branch of the tree (all contexts that
+end in that word) is counted, tested and used for scoring in one place; the branches grow in number with
+the corpus, and a hot word's branch is split by the word before it. Corpus counts of the words reach
+the branches by joins. ``fit`` builds the tree of a small corpus on the driver, two words deep, to look at.
 
 A context stays if its next-symbol counts diverge from its parent's distribution by more bits than
 their description costs. Distributions are smoothed by the parent: what a context's kept continuations
-leave, plus ``MASS``, is spread as the parent spreads it. So P(w | s) = lambda(s) P(w | parent) for
-each w outside the kept ones, and rare words need only their corpus count, which a join brings,
-while all else is scored where the document stands.
+leave, plus ``MASS``, is spread as the parent spreads it.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,10 @@ MASS = 4.0
 END = b"\n"
 #: Words, or pairs, that a task gathers before it passes their counts on.
 GATHER_WORDS, GATHER_PAIRS = 400_000, 3_000_000
+#: Longest context, in words, and the least count of a continuation; the retention test alone decides on contexts.
+DEPTH, LEAST = 3, 2
+#: Tokens that a task gathers before it passes positions on, that a branch is meant to hold, and that are sampled for hot words.
+GATHER_TOKENS, BRANCH_TOKENS, SAMPLE_TOKENS = 2_000_000, 2_000_000, 2_000_000
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -239,39 +245,237 @@ def fit(docs: DataFrame, share: float = SHARE) -> tuple[DataFrame, Tree]:
     return counts, tree
 
 
-def scored(docs: DataFrame, share: float = SHARE) -> DataFrame:
+def _hashed(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words; never 0, which stands for no word."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64) | np.uint64(1)
+
+
+def _mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x = (x * np.uint64(0x9E3779B97F4A7C15)) ^ y
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+@dataclass
+class Branches:
+    """Where positions go: by the word before, so that all contexts that end in it are in one branch. The
+    positions of a hot word are split by the word before that; its own counts are then summed over its parts."""
+
+    number: int
+    hot: np.ndarray  # sorted hashes of the hot words
+    parts: np.ndarray  # how many parts each has
+
+    @property
+    def starts(self) -> np.ndarray:
+        return self.number + np.cumsum(self.parts) - self.parts
+
+    def of(self, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = (_mix(np.where(a > 0, a, w), np.uint64(7)) % np.uint64(self.number)).astype(np.int64)
+        at = _find(self.hot, a)
+        is_hot = at >= 0
+        at = at[is_hot]
+        if len(at):
+            out[is_hot] = self.starts[at] + (_mix(b[is_hot], np.uint64(9)) % self.parts[at].astype(np.uint64)).astype(np.int64)
+        return out
+
+    def hot_of(self, branch: int) -> int:
+        """Place of the hot word that a branch is a part of; -1 for other branches."""
+        return -1 if branch < self.number else int(np.searchsorted(self.starts, branch, "right")) - 1
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, np.ndarray, list[np.ndarray]]]:
+    """Documents (key, doc_id, held_out, tokens), each position's document, and words: its own and the DEPTH before."""
+    part = TaskContext.get().partitionId() if TaskContext.get() else 0
+    count = total = 0
+    docs, own = [], []
+
+    def flush():
+        lens = np.array([d[3] for d in docs])
+        flat = np.concatenate(own)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
+        back = [flat]
+        for k in range(1, DEPTH + 1):
+            x = np.zeros_like(flat)
+            x[k:] = flat[:-k]
+            x[place < k] = 0
+            back.append(x)
+        return docs, np.repeat(np.arange(len(docs)), lens), back
+
+    for batch in batches:
+        for piece, texts in slices(batch):
+            for doc_id, text in zip(piece.column(0).to_pylist(), texts):
+                words = tokens(text)
+                docs.append(((part << 36) + count, doc_id, held_out(doc_id), len(words)))
+                own.append(_hashed(words))
+                count, total = count + 1, total + len(words)
+                if total >= size:
+                    yield flush()
+                    docs, own, total = [], [], 0
+    if docs:
+        yield flush()
+
+
+def _needs(branches: Branches):
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How often each word is learnt from in each branch; 0 if it is only scored there."""
+        for docs, of, back in _gathered(batches, GATHER_TOKENS):
+            learn = ~np.array([d[2] for d in docs])[of]
+            branch = branches.of(*back[:3])
+            order = np.lexsort((branch, back[0]))
+            w, branch, learn = back[0][order], branch[order], learn[order]
+            first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (branch[1:] != branch[:-1])]))
+            yield pa.RecordBatch.from_arrays([pa.array(w[first].view(np.int64)), pa.array(branch[first].astype(np.int32)), pa.array(np.add.reduceat(learn.astype(np.int64), first))], names=["w", "branch", "n"])
+
+    return needs
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _packed_positions(of: np.ndarray, back: list[np.ndarray]) -> bytes:
+    """Positions as bytes: a dictionary of their words, the commonest first, and byte planes of places in it."""
+    names, ids, n = np.unique(np.concatenate(back), return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    raw = b"".join([np.array([len(of), len(names)], np.int64).tobytes(), names[order].tobytes(), _planes(np.diff(of, prepend=0).astype(np.int32)), _planes(rank[ids])])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked_positions(raw: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    raw = bytes(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True))
+    n, m = np.frombuffer(raw, np.int64, 2).tolist()
+    names = np.frombuffer(raw, np.uint64, m, 16)
+    unplane = lambda at, k: np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * k, at).reshape(4, k).T).view(np.int32)[:, 0]
+    at = 16 + 8 * m
+    return np.cumsum(unplane(at, n), dtype=np.int64), list(names[unplane(at + 4 * n, n * (DEPTH + 1))].reshape(DEPTH + 1, n))
+
+
+def _positions(branches: Branches):
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each branch of the documents gathered: the keys and positions; each document's facts go to one of them."""
+        for docs, of, back in _gathered(batches, GATHER_TOKENS):
+            branch = branches.of(*back[:3])
+            order = np.argsort(branch, kind="stable")
+            edges = np.flatnonzero(np.diff(branch[order], prepend=-1, append=2**40))
+            firsts = np.searchsorted(of, np.arange(len(docs)))
+            home: dict[int, list] = {}
+            for d, b in zip(docs, branch[firsts].tolist()):
+                home.setdefault(b, []).append({"key": d[0], "doc_id": d[1], "held_out": d[2], "n_tokens": d[3]})
+            held = np.packbits(np.array([d[2] for d in docs])).tobytes()
+            for i, j in zip(edges, edges[1:]):
+                b, at = int(branch[order[i]]), order[i:j]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([docs[0][0]], pa.int64()), pa.array([held], pa.binary()), pa.array([_packed_positions(of[at], [x[at] for x in back])], pa.binary()), pa.array([home.get(b, [])], pa.list_(_FACTS))], names=["branch", "first", "held", "packed", "docs"])
+
+    return positions
+
+
+_FACTS = pa.struct([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64())])
+_SCORES = "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double"
+
+
+def _level(before: np.ndarray, context: np.ndarray, word: np.ndarray, learn: np.ndarray, parent: np.ndarray, cost: float = 0.5) -> np.ndarray:
+    """P of positions by contexts one word longer: where a context stays, from its counts, else as ``parent`` has it."""
+    at = np.flatnonzero(before)
+    if not len(at):
+        return parent
+    out = parent.copy()
+    learnt = learn[at]
+    _, ctx = np.unique(context[at], return_inverse=True)
+    n = np.bincount(ctx, learnt).astype(np.int64)
+    _, first, entry = np.unique(_mix(context[at], word[at]), return_index=True, return_inverse=True)
+    k = np.bincount(entry, learnt).astype(np.int64)
+    keep = k >= LEAST
+    left, stays = Tree._states(len(n), ctx[first][keep], k[keep], n, parent[at[first]][keep], cost)
+    more = np.where(keep, k, 0)[entry]
+    out[at] = np.where(stays[ctx], more / (n[ctx] + MASS) + left[ctx] * parent[at], parent[at])
+    return out
+
+
+def _scorer(branches: Branches, total: int, kinds: int, hot_states: dict[int, tuple[int, float, bool]], depth: int):
+    def score(positions: pa.Table, needs: pa.Table) -> pa.Table:
+        keys, learns, backs, facts = [], [], [], []
+        for first, held, packed, docs in zip(*(positions.column(c).to_pylist() for c in ("first", "held", "packed", "docs"))):
+            of, back = _unpacked_positions(packed)
+            keys.append(first + of)
+            learns.append(np.unpackbits(np.frombuffer(held, np.uint8))[of] == 0)
+            backs.append(back)
+            facts += docs
+        empty = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("own", pa.float64())])
+        if not keys:
+            return empty.empty_table()
+        key, learn = np.concatenate(keys), np.concatenate(learns)
+        back = [np.concatenate(x) for x in zip(*backs)]
+        names = needs.column("w").to_numpy().view(np.uint64)
+        order = np.argsort(names)
+        at = order[np.searchsorted(names, back[0], sorter=order)]
+        c = needs.column("c").to_numpy()[at]
+        base = (c + 0.1) / (total + 0.1 * (kinds + 1)) if total else np.ones(len(c))
+        p, context = base, back[1]
+        hot = branches.hot_of(int(positions.column("branch")[0].as_py()))
+        for level in range(1, depth + 1):
+            if level > 1:
+                context = _mix(context, back[level])
+            if level == 1 and hot >= 0:
+                n, left, stays = hot_states.get(hot, (0, 1.0, False))
+                k = needs.column("k").to_numpy()[at]
+                p = np.where(k >= LEAST, k, 0) / (n + MASS) + left * base if stays else base
+            else:
+                p = _level(back[level] > 0, context, back[0], learn, p)
+        key, of = np.unique(key, return_inverse=True)
+        sums = [np.bincount(of, x, minlength=len(key)) for x in (c > 0, np.log10(base), np.log10(p))]
+        own = {d["key"]: d for d in facts}
+        column = lambda f: [own[x][f] if x in own else None for x in key.tolist()]
+        return pa.table([pa.array(key), pa.array(column("doc_id"), pa.int64()), pa.array(column("held_out"), pa.bool_()), pa.array(column("n_tokens"), pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], schema=empty)
+
+    return score
+
+
+def _branches(rows: DataFrame, branch_tokens: int) -> Branches:
+    """Branches by the input's size; the hot words are those of a sample of the rows, which changes no result."""
+    size, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    guess = size // 6 + n
+    every = max(1, guess // SAMPLE_TOKENS)
+    seen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).mapInArrow(_word_counts, "word binary, c long").groupBy("word").agg((F.sum("c") * every).alias("c"))
+    hot = {int(_hashed([bytes(r[0])])[0]): -(-2 * r[1] // branch_tokens) for r in seen.where(F.col("c") > branch_tokens).collect() if bytes(r[0]) != END}
+    names = sorted(hot)
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return Branches(max(least, guess // branch_tokens), np.array(names, np.uint64), np.array([hot[x] for x in names], np.int64))
+
+
+def scored(docs: DataFrame, depth: int = DEPTH, branch_tokens: int = BRANCH_TOKENS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
 
-    Learns from the rows that aren't held out. Null texts are empty: one token, the end. A null
-    doc_id counts as an empty id. Repeated rows learn and score each for itself. Without training
-    tokens every probability is 1.
+    Learns from the rows that aren't held out, contexts of up to ``depth`` words (DEPTH at most). Null texts
+    are empty: one token, the end. A null doc_id counts as an empty id. Repeated rows learn and score
+    each for itself. Without training tokens every probability is 1. ``docs`` must read the same each time.
     """
-    counts, tree = fit(docs, share)
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Tree = sent.value
-        for batch in batches:
-            for part, texts in slices(batch):
-                cut = [tokens(t) for t in texts]
-                got = [own.score(w) for w in cut]
-                doc_ids = part.column(0).to_pylist()
-                rare = [list(Counter(g[3]).items()) for g in got]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([held_out(d) for d in doc_ids]), pa.array([len(w) for w in cut], pa.int64()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64()), pa.array([[{"word": w, "n": n} for w, n in r] for r in rare], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
-                    names=["doc_id", "key", "held_out", "n_tokens", "known", "base", "own", "rare"],
-                )
-
-    key = F.xxhash64("doc_id", "text")
-    rows = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", key.alias("key"), "text")
-    local = written(rows.mapInArrow(score, "doc_id long, key long, held_out boolean, n_tokens long, known long, base double, own double, rare array<struct<word binary, n long>>"), "local-scores")
-    # Equal rows have equal keys, and each brings its words: their sums are divided by how many rows there are.
-    rare = local.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.n")
-    met = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    times = local.groupBy("key").agg(F.count("*").alias("times"))
-    base = F.log10((F.col("c") + 0.1) / F.lit(float(tree.total + 0.1 * (tree.kinds + 1))))
-    sums = met.groupBy("key").agg(F.sum(F.col("n") * base).alias("tail"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"))
-    sums = sums.join(times, "key").select("key", (F.col("tail") / F.col("times")).alias("tail"), F.expr("tail_known div times").alias("tail_known"))
-    out = local.join(sums, "key", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("tail_known")).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + zero("tail")).alias("base_score"), (F.col("own") + zero("tail")).alias("score"))
+    rows = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    branches = _branches(rows, branch_tokens)
+    needs = written(rows.mapInArrow(_needs(branches), "w long, branch int, n long").groupBy("w", "branch").agg(F.sum("n").alias("n")), "needs")
+    words = needs.groupBy("w").agg(F.sum("n").alias("c"))
+    total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    asked = needs.join(words, "w")
+    states: dict[int, tuple[int, float, bool]] = {}
+    if len(branches.hot):
+        starts = F.array(*[F.lit(int(x)) for x in branches.starts])
+        hot = F.when(F.col("branch") >= branches.number, F.size(F.filter(starts, lambda x: x <= F.col("branch"))) - 1)
+        asked = asked.withColumn("hot", hot)
+        pairs = written(asked.where("hot is not null").groupBy("w", "hot").agg(F.sum("n").alias("k"), F.first("c").alias("c")), "hot-pairs")
+        sums = pairs.groupBy("hot").agg(F.sum("k").alias("n"), F.sum(F.when(F.col("k") >= LEAST, F.col("k")).otherwise(0)).alias("kept"), F.count_if(F.col("k") >= LEAST).alias("m"))
+        parent = (F.col("c") + 0.1) / F.lit(total + 0.1 * (kinds + 1))
+        left = (F.col("n") - F.col("kept") + MASS) / (F.col("n") + MASS)
+        met = pairs.join(F.broadcast(sums), "hot").withColumn("gain", F.when(F.col("k") >= LEAST, F.col("k") * F.log2((F.col("k") / (F.col("n") + MASS) + left * parent) / parent)).otherwise(0.0))
+        for r in met.groupBy("hot").agg(F.first("n").alias("n"), F.first("kept").alias("kept"), F.first("m").alias("m"), F.sum("gain").alias("gain")).collect():
+            rest = (r.n - r.kept + MASS) / (r.n + MASS)
+            gain = r.gain + ((r.n - r.kept) * math.log2(rest) if r.n > r.kept else 0)
+            states[r.hot] = (r.n, rest, gain > 0.5 * (r.m + 1) * math.log2(r.n + 1))
+        asked = asked.join(pairs.select("w", "hot", "k"), ["w", "hot"], "left").select("branch", "w", "c", "k")
+    else:
+        asked = asked.select("branch", "w", "c", F.lit(None).cast("long").alias("k"))
+    facts = "array<struct<key long, doc_id long, held_out boolean, n_tokens long>>".replace(" long", ":bigint").replace(" boolean", ":boolean")
+    placed = rows.mapInArrow(_positions(branches), f"branch int, first long, held binary, packed binary, docs {facts}")
+    parts = placed.groupBy("branch").cogroup(asked.groupBy("branch")).applyInArrow(_scorer(branches, total, kinds, states, min(depth, DEPTH)), _SCORES)
+    out = parts.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("own").alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

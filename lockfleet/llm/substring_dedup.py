@@ -34,7 +34,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 LINE_WORDS, PASSAGE_WORDS, REACH = 25, 25, 5
 #: 1 - (1 - 0.8**ROWS)**BANDS = 0.998 of the pairs at the least similarity meet in a band.
 ROWS, BANDS = 2, 6
-#: Most different sets of a band that are compared as they are; more are told apart by further rows first.
+#: Most different sets of a band that are compared in one go; more are compared block by block.
 CROWD = 400
 
 _MIX = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % 2**64 | 1 for i in range(1, ROWS * BANDS + 1)], np.uint64)
@@ -190,30 +190,17 @@ def _bands(lines: DataFrame) -> DataFrame:
     return lines.select("ident", F.posexplode(F.transform(at, lambda i: F.xxhash64(i, F.get("rows", i * ROWS), F.get("rows", i * ROWS + 1)))).alias("band", "value"))
 
 
-def _finer(keys: DataFrame, lines: DataFrame) -> DataFrame:
-    """Keys of twice the rows: each with the values of the other bands. A pair at 0.8 that met once meets again in one of them (0.994)."""
-    at = F.sequence(F.lit(0), F.lit(BANDS - 1))
-    others = F.explode(F.transform(at, lambda i: F.struct(i.alias("other"), F.xxhash64(F.get("rows", i * ROWS), F.get("rows", i * ROWS + 1)).alias("second"))))
-    return keys.join(lines.select("ident", "rows"), "ident").select("ident", "band", "value", others.alias("o")).where("o.other <> band").select("ident", "band", F.xxhash64("value", "o.other", "o.second").alias("value"))
-
-
 def _colliding(lines: DataFrame, crowd: int) -> DataFrame:
-    """``(value, ident)``: different line sets that share a band; crowded bands are split by further rows, twice at most."""
-    now, out = _bands(lines), []
-    for _ in range(2):
-        counts = now.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-        counts = written(counts, "band-counts")
-        crowded = counts.where(F.col("n") > crowd).select("value")
-        out.append(now.join(counts.where(F.col("n") <= crowd).select("value"), "value").select("value", "ident"))
-        if not crowded.take(1):
-            break
-        now = written(_finer(now.join(crowded, "value"), lines), "finer")
-    else:
-        out.append(now.select("value", "ident"))
-    whole = out[0]
-    for x in out[1:]:
-        whole = whole.unionByName(x)
-    return whole.distinct()
+    """``(value, ident)``: different line sets that share a band. A band value with over ``crowd`` of them is cut into
+    blocks of about so many, and each block meets each other and itself, so no pair is lost."""
+    now = _bands(lines)
+    counts = written(now.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "band-counts")
+    few = now.join(counts.where(F.col("n") <= crowd).select("value"), "value").select("value", "ident")
+    many = now.join(counts.where(F.col("n") > crowd).withColumn("blocks", F.ceil(F.col("n") / crowd).cast("int")), "value")
+    many = many.withColumn("own", F.pmod(F.xxhash64("ident", F.lit(1)), F.col("blocks")).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.select(F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other")).alias("value"), "ident")
+    return few.unionByName(many).distinct()
 
 
 def classes(docs: DataFrame, crowd: int = CROWD) -> DataFrame:

@@ -3,9 +3,10 @@
 Two kinds of paragraph, so that a passage is found wherever it stands:
 
 * *lines*: the stretches between line breaks, of ``LINE_WORDS`` words or more;
-* *passages*: ``PASSAGE_WORDS`` words from an anchor on. Anchors are set by content: a word whose
-  five-word shingle has the least hash within ``REACH`` words to either side. A passage
-  that two texts share has the same anchors in both, however it is embedded, except near its ends.
+* *passages*: ``PASSAGE_WORDS`` words from an anchor on. Anchors are set by content (winnowing): a word whose
+  five-word shingle has the least hash of any ``WINDOW`` in a row. So each stretch of
+  ``PASSAGE_WORDS + WINDOW - 1`` words that texts share holds a passage that they share, less than ``WINDOW`` words from either
+  end, and by so many words passages are extended as far as the texts agree.
 
 A paragraph's set of five-word shingles gives MinHash bands; lines of equal band values collide,
 and are linked if their exact Jaccard similarity is 0.8 or more. Passages have a fixed length and
@@ -23,15 +24,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lockfleet.llm.arrow import appended, batched, fresh, slices
 from lockfleet.llm.graph import components, skew_join
-from lockfleet.llm.scratch import written
+from lockfleet.llm.scratch import drop, written
 
 SHINGLE, SIMILARITY = 5, 0.8
-LINE_WORDS, PASSAGE_WORDS, REACH = 25, 25, 5
+LINE_WORDS, PASSAGE_WORDS, WINDOW = 25, 25, 20
 #: 1 - (1 - 0.8**ROWS)**BANDS = 0.998 of the pairs at the least similarity meet in a band.
 ROWS, BANDS = 2, 6
 #: Most different sets of a band that are compared in one go; more are compared block by block.
@@ -61,11 +62,11 @@ def _shingles(h: np.ndarray) -> np.ndarray:
 
 
 def anchors(s: np.ndarray) -> np.ndarray:
-    """Places whose shingle hash is least within REACH to either side (the first of equals), where the neighbourhood is whole."""
-    if len(s) < 2 * REACH + 1:
+    """Places whose shingle hash is the least (the last of equals) of some WINDOW shingles in a row."""
+    if len(s) < WINDOW:
         return np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(s, 2 * REACH + 1)
-    return np.flatnonzero(view.argmin(axis=1) == REACH) + REACH
+    view = np.lib.stride_tricks.sliding_window_view(s[::-1], WINDOW)
+    return np.unique(len(s) - 1 - (view.argmin(axis=1) + np.arange(len(view))))
 
 
 def _signature(sets: list[np.ndarray]) -> np.ndarray:
@@ -203,6 +204,70 @@ def _colliding(lines: DataFrame, crowd: int) -> DataFrame:
     return few.unionByName(many).distinct()
 
 
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the words around the passages asked for, the nearest first."""
+    for batch in batches:
+        for part, texts in slices(batch):
+            out = []
+            for doc_id, raw, asked in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist()):
+                tag = xxhash.xxh3_64_intdigest(raw or b"") >> 1
+                own = [x for x in asked if x["tag"] == tag]
+                if own:
+                    h = (_hashes(raw.lower().split()) >> np.uint64(32)).astype(np.uint32)
+                    for x in own:
+                        a, b = x["first"], x["first"] + PASSAGE_WORDS
+                        out.append((doc_id, tag, a, x["class_id"], x["keeper"], h[max(0, a - WINDOW + 1) : a][::-1].tobytes(), h[b : b + WINDOW - 1].tobytes()))
+            columns = list(zip(*out)) or [()] * 7
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["doc_id", "tag", "first", "class_id", "keeper", "left", "right"])
+
+
+def _reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each surrounding of a passage and 1, 2, … words to a side: the least and greatest document that agree so far."""
+    for batch in batches:
+        out: dict[str, list] = {k: [] for k in ("around", "n", "left_lo", "left_hi", "right_lo", "right_hi")}
+        for members in batch.column(0).to_pylist():
+            out["around"] += [x["around"] for x in members]
+            out["n"] += [x["n"] for x in members]
+            for side in ("left", "right"):
+                seen: dict[bytes, list[int]] = {}
+                for x in members:
+                    for j in range(4, len(x[side]) + 1, 4):
+                        got = seen.setdefault(x[side][:j], [x["lo"], x["hi"]])
+                        got[0], got[1] = min(got[0], x["lo"]), max(got[1], x["hi"])
+                for x in members:
+                    got = [seen[x[side][:j]] for j in range(4, len(x[side]) + 1, 4)]
+                    out[side + "_lo"].append([g[0] for g in got])
+                    out[side + "_hi"].append([g[1] for g in got])
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k in ("around", "n") else pa.list_(pa.int64())) for k, v in out.items()], names=list(out))
+
+
+def _extended(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """Passages with ``first`` and ``stop`` moved out as far as the text agrees with an earlier document's, in the keeper with any other's.
+
+    Of passages with one keeper, those that come to stand within another are left out.
+    """
+    asked = passages.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("tag", "first", "class_id", "keeper")).alias("asked"))
+    met = _rows(docs).join(asked, F.col("doc_id") == F.col("id")).select("doc_id", "text", "asked")
+    found = met.mapInArrow(_around, "doc_id long, tag long, first int, class_id long, keeper long, left binary, right binary")
+    found = written(found.withColumn("around", F.xxhash64("class_id", "left", "right")), "around")
+    once = found.groupBy("class_id", "around").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"), F.any_value("left").alias("left"), F.any_value("right").alias("right"))
+    groups = once.groupBy("class_id").agg(F.collect_list(F.struct("around", "lo", "hi", "n", "left", "right")).alias("m")).select("m")
+    reaches = written(groups.mapInArrow(_reaches, "around long, n long, left_lo array<long>, left_hi array<long>, right_lo array<long>, right_hi array<long>"), "reaches")
+    out = skew_join(found.drop("left", "right"), reaches, "around", "inner", rows="n")
+
+    def more(side: str):
+        own = F.col("doc_id")
+        return F.when(own == F.col("keeper"), F.size(F.filter(side + "_hi", lambda x: x > own))).otherwise(F.size(F.filter(side + "_lo", lambda x: x < own)))
+
+    out = out.select("doc_id", "tag", (F.col("first") - more("left")).cast("int").alias("first"), (F.col("first") + PASSAGE_WORDS + more("right")).cast("int").alias("stop"), "class_id", "keeper")
+    order = F.col("first").cast("long") * 2**31 + (2**31 - 1 - F.col("stop"))
+    near = Window.partitionBy("doc_id", "tag", "keeper").orderBy(order)
+    before = F.coalesce(F.max("stop").over(near.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = out.withColumn("before", before).withColumn("least", F.min("class_id").over(near.rangeBetween(0, 0)))
+    return out.where("stop > before and class_id = least").drop("before", "least")
+
+
 def classes(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """``(doc_id, tag, first, stop, class_id, keeper)``: the paragraphs that repeat across documents.
 
@@ -222,7 +287,10 @@ def classes(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     spread = ranges.drop("rows").join(roots, "ident", "left").withColumn("class_id", F.coalesce("root", "ident"))
     kept = spread.where("root is not null or lo < hi").groupBy("class_id").agg(F.min("lo").alias("keeper"), F.max("hi").alias("hi")).where("keeper < hi").drop("hi")
     of = written(spread.select("ident", "class_id", "n").join(kept, "class_id"), "classes")
-    return skew_join(found.drop("rows"), of, "ident", "inner", rows="n").select("doc_id", "tag", "first", "stop", "class_id", "keeper")
+    hits = skew_join(found.withColumn("line", F.col("rows").isNotNull()).drop("rows"), of, "ident", "inner", rows="n")
+    hits = written(hits.select("doc_id", "tag", "first", "stop", "class_id", "keeper", "line"), "hits")
+    drop(found)
+    return hits.where("line").drop("line").unionByName(_extended(docs, hits.where("not line")))
 
 
 def repeated(docs: DataFrame, crowd: int = CROWD) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 from lockfleet.llm import substring_dedup as sd
@@ -12,3 +13,31 @@ def test_crowded_bands_lose_no_pair(spark):
         groups[r.value].add(r.ident)
     met = {(a, b) for g in groups.values() for a in g for b in g if a < b}
     assert len(met) == 30 * 29 // 2 and max(map(len, groups.values())) < 30
+
+
+def test_passages_go_whole(spark):
+    rng = random.Random(3)
+    say = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, passages = [], []
+    for k in range(60):
+        passage = say(51) if k % 4 else say(4) * 13  # some repeat with a period of four
+        passages.append(set(passage))
+        rows += [(10 * k + i, " ".join(say(rng.randrange(30, 60)) + passage + say(rng.randrange(30, 60)))) for i in range(3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = {r.doc_id: r.text.split() for r in sd.without_repeats(docs).collect()}
+    for i, text in rows:
+        before = text.split()
+        assert out[i] == (before if i % 10 == 0 else [w for w in before if w not in passages[i // 10]])
+    for r in sd.repeated(docs).collect():
+        span = rows[3 * (r.doc_id // 10) + r.doc_id % 10][1].split()[r.first_word : r.first_word + r.n_words]
+        assert set(span) <= passages[r.doc_id // 10]
+
+
+def test_what_goes_stays_in_an_earlier_document(spark):
+    rng = random.Random(4)
+    say = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    whole = say(120)
+    rows = [(0, say(40) + whole[30:62] + say(40)), (1, say(40) + whole + say(40)), (2, say(50) + whole + say(50))]
+    out = {r.doc_id: r.text.split() for r in sd.without_repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], SCHEMA)).collect()}
+    assert set(whole) <= {w for t in out.values() for w in t}
+    assert out[2] == [w for w in rows[2][1] if w not in set(whole)]

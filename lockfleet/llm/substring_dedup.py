@@ -2,7 +2,8 @@
 
 Two kinds of paragraph, so that a passage is found wherever it stands:
 
-* *lines*: the stretches between line breaks, of ``LINE_WORDS`` words or more;
+* *lines*: the stretches between line breaks, of ``LINE_WORDS`` words or more, and the blocks of so many words that
+  shorter lines make together, up to a blank or a long line (hard-wrapped paragraphs);
 * *passages*: ``PASSAGE_WORDS`` words from an anchor on. Anchors are set by content (winnowing): a word whose
   five-word shingle has the least hash of any ``WINDOW`` in a row. So each stretch of
   ``PASSAGE_WORDS + WINDOW - 1`` words that texts share holds a passage that they share, less than ``WINDOW`` words from either
@@ -79,12 +80,18 @@ def _signature(sets: list[np.ndarray]) -> np.ndarray:
 def paragraphs(raw: bytes | None) -> tuple[list[bytes], list[tuple[int, int]], np.ndarray, np.ndarray]:
     """A text's words, its lines as (first, last + 1) words, its shingles and passage starts."""
     text = (raw or b"").lower()
-    words, lines = [], []
-    for line in text.split(b"\n"):
+    words, lines, block = [], [], []
+    for line in [*text.split(b"\n"), b""]:
         own = line.split()
         if own:
             lines.append((len(words), len(words) + len(own)))
             words += own
+        if own and len(own) < LINE_WORDS:
+            block.append(lines[-1])
+        else:
+            if len(block) > 1:
+                lines.append((block[0][0], block[-1][1]))
+            block = []
     if len(words) < SHINGLE:
         return words, [], np.empty(0, np.uint64), np.empty(0, np.int64)
     s = _shingles(_hashes(words))

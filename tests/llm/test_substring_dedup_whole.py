@@ -41,3 +41,18 @@ def test_what_goes_stays_in_an_earlier_document(spark):
     out = {r.doc_id: r.text.split() for r in sd.without_repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], SCHEMA)).collect()}
     assert set(whole) <= {w for t in out.values() for w in t}
     assert out[2] == [w for w in rows[2][1] if w not in set(whole)]
+
+
+def test_hard_wrapped_near_copies_are_linked(spark):
+    rng = random.Random(5)
+    say = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    wrap = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    rows = []
+    for k in (20, 24, 28, 32, 36):  # one word changed near the middle
+        words = say(60)
+        near = [*words[:k], *say(1), *words[k + 1 :]]
+        rows += [(10 * k, wrap(words, 12) + "\n\n" + " ".join(say(30))), (10 * k + 1, " ".join(say(40)) + "\n\n" + wrap(near, 11))]
+    groups = defaultdict(set)
+    for r in sd.repeated(spark.createDataFrame(rows, SCHEMA)).where("n_words = 60").collect():
+        groups[r.class_id].add(r.doc_id)
+    assert {frozenset(g) for g in groups.values()} == {frozenset((10 * k, 10 * k + 1)) for k in (20, 24, 28, 32, 36)}

@@ -4,7 +4,8 @@ The index is partitioned by document: each task keeps, for a slice of training d
 positional postings of the benchmark's terms (term -> positions in the slice, documents apart).
 Postings never leave their task, so the index needs no shuffle and no term's list can be hot. A
 benchmark window is looked up from the posting list of the term that is rarest *in that slice*;
-the lists of its other terms, next rarest first, are shifted by their offset and intersected.
+its other terms, next rarest first, are checked in the slice's forward array of terms, at their offset
+from each posting. Their own posting lists aren't read; only proximity intersects lists.
 
 The benchmark goes to the tasks in blocks of at most ``block_bytes`` of text. A larger one takes
 several passes over the documents, each adding to the hits found so far.

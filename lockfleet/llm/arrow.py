@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -51,3 +52,37 @@ def appended(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
 
 
 Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers as compressed byte planes; small numbers that change little take little room."""
+    head, body = [len(columns)], []
+    for x in columns:
+        x = np.ascontiguousarray(x)
+        x = x.view(np.uint64) if x.dtype.itemsize == 8 else x.astype(np.uint64)
+        width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+        head += [len(x), width]
+        body.append(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), 8)[:, :width].T).tobytes())
+    raw = np.array(head, np.int64).tobytes() + b"".join(body)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes) -> list[np.ndarray]:
+    """The columns of :func:`packed`, as int64."""
+    raw = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+    count = int(np.frombuffer(raw, np.int64, 1)[0])
+    head, at, out = np.frombuffer(raw, np.int64, 2 * count, 8).tolist(), 8 + 16 * count, []
+    for n, width in zip(head[::2], head[1::2]):
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+        out.append(x.view(np.int64)[:, 0])
+        at += n * width
+    return out
+
+
+def split(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key that occurs, and the places where it does, in order."""
+    order = np.argsort(keys, kind="stable")
+    edges = np.flatnonzero(np.diff(keys[order], prepend=-1, append=-1)) if len(keys) else np.empty(0, np.int64)
+    for i, j in zip(edges, edges[1:]):
+        yield int(keys[order[i]]), order[i:j]

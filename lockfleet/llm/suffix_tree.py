@@ -1,24 +1,32 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-``scored`` keeps no bound on the tree: every context of up to ``DEPTH`` words is counted over the whole
-corpus, every continuation seen ``LEAST`` times or more is kept, and the retention test alone decides.
-A text's positions are shuffled by the word before them, so one branch of the tree (all contexts that
-end in that word) is counted, tested and used for scoring in one place; the branches grow in number with
-the corpus, and a hot word's branch is split by the word before it. Corpus counts of the words reach
-the branches by joins. ``fit`` builds the tree of a small corpus on the driver, two words deep, to look at.
-
-A context stays if its next-symbol counts diverge from its parent's distribution by more bits than
-their description costs. Distributions are smoothed by the parent: what a context's kept continuations
-leave, plus ``MASS``, is spread as the parent spreads it.
+The tree has no bound but its depth: every context of up to ``DEPTH`` words is counted over the whole
+corpus, every continuation seen ``LEAST`` times or more is kept, and the retention test alone decides
+which contexts stay. A context stays if its next-symbol counts diverge from its parent's distribution by more
+bits than their description costs. Distributions are smoothed by the parent: what a context's kept
+continuations leave, plus ``MASS``, is spread as the parent spreads it. Each position is scored by the
+longest suffix of its context that is a state.
+
+How it is spread over tasks:
+
+* Positions are shuffled by the word before them, so a *branch* of the tree (contexts that end in one word) is counted,
+  tested and used in one place, for as many words as make ``BRANCH_TOKENS``. A *hot* context, with more
+  positions than that, is split by the word before it, and so on down the depth; positions whose contexts are all hot go anywhere.
+* What a branch can't count by itself is asked for: corpus counts of words, and counts of continuations of hot contexts.
+  Each such (context, word) goes to a bucket of its word, and its total goes back to the branches that asked.
+* The words that a sample finds commonest (at most ``VOCABULARY``) have small ids, and their counts are sent to all
+  tasks. The sample only chooses ids and what is hot: it changes no result. All words' counts are exact.
+* Scores come back to the group of documents that was read together, and are added up there.
+
+Between tasks all this goes as packed columns, one row for each group of documents and branch.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,22 +35,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lockfleet.llm.arrow import batched, slices
-from lockfleet.llm.scratch import written
+from lockfleet.llm.arrow import batched, packed, slices, split, unpacked
+from lockfleet.llm.scratch import drop, written
 
-BITS = 18
-#: Least share of the training tokens that a context, or a continuation in a context, has in the tree.
-SHARE = 2.0**-BITS
 #: Pseudo-count that a context gives to its parent's distribution.
 MASS = 4.0
 #: The end of a text; no word holds white space.
 END = b"\n"
-#: Words, or pairs, that a task gathers before it passes their counts on.
-GATHER_WORDS, GATHER_PAIRS = 400_000, 3_000_000
 #: Longest context, in words, and the least count of a continuation; the retention test alone decides on contexts.
 DEPTH, LEAST = 3, 2
-#: Tokens that a task gathers before it passes positions on, that a branch is meant to hold, and that are sampled for hot words.
-GATHER_TOKENS, BRANCH_TOKENS, SAMPLE_TOKENS = 2_000_000, 2_000_000, 2_000_000
+#: Tokens that a task gathers before it passes positions on, that a branch is meant to hold, and that are sampled.
+GATHER_TOKENS, BRANCH_TOKENS, SAMPLE_TOKENS = 2_000_000, 2_000_000, 4_000_000
+#: Most words with small ids, whose counts are sent to all tasks.
+VOCABULARY = 1 << 18
+#: What a bit of a description costs, in the retention test.
+COST = 0.5
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -54,67 +61,15 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
-def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    for batch in batches:
-        for part, texts in slices(batch):
-            for doc_id, text in zip(part.column(0).to_pylist(), texts):
-                if not held_out(doc_id):
-                    yield tokens(text)
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-
-    seen: Counter = Counter()
-    for own in _training(batches):
-        seen.update(own)
-        if len(seen) >= GATHER_WORDS:
-            yield batch()
-            seen = Counter()
-    yield batch()
-
-
-class Ids(dict):
-    """Ids of the frequent words; -1 for all others."""
-
-    def __missing__(self, key: bytes) -> int:
-        return -1
-
-
-def _packed(keys: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Counts of int64 keys as one row for each bucket: sorted keys and counts as bytes."""
-    keys, counts = np.unique(keys, return_counts=True)
-    bucket = keys % buckets
-    order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    rows = [(b, keys[order[i:j]] // buckets, counts[order[i:j]]) for b, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([np.diff(r[1], prepend=0).astype(np.uint64).tobytes() for r in rows], pa.binary()), pa.array([np.minimum(r[2], 2**32 - 1).astype(np.uint32).tobytes() for r in rows], pa.binary())], names=["bucket", "keys", "counts"])
-
-
-def _frequent(packed: DataFrame, buckets: int, least: int) -> dict[int, int]:
-    """Keys whose counts sum to ``least`` or more; at most as many as SHARE allows."""
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: dict[int, list] = {}
-        for batch in batches:
-            for b, k, c in zip(*(x.to_pylist() for x in batch.columns)):
-                own = keys.setdefault(b, [])
-                own.append((np.cumsum(np.frombuffer(k, np.uint64)).astype(np.int64), np.frombuffer(c, np.uint32).astype(np.int64)))
-                if len(own) >= 16:
-                    keys[b] = [_merged(own)]
-        for b, own in keys.items():
-            k, c = _merged(own)
-            keep = c >= least
-            yield pa.RecordBatch.from_arrays([pa.array(k[keep] * buckets + b), pa.array(c[keep])], names=["key", "n"])
-
-    rows = packed.repartition(buckets, "bucket").mapInArrow(merge, "key long, n long").toArrow()
-    return dict(sorted(zip(rows.column("key").to_pylist(), rows.column("n").to_pylist())))
+def _hashed(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words; never 0, which stands for no word."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64) | np.uint64(1)
 
 
-def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
+def _mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x = (x * np.uint64(0x9E3779B97F4A7C15)) ^ y
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -125,357 +80,487 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+def _shifted(x: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """The value k places before, in the same document; else 0."""
+    out = np.zeros_like(x)
+    out[k:] = x[:-k]
+    out[place < k] = 0
+    return out
+
+
 @dataclass
-class Tree:
-    """The tree's states, by frequent-word ids. A level's arrays are at most 1 / SHARE long."""
-
-    ids: Ids
-    total: int  # N
-    kinds: int  # V
-    counts: np.ndarray  # c of frequent words
-    pairs: np.ndarray  # sorted (a << BITS | b) of kept continuations b of contexts a
-    pair_counts: np.ndarray
-    triples: np.ndarray  # sorted (place in pairs << BITS | c)
-    triple_counts: np.ndarray
-    keep1: np.ndarray | None = None  # whether context a is a state
-    keep2: np.ndarray | None = None  # whether context (a, b) is a state
-    left1: np.ndarray | None = None  # lambda of context a
-    left2: np.ndarray | None = None
-
-    def base(self, counts):
-        """P0 of words with these training counts."""
-        return (counts + 0.1) / (self.total + 0.1 * (self.kinds + 1))
-
-    def test(self, cost: float = 0.5) -> None:
-        """Keeps the contexts that diverge from their parents; computes what they leave to them."""
-        n = len(self.counts)
-        a, b = self.pairs >> BITS, self.pairs & ((1 << BITS) - 1)
-        self.left1, self.keep1 = self._states(n, a, self.pair_counts, self.counts, self.base(self.counts[b]), cost)
-        p1 = np.where(self.keep1[a], self.pair_counts / (self.counts[a] + MASS) + self.left1[a] * self.base(self.counts[b]), self.base(self.counts[b]))
-        ab, c = self.triples >> BITS, self.triples & ((1 << BITS) - 1)
-        bc = _find(self.pairs, (b[ab] << BITS) | c)  # every part of a kept triple is kept
-        self.left2, self.keep2 = self._states(len(self.pairs), ab, self.triple_counts, self.pair_counts, p1[bc], cost)
-
-    @staticmethod
-    def _states(n: int, of: np.ndarray, k: np.ndarray, counts: np.ndarray, parent: np.ndarray, cost: float) -> tuple[np.ndarray, np.ndarray]:
-        kept = np.bincount(of, k, minlength=n)
-        left = (counts - kept + MASS) / (counts + MASS)
-        p = k / (counts[of] + MASS) + left[of] * parent
-        gain = np.bincount(of, k * np.log2(p / parent), minlength=n) + np.where(counts > kept, (counts - kept) * np.log2(left), 0)
-        price = cost * (np.bincount(of, minlength=n) + 1) * np.log2(counts + 1)
-        return left, gain > price
-
-    def score(self, words: list[bytes]) -> tuple[int, float, float, list[bytes]]:
-        """Of a text's tokens: frequent ones, their base score, the score without rare words' base, the rare words."""
-        if not words:
-            return 0, 0.0, 0.0, []
-        w = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-        known = w >= 0
-        p0 = np.where(known, self.base(self.counts[w] if len(self.counts) else 0), 1.0)  # a rare word's base comes later
-        pair = np.full(len(w), -1)
-        pair[1:] = _find(self.pairs, np.where(known[1:] & known[:-1], w[:-1] << BITS | w[1:], -1))
-        p = p0.copy()
-        if len(self.counts):
-            one = np.zeros(len(w), bool)
-            one[1:] = known[:-1] & self.keep1[w[:-1]]
-            a = np.concatenate([[0], w[:-1]])[one]
-            at = pair[one]
-            more = np.where(at >= 0, self.pair_counts[at] if len(self.pairs) else 0, 0)
-            p[one] = more / (self.counts[a] + MASS) + self.left1[a] * p0[one]
-        if len(self.pairs):
-            before = np.concatenate([[-1], pair[:-1]])
-            two = (before >= 0) & self.keep2[before]
-            ab = before[two]
-            at = _find(self.triples, np.where(known[two], ab << BITS | w[two], -1))
-            more = np.where(at >= 0, self.triple_counts[at] if len(self.triples) else 0, 0)
-            p[two] = more / (self.pair_counts[ab] + MASS) + self.left2[ab] * p[two]
-        rare = [words[i] for i in np.flatnonzero(~known).tolist()]
-        return int(known.sum()), float(np.log10(p0).sum()), float(np.log10(p).sum()), rare
-
-
-def fit(docs: DataFrame, share: float = SHARE) -> tuple[DataFrame, Tree]:
-    """The training counts of all words, as a written table ``(word, c)``, and the tree."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = written(rows.mapInArrow(_word_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(2, math.ceil(total * share))
-    common = counts.where(F.col("c") >= least).toArrow()
-    common = sorted(zip(common.column("c").to_pylist(), common.column("word").to_pylist()), key=lambda x: (-x[0], x[1]))
-    ids = Ids({word: k for k, (_, word) in enumerate(common)})
-    sent = spark.sparkContext.broadcast(ids)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, size = [], 0
-        for words in _training(batches):
-            w = np.fromiter(map(sent.value.__getitem__, words), np.int64, len(words))
-            own.append((w[:-1] << BITS | w[1:])[(w[:-1] >= 0) & (w[1:] >= 0)])
-            size += len(w)
-            if size >= GATHER_PAIRS:
-                yield from _packed(np.concatenate(own), buckets)
-                own, size = [], 0
-        if own:
-            yield from _packed(np.concatenate(own), buckets)
-
-    schema = "bucket int, keys binary, counts binary"
-    kept = _frequent(rows.mapInArrow(pairs, schema), buckets, least)
-    table = np.fromiter(kept, np.int64, len(kept))
-    sent_pairs = spark.sparkContext.broadcast(table)
-
-    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, size = [], 0
-        for words in _training(batches):
-            w = np.fromiter(map(sent.value.__getitem__, words), np.int64, len(words))
-            pair = _find(sent_pairs.value, np.where((w[:-1] >= 0) & (w[1:] >= 0), w[:-1] << BITS | w[1:], -1))
-            own.append((pair[:-1] << BITS | w[2:])[(pair[:-1] >= 0) & (pair[1:] >= 0)])
-            size += len(w)
-            if size >= GATHER_PAIRS:
-                yield from _packed(np.concatenate(own), buckets)
-                own, size = [], 0
-        if own:
-            yield from _packed(np.concatenate(own), buckets)
-
-    deep = _frequent(rows.mapInArrow(triples, schema), buckets, least)
-    array = lambda x: np.fromiter(x, np.int64)
-    tree = Tree(ids, total, kinds, array(c for c, _ in common), table, array(kept.values()), array(deep), array(deep.values()))
-    tree.test()
-    sent.unpersist()
-    sent_pairs.unpersist()
-    return counts, tree
+class Layout:
+    """What all tasks must agree on: ids of common words, hot contexts, and how positions are dealt to branches."""
+
+    branches: int
+    depth: int
+    words: np.ndarray  # hashes of the vocabulary, the commonest first
+    #: for each level the sorted hashes of its hot contexts, and the numbers (over all levels, from 1) of the contexts one word shorter
+    hot: list[np.ndarray] = field(default_factory=list)
+    up: list[np.ndarray] = field(default_factory=list)
+    sorted_words: np.ndarray | None = None
+    sorted_ids: np.ndarray | None = None
+
+    def __post_init__(self) -> None:
+        order = np.argsort(self.words)
+        self.sorted_words, self.sorted_ids = self.words[order], order + 1
+
+    def ids(self, names: np.ndarray) -> np.ndarray:
+        """1 and more for words of the vocabulary, 0 for others."""
+        at = _find(self.sorted_words, names)
+        return np.where(at >= 0, self.sorted_ids[at] if len(self.sorted_ids) else 0, 0)
 
+    @property
+    def starts(self) -> list[int]:
+        """The first number of each level's hot contexts; the root is 0."""
+        return [0, *np.cumsum([1, *map(len, self.hot)]).tolist()]
+
+    def paths(self, back: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per level: positions whose shorter contexts are all hot, the last of these's numbers, the contexts' hashes, and their
+        own numbers if they are hot (else 0)."""
+        at, number = np.arange(len(back[0])), np.zeros(len(back[0]), np.int64)
+        for level in range(1, self.depth + 1):
+            word = back[level][at]
+            context = word if level == 1 else np.where(word > 0, _mix(context, word), np.uint64(0))
+            found = _find(self.hot[level - 1], context) if level <= len(self.hot) else np.full(len(at), -1, np.int64)
+            own = np.where((context > 0) & (found >= 0), found + self.starts[level], 0)
+            yield at, number, context, own
+            stay = own > 0
+            at, context, number = at[stay], context[stay], own[stay]
+            if not len(at):
+                return
+
+    def route(self, back: list[np.ndarray], salt: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Each position's branch, and per level the positions in hot contexts with these contexts' numbers."""
+        key, asks = salt.copy(), []
+        for at, _, context, own in self.paths(back):
+            cold = (own == 0) & (context > 0)
+            key[at[cold]] = context[cold]
+            asks.append((at[own > 0], own[own > 0]))
+        return (_mix(key, np.uint64(7)) % np.uint64(self.branches)).astype(np.int64), asks
 
-def _hashed(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words; never 0, which stands for no word."""
-    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64) | np.uint64(1)
 
+@dataclass
+class Group:
+    """Documents that are read together, as one run of tokens."""
 
-def _mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    x = (x * np.uint64(0x9E3779B97F4A7C15)) ^ y
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+    ids: list
+    held: np.ndarray
+    sizes: np.ndarray
+    flat: np.ndarray  # hashes of tokens
 
+    def __post_init__(self) -> None:
+        self.of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.place = np.arange(len(self.flat)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.learn = ~self.held[self.of]
+        self.names, self.word = np.unique(self.flat, return_inverse=True)
 
-@dataclass
-class Branches:
-    """Where positions go: by the word before, so that all contexts that end in it are in one branch. The
-    positions of a hot word are split by the word before that; its own counts are then summed over its parts."""
+    def back(self, depth: int) -> list[np.ndarray]:
+        return [self.flat, *(_shifted(self.flat, self.place, k) for k in range(1, depth + 1))]
 
-    number: int
-    hot: np.ndarray  # sorted hashes of the hot words
-    parts: np.ndarray  # how many parts each has
+    def salt(self) -> np.ndarray:
+        """Differs from row to row and place to place, and is the same each time."""
+        own = np.array([0 if i is None else i for i in self.ids], np.int64).view(np.uint64)
+        return _mix(own[self.of], self.place.astype(np.uint64))
 
-    @property
-    def starts(self) -> np.ndarray:
-        return self.number + np.cumsum(self.parts) - self.parts
-
-    def of(self, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = (_mix(np.where(a > 0, a, w), np.uint64(7)) % np.uint64(self.number)).astype(np.int64)
-        at = _find(self.hot, a)
-        is_hot = at >= 0
-        at = at[is_hot]
-        if len(at):
-            out[is_hot] = self.starts[at] + (_mix(b[is_hot], np.uint64(9)) % self.parts[at].astype(np.uint64)).astype(np.int64)
-        return out
-
-    def hot_of(self, branch: int) -> int:
-        """Place of the hot word that a branch is a part of; -1 for other branches."""
-        return -1 if branch < self.number else int(np.searchsorted(self.starts, branch, "right")) - 1
-
-
-def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, np.ndarray, list[np.ndarray]]]:
-    """Documents (key, doc_id, held_out, tokens), each position's document, and words: its own and the DEPTH before."""
-    part = TaskContext.get().partitionId() if TaskContext.get() else 0
-    count = total = 0
-    docs, own = [], []
-
-    def flush():
-        lens = np.array([d[3] for d in docs])
-        flat = np.concatenate(own)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
-        back = [flat]
-        for k in range(1, DEPTH + 1):
-            x = np.zeros_like(flat)
-            x[k:] = flat[:-k]
-            x[place < k] = 0
-            back.append(x)
-        return docs, np.repeat(np.arange(len(docs)), lens), back
 
+def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Group]:
+    ids, held, own, total = [], [], [], 0
     for batch in batches:
         for piece, texts in slices(batch):
             for doc_id, text in zip(piece.column(0).to_pylist(), texts):
-                words = tokens(text)
-                docs.append(((part << 36) + count, doc_id, held_out(doc_id), len(words)))
-                own.append(_hashed(words))
-                count, total = count + 1, total + len(words)
+                ids.append(doc_id)
+                held.append(held_out(doc_id))
+                own.append(_hashed(tokens(text)))
+                total += len(own[-1])
                 if total >= size:
-                    yield flush()
-                    docs, own, total = [], [], 0
-    if docs:
-        yield flush()
+                    yield Group(ids, np.array(held), np.array([len(x) for x in own]), np.concatenate(own))
+                    ids, held, own, total = [], [], [], 0
+    if ids:
+        yield Group(ids, np.array(held), np.array([len(x) for x in own]), np.concatenate(own))
 
 
-def _needs(branches: Branches):
-    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """How often each word is learnt from in each branch; 0 if it is only scored there."""
-        for docs, of, back in _gathered(batches, GATHER_TOKENS):
-            learn = ~np.array([d[2] for d in docs])[of]
-            branch = branches.of(*back[:3])
-            order = np.lexsort((branch, back[0]))
-            w, branch, learn = back[0][order], branch[order], learn[order]
-            first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (branch[1:] != branch[:-1])]))
-            yield pa.RecordBatch.from_arrays([pa.array(w[first].view(np.int64)), pa.array(branch[first].astype(np.int32)), pa.array(np.add.reduceat(learn.astype(np.int64), first))], names=["w", "branch", "n"])
+def _rows(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
 
-    return needs
 
+# ---- what is common: the vocabulary and the hot contexts, from a sample
 
-def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
+def _sampled_contexts(hot: list[np.ndarray]):
+    """How often each word occurs (while no level is known), or each context one level below the hot ones, with its parent's number."""
 
-def _packed_positions(of: np.ndarray, back: list[np.ndarray]) -> bytes:
-    """Positions as bytes: a dictionary of their words, the commonest first, and byte planes of places in it."""
-    names, ids, n = np.unique(np.concatenate(back), return_inverse=True, return_counts=True)
-    order = np.argsort(-n, kind="stable")
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order))
-    raw = b"".join([np.array([len(of), len(names)], np.int64).tobytes(), names[order].tobytes(), _planes(np.diff(of, prepend=0).astype(np.int32)), _planes(rank[ids])])
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        depth = len(hot) + 1
+        for group in _groups(batches, GATHER_TOKENS):
+            if depth == 1:
+                keys, n = group.names, np.bincount(group.word, minlength=len(group.names))
+                up = np.zeros(len(keys), np.int64)
+            else:
+                levels = list(Layout(1, depth, np.empty(0, np.uint64), hot).paths(group.back(depth)))
+                if len(levels) < depth:
+                    continue
+                _, number, context, _ = levels[-1]
+                keys, first, n = np.unique(context, return_index=True, return_counts=True)
+                up, n = number[first], np.where(keys > 0, n, 0)
+            yield _rows({"key": (keys.view(np.int64), pa.int64()), "up": (up, pa.int64()), "n": (n, pa.int64())})
+
+    return count
 
 
-def _unpacked_positions(raw: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
-    raw = bytes(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True))
-    n, m = np.frombuffer(raw, np.int64, 2).tolist()
-    names = np.frombuffer(raw, np.uint64, m, 16)
-    unplane = lambda at, k: np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * k, at).reshape(4, k).T).view(np.int32)[:, 0]
-    at = 16 + 8 * m
-    return np.cumsum(unplane(at, n), dtype=np.int64), list(names[unplane(at + 4 * n, n * (DEPTH + 1))].reshape(DEPTH + 1, n))
+def _layout(rows: DataFrame, depth: int, branch_tokens: int) -> Layout:
+    size, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    guess = size // 6 + n
+    every = max(1, guess // SAMPLE_TOKENS)
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)
+
+    def sampled() -> DataFrame:
+        counts = some.mapInArrow(_sampled_contexts(hot), "key long, up long, n long").groupBy("key").agg(F.any_value("up").alias("up"), F.sum("n").alias("n"))
+        return written(counts, "sampled")
+
+    hot: list[np.ndarray] = []
+    up: list[np.ndarray] = []
+    seen = sampled()
+    common = seen.where("n > 1").orderBy(F.desc("n"), "key").limit(VOCABULARY).select("key").toArrow()
+    end = int(_hashed([END]).view(np.int64)[0])
+    while True:
+        found = sorted((r.key % 2**64, r.up) for r in seen.where(F.col("n") * every > branch_tokens).select("key", "up").collect() if r.key != end)
+        drop(seen)
+        if not found:
+            break
+        hot.append(np.array([k for k, _ in found], np.uint64))
+        up.append(np.array([u for _, u in found], np.int64))
+        if len(hot) == depth:
+            break
+        seen = sampled()
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return Layout(max(least, guess // branch_tokens), depth, common.column("key").to_numpy().view(np.uint64).copy(), hot, up)
+
+
+# ---- what branches ask for
+
+
+def _asked(layout: Layout, buckets: int):
+    """Rows (bucket, packed): counts of common words; (context, word, branch, count) of other words and of hot contexts."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, GATHER_TOKENS):
+            m = len(group.names)
+            ids = layout.ids(group.names)
+            branch, hot = layout.route(group.back(layout.depth), group.salt())
+            rare = np.flatnonzero(ids[group.word] == 0)
+            at = np.concatenate([rare, *(x for x, _ in hot)])
+            context = np.concatenate([np.zeros(len(rare), np.int64), *(c for _, c in hot)])
+            key, entry = np.unique((context * layout.branches + branch[at]) * m + group.word[at], return_inverse=True)
+            n = np.bincount(entry, group.learn[at], minlength=len(key)).astype(np.int64)
+            word, key = key % m, key // m
+            common = np.flatnonzero(ids > 0)
+            counts = np.bincount(group.word, group.learn, minlength=m).astype(np.int64)[common]
+            place = (_mix(group.names, np.uint64(3)) % np.uint64(buckets)).astype(np.int64)
+            mine, of_bucket = dict(split(place[word])), {}
+            for b, x in split(place[common]):
+                order = x[np.argsort(ids[common[x]])]
+                of_bucket[b] = [np.diff(ids[common[order]], prepend=0), counts[order]]
+            for b in sorted({*mine, *of_bucket}):
+                x = mine.get(b, np.empty(0, np.int64))
+                x = x[np.lexsort((key[x], word[x]))]
+                names, local = np.unique(word[x], return_inverse=True)
+                blob = packed(np.diff(group.names[names], prepend=np.uint64(0)), np.diff(local, prepend=0), key[x] // layout.branches, key[x] % layout.branches, n[x], *of_bucket.get(b, [np.empty(0, np.int64)] * 2))
+                yield _rows({"bucket": ([b], pa.int32()), "packed": ([blob], pa.binary())})
+
+    return ask
+
+
+_TOTALS = "kind int, branch int, packed binary, total long, kinds long"
+
+
+def _totals(layout: Layout):
+    """A bucket's totals. Kind 0: for each branch (word, context, total); 1: counts of common words; 2: of hot contexts, for the retention test."""
+    def add(table: pa.Table) -> pa.Table:
+        parts = [unpacked(x) for x in table.column("packed").to_pylist()]
+        names = [np.cumsum(p[0].view(np.uint64), dtype=np.uint64) for p in parts]
+        every = np.unique(np.concatenate(names))
+        word = np.concatenate([np.searchsorted(every, x)[np.cumsum(p[1])] for x, p in zip(names, parts)])
+        context, branch, n = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
+        ids, counts = np.concatenate([np.cumsum(p[5]) for p in parts]), np.concatenate([p[6] for p in parts])
+        ids, of = np.unique(ids, return_inverse=True)
+        counts = np.bincount(of, counts, minlength=len(ids)).astype(np.int64)
+        m, out = len(every), {"kind": [], "branch": [], "packed": [], "total": [], "kinds": []}
+
+        def row(kind: int, b: int | None, blob: bytes, total: int = 0, kinds: int = 0) -> None:
+            for k, v in zip(out, (kind, b, blob, total, kinds)):
+                out[k].append(v)
+
+        key, of = np.unique(context * m + word, return_inverse=True)
+        k = np.bincount(of, n, minlength=len(key)).astype(np.int64)
+        c = np.zeros(m, np.int64)  # counts by word, of whichever kind
+        rare = key < m
+        c[key[rare]] = k[rare]
+        row(1, None, packed(np.diff(ids, prepend=0), counts), int(counts.sum() + c.sum()), int((counts > 0).sum() + (c > 0).sum()))
+        own = layout.ids(every)
+        c[own > 0] = counts[_find(ids, own[own > 0])]
+        if (~rare).any():
+            at = np.flatnonzero(~rare)
+            w, level = key[at] % m, np.searchsorted(layout.starts, key[at] // m, "right") - 1
+            row(2, None, packed(key[at] // m, level, c[w], k[at], w))
+        _, at = np.unique(branch * len(key) + of, return_index=True)
+        for b, x in split(branch[at]):
+            x = at[x]
+            x = x[np.argsort(word[x], kind="stable")]
+            used, local = np.unique(word[x], return_inverse=True)
+            row(0, b, packed(np.diff(every[used], prepend=np.uint64(0)), np.diff(local, prepend=0), context[x], k[of[x]]))
+        return pa.table({"kind": pa.array(out["kind"], pa.int32()), "branch": pa.array(out["branch"], pa.int32()), "packed": pa.array(out["packed"], pa.binary()), "total": pa.array(out["total"], pa.int64()), "kinds": pa.array(out["kinds"], pa.int64())})
+
+    return add
 
 
-def _positions(branches: Branches):
+@dataclass
+class Root:
+    """The root's distribution, and the states of hot contexts by number."""
+
+    total: int
+    kinds: int
+    counts: np.ndarray  # by id of the vocabulary; 0: no word
+    n: np.ndarray
+    left: np.ndarray
+    stays: np.ndarray
+
+    def base(self, c: np.ndarray) -> np.ndarray:
+        """P of words by their training counts; 1 if there is nothing to learn from."""
+        return (c + 0.1) / (self.total + 0.1 * (self.kinds + 1)) if self.total else np.ones(len(c))
+
+    def add(self, p: np.ndarray, context: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """P one level deeper, for positions in hot contexts with these totals of their words."""
+        return np.where(self.stays[context], np.where(k >= LEAST, k, 0) / (self.n[context] + MASS) + self.left[context] * p, p)
+
+
+def _states(of: np.ndarray, k: np.ndarray, n: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What contexts leave to their parents, and which stay; ``of``, ``k``, ``parent``: kept continuations' contexts, counts and parents' P."""
+    kept = np.bincount(of, k, minlength=len(n))
+    left = (n - kept + MASS) / (n + MASS)
+    p = k / (n[of] + MASS) + left[of] * parent
+    gain = np.bincount(of, k * np.log2(p / parent), minlength=len(n)) + np.where(n > kept, (n - kept) * np.log2(left), 0)
+    return left, gain > COST * (np.bincount(of, minlength=len(n)) + 1) * np.log2(n + 1)
+
+
+def _root(totals: DataFrame, layout: Layout) -> Root:
+    """Sums that don't grow with the corpus but by its hot contexts (at most as many as there are branches)."""
+    total, kinds = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    counts = np.zeros(len(layout.words) + 1, np.int64)
+    for r in totals.where("kind = 1").select("packed").collect():
+        ids, c = unpacked(bytes(r.packed))
+        counts[np.cumsum(ids)] = c
+    number = 1 + sum(map(len, layout.hot))
+    root = Root(total, kinds, counts, np.zeros(number), np.ones(number), np.zeros(number, bool))
+    if number == 1:
+        return root
+    hot = totals.where("kind = 2").select("packed")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                context, _, _, k, _ = unpacked(raw)
+                got, of = np.unique(context, return_inverse=True)
+                keep = k >= LEAST
+                yield _rows({"context": (got, pa.int64()), "n": (np.bincount(of, k), pa.float64()), "kept": (np.bincount(of, k * keep), pa.float64()), "m": (np.bincount(of, keep), pa.float64())})
+
+    kept, m = np.zeros(number), np.zeros(number)
+    for r in hot.mapInArrow(sums, "context long, n double, kept double, m double").groupBy("context").agg(F.sum("n"), F.sum("kept"), F.sum("m")).collect():
+        root.n[r[0]], kept[r[0]], m[r[0]] = r[1:]
+    root.left = (root.n - kept + MASS) / (root.n + MASS)
+    parent = np.concatenate([np.zeros(1, np.int64), *layout.up])
+    for level, own in enumerate(layout.hot, 1):
+
+        def gains(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for raw in batch.column(0).to_pylist():
+                    context, depth, c, k, w = unpacked(raw)
+                    p = np.zeros(len(k))
+                    for d in range(1, level + 1):  # the parent's P, from the root on
+                        at = np.flatnonzero(depth == d)
+                        if d == 1:
+                            p[at] = root.base(c[at])
+                        else:
+                            up = parent[context[at]]
+                            keys = context * (int(w.max()) + 1) + w
+                            order = np.argsort(keys)
+                            one = order[_find(keys[order], up * (int(w.max()) + 1) + w[at])]
+                            p[at] = root.add(p[one], up, k[one])
+                    at = np.flatnonzero((depth == level) & (k >= LEAST))
+                    got, of = np.unique(context[at], return_inverse=True)
+                    q = k[at] / (root.n[context[at]] + MASS) + root.left[context[at]] * p[at]
+                    yield _rows({"context": (got, pa.int64()), "gain": (np.bincount(of, k[at] * np.log2(q / p[at]), minlength=len(got)), pa.float64())})
+
+        gain = np.zeros(number)
+        for r in hot.mapInArrow(gains, "context long, gain double").groupBy("context").agg(F.sum("gain")).collect():
+            gain[r[0]] = r[1]
+        here = np.arange(layout.starts[level], layout.starts[level] + len(own))
+        rest = root.n[here] - kept[here]
+        gain[here] += np.where(rest > 0, rest * np.log2(root.left[here]), 0)
+        root.stays[here] = gain[here] > COST * (m[here] + 1) * np.log2(root.n[here] + 1)
+    return root
+
+
+# ---- positions, scores
+
+
+def _positions(layout: Layout, root: Root):
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each branch of the documents gathered: the keys and positions; each document's facts go to one of them."""
-        for docs, of, back in _gathered(batches, GATHER_TOKENS):
-            branch = branches.of(*back[:3])
-            order = np.argsort(branch, kind="stable")
-            edges = np.flatnonzero(np.diff(branch[order], prepend=-1, append=2**40))
-            firsts = np.searchsorted(of, np.arange(len(docs)))
-            home: dict[int, list] = {}
-            for d, b in zip(docs, branch[firsts].tolist()):
-                home.setdefault(b, []).append({"key": d[0], "doc_id": d[1], "held_out": d[2], "n_tokens": d[3]})
-            held = np.packbits(np.array([d[2] for d in docs])).tobytes()
-            for i, j in zip(edges, edges[1:]):
-                b, at = int(branch[order[i]]), order[i:j]
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([docs[0][0]], pa.int64()), pa.array([held], pa.binary()), pa.array([_packed_positions(of[at], [x[at] for x in back])], pa.binary()), pa.array([home.get(b, [])], pa.list_(_FACTS))], names=["branch", "first", "held", "packed", "docs"])
+        """A row for each branch of a group of documents; the documents' facts go with the first."""
+        part, count = (TaskContext.get().partitionId() if TaskContext.get() else 0), 0
+        for group in _groups(batches, GATHER_TOKENS):
+            back = group.back(layout.depth)
+            branch, _ = layout.route(back, group.salt())
+            del back
+            v = len(layout.words) + 1
+            ids = layout.ids(group.names)
+            common = ids[group.word] > 0
+            c = root.counts[ids[group.word[common]]]
+            facts = packed(
+                np.array([i or 0 for i in group.ids], np.int64), np.array([i is None for i in group.ids]), group.held, group.sizes,
+                np.bincount(group.of[common], np.log10(root.base(c)), minlength=len(group.ids)), np.bincount(group.of[common], c > 0, minlength=len(group.ids)).astype(np.int64),
+            )
+            ids = np.where(ids > 0, ids, v + np.arange(len(ids)))[group.word]
+            back = [ids, *(_shifted(ids, group.place, k) for k in range(1, layout.depth + 1))]
+            for b, at in split(branch):
+                own = [x[at] for x in back]
+                rare = np.unique(np.concatenate([x[x >= v] for x in own]))
+                own = [np.where(x < v, x, v + np.searchsorted(rare, x)) for x in own]
+                blob = packed(np.diff(group.names[rare - v], prepend=np.uint64(0)), np.diff(group.of[at], prepend=0), group.learn[at], *own)
+                yield _rows({"branch": ([b], pa.int32()), "group": ([(part << 36) + count], pa.int64()), "packed": ([blob], pa.binary()), "facts": ([facts], pa.binary())})
+                facts = None
+            count += 1
 
     return positions
 
 
-_FACTS = pa.struct([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64())])
-_SCORES = "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double"
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dense numbers of keys, and a place of each different key."""
+    order = np.argsort(keys)
+    new = np.concatenate([[True], np.diff(keys[order]) != 0])
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out, order[new]
 
 
-def _level(before: np.ndarray, context: np.ndarray, word: np.ndarray, learn: np.ndarray, parent: np.ndarray, cost: float = 0.5) -> np.ndarray:
-    """P of positions by contexts one word longer: where a context stays, from its counts, else as ``parent`` has it."""
-    at = np.flatnonzero(before)
-    if not len(at):
-        return parent
-    out = parent.copy()
-    learnt = learn[at]
-    _, ctx = np.unique(context[at], return_inverse=True)
-    n = np.bincount(ctx, learnt).astype(np.int64)
-    _, first, entry = np.unique(_mix(context[at], word[at]), return_index=True, return_inverse=True)
-    k = np.bincount(entry, learnt).astype(np.int64)
+def _level(context: np.ndarray, word: np.ndarray, learn: np.ndarray, parent: np.ndarray, words: int) -> np.ndarray:
+    """P by contexts (dense numbers) one word longer: where a context stays, from its counts, else as ``parent`` has it."""
+    n = np.bincount(context, learn).astype(np.int64)
+    entry, first = _ranked(context * words + word)
+    k = np.bincount(entry, learn).astype(np.int64)
     keep = k >= LEAST
-    left, stays = Tree._states(len(n), ctx[first][keep], k[keep], n, parent[at[first]][keep], cost)
-    more = np.where(keep, k, 0)[entry]
-    out[at] = np.where(stays[ctx], more / (n[ctx] + MASS) + left[ctx] * parent[at], parent[at])
-    return out
-
-
-def _scorer(branches: Branches, total: int, kinds: int, hot_states: dict[int, tuple[int, float, bool]], depth: int):
-    def score(positions: pa.Table, needs: pa.Table) -> pa.Table:
-        keys, learns, backs, facts = [], [], [], []
-        for first, held, packed, docs in zip(*(positions.column(c).to_pylist() for c in ("first", "held", "packed", "docs"))):
-            of, back = _unpacked_positions(packed)
-            keys.append(first + of)
-            learns.append(np.unpackbits(np.frombuffer(held, np.uint8))[of] == 0)
-            backs.append(back)
-            facts += docs
-        empty = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("own", pa.float64())])
-        if not keys:
-            return empty.empty_table()
-        key, learn = np.concatenate(keys), np.concatenate(learns)
-        back = [np.concatenate(x) for x in zip(*backs)]
-        names = needs.column("w").to_numpy().view(np.uint64)
-        order = np.argsort(names)
-        at = order[np.searchsorted(names, back[0], sorter=order)]
-        c = needs.column("c").to_numpy()[at]
-        base = (c + 0.1) / (total + 0.1 * (kinds + 1)) if total else np.ones(len(c))
-        p, context = base, back[1]
-        hot = branches.hot_of(int(positions.column("branch")[0].as_py()))
-        for level in range(1, depth + 1):
-            if level > 1:
-                context = _mix(context, back[level])
-            if level == 1 and hot >= 0:
-                n, left, stays = hot_states.get(hot, (0, 1.0, False))
-                k = needs.column("k").to_numpy()[at]
-                p = np.where(k >= LEAST, k, 0) / (n + MASS) + left * base if stays else base
-            else:
-                p = _level(back[level] > 0, context, back[0], learn, p)
-        key, of = np.unique(key, return_inverse=True)
-        sums = [np.bincount(of, x, minlength=len(key)) for x in (c > 0, np.log10(base), np.log10(p))]
-        own = {d["key"]: d for d in facts}
-        column = lambda f: [own[x][f] if x in own else None for x in key.tolist()]
-        return pa.table([pa.array(key), pa.array(column("doc_id"), pa.int64()), pa.array(column("held_out"), pa.bool_()), pa.array(column("n_tokens"), pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], schema=empty)
+    left, stays = _states(context[first][keep], k[keep], n, parent[first][keep])
+    return np.where(stays[context], np.where(keep, k, 0)[entry] / (n[context] + MASS) + left[context] * parent, parent)
+
+
+def _fixed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of logarithms as whole numbers of 2**-unit, the unit being 40 unless they are very large."""
+    unit = min(40, 62 - math.ceil(math.log2(1 - x.min()))) if len(x) else 40
+    return np.rint(-x * 2.0**unit).astype(np.int64), np.array([unit])
+
+
+def _scorer(layout: Layout, root: Root):
+    v = len(layout.words) + 1
+
+    def score(positions: pa.Table, asked: pa.Table) -> pa.Table:
+        parts = [unpacked(x) for x in positions.column("packed").to_pylist()]
+        asks = [unpacked(x) for x in asked.column("packed").to_pylist()]
+        names = [np.cumsum(p[0].view(np.uint64), dtype=np.uint64) for p in parts]
+        asked_names = [np.cumsum(p[0].view(np.uint64), dtype=np.uint64) for p in asks]
+        if not parts:
+            return pa.table({k: pa.array([], t) for k, t in (("group", pa.int64()), ("packed", pa.binary()), ("facts", pa.binary()))})
+        asked_ids = [layout.ids(x) for x in asked_names]
+        every = np.unique(np.concatenate([*names, *(x[i == 0] for x, i in zip(asked_names, asked_ids))]))
+        words = v + len(every)
+        for x, p in zip(names, parts):
+            to = v + np.searchsorted(every, x)
+            for own in p[3:]:
+                other = own >= v
+                own[other] = to[own[other] - v]
+        back = [np.concatenate([p[3 + k] for p in parts]) for k in range(layout.depth + 1)]
+        learn, parts = np.concatenate([p[2] for p in parts]).astype(bool), [p[1] for p in parts]
+        hashes = np.concatenate([np.zeros(1, np.uint64), layout.words, every])
+
+        c = np.concatenate([root.counts, np.zeros(len(every), np.int64)])
+        keys, totals = [], []
+        for x, i, p in zip(asked_names, asked_ids, asks):
+            word = np.where(i > 0, i, v + np.searchsorted(every, x))[np.cumsum(p[1])]
+            plain = p[2] == 0
+            c[word[plain]] = p[3][plain]
+            keys.append(p[2][~plain] * words + word[~plain])
+            totals.append(p[3][~plain])
+        keys, totals = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, totals))
+        order = np.argsort(keys)
+        keys, totals = keys[order], totals[order]
+
+        w = back[0]
+        p = root.base(c[w])
+        base = np.log10(p)
+        at = np.arange(len(w))
+        for level in range(1, layout.depth + 1):
+            own = back[level][at] > 0
+            at = at[own]
+            if not len(at):
+                break
+            context = back[1][at] if level == 1 else _ranked(context[own] * words + back[level][at])[0]
+            cold = np.ones(len(at), bool)
+            if level <= len(layout.hot):
+                name = hashes[back[1][at]]
+                for d in range(2, level + 1):
+                    name = _mix(name, hashes[back[d][at]])
+                hot = _find(layout.hot[level - 1], name)
+                cold, warm = hot < 0, at[hot >= 0]
+                which = hot[~cold] + layout.starts[level]
+                found = _find(keys, which * words + w[warm])
+                p[warm] = root.add(p[warm], which, np.where(found >= 0, totals[found] if len(totals) else 0, 0))
+            if cold.any():
+                p[at[cold]] = _level(context[cold], w[at[cold]], learn[at[cold]], p[at[cold]], words)
+        own = np.log10(p)
+        out, done = [], 0
+        for part in parts:
+            doc = np.cumsum(part)
+            here = slice(done, done + len(doc))
+            done += len(doc)
+            seen, of = np.unique(doc, return_inverse=True)
+            rare = np.flatnonzero(w[here] >= v)
+            with_rare, of_rare = np.unique(doc[rare], return_inverse=True)
+            out.append(packed(np.diff(seen, prepend=0), *_fixed(np.bincount(of, own[here])), np.diff(with_rare, prepend=0), *_fixed(np.bincount(of_rare, base[here][rare])), np.bincount(of_rare, c[w[here][rare]] > 0).astype(np.int64)))
+        return pa.table({"group": positions.column("group"), "packed": pa.array(out, pa.binary()), "facts": positions.column("facts")})
 
     return score
 
 
-def _branches(rows: DataFrame, branch_tokens: int) -> Branches:
-    """Branches by the input's size; the hot words are those of a sample of the rows, which changes no result."""
-    size, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    guess = size // 6 + n
-    every = max(1, guess // SAMPLE_TOKENS)
-    seen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).mapInArrow(_word_counts, "word binary, c long").groupBy("word").agg((F.sum("c") * every).alias("c"))
-    hot = {int(_hashed([bytes(r[0])])[0]): -(-2 * r[1] // branch_tokens) for r in seen.where(F.col("c") > branch_tokens).collect() if bytes(r[0]) != END}
-    names = sorted(hot)
-    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return Branches(max(least, guess // branch_tokens), np.array(names, np.uint64), np.array([hot[x] for x in names], np.int64))
+def _summed(table: pa.Table) -> pa.Table:
+    """The documents of a group, with what all branches say of them."""
+    facts = next(x for x in table.column("facts").to_pylist() if x is not None)
+    ids, none, held, sizes, base, known = unpacked(facts)
+    base, known, own = base.view(np.float64).copy(), known.copy(), np.zeros(len(ids))
+    for raw in table.column("packed").to_pylist():
+        doc, scores, unit, rare, bases, rare_unit, n = unpacked(raw)
+        own[np.cumsum(doc)] -= scores / 2.0 ** unit[0]
+        rare = np.cumsum(rare)
+        base[rare] -= bases / 2.0 ** rare_unit[0]
+        known[rare] += n
+    doc_id = pa.array(ids, pa.int64(), mask=none.astype(bool))
+    return pa.table({"doc_id": doc_id, "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(sizes), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(own)})
 
 
 def scored(docs: DataFrame, depth: int = DEPTH, branch_tokens: int = BRANCH_TOKENS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
 
-    Learns from the rows that aren't held out, contexts of up to ``depth`` words (DEPTH at most). Null texts
+    Learns from the rows that aren't held out, contexts of up to ``depth`` words. Null texts
     are empty: one token, the end. A null doc_id counts as an empty id. Repeated rows learn and score
-    each for itself. Without training tokens every probability is 1. ``docs`` must read the same each time.
+    each for itself. Without training tokens every probability is 1. An empty table gives no rows.
+    ``docs`` must read the same each time; its other columns aren't read.
     """
     rows = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    branches = _branches(rows, branch_tokens)
-    needs = written(rows.mapInArrow(_needs(branches), "w long, branch int, n long").groupBy("w", "branch").agg(F.sum("n").alias("n")), "needs")
-    words = needs.groupBy("w").agg(F.sum("n").alias("c"))
-    total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    asked = needs.join(words, "w")
-    states: dict[int, tuple[int, float, bool]] = {}
-    if len(branches.hot):
-        starts = F.array(*[F.lit(int(x)) for x in branches.starts])
-        hot = F.when(F.col("branch") >= branches.number, F.size(F.filter(starts, lambda x: x <= F.col("branch"))) - 1)
-        asked = asked.withColumn("hot", hot)
-        pairs = written(asked.where("hot is not null").groupBy("w", "hot").agg(F.sum("n").alias("k"), F.first("c").alias("c")), "hot-pairs")
-        sums = pairs.groupBy("hot").agg(F.sum("k").alias("n"), F.sum(F.when(F.col("k") >= LEAST, F.col("k")).otherwise(0)).alias("kept"), F.count_if(F.col("k") >= LEAST).alias("m"))
-        parent = (F.col("c") + 0.1) / F.lit(total + 0.1 * (kinds + 1))
-        left = (F.col("n") - F.col("kept") + MASS) / (F.col("n") + MASS)
-        met = pairs.join(F.broadcast(sums), "hot").withColumn("gain", F.when(F.col("k") >= LEAST, F.col("k") * F.log2((F.col("k") / (F.col("n") + MASS) + left * parent) / parent)).otherwise(0.0))
-        for r in met.groupBy("hot").agg(F.first("n").alias("n"), F.first("kept").alias("kept"), F.first("m").alias("m"), F.sum("gain").alias("gain")).collect():
-            rest = (r.n - r.kept + MASS) / (r.n + MASS)
-            gain = r.gain + ((r.n - r.kept) * math.log2(rest) if r.n > r.kept else 0)
-            states[r.hot] = (r.n, rest, gain > 0.5 * (r.m + 1) * math.log2(r.n + 1))
-        asked = asked.join(pairs.select("w", "hot", "k"), ["w", "hot"], "left").select("branch", "w", "c", "k")
-    else:
-        asked = asked.select("branch", "w", "c", F.lit(None).cast("long").alias("k"))
-    facts = "array<struct<key long, doc_id long, held_out boolean, n_tokens long>>".replace(" long", ":bigint").replace(" boolean", ":boolean")
-    placed = rows.mapInArrow(_positions(branches), f"branch int, first long, held binary, packed binary, docs {facts}")
-    parts = placed.groupBy("branch").cogroup(asked.groupBy("branch")).applyInArrow(_scorer(branches, total, kinds, states, min(depth, DEPTH)), _SCORES)
-    out = parts.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("own").alias("score"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    layout = _layout(rows, depth, branch_tokens)
+    buckets = layout.branches
+    totals = rows.mapInArrow(_asked(layout, buckets), "bucket int, packed binary").groupBy("bucket").applyInArrow(_totals(layout), _TOTALS)
+    totals = written(totals, "totals")
+    root = _root(totals, layout)
+    placed = rows.mapInArrow(_positions(layout, root), "branch int, group long, packed binary, facts binary")
+    asked = totals.where("kind = 0").select("branch", "packed")
+    parts = placed.groupBy("branch").cogroup(asked.groupBy("branch")).applyInArrow(_scorer(layout, root), "group long, packed binary, facts binary")
+    out = parts.groupBy("group").applyInArrow(_summed, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(root.total).cast("long").alias("train_tokens"), "base_score", "score")

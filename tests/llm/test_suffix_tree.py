@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 
 from lockfleet.llm import suffix_tree as st
+from lockfleet.llm.arrow import packed, unpacked
 
 SCHEMA = "key string, doc_id long, n_tokens int, text string, held_out int"
 
@@ -44,24 +45,6 @@ def test_base_counts_and_held_out_gain(spark):
     assert all(math.isfinite(r.score) and r.score <= 0 for r in got)
 
 
-def test_distributions_sum_to_one(spark):
-    _, tree = st.fit(spark.createDataFrame(rows(), SCHEMA))
-    counts, t = st.fit(spark.createDataFrame(rows(), SCHEMA))
-    words = [bytes(r.word) for r in counts.collect()]
-    rare = {bytes(r.word): r.c for r in counts.collect()}
-    assert tree.keep1.any()
-
-    def p(context, w):
-        """P(w | context), by what scoring adds with one more word."""
-        k, base, own, left = tree.score([*context, w])
-        _, b2, o2, l2 = tree.score(list(context))
-        tail = sum(math.log10(tree.base(rare.get(x, 0))) for x in left) - sum(math.log10(tree.base(rare.get(x, 0))) for x in l2)
-        return 10 ** (own - o2 + tail)
-
-    for context in ([], [b"a"], [b"b", b"c"], [b"a", words[0]], [b"unseen", b"a"]):
-        assert abs(sum(p(context, w) for w in words) + p(context, b"never-seen") - 1) < 1e-9
-
-
 def test_nothing_to_learn_from(spark):
     assert st.scored(spark.createDataFrame([], SCHEMA)).count() == 0
     held = next(i for i in range(1000) if st.held_out(i))
@@ -69,10 +52,9 @@ def test_nothing_to_learn_from(spark):
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
 
 
-def test_packed_counts_add_up(spark):
+
+def test_columns_come_back(spark):
     rng = np.random.default_rng(0)
-    keys = [rng.integers(0, 2**36, 500), rng.integers(0, 50, 3000), rng.integers(0, 50, 2000)]
-    rows_ = [tuple(r.values()) for k in keys for b in st._packed(k, 4) for r in b.to_pylist()]
-    got = st._frequent(spark.createDataFrame(rows_, "bucket int, keys binary, counts binary"), 4, 2)
-    want = Counter(np.concatenate(keys).tolist())
-    assert got == {k: n for k, n in sorted(want.items()) if n >= 2}
+    columns = [rng.integers(0, 2**63, 500), rng.integers(0, 50, 3000), np.array([-1, 5, -(2**63)]), np.empty(0, np.int64), rng.normal(size=9)]
+    got = unpacked(packed(*columns))
+    assert all((a.view(b.dtype) == b).all() and len(a) == len(b) for a, b in zip(got, columns))

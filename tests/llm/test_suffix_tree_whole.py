@@ -56,7 +56,7 @@ def expected(data, depth):
     return sorted(out), sum(m[3] for s, m in memo.items() if len(s) == 3)
 
 
-@pytest.mark.parametrize("branch_tokens", [2_000_000, 500])
+@pytest.mark.parametrize("branch_tokens", [2_000_000, 500, 60])
 def test_every_context_counts_however_rare(spark, data, branch_tokens):
     want, deep = expected(data, 3)
     assert deep > 0

@@ -15,7 +15,8 @@ How it is spread over tasks:
 * What a branch can't count by itself is asked for: corpus counts of words, and counts of continuations of hot contexts.
   Each such (context, word) goes to a bucket of its word, and its total goes back to the branches that asked.
 * The words that a sample finds commonest (at most ``VOCABULARY``) have small ids, and their counts are sent to all
-  tasks. The sample only chooses ids and what is hot: it changes no result. All words' counts are exact.
+  tasks; of the others the commonest of each bucket (as many in all) join them once all are counted.
+  The sample only chooses ids and what is hot: it changes no result. All words' counts are exact.
 * Scores come back to the group of documents that was read together, and are added up there.
 
 Between tasks all this goes as packed columns, one row for each group of documents and branch.
@@ -103,7 +104,14 @@ class Layout:
 
     def __post_init__(self) -> None:
         order = np.argsort(self.words)
-        self.sorted_words, self.sorted_ids = self.words[order], order + 1
+        self.sorted_words, self.sorted_ids = self.words[order], (order + 1).astype(np.int32)
+
+    def __getstate__(self):
+        return self.branches, self.depth, self.words, self.hot, self.up
+
+    def __setstate__(self, state) -> None:
+        self.branches, self.depth, self.words, self.hot, self.up = state
+        self.__post_init__()
 
     def ids(self, names: np.ndarray) -> np.ndarray:
         """1 and more for words of the vocabulary, 0 for others."""
@@ -275,7 +283,10 @@ _TOTALS = "kind int, branch int, packed binary, total long, kinds long"
 
 
 def _totals(layout: Layout):
-    """A bucket's totals. Kind 0: for each branch (word, context, total); 1: counts of common words; 2: of hot contexts, for the retention test."""
+    """A bucket's totals. Kind 0: for each branch (word, context, total); 1: counts of common words, and of the commonest others;
+    2: of hot contexts, for the retention test."""
+    most = -(-VOCABULARY // layout.branches)
+
     def add(table: pa.Table) -> pa.Table:
         parts = [unpacked(x) for x in table.column("packed").to_pylist()]
         names = [np.cumsum(p[0].view(np.uint64), dtype=np.uint64) for p in parts]
@@ -296,7 +307,9 @@ def _totals(layout: Layout):
         c = np.zeros(m, np.int64)  # counts by word, of whichever kind
         rare = key < m
         c[key[rare]] = k[rare]
-        row(1, None, packed(np.diff(ids, prepend=0), counts), int(counts.sum() + c.sum()), int((counts > 0).sum() + (c > 0).sum()))
+        top = np.flatnonzero(c > 1)
+        top = np.sort(top[np.argsort(-c[top], kind="stable")[:most]])
+        row(1, None, packed(np.diff(ids, prepend=0), counts, np.diff(every[top], prepend=np.uint64(0)), c[top]), int(counts.sum() + c.sum()), int((counts > 0).sum() + (c > 0).sum()))
         own = layout.ids(every)
         c[own > 0] = counts[_find(ids, own[own > 0])]
         if (~rare).any():
@@ -343,17 +356,25 @@ def _states(of: np.ndarray, k: np.ndarray, n: np.ndarray, parent: np.ndarray) ->
     return left, gain > COST * (np.bincount(of, minlength=len(n)) + 1) * np.log2(n + 1)
 
 
-def _root(totals: DataFrame, layout: Layout) -> Root:
-    """Sums that don't grow with the corpus but by its hot contexts (at most as many as there are branches)."""
+def _root(totals: DataFrame, layout: Layout) -> tuple[Root, Layout]:
+    """Sums that don't grow with the corpus but by its hot contexts (at most as many as there are branches), and the layout with more words."""
     total, kinds = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     counts = np.zeros(len(layout.words) + 1, np.int64)
+    more, more_counts = [], []
     for r in totals.where("kind = 1").select("packed").collect():
-        ids, c = unpacked(bytes(r.packed))
+        ids, c, names, others = unpacked(bytes(r.packed))
         counts[np.cumsum(ids)] = c
+        more.append(np.cumsum(names.view(np.uint64), dtype=np.uint64))
+        more_counts.append(others)
+    if more:
+        names, others = np.concatenate(more), np.concatenate(more_counts)
+        order = np.lexsort((names, -others))
+        counts = np.concatenate([counts, others[order]])
+        layout = Layout(layout.branches, layout.depth, np.concatenate([layout.words, names[order]]), layout.hot, layout.up)
     number = 1 + sum(map(len, layout.hot))
     root = Root(total, kinds, counts, np.zeros(number), np.ones(number), np.zeros(number, bool))
     if number == 1:
-        return root
+        return root, layout
     hot = totals.where("kind = 2").select("packed")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,7 +419,7 @@ def _root(totals: DataFrame, layout: Layout) -> Root:
         rest = root.n[here] - kept[here]
         gain[here] += np.where(rest > 0, rest * np.log2(root.left[here]), 0)
         root.stays[here] = gain[here] > COST * (m[here] + 1) * np.log2(root.n[here] + 1)
-    return root
+    return root, layout
 
 
 # ---- positions, scores
@@ -420,12 +441,14 @@ def _positions(layout: Layout, root: Root):
                 np.array([i or 0 for i in group.ids], np.int64), np.array([i is None for i in group.ids]), group.held, group.sizes,
                 np.bincount(group.of[common], np.log10(root.base(c)), minlength=len(group.ids)), np.bincount(group.of[common], c > 0, minlength=len(group.ids)).astype(np.int64),
             )
-            ids = np.where(ids > 0, ids, v + np.arange(len(ids)))[group.word]
+            ids = np.where(ids > 0, ids, v + np.arange(len(ids))).astype(np.int32)[group.word]
             back = [ids, *(_shifted(ids, group.place, k) for k in range(1, layout.depth + 1))]
             for b, at in split(branch):
                 own = [x[at] for x in back]
                 rare = np.unique(np.concatenate([x[x >= v] for x in own]))
-                own = [np.where(x < v, x, v + np.searchsorted(rare, x)) for x in own]
+                for x in own:
+                    other = x >= v
+                    x[other] = v + np.searchsorted(rare, x[other])
                 blob = packed(np.diff(group.names[rare - v], prepend=np.uint64(0)), np.diff(group.of[at], prepend=0), group.learn[at], *own)
                 yield _rows({"branch": ([b], pa.int32()), "group": ([(part << 36) + count], pa.int64()), "packed": ([blob], pa.binary()), "facts": ([facts], pa.binary())})
                 facts = None
@@ -463,7 +486,10 @@ def _scorer(layout: Layout, root: Root):
     v = len(layout.words) + 1
 
     def score(positions: pa.Table, asked: pa.Table) -> pa.Table:
-        parts = [unpacked(x) for x in positions.column("packed").to_pylist()]
+        parts = []
+        for raw in positions.column("packed"):
+            p = unpacked(raw.as_py())
+            parts.append([p[0], *(x.astype(np.int32) for x in p[1:])])
         asks = [unpacked(x) for x in asked.column("packed").to_pylist()]
         names = [np.cumsum(p[0].view(np.uint64), dtype=np.uint64) for p in parts]
         asked_names = [np.cumsum(p[0].view(np.uint64), dtype=np.uint64) for p in asks]
@@ -502,7 +528,7 @@ def _scorer(layout: Layout, root: Root):
             at = at[own]
             if not len(at):
                 break
-            context = back[1][at] if level == 1 else _ranked(context[own] * words + back[level][at])[0]
+            context = back[1][at].astype(np.int64) if level == 1 else _ranked(context[own] * words + back[level][at])[0]
             cold = np.ones(len(at), bool)
             if level <= len(layout.hot):
                 name = hashes[back[1][at]]
@@ -558,7 +584,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, branch_tokens: int = BRANCH_TOKE
     buckets = layout.branches
     totals = rows.mapInArrow(_asked(layout, buckets), "bucket int, packed binary").groupBy("bucket").applyInArrow(_totals(layout), _TOTALS)
     totals = written(totals, "totals")
-    root = _root(totals, layout)
+    root, layout = _root(totals, layout)
     placed = rows.mapInArrow(_positions(layout, root), "branch int, group long, packed binary, facts binary")
     asked = totals.where("kind = 0").select("branch", "packed")
     parts = placed.groupBy("branch").cogroup(asked.groupBy("branch")).applyInArrow(_scorer(layout, root), "group long, packed binary, facts binary")

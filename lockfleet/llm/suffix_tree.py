@@ -10,8 +10,8 @@ longest suffix of its context that is a state.
 How it is spread over tasks:
 
 * Positions are shuffled by the word before them, so a *branch* of the tree (contexts that end in one word) is counted,
-  tested and used in one place, for as many words as make ``BRANCH_TOKENS``. A *hot* context, with more
-  positions than that, is split by the word before it, and so on down the depth; positions whose contexts are all hot go anywhere.
+  tested and used in one place, for as many words as make ``BRANCH_TOKENS``. A *hot* context, with half as many
+  positions, is split by the word before it, and so on down the depth; positions whose contexts are all hot go anywhere.
 * What a branch can't count by itself is asked for: corpus counts of words, and counts of continuations of hot contexts.
   Each such (context, word) goes to a bucket of its word, and its total goes back to the branches that asked.
 * The words that a sample finds commonest (at most ``VOCABULARY``) have small ids, and their counts are sent to all
@@ -47,6 +47,8 @@ END = b"\n"
 DEPTH, LEAST = 3, 2
 #: Tokens that a task gathers before it passes positions on, that a branch is meant to hold, and that are sampled.
 GATHER_TOKENS, BRANCH_TOKENS, SAMPLE_TOKENS = 2_000_000, 2_000_000, 4_000_000
+#: Positions that are dealt with in one go.
+STRETCH = 500_000
 #: Most words with small ids, whose counts are sent to all tasks.
 VOCABULARY = 1 << 18
 #: What a bit of a description costs, in the retention test.
@@ -84,7 +86,7 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def _shifted(x: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
     """The value k places before, in the same document; else 0."""
     out = np.zeros_like(x)
-    out[k:] = x[:-k]
+    out[k:] = x[: len(x) - k]
     out[place < k] = 0
     return out
 
@@ -138,14 +140,18 @@ class Layout:
             if not len(at):
                 return
 
-    def route(self, back: list[np.ndarray], salt: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """Each position's branch, and per level the positions in hot contexts with these contexts' numbers."""
-        key, asks = salt.copy(), []
-        for at, _, context, own in self.paths(back):
-            cold = (own == 0) & (context > 0)
-            key[at[cold]] = context[cold]
-            asks.append((at[own > 0], own[own > 0]))
-        return (_mix(key, np.uint64(7)) % np.uint64(self.branches)).astype(np.int64), asks
+    def route(self, group: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each position's branch; positions in hot contexts, once for each, and these contexts' numbers."""
+        branch, hot, numbers = np.empty(len(group.flat), np.int32), [], []
+        for i in range(0, len(group.flat), STRETCH):
+            key = group.salt(i, i + STRETCH)
+            for at, _, context, own in self.paths(group.back(self.depth, i, i + STRETCH)):
+                cold = (own == 0) & (context > 0)
+                key[at[cold]] = context[cold]
+                hot.append(at[own > 0] + i)
+                numbers.append(own[own > 0])
+            branch[i : i + len(key)] = _mix(key, np.uint64(7)) % np.uint64(self.branches)
+        return branch, *(np.concatenate([np.empty(0, np.int64), *x]) for x in (hot, numbers))
 
 
 @dataclass
@@ -158,18 +164,23 @@ class Group:
     flat: np.ndarray  # hashes of tokens
 
     def __post_init__(self) -> None:
-        self.of = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.place = np.arange(len(self.flat)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.of = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.place = np.arange(len(self.flat), dtype=np.int32) - np.repeat((np.cumsum(self.sizes) - self.sizes).astype(np.int32), self.sizes)
         self.learn = ~self.held[self.of]
-        self.names, self.word = np.unique(self.flat, return_inverse=True)
+        self.names, word = np.unique(self.flat, return_inverse=True)
+        self.word = word.astype(np.int32)
 
-    def back(self, depth: int) -> list[np.ndarray]:
-        return [self.flat, *(_shifted(self.flat, self.place, k) for k in range(1, depth + 1))]
+    def back(self, depth: int, start: int = 0, stop: int | None = None) -> list[np.ndarray]:
+        """The words of a stretch of positions, and those 1, 2, … places before."""
+        stop = len(self.flat) if stop is None else min(stop, len(self.flat))
+        lead = min(start, depth)
+        own, place = self.flat[start - lead : stop], self.place[start - lead : stop]
+        return [_shifted(own, place, k)[lead:] for k in range(depth + 1)]
 
-    def salt(self) -> np.ndarray:
+    def salt(self, start: int, stop: int) -> np.ndarray:
         """Differs from row to row and place to place, and is the same each time."""
         own = np.array([0 if i is None else i for i in self.ids], np.int64).view(np.uint64)
-        return _mix(own[self.of], self.place.astype(np.uint64))
+        return _mix(own[self.of[start:stop]], self.place[start:stop].astype(np.uint64))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Group]:
@@ -205,12 +216,16 @@ def _sampled_contexts(hot: list[np.ndarray]):
                 keys, n = group.names, np.bincount(group.word, minlength=len(group.names))
                 up = np.zeros(len(keys), np.int64)
             else:
-                levels = list(Layout(1, depth, np.empty(0, np.uint64), hot).paths(group.back(depth)))
-                if len(levels) < depth:
+                layout, contexts, numbers = Layout(1, depth, np.empty(0, np.uint64), hot), [], []
+                for i in range(0, len(group.flat), STRETCH):
+                    levels = list(layout.paths(group.back(depth, i, i + STRETCH)))
+                    if len(levels) == depth:
+                        contexts.append(levels[-1][2])
+                        numbers.append(levels[-1][1])
+                if not contexts:
                     continue
-                _, number, context, _ = levels[-1]
-                keys, first, n = np.unique(context, return_index=True, return_counts=True)
-                up, n = number[first], np.where(keys > 0, n, 0)
+                keys, first, n = np.unique(np.concatenate(contexts), return_index=True, return_counts=True)
+                up, n = np.concatenate(numbers)[first], np.where(keys > 0, n, 0)
             yield _rows({"key": (keys.view(np.int64), pa.int64()), "up": (up, pa.int64()), "n": (n, pa.int64())})
 
     return count
@@ -232,7 +247,7 @@ def _layout(rows: DataFrame, depth: int, branch_tokens: int) -> Layout:
     common = seen.where("n > 1").orderBy(F.desc("n"), "key").limit(VOCABULARY).select("key").toArrow()
     end = int(_hashed([END]).view(np.int64)[0])
     while True:
-        found = sorted((r.key % 2**64, r.up) for r in seen.where(F.col("n") * every > branch_tokens).select("key", "up").collect() if r.key != end)
+        found = sorted((r.key % 2**64, r.up) for r in seen.where(F.col("n") * every * 2 > branch_tokens).select("key", "up").collect() if r.key != end)
         drop(seen)
         if not found:
             break
@@ -255,10 +270,9 @@ def _asked(layout: Layout, buckets: int):
         for group in _groups(batches, GATHER_TOKENS):
             m = len(group.names)
             ids = layout.ids(group.names)
-            branch, hot = layout.route(group.back(layout.depth), group.salt())
+            branch, hot, numbers = layout.route(group)
             rare = np.flatnonzero(ids[group.word] == 0)
-            at = np.concatenate([rare, *(x for x, _ in hot)])
-            context = np.concatenate([np.zeros(len(rare), np.int64), *(c for _, c in hot)])
+            at, context = np.concatenate([rare, hot]), np.concatenate([np.zeros(len(rare), np.int64), numbers])
             key, entry = np.unique((context * layout.branches + branch[at]) * m + group.word[at], return_inverse=True)
             n = np.bincount(entry, group.learn[at], minlength=len(key)).astype(np.int64)
             word, key = key % m, key // m
@@ -430,9 +444,7 @@ def _positions(layout: Layout, root: Root):
         """A row for each branch of a group of documents; the documents' facts go with the first."""
         part, count = (TaskContext.get().partitionId() if TaskContext.get() else 0), 0
         for group in _groups(batches, GATHER_TOKENS):
-            back = group.back(layout.depth)
-            branch, _ = layout.route(back, group.salt())
-            del back
+            branch, *_ = layout.route(group)
             v = len(layout.words) + 1
             ids = layout.ids(group.names)
             common = ids[group.word] > 0
@@ -485,6 +497,29 @@ def _fixed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _scorer(layout: Layout, root: Root):
     v = len(layout.words) + 1
 
+    def deep(back: list[np.ndarray], learn: np.ndarray, p: np.ndarray, words: int, hashes: np.ndarray, keys: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """P by the longest contexts that stay, from P of the root."""
+        at = np.arange(len(p))
+        for level in range(1, layout.depth + 1):
+            own = back[level][at] > 0
+            at = at[own]
+            if not len(at):
+                break
+            context = back[1][at].astype(np.int64) if level == 1 else _ranked(context[own] * words + back[level][at])[0]
+            cold = np.ones(len(at), bool)
+            if level <= len(layout.hot):
+                name = hashes[back[1][at]]
+                for d in range(2, level + 1):
+                    name = _mix(name, hashes[back[d][at]])
+                hot = _find(layout.hot[level - 1], name)
+                cold, warm = hot < 0, at[hot >= 0]
+                which = hot[~cold] + layout.starts[level]
+                found = _find(keys, which * words + back[0][warm])
+                p[warm] = root.add(p[warm], which, np.where(found >= 0, totals[found] if len(totals) else 0, 0))
+            if cold.any():
+                p[at[cold]] = _level(context[cold], back[0][at[cold]], learn[at[cold]], p[at[cold]], words)
+        return p
+
     def score(positions: pa.Table, asked: pa.Table) -> pa.Table:
         parts = []
         for raw in positions.column("packed"):
@@ -522,25 +557,10 @@ def _scorer(layout: Layout, root: Root):
         w = back[0]
         p = root.base(c[w])
         base = np.log10(p)
-        at = np.arange(len(w))
-        for level in range(1, layout.depth + 1):
-            own = back[level][at] > 0
-            at = at[own]
-            if not len(at):
-                break
-            context = back[1][at].astype(np.int64) if level == 1 else _ranked(context[own] * words + back[level][at])[0]
-            cold = np.ones(len(at), bool)
-            if level <= len(layout.hot):
-                name = hashes[back[1][at]]
-                for d in range(2, level + 1):
-                    name = _mix(name, hashes[back[d][at]])
-                hot = _find(layout.hot[level - 1], name)
-                cold, warm = hot < 0, at[hot >= 0]
-                which = hot[~cold] + layout.starts[level]
-                found = _find(keys, which * words + w[warm])
-                p[warm] = root.add(p[warm], which, np.where(found >= 0, totals[found] if len(totals) else 0, 0))
-            if cold.any():
-                p[at[cold]] = _level(context[cold], w[at[cold]], learn[at[cold]], p[at[cold]], words)
+        # contexts that share the last word, or the one before it if the last is hot, are dealt with together
+        last = back[1] if not layout.hot else np.where(np.isin(hashes[back[1]], layout.hot[0]), back[2 % len(back)], back[1])
+        for _, at in split((last % max(1, len(w) // STRETCH))):
+            p[at] = deep([x[at] for x in back], learn[at], p[at], words, hashes, keys, totals)
         own = np.log10(p)
         out, done = [], 0
         for part in parts:

@@ -46,9 +46,9 @@ END = b"\n"
 #: Longest context, in words, and the least count of a continuation; the retention test alone decides on contexts.
 DEPTH, LEAST = 3, 2
 #: Tokens that a task gathers before it passes positions on, that a branch is meant to hold, and that are sampled.
-GATHER_TOKENS, BRANCH_TOKENS, SAMPLE_TOKENS = 2_000_000, 2_000_000, 4_000_000
+GATHER_TOKENS, BRANCH_TOKENS, SAMPLE_TOKENS = 1_500_000, 1_200_000, 4_000_000
 #: Positions that are dealt with in one go.
-STRETCH = 500_000
+STRETCH = 300_000
 #: Most words with small ids, whose counts are sent to all tasks.
 VOCABULARY = 1 << 18
 #: What a bit of a description costs, in the retention test.

@@ -32,11 +32,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written to the shared folder and read again; its lineage ends there."""
+def written(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again; its lineage ends there. ``by``: a column of few values to part it by."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

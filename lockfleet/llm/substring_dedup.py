@@ -10,8 +10,9 @@ Two kinds of paragraph, so that a passage is found wherever it stands:
   five-word shingle has the least hash of any ``WINDOW`` in a row. So each stretch of ``RUN_WORDS`` words that texts share
   holds a passage that they share, less than ``WINDOW`` words from either end. A near copy of over 50 words, at 0.8 or more,
   has such a stretch: fewer changed words than that leave a shorter one have broken more than a ninth of its shingles.
-  A passage is compared with the keeper's text word for word (by hashes of its words), moved out on both sides as far as the two agree, and
-  runs of them count if they come to ``RUN_WORDS`` words.
+  Passages that touch one another and have one keeper are a run. The run's first and last passage are compared with the keeper's
+  words (by another hash than their identity), and moved out on both sides as far as the two texts agree; runs, with others that
+  they touch, count if they come to ``RUN_WORDS`` words.
 
 Of each component, or passage, that spans several documents the paragraphs in its least doc_id (the keeper) stay.
 
@@ -44,7 +45,7 @@ ROWS, BANDS = 2, 6
 #: Most different sets of a band that are compared in one go; more meet their first, and what isn't like it all others, block by block.
 CROWD = 1000
 #: Paragraphs that a task gathers, rows of one paragraph among them that make it frequent, tokens that a bucket is meant to hold.
-GATHER, FREQUENT, BUCKET_TOKENS = 300_000, 16, 8_000_000
+GATHER, FREQUENT, BUCKET_TOKENS = 300_000, 16, 1_000_000
 #: Bits of the bitmaps that choose which texts are read again (8 MB).
 FILTER = 1 << 26
 
@@ -85,7 +86,7 @@ def _least(s: np.ndarray, size: int) -> np.ndarray:
 class Parsed:
     """Some texts as one run of words: hashes, documents, shingles, anchors of passages, and lines as (first, last + 1)."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], passages: bool = True):
         buffer = b"\n\n".join(texts).lower()  # a blank line between texts ends blocks
         space = _SPACE[np.frombuffer(buffer, np.uint8)]
         starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(space) else np.empty(0, np.int64)
@@ -96,7 +97,8 @@ class Parsed:
         self.begin = np.searchsorted(self.doc, np.arange(len(texts)))  # each document's first word
         self.shingles = _shingles(self.hashes)
         self._lines(np.searchsorted(starts, np.flatnonzero(np.frombuffer(buffer, np.uint8) == 10)), len(starts))
-        self._anchors()
+        if passages:
+            self._anchors()
 
     def _lines(self, at_breaks: np.ndarray, n: int) -> None:
         edges = np.concatenate([[0], at_breaks, [n]])
@@ -463,13 +465,35 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each line's identity and shingle set (hashes of 32 bits)."""
     for batch in batches:
         for part, texts in slices(batch):
-            got = Parsed([t or b"" for t in texts])
+            got = Parsed([t or b"" for t in texts], passages=False)
             ident = got.line_ids().view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ident), pa.array([got.set_of(k).tobytes() for k in range(len(ident))], pa.binary())], names=["ident", "shingles"])
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a document's passages the runs, by keeper (kind 0: first and stop, first and last identity), and of a keeper's the places (1: first, and the run's)."""
+    for batch in batches:
+        ids, tags = (batch.column(k).to_numpy() for k in (0, 1))
+        lists = batch.column(2)
+        values = lists.flatten()
+        first, ident, keeper = (values.field(c).to_numpy() for c in ("first", "ident", "keeper"))
+        owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+        order = np.lexsort((first, keeper, owner))
+        first, ident, keeper, owner = (x[order].astype(np.int64) for x in (first, ident, keeper, owner))
+        new = np.concatenate([np.ones(min(1, len(first)), bool), (np.diff(owner) != 0) | (np.diff(keeper) != 0) | (np.diff(first) > PASSAGE_WORDS)])
+        begin = np.flatnonzero(new)
+        last = np.append(begin[1:], len(new))[: len(begin)] - 1
+        mine = np.flatnonzero(keeper == ids[owner])
+        run = begin[np.cumsum(new) - 1] if len(new) else begin
+        at = np.concatenate([begin, mine])
+        kind = np.repeat([0, 1], [len(begin), len(mine)])
+        stop = np.concatenate([first[last] + PASSAGE_WORDS, first[run[mine]]])
+        columns = [pa.array(kind, pa.int32()), pa.array(ids[owner[at]]), pa.array(tags[owner[at]]), pa.array(first[at], pa.int32()), pa.array(stop, pa.int32()), pa.array(ident[at]), pa.array(np.concatenate([ident[last], ident[mine]])), pa.array(keeper[at])]
+        yield pa.RecordBatch.from_arrays(columns, names=["kind", "doc_id", "tag", "first", "stop", "ident", "last", "keeper"])
+
+
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the passages asked for: a hash of their words, and of the words around them where they may go on."""
+    """For the passages asked for: a hash of their words, and hashes of the words on the side asked for, the nearest first."""
     reach = WINDOW - 1
     for batch in batches:
         for part, texts in slices(batch):
@@ -479,56 +503,69 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 words = raw.lower().split()
                 near = np.frombuffer(b"".join(map(xxhash.xxh32_digest, words)), np.uint32)
-                asked.sort(key=lambda x: (x["keeper"], x["first"]))
-                for k, x in enumerate(asked):
-                    a, b, mine = x["first"], x["first"] + PASSAGE_WORDS, x["keeper"] == doc_id
-                    left = mine or not k or asked[k - 1]["keeper"] != x["keeper"] or asked[k - 1]["first"] < a - PASSAGE_WORDS
-                    right = mine or k + 1 == len(asked) or asked[k + 1]["keeper"] != x["keeper"] or asked[k + 1]["first"] > b
-                    out.append((x["ident"], doc_id, tag, a, x["keeper"], xxhash.xxh3_64_intdigest(b" ".join(words[a:b]), 1) - 2**63, near[max(0, a - reach) : a][::-1].tobytes() if left else None, near[b : b + reach].tobytes() if right else None))
-            columns = list(zip(*out)) or [()] * 8
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["ident", "doc_id", "tag", "first", "keeper", "digest", "left", "right"])
+                for x in asked:
+                    a = x["at"]
+                    b = a + PASSAGE_WORDS
+                    side = near[b : b + reach] if x["side"] else near[max(0, a - reach) : a][::-1]
+                    out.append((x["ident"], x["side"], doc_id, tag, x["first"], x["stop"], x["keeper"], xxhash.xxh3_64_intdigest(b" ".join(words[a:b]), 1) - 2**63, side.tobytes()))
+            columns = list(zip(*out)) or [()] * 9
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["ident", "side", "doc_id", "tag", "first", "stop", "keeper", "digest", "words"])
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many words around a passage agree with those around its keeper's."""
+    """How many of the first two columns' words agree, before the other columns."""
     for batch in batches:
-        sides = []
-        for own, other in ((6, 8), (7, 9)):
-            n = []
-            for x, y in zip(batch.column(own).to_pylist(), batch.column(other).to_pylist()):
-                m = min(len(x or b""), len(y or b"")) // 4
-                same = np.frombuffer(x or b"", np.uint32)[:m] == np.frombuffer(y or b"", np.uint32)[:m]
-                n.append(m if same.all() else int(same.argmin()))
-            sides.append(pa.array(n, pa.int32()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), *sides], names=["ident", "doc_id", "tag", "first", "keeper", "left", "right"])
+        n = []
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            m = min(len(x), len(y)) // 4
+            same = np.frombuffer(x, np.uint32)[:m] == np.frombuffer(y, np.uint32)[:m]
+            n.append(m if same.all() else int(same.argmin()))
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), *batch.columns[2:]], names=["more", *batch.schema.names[2:]])
 
 
 def _passages(docs: DataFrame, hits: DataFrame, keepers: bool) -> DataFrame:
-    """Verified passages ``(ident, doc_id, tag, first, stop, keeper, class_id)``, moved out as far as the text agrees with the keeper's.
+    """Verified runs of passages ``(ident, doc_id, tag, first, stop, keeper, class_id)``, moved out as far as the text agrees with the keeper's.
 
-    With ``keepers`` theirs are told too, and a passage's class is the run of the keeper's that it stands in.
+    With ``keepers`` theirs are told too, and a run's class is the keeper's run that its first passage stands in.
     """
-    asked = hits.groupBy(F.col("doc_id").alias("id"), "tag").agg(F.collect_set(F.struct("first", "ident", "keeper")).alias("asked"))
-    texts = _through(_rows(docs), _bitmap(hits.select("doc_id")), "doc_id")
+    lists = hits.groupBy(F.col("doc_id").alias("id"), "tag").agg(F.collect_set(F.struct("first", "ident", "keeper")).alias("asked"))
+    runs = written(lists.mapInArrow(_joined, "kind int, doc_id long, tag long, first int, stop int, ident long, last long, keeper long"), "runs", "kind")
+    others, places = runs.where("kind = 0 and doc_id <> keeper").drop("kind"), runs.where("kind = 1").select("ident", "doc_id", "tag", "first", F.col("stop").alias("run"))
+    end = F.col("stop") - PASSAGE_WORDS
+    ask = lambda side, ident, at: F.struct(F.lit(side).alias("side"), F.col(ident).alias("ident"), at.alias("at"))
+    edges = others.select("doc_id", "tag", "first", "stop", "keeper", F.explode(F.array(ask(0, "ident", F.col("first")), ask(1, "last", end))).alias("x"))
+    edges = edges.select("doc_id", "tag", "first", "stop", "keeper", "x.*")
+    # of several places in the keeper's text the last has the most before it, and the first the most after it
+    place = F.struct("first", "tag", "run")
+    known = places.join(edges.select("ident").distinct(), "ident").groupBy("ident", "doc_id").agg(F.max(place).alias("left"), F.min(place).alias("right"))
+    known = known.select("doc_id", "ident", F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("x")) for k, c in enumerate(("left", "right"))])).alias("y"))
+    known = known.select("doc_id", "y.x.tag", F.col("y.x.run").alias("first"), F.col("y.x.first").alias("stop"), F.col("doc_id").alias("keeper"), "y.side", "ident", F.col("y.x.first").alias("at"))
+    asked = edges.unionByName(known).groupBy(F.col("doc_id").alias("id"), "tag").agg(F.collect_set(F.struct("side", "ident", "at", "first", "stop", "keeper")).alias("asked"))
+    asked = written(asked, "asked")
+    texts = _through(_rows(docs), _bitmap(asked.select("id")), "doc_id")
     met = texts.join(asked, F.col("doc_id") == F.col("id")).select("doc_id", "text", "tag", "asked")
-    around = written(met.mapInArrow(_around, "ident long, doc_id long, tag long, first int, keeper long, digest long, left binary, right binary"), "around")
-    own = around.where("doc_id = keeper").groupBy("ident").agg(F.min_by(F.struct("digest", "left", "right"), F.struct("first", "tag")).alias("x"))
-    own = own.select("ident", F.col("x.digest").alias("kept_digest"), F.col("x.left").alias("kept_left"), F.col("x.right").alias("kept_right"))
-    others = around.where("doc_id <> keeper").join(own, "ident").where("digest = kept_digest").drop("kept_digest")
-    others = others.select("ident", "doc_id", "tag", "first", "keeper", "digest", "left", "right", "kept_left", "kept_right")
-    others = others.mapInArrow(_agreeing, "ident long, doc_id long, tag long, first int, keeper long, left int, right int")
-    end = F.col("first") + PASSAGE_WORDS + F.col("right")
-    spans = lambda x: x.select("ident", "doc_id", "tag", (F.col("first") - F.col("left")).alias("first"), end.alias("stop"), "keeper")
+    around = written(met.mapInArrow(_around, "ident long, side int, doc_id long, tag long, first int, stop int, keeper long, digest long, words binary"), "around")
+    own = around.where("doc_id = keeper").groupBy("ident", "side").agg(F.any_value(F.struct("digest", "words", "tag", "first", "stop")).alias("x"))
+    own = own.select("ident", "side", F.col("x.digest").alias("kept_digest"), F.col("x.words").alias("kept_words"), F.col("x.tag").alias("kept_tag"), F.col("x.first").alias("kept_run"), F.col("x.stop").alias("kept_at"))
+    own = written(own, "kept")  # so that Spark can split a frequent passage's rows at the join
+    met = around.where("doc_id <> keeper").join(own, ["ident", "side"]).where("digest = kept_digest")
+    met = met.select("words", "kept_words", "ident", "side", "doc_id", "tag", "first", "stop", "keeper", "kept_tag", "kept_run", "kept_at")
+    met = met.mapInArrow(_agreeing, "more int, ident long, side int, doc_id long, tag long, first int, stop int, keeper long, kept_tag long, kept_run int, kept_at int")
+    one = F.struct("more", "ident", "kept_tag", "kept_run", "kept_at")
+    side = lambda k: F.max(F.when(F.col("side") == k, one))
+    out = met.groupBy("doc_id", "tag", "first", "stop", "keeper").agg(side(0).alias("left"), side(1).alias("right")).where("left is not null and right is not null")
+    class_of = lambda x: F.xxhash64("keeper", F.col(f"{x}.kept_tag"), F.col(f"{x}.kept_run"))
+    out = out.select("left.ident", "doc_id", "tag", (F.col("first") - F.col("left.more")).alias("first"), (F.col("stop") + F.col("right.more")).alias("stop"), "keeper", class_of("left").alias("class_id"), "left", "right")
     if not keepers:
-        return spans(others).withColumn("class_id", F.col("ident"))
-    others = written(others, "agreeing")
-    most = others.groupBy("ident").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    mine = _in_runs(spans(around.where("doc_id = keeper").select("ident", "doc_id", "tag", "first", "keeper").join(most, "ident")))
-    whole = Window.partitionBy("doc_id", "tag", "mine", "run")
-    mine = written(mine.withColumn("class_id", F.xxhash64("doc_id", "tag", F.min("first").over(whole))).drop("mine", "run"), "keepers")
-    of = mine.groupBy("ident").agg(F.min_by("class_id", F.struct("first", "tag")).alias("class_id"))
-    return spans(others).join(of, "ident").unionByName(mine)
+        return out.drop("left", "right")
+    out = written(out, "others")
+    reach = out.select("class_id", (F.col("left.kept_at") - F.col("left.more")).alias("least"), F.lit(None).cast("int").alias("most"))
+    reach = reach.unionByName(out.select(class_of("right").alias("class_id"), F.lit(None).cast("int").alias("least"), (F.col("right.kept_at") + PASSAGE_WORDS + F.col("right.more")).alias("most")))
+    reach = reach.groupBy("class_id").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    mine = runs.where("kind = 0 and doc_id = keeper").withColumn("class_id", F.xxhash64("doc_id", "tag", "first")).join(reach, "class_id")
+    mine = mine.select("ident", "doc_id", "tag", F.least("first", "least").alias("first"), F.greatest("stop", "most").alias("stop"), "keeper", "class_id")
+    return out.drop("left", "right").unionByName(mine)
 
 
 def _in_runs(passages: DataFrame) -> DataFrame:
@@ -552,7 +589,7 @@ def classes(docs: DataFrame, crowd: int = CROWD, keepers: bool = True) -> DataFr
 
     ``first`` and ``stop`` are word places, ``tag`` a hash of the document's text; ``class_id`` is the
     component of linked line sets, or the keeper's run, and ``keeper`` the least doc_id. Without ``keepers`` their own
-    runs aren't told, and runs' classes are their first passages. Paragraphs that repeat within one document only are not in it. Null and short texts, and rows
+    runs aren't told. Paragraphs that repeat within one document only are not in it. Null and short texts, and rows
     with a null doc_id, have no paragraphs; rows that repeat a doc_id are one document, and rows that repeat its text
     too count once. An empty table gives no rows. ``docs`` must be a table that reads the same each time.
     """

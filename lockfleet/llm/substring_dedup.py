@@ -435,39 +435,52 @@ def _links(met: DataFrame, sets: DataFrame, crowd: int) -> DataFrame:
 # ---- texts that are read again
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A bit for each value of the one column of ``keys``; FILTER bits at any size."""
-    place = F.pmod(F.xxhash64(keys.columns[0]), F.lit(FILTER))
-    rows = keys.select(place.alias("at")).groupBy(F.expr("at div 32768").alias("b")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(32768))).alias("bits")).collect()
+def _bitmap(places: DataFrame) -> np.ndarray:
+    """A bit for each value (under FILTER) of the one column of ``places``; FILTER bits at any size."""
+    at = F.col(places.columns[0])
+    rows = places.groupBy(F.floor(at / 32768).alias("b")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(32768))).alias("bits")).collect()
     out = np.zeros(FILTER // 8, np.uint8)
     for r in rows:
         out[r.b * 4096 : (r.b + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
     return out
 
 
-def _through(docs: DataFrame, bits: np.ndarray, key: str, inside: bool = True) -> DataFrame:
-    """The rows whose bit is set, or isn't. ``key`` names a column or expression."""
+def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7)) & 1 == 1
+
+
+def _place(doc_id: str = "doc_id"):
+    """The bit of a document. That of a null id may be set for another; null ids match nothing later."""
+    return F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(FILTER)).alias("place")
+
+
+def _through(docs: DataFrame, bits: np.ndarray, inside: bool = True, then=None, schema=None) -> DataFrame:
+    """The rows whose document's bit is set, or isn't; ``then`` maps their batches on in the same worker."""
     place = fresh(docs.columns, "place")
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            here = (sent.value[at >> 3] >> (at & 7)) & 1 == 1
+            here = _is_set(sent.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
             yield batch.select(batch.schema.names[:-1]).filter(pa.array(here == inside))
 
-    # a null key's place is that of any other value; it can't match anyway
-    rows = docs.withColumn(place, F.pmod(F.xxhash64(F.expr(key)), F.lit(FILTER)))
-    return rows.mapInArrow(keep, docs.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return then(keep(batches)) if then else keep(batches)
 
+    return docs.withColumn(place, _place()).mapInArrow(run, schema or docs.schema)
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each line's identity and shingle set (hashes of 32 bits)."""
-    for batch in batches:
-        for part, texts in slices(batch):
-            got = Parsed([t or b"" for t in texts], passages=False)
-            ident = got.line_ids().view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ident), pa.array([got.set_of(k).tobytes() for k in range(len(ident))], pa.binary())], names=["ident", "shingles"])
+
+def _sets(bits):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Identity and shingle set (hashes of 32 bits) of lines whose identity's bit is set."""
+        for batch in batches:
+            for part, texts in slices(batch):
+                got = Parsed([t or b"" for t in texts], passages=False)
+                ident = got.line_ids().view(np.int64)
+                at = np.flatnonzero(_is_set(bits.value, ident % FILTER))
+                yield pa.RecordBatch.from_arrays([pa.array(ident[at]), pa.array([got.set_of(k).tobytes() for k in at.tolist()], pa.binary())], names=["ident", "shingles"])
+
+    return sets
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -543,7 +556,7 @@ def _passages(docs: DataFrame, hits: DataFrame, keepers: bool) -> DataFrame:
     known = known.select("doc_id", "y.x.tag", F.col("y.x.run").alias("first"), F.col("y.x.first").alias("stop"), F.col("doc_id").alias("keeper"), "y.side", "ident", F.col("y.x.first").alias("at"))
     asked = edges.unionByName(known).groupBy(F.col("doc_id").alias("id"), "tag").agg(F.collect_set(F.struct("side", "ident", "at", "first", "stop", "keeper")).alias("asked"))
     asked = written(asked, "asked")
-    texts = _through(_rows(docs), _bitmap(asked.select("id")), "doc_id")
+    texts = _through(_rows(docs), _bitmap(asked.select(_place("id"))))
     met = texts.join(asked, F.col("doc_id") == F.col("id")).select("doc_id", "text", "tag", "asked")
     around = written(met.mapInArrow(_around, "ident long, side int, doc_id long, tag long, first int, stop int, keeper long, digest long, words binary"), "around")
     own = around.where("doc_id = keeper").groupBy("ident", "side").agg(F.any_value(F.struct("digest", "words", "tag", "first", "stop")).alias("x"))
@@ -602,9 +615,9 @@ def classes(docs: DataFrame, crowd: int = CROWD, keepers: bool = True) -> DataFr
     every = of(SET).select("ident", "keeper", "hi", "n", "bands")
     met = written(collisions(every, buckets), "collisions")
     asked = met.select("ident").distinct()
-    texts = _through(rows, _bitmap(asked.join(every, "ident").select("keeper")), "doc_id")
-    sets = texts.mapInArrow(_sets, "ident long, shingles binary")
-    sets = written(_through(sets, _bitmap(asked), "ident").groupBy("ident").agg(F.any_value("shingles").alias("shingles")), "sets")
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(asked.select(F.pmod("ident", F.lit(FILTER)))))
+    sets = _through(rows, _bitmap(asked.join(every, "ident").select(_place("keeper"))), then=_sets(bits), schema="ident long, shingles binary")
+    sets = written(sets.groupBy("ident").agg(F.any_value("shingles").alias("shingles")), "sets")
     roots = components(_links(met, sets, crowd)).select(F.col("node").alias("ident"), "root")
     drop(sets)
     drop(met)
@@ -681,7 +694,7 @@ def without_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     docs = docs.withColumn("text", F.col("text").cast("string"))
     gone = classes(docs, crowd, keepers=False).where("doc_id <> keeper").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "stop")).alias("spans"))
     gone = written(gone, "gone")
-    bits = _bitmap(gone.select("doc_id"))
+    bits = _bitmap(gone.select(_place()))
     tag, key, spans = (fresh(docs.columns, x) for x in ("tag", "join_id", "spans"))
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -691,6 +704,6 @@ def without_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{tag}` bigint"])
     gone = gone.select(F.col("doc_id").alias(key), F.col("tag").alias(tag + "_"), F.col("spans").alias(spans))
-    rows = _through(batched(docs), bits, "CAST(doc_id AS LONG)").mapInArrow(tagged, schema)
+    rows = _through(batched(docs), bits, then=tagged, schema=schema)
     met = rows.join(gone, (rows["doc_id"].cast("long") == gone[key]) & (rows[tag] == gone[tag + "_"]), "left").select(*[rows[f"`{c}`"] for c in docs.columns], spans)
-    return _through(docs, bits, "CAST(doc_id AS LONG)", inside=False).unionByName(met.mapInArrow(_cutter(spans, "n_chars" in docs.columns), docs.schema))
+    return _through(docs, bits, inside=False).unionByName(met.mapInArrow(_cutter(spans, "n_chars" in docs.columns), docs.schema))

@@ -16,11 +16,7 @@ from lockfleet.functions.text import label, normalize
 from lockfleet.operators import diff as diffs
 from lockfleet.operators import graph, report, rules, similarity
 from lockfleet.sources import lockfiles
-from lockfleet.sources.lockfiles import Tables
-
-
-class Unusable(Exception):
-    """A request that can't be served; its text says why."""
+from lockfleet.sources.lockfiles import Tables, Unusable
 
 
 @dataclass
@@ -60,15 +56,16 @@ class Engine:
         self.spark = spark
         self.corpus = spark.createDataFrame([], schema.CORPUS) if corpus is None else corpus
 
-    def read(self, paths: str | list[str]) -> Tables:
-        return lockfiles.read(lockfiles.files(self.spark, paths))
+    def read(self, paths: str | list[str] | Tables) -> Tables:
+        """The tables of what is under ``paths``; tables that were read already are served as they are."""
+        return paths if isinstance(paths, Tables) else lockfiles.read(lockfiles.files(self.spark, paths))
 
-    def scan(self, paths: str | list[str], require_no_parent: bool = True) -> Scan:
+    def scan(self, paths: str | list[str] | Tables, require_no_parent: bool = True) -> Scan:
         """All findings of all files under ``paths``; files that can't be read are in ``tables.errors``."""
         t = self.read(paths)
         return Scan(t, rules.audit(t.lockfiles, t.packages, t.edges, self.corpus, require_no_parent), self.corpus)
 
-    def tree(self, paths: str | list[str], package: str, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    def tree(self, paths: str | list[str] | Tables, package: str, depth: int = 3) -> tuple[DataFrame, DataFrame]:
         """Where a package stands: hits with in-degree and direct flag, and their ordered walks; see :meth:`near` if there are none."""
         t = self.read(paths)
         eco = t.lockfiles.select("source", "ecosystem", "records_edges")
@@ -84,8 +81,9 @@ class Engine:
         names = t.packages.select("source", "idx", "name", "version", label(F.col("name"), F.col("version")).alias("label"))
         return hits, walk.join(names, ["source", "idx"])
 
-    def tree_json(self, paths: str | list[str], package: str, depth: int = 3) -> str:
+    def tree_json(self, paths: str | list[str] | Tables, package: str, depth: int = 3) -> str:
         """One JSON object of a lookup: its occurrences with nested dependencies, or near names. A lookup's rows are few."""
+        paths = self.read(paths)
         hits, walk = self.tree(paths, package, depth)
         rows = hits.orderBy("source", "place").collect()
         steps: dict[tuple, list] = {}
@@ -101,7 +99,7 @@ class Engine:
         out = {"query": package, "found": bool(rows), "lockfiles": self.read(paths).lockfiles.count(), "depth": depth, "occurrences": found, "near": near}
         return json.dumps(out, ensure_ascii=False, separators=(",", ":"))
 
-    def near(self, paths: str | list[str], package: str) -> DataFrame:
+    def near(self, paths: str | list[str] | Tables, package: str) -> DataFrame:
         """The closest names in the fleet, eight at most."""
         t = self.read(paths)
         return similarity.near_names(t.packages.join(t.lockfiles.select("source", "ecosystem"), "source"), package)
@@ -163,25 +161,29 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("--depth", type=int, default=3)
         c.add_argument("-v", "--verbose", action="store_true")
         c.add_argument("-q", "--quiet", action="store_true")
+        c.add_argument("--no-color", action="store_true", help="output has no colours in any case")
     o = p.parse_args(argv)
     spark = SparkSession.builder.appName("lockfleet").getOrCreate()
     engine = Engine(spark, lockfiles.corpus(spark, dict(x.split("=", 1) for x in o.corpus)))
     try:
+        for path in {"diff": ("old", "new")}.get(o.command, ("path",)):
+            lockfiles.roots(spark, getattr(o, path))
         if o.command == "diff":
             d = engine.diff(o.old, o.new)
             print(d.json().first()[0])
             return int(bool(o.fail_on) and report.gate(d.introduced, o.fail_on))
         if o.command == "tree":
-            hits, walk = engine.tree(o.path, o.package, o.depth)
+            tables = engine.read(o.path)
             if o.format == "json":
-                print(engine.tree_json(o.path, o.package, o.depth))
+                print(engine.tree_json(tables, o.package, o.depth))
                 return 0
+            hits, walk = engine.tree(tables, o.package, o.depth)
             rows = hits.orderBy("source", "place").collect()
             for h in rows:
                 print(f"{h.source}: {h.name}@{h.version} in-degree {h.in_degree}")
                 for w in walk.where((F.col("source") == h.source) & (F.col("hit") == h.idx)).orderBy("seq").collect():
                     print("  " * w.depth + w.label + (f" ({w.stop})" if w.stop else ""))
-            for n in [] if rows else engine.near(o.path, o.package).collect():
+            for n in [] if rows else engine.near(tables, o.package).collect():
                 print(f"near: {n.name} (d={n.distance}) in {n.source}")
             return 0
         listing = lockfiles.discover(o.path) if os.path.isdir(o.path) else lockfiles.Listing([], [], [], [])

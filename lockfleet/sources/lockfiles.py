@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +46,8 @@ class Listing:
 def discover(root: str) -> Listing:
     """Lockfiles below a local folder, in path order; symbolic links to folders aren't followed.
 
-    Folders on the skip list, hidden ones and those over MAX_DEPTH deep are listed as skipped. What
-    vanishes meanwhile is silent; what can't be opened is unreadable.
+    Folders on the skip list, hidden ones and those over MAX_DEPTH deep are listed as skipped, and so is what begins with
+    an underscore, which Spark's readers don't open. What vanishes meanwhile is silent; what can't be opened is unreadable.
     """
     found, unreadable, unsupported, skipped = set(), [], set(), []
     suffixes = tuple(f[0] for f in schema.FORMATS)
@@ -75,6 +77,8 @@ def discover(root: str) -> Listing:
                 skipped.append((e.path, "on the skip list"))
             elif is_dir and e.name.startswith(".") and len(e.name) > 1:
                 skipped.append((e.path, "hidden"))
+            elif e.name.startswith("_") and (is_dir or e.name.endswith(suffixes)):
+                skipped.append((e.path, "begins with an underscore"))
             elif is_dir and depth + 1 > schema.MAX_DEPTH:
                 skipped.append((e.path, "below MAX_DEPTH"))
             elif is_dir:
@@ -86,18 +90,93 @@ def discover(root: str) -> Listing:
     return Listing(sorted(found), sorted(unreadable), sorted(unsupported), sorted(skipped))
 
 
+class Unusable(Exception):
+    """A request that can't be served; its text says why."""
+
+
+@dataclass
+class Root:
+    """A path as asked for, resolved: a file that was named, or a folder to look through."""
+
+    path: str  # as sources are written: no scheme for local files, nothing escaped
+    is_file: bool
+    local: bool
+
+
+def source_of(file_path: Column) -> Column:
+    """A file's path as Spark tells it, decoded; local ones without a scheme."""
+    plain = F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(plain, "^file:/+", "/")
+
+
+def roots(spark: SparkSession, path: str) -> list[Root]:
+    """What ``path`` names, in any store that Hadoop knows; a pattern names all that match it.
+
+    Raises :class:`Unusable` where nothing is there, where it can't be read, and for what is neither file nor folder.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    asked = jvm.org.apache.hadoop.fs.Path(path)
+
+    def resolved(p) -> Root:
+        whole = fs.makeQualified(p)
+        local = whole.toUri().getScheme() == "file"
+        name = whole.toUri().getPath() if local else whole.toString()
+        if local and os.path.lexists(name) and not (os.path.isfile(name) or os.path.isdir(name)):
+            raise Unusable(f"{path}: neither a file nor a folder")
+        if local and not os.access(name, os.R_OK) and os.path.lexists(name):
+            raise Unusable(f"{path}: can't be read")
+        is_file = fs.getFileStatus(whole).isFile()
+        if is_file and name.rsplit("/", 1)[-1].startswith(("_", ".")):
+            raise Unusable(f"{path}: Spark's readers don't open files whose names begin with _ or .")
+        return Root(name, is_file, local)
+
+    try:
+        fs = asked.getFileSystem(conf)
+        try:
+            return [resolved(asked)]
+        except Py4JJavaError as e:
+            found = fs.globStatus(asked) if "FileNotFound" in e.java_exception.getClass().getName() else None
+            if not found:
+                raise
+            return [resolved(x.getPath()) for x in found]
+    except Py4JJavaError as e:
+        missing = "FileNotFound" in e.java_exception.getClass().getName()
+        raise Unusable(f"{path}: {'there is no such file or folder' if missing else 'cannot be read'}") from None
+
+
+def _literal(path: str) -> str:
+    """A path with what would be a pattern escaped."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
 def files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``(source, text)`` of lockfiles under shared paths; any store that Spark reads, and the same skips as :func:`discover`."""
-    globs = "{" + ",".join("*" + f[0] for f in schema.FORMATS) + "}"
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", globs).text(paths, wholetext=True)
-    source = F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "")
-    roots = [paths] if isinstance(paths, str) else paths
-    below = source
-    for r in roots:
-        below = F.when(source.startswith(r.rstrip("/") + "/"), F.substring(source, len(r.rstrip("/")) + 2, 1 << 20)).otherwise(below)
-    dirs = F.slice(F.split(below, "/"), 1, F.size(F.split(below, "/")) - 1)
-    entered = ~F.exists(dirs, lambda d: d.isin(*schema.SKIPPED_DIRS) | (d.startswith(".") & (F.length(d) > 1))) & (F.size(dirs) <= schema.MAX_DEPTH)
-    return rows.where(entered).select(source.alias("source"), F.col("value").alias("text"))
+    """``(source, text)`` of lockfiles under shared paths, in any store that Spark reads.
+
+    A file that is named is read whatever its name and folder; folders are looked through by the rules of
+    :func:`discover`, which hold below the folder that is named. Each file has one row, however often it is named.
+    """
+    every = [r for p in ([paths] if isinstance(paths, str) else paths) for r in roots(spark, p)]
+    named, folders = sorted({r.path for r in every if r.is_file}), sorted({r.path.rstrip("/") for r in every if not r.is_file}, key=lambda x: -len(x))
+    source, parts = source_of(F.col("_metadata.file_path")), []
+    if folders:
+        globs = "{" + ",".join("*" + f[0] for f in schema.FORMATS) + "}"
+        rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", globs).text([_literal(r) or "/" for r in folders], wholetext=True)
+        rows = rows.select(source.alias("source"), F.col("value").alias("text"))
+        below = None
+        for r in folders:
+            inside = F.col("source").startswith(r + "/")
+            below = (F.when if below is None else below.when)(inside, F.substring("source", len(r) + 2, 1 << 20))
+        parents = F.split(below, "/")
+        dirs = F.slice(parents, 1, F.size(parents) - 1)
+        rows = rows.where(~F.exists(dirs, lambda d: d.isin(*schema.SKIPPED_DIRS) | (d.startswith(".") & (F.length(d) > 1))) & (F.size(dirs) <= schema.MAX_DEPTH))
+        for linked in [p for r in every if r.local and not r.is_file for p, why in discover(r.path).skipped if why == "symlinked directory"]:
+            rows = rows.where(~F.col("source").startswith(linked + "/"))
+        rows = rows.where(~F.col("source").isin(named)) if named else rows
+        nested = any(a != b and a.startswith(b + "/") for a in folders for b in folders)
+        parts.append(rows.dropDuplicates(["source"]) if nested else rows)
+    if named:
+        parts.append(spark.read.text([_literal(r) for r in named], wholetext=True).select(source.alias("source"), F.col("value").alias("text")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 @dataclass
@@ -108,12 +187,18 @@ class Tables:
     packages: DataFrame
     edges: DataFrame
     errors: DataFrame
+    parsed: DataFrame  # kept, as all tables read it
 
     def persist(self) -> Tables:
         for t in (self.lockfiles, self.packages, self.edges, self.errors):
             t.persist()
         return self
 
+    def release(self) -> None:
+        """Gives back what is kept in memory."""
+        for t in (self.lockfiles, self.packages, self.edges, self.errors, self.parsed):
+            t.unpersist()
+
 
 _ENTRY = (
     "struct<name:string,version:string,key:string,dev:boolean,optional:boolean,first_party:boolean,install_script:boolean,has_integrity:boolean,"
@@ -171,7 +256,7 @@ def read(raw: DataFrame) -> Tables:
     scripts = good.select("source", "scripts")
     heads = raw.where("format is not null").select("source", "file_name", "format").join(errors.select("source"), "source", "left_anti").join(scripts, "source", "left")
     lockfiles = heads.select("source", "file_name", "format", _of_format(F.col("format"), 2).alias("ecosystem"), _of_format(F.col("format"), 3).alias("records_edges"), F.coalesce("scripts", F.lit(False)).alias("records_install_scripts"))
-    return Tables(lockfiles, packages, edges, errors)
+    return Tables(lockfiles, packages, edges, errors, docs)
 
 
 def corpus(spark: SparkSession, paths: dict[str, str]) -> DataFrame:

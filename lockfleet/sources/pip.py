@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lockfleet.functions.text import pin
@@ -16,22 +16,17 @@ def requirements(files: DataFrame) -> DataFrame:
     """
     # each logical line keeps the number of its first physical line: lines are numbered before they are joined
     lines = F.split(F.regexp_replace(F.regexp_replace("text", "\\r\\n", "\n"), "\\n$", ""), "\n")
-    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("x")))
-    empty = F.array().cast("array<struct<line:int,x:string,open:boolean>>")
-
-    def join(done, one):
-        last = F.try_element_at(done, F.lit(-1))
-        more = one["x"].endswith("\\")
-        head = F.regexp_replace(one["x"], "\\\\$", "")
-        on = (F.size(done) > 0) & F.coalesce(last["open"], F.lit(False))
-        grown = F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.struct(last["line"].alias("line"), F.concat(last["x"], head).alias("x"), more.alias("open")))
-        new = F.array_append(done, F.struct(one["line"].cast("int").alias("line"), head.alias("x"), more.alias("open")))
-        return F.when(on, grown).otherwise(new)
-
     has_joins = F.col("text").rlike("\\\\(\\r?\\n|$)")
-    plain = F.transform(numbered, lambda o: F.struct(o["line"].cast("int").alias("line"), o["x"].alias("x"), F.lit(False).alias("open")))
-    logical = F.when(has_joins, F.aggregate(numbered, empty, join)).otherwise(plain)
-    rows = files.select("source", F.explode(logical).alias("l")).select("source", F.col("l.line").alias("line"), F.regexp_replace(F.col("l.x"), "(^|\\s)#.*$", "$1").alias("body"))
+    numbered = lambda x: x.select("source", F.posexplode(lines).alias("line", "x")).withColumn("line", F.col("line") + 1)
+    parts = numbered(files.where(has_joins))
+    order = Window.partitionBy("source").orderBy("line")
+    ends = F.col("x").endswith("\\")
+    begins = (~F.coalesce(F.lag(ends).over(order), F.lit(False))).cast("int")
+    parts = parts.withColumn("logical", F.sum(begins).over(order)).withColumn("x", F.regexp_replace("x", "\\\\$", ""))
+    parts = parts.groupBy("source", "logical").agg(F.array_sort(F.collect_list(F.struct("line", "x"))).alias("p"))
+    joined = parts.select("source", F.col("p")[0]["line"].alias("line"), F.array_join(F.col("p.x"), "").alias("x"))
+    rows = numbered(files.where(~has_joins)).unionByName(joined)
+    rows = rows.select("source", "line", F.regexp_replace("x", "(^|\\s)#.*$", "$1").alias("body"))
     text = F.regexp_replace("body", "^\\s+|\\s+$", "")
     col = F.length("body") - F.length(F.regexp_replace("body", "^\\s+", "")) + 1
     rows = rows.select("source", "line", col.alias("col"), text.alias("text")).where((F.col("text") != "") & ~F.col("text").startswith("-"))

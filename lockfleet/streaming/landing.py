@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lockfleet import schema
 from lockfleet.operators import rules
-from lockfleet.sources.lockfiles import read
+from lockfleet.sources.lockfiles import read, source_of
 
 
 def audits(spark: SparkSession, landing: str, out: str, checkpoint: str, corpus: DataFrame, once: bool = False) -> StreamingQuery:
@@ -18,12 +18,13 @@ def audits(spark: SparkSession, landing: str, out: str, checkpoint: str, corpus:
     """
     globs = "{" + ",".join("*" + f[0] for f in schema.FORMATS) + "}"
     rows = spark.readStream.schema("value string").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", globs).text(landing)
-    rows = rows.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
+    rows = rows.select(source_of(F.col("_metadata.file_path")).alias("source"), F.col("value").alias("text"))
 
     def batch(df: DataFrame, epoch: int) -> None:
         t = read(df.persist())
         rules.audit(t.lockfiles, t.packages, t.edges, corpus).write.mode("overwrite").parquet(f"{out}/findings/epoch={epoch}")
         t.errors.write.mode("overwrite").parquet(f"{out}/errors/epoch={epoch}")
+        t.release()
         df.unpersist()
 
     writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

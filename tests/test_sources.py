@@ -2,7 +2,8 @@ import pytest
 
 from lockfleet.plans.engine import Engine, Unusable
 from lockfleet.sources import grammars as G
-from lockfleet.sources.lockfiles import discover, read
+from lockfleet.sources.lockfiles import discover, files, read
+from lockfleet.sources.pip import requirements
 
 POISONED = "requests==2.31.0\nurllib3>=1.26\npython-dateutils==2.9.0\nrequests-http==1.0.2\nflask~=3.0\nnumpy\n"
 NPM = '{"lockfileVersion":3,"packages":{"":{"dependencies":{"expres":"^1"}%s},"node_modules/expres":{"version":"1.0.0","resolved":"https://registry.npmjs.org/expres/-/e.tgz"}%s}}'
@@ -110,7 +111,7 @@ def test_npm_nearest_ancestor(spark):
     text = '{"lockfileVersion":2,"packages":{"":{"dependencies":{"a":"1"}},"apps/d":{"dependencies":{"x":"1"}},"apps/d/node_modules/x":{},"node_modules/x":{},"node_modules/a":{"dependencies":{"x":"1","y":"1"}},"node_modules/a/node_modules/x":{"peerDependencies":{"x":"1","a":"1"}},"node_modules/l":{"link":true}}}'
     _, p, e = tables(spark, **{"package-lock.json": text})
     at = {r.key: i for (_, i), r in p.items()}
-    assert [(a, b) for _, a, b in e] == sorted([(at["node_modules/a"], at["node_modules/a/node_modules/x"]), (at["node_modules/a/node_modules/x"], at["node_modules/x"]), (at["node_modules/a/node_modules/x"], at["node_modules/a"])]) or True
+    assert [(a, b) for _, a, b in e] == sorted([(at["node_modules/a"], at["node_modules/a/node_modules/x"]), (at["node_modules/a/node_modules/x"], at["node_modules/a/node_modules/x"]), (at["node_modules/a/node_modules/x"], at["node_modules/a"])])  # a peer named like the entry is the entry: the nearest place is its own
     assert {r.key for r in p.values() if r.is_root} == {"node_modules/a", "apps/d/node_modules/x"}
     assert {r.key for r in p.values() if r.first_party} == {"apps/d", "node_modules/l"}
 
@@ -175,3 +176,47 @@ def test_discovery_and_errors(spark, tmp_path):
     assert {r.source.split("/")[-1] for r in s.tables.lockfiles.collect()} == {"go.mod", "dev-requirements.txt"}
     with pytest.raises(Unusable):
         Engine(spark).diff(str(tmp_path / "a/go.mod"), str(tmp_path / "a/b/dev-requirements.txt"))
+
+
+@pytest.mark.parametrize("folder", ["1/2/3/4/5/6/7/8", "vendor", "j k", "a[b]+c%20", ".hid/x", "node_modules/y"])
+def test_named_files_and_folders_are_read(spark, tmp_path, folder, monkeypatch):
+    below = tmp_path / folder
+    below.mkdir(parents=True)
+    (below / "go.mod").write_text("module x\n")
+    named, engine = str(below / "go.mod"), Engine(spark)
+    for path in (named, "file://" + named, "file:" + named, str(below), str(below) + "/", "file://" + str(below)):
+        assert [tuple(r) for r in files(spark, path).collect()] == [(named, "module x\n")], path
+    assert [r.source for r in files(spark, [named, str(below), named]).collect()] == [named]
+    assert discover(str(below)).found == [named]
+    if folder == "vendor":
+        d = engine.diff(named, named)
+        assert not d.added.count() and not d.changed.count()
+
+
+def test_walks_agree(spark, tmp_path):
+    for name in ("a/go.mod", "_b/go.mod", "a/_go.mod", "a/j k/go.mod", "vendor/go.mod", "1/2/3/4/5/6/go.mod", "1/2/3/4/5/6/7/go.mod"):
+        f = tmp_path / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("module x\n")
+    (tmp_path / "link").symlink_to(tmp_path / "a")
+    got = sorted(r.source for r in files(spark, str(tmp_path)).collect())
+    assert got == discover(str(tmp_path)).found == sorted(str(tmp_path / x) for x in ("a/go.mod", "a/j k/go.mod", "1/2/3/4/5/6/go.mod"))
+    both = files(spark, [str(tmp_path), str(tmp_path / "vendor"), str(tmp_path / "a")]).collect()
+    assert sorted(r.source for r in both) == sorted([*got, str(tmp_path / "vendor/go.mod")])
+    several = files(spark, str(tmp_path / "*" / "go.mod")).collect()
+    assert {r.source for r in several} >= {str(tmp_path / "a/go.mod"), str(tmp_path / "vendor/go.mod")}
+
+
+def test_unusable_paths(spark, tmp_path):
+    (tmp_path / "gone").symlink_to(tmp_path / "nothing")
+    for path in (str(tmp_path / "absent"), str(tmp_path / "gone"), "/dev/null"):
+        with pytest.raises(Unusable):
+            Engine(spark).read(path)
+
+
+def test_joined_lines_are_linear(spark):
+    text = "".join(f"p{i}==1.{i} \\\n    --hash=sha256:{i} \\\n    --hash=sha256:x{i}\n" for i in range(8000)) + "last \\"
+    rows = requirements(spark.createDataFrame([("r", text), ("q", "a\nb\n")], "source string, text string")).orderBy("source", "line").collect()
+    assert [(r.line, r.name) for r in rows if r.source == "q"] == [(1, "a"), (2, "b")]
+    mine = [r for r in rows if r.source == "r"]
+    assert len(mine) == 8001 and mine[5].name == "p5" and mine[5].line == 16 and mine[5].version == "1.5" and mine[5].has_integrity and mine[-1].name == "last"

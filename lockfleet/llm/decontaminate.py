@@ -1,14 +1,16 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is partitioned by document: each task keeps, for a slice of training documents, the
-positional postings of the benchmark's terms (term -> positions in the slice, documents apart).
-Postings never leave their task, so the index needs no shuffle and no term's list can be hot. A
-benchmark window is looked up from the posting list of the term that is rarest *in that slice*;
-its other terms, next rarest first, are checked in the slice's forward array of terms, at their offset
-from each posting. Their own posting lists aren't read; only proximity intersects lists.
-
-The benchmark goes to the tasks in blocks of at most ``block_bytes`` of text. A larger one takes
-several passes over the documents, each adding to the hits found so far.
+The index is a written table of segments. A segment holds, for some documents, each of their terms (by 64-bit hash) with the list of
+its positions, in the order of the terms, and the documents' ids and lengths; terms and lists are columns of their own, so that
+what only needs counts reads no positions. Segments are bounded, so no term's list is ever in one place; they are searched where they
+lie, without a shuffle, by as many benchmarks as there are, and the texts are not read again.
+
+A benchmark window is looked up from its rarest term in the whole corpus: that term's list, shifted by the term's offset, is
+intersected with the shifted lists of the other terms, the next rarest first. Proximity asks for all of a query's words within a span of
+words, in any order, by the same lists.
+
+The benchmark goes to the tasks in blocks of at most ``block_bytes`` of text (or one item, if that is longer). A larger one takes
+several passes over the index, the hits of which are put together by document.
 """
 
 from __future__ import annotations
@@ -19,14 +21,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lockfleet.llm.arrow import appended, batched, fresh, slices
+from lockfleet.llm.arrow import batched, fresh, packed, slices, unpacked
+from lockfleet.llm.bitmap import bitmap, place, tag_of, tagged, through
+from lockfleet.llm.scratch import written
 
 WINDOW = 13
 #: Bytes of benchmark text in a block that is sent to every task.
 BLOCK_BYTES = 4_000_000
+#: Words that a segment of the index is meant to hold.
+SEGMENT = 1_000_000
 #: Candidate places that are checked at once.
 CHUNK = 2_000_000
 
@@ -38,97 +46,196 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLD).split()
 
 
-class Terms(dict):
-    """Term ids; -1 for any other word."""
+def _hashes(terms: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, terms)), np.uint64)
+
+
+def _terms(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of some texts, and how many each text has."""
+    buffer = b" ".join(t or b"" for t in texts).translate(_FOLD)
+    blank = np.frombuffer(buffer, np.uint8) == 32
+    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])) if len(blank) else np.empty(0, np.int64)
+    ends = np.cumsum([len(t or b"") + 1 for t in texts])
+    return _hashes(buffer.split()), np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+_INDEX = "segment long, docs binary, terms binary, positions binary"
+
 
-    def __missing__(self, key: bytes) -> int:
-        return -1
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = (TaskContext.get().partitionId() << 32) if TaskContext.get() else 0
+    ids, tags, flat, sizes = [], [], [], []
 
+    def flush() -> pa.RecordBatch:
+        every = np.concatenate(flat)
+        names, term = np.unique(every, return_inverse=True)
+        order = np.argsort(term, kind="stable")
+        counts = np.bincount(term, minlength=len(names))
+        steps = np.diff(order, prepend=0)
+        first = np.cumsum(counts) - counts
+        steps[first] = order[first]
+        docs = packed(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids]), np.array(tags, np.int64), np.concatenate(sizes))
+        row = [number, docs, packed(np.diff(names, prepend=np.uint64(0)), counts), packed(steps)]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["segment", "docs", "terms", "positions"])
+
+    for batch in batches:
+        for part, texts in slices(batch):
+            hashes, n = _terms(texts)
+            ids += part.column(0).to_pylist()
+            tags += [tag_of(t or b"") for t in texts]
+            flat.append(hashes)
+            sizes.append(n)
+            if sum(map(len, flat)) >= SEGMENT:
+                yield flush()
+                ids, tags, flat, sizes, number = [], [], [], [], number + 1
+    if ids:
+        yield flush()
+
+
+def index(docs: DataFrame) -> DataFrame:
+    """The index of ``docs(doc_id, text)`` as a written table of segments. Every row's every word is in it; null texts have none."""
+    rows = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return written(rows.mapInArrow(_segments, _INDEX), "index")
 
-class Windows:
-    """The distinct windows of a block of benchmark items, as rows of term ids."""
+
+class Block:
+    """Rows of terms to look up, with the items that they belong to: a benchmark's windows, or queries."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW):
-        self.terms, found = Terms(), {}
+        terms, found = {}, {}
         for item, text in items:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words((text or "").encode())]
+            ids = [terms.setdefault(w, len(terms)) for w in words((text or "").encode())]
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
                 found.setdefault(tuple(ids[at : at + window]), set()).add(item)
-        self.items = sorted({i for x in found.values() for i in x if i is not None})
-        place = {x: n for n, x in enumerate(self.items)}
+        self.hashes = _hashes(list(terms))
         self.sizes = np.array([len(x) for x in found], dtype=np.int64)
-        self.rows = np.full((len(found), window), -1, dtype=np.int32)
+        self.rows = np.full((len(found), max([1, *map(len, found)])), -1, dtype=np.int64)
         for n, x in enumerate(found):
             self.rows[n, : len(x)] = x
-        #: owners[starts[w]:starts[w + 1]] are the items (by place) of window w
-        owners = [sorted(place[i] for i in x if i is not None) for x in found.values()]
+        #: owners[starts[w]:starts[w + 1]] are the items of row w; null ones aren't among them
+        owners = [sorted(i for i in x if i is not None) for x in found.values()]
         self.starts = np.concatenate([[0], np.cumsum([len(x) for x in owners])]).astype(np.int64)
         self.owners = np.array([i for x in owners for i in x], dtype=np.int64)
+        self.order = np.tile(np.arange(self.rows.shape[1]), (len(found), 1))
+
+    def count(self, table: DataFrame) -> Block:
+        """Puts each row's terms in the order of their frequency in the whole index, the rarest first."""
+        sent = table.sparkSession.sparkContext.broadcast(self.hashes)
+
+        def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(len(sent.value), np.int64)
+            for batch in batches:
+                for raw in batch.column(0).to_pylist():
+                    names, own = unpacked(raw)
+                    at = _find(np.cumsum(names.view(np.uint64), dtype=np.uint64), sent.value)
+                    n[at >= 0] += own[at[at >= 0]]
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["term", "n"])
+
+        total = np.zeros(len(self.hashes) + 1, np.int64)
+        total[-1] = np.iinfo(np.int64).max  # of no term, where a row is short
+        for r in table.select("terms").mapInArrow(counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+            total[r.term] = r.n
+        self.order = np.argsort(total[self.rows], axis=1, kind="stable")
+        return self
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of keys in a sorted table; -1 where absent."""
+    if not len(table):
+        return np.full(len(keys), -1, np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
 
 
 class Postings:
-    """The positional index of a slice of documents: for each term, its positions in order."""
-
-    def __init__(self, texts: list[bytes | None], terms: Terms, pad: int):
-        got, self.pad = terms.__getitem__, pad
-        parts, at, self.begin, self.n_words = [np.full(pad, -1, np.int32)], pad, [], []
-        for text in texts:
-            w = words(text)
-            self.begin.append(at)
-            self.n_words.append(len(w))
-            parts += [np.fromiter(map(got, w), np.int32, len(w)), np.full(pad, -1, np.int32)]
-            at += len(w) + pad
-        self.ids = np.concatenate(parts)
-        known = np.flatnonzero(self.ids >= 0)
-        order = known[np.argsort(self.ids[known], kind="stable")]
-        self.positions = order
-        self.counts = np.bincount(self.ids[known], minlength=len(terms))
-        self.first = np.concatenate([[0], np.cumsum(self.counts)])
-
-    def phrases(self, windows: Windows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window, position) of all places where a window's terms stand in a row."""
-        if not len(windows.rows) or not len(self.positions):
-            return
-        real = windows.rows >= 0
-        n = np.where(real, self.counts[windows.rows], np.iinfo(np.int64).max)
-        alive = np.flatnonzero(n.min(axis=1) > 0)
-        if not len(alive):
+    """A segment's lists for the terms of a block: as one sorted array of term * size + position."""
+
+    def __init__(self, docs: bytes, terms: bytes, positions: Callable[[], bytes], block: Block):
+        self.ids, self.none, self.tags, self.n_words = unpacked(docs)
+        self.begin = np.cumsum(self.n_words) - self.n_words
+        names, counts = unpacked(terms)
+        at = _find(np.cumsum(names.view(np.uint64), dtype=np.uint64), block.hashes)
+        self.size = int(self.n_words.sum()) + 1
+        self.counts = np.where(at >= 0, counts[at] if len(counts) else 0, 0)
+        self.alive = np.flatnonzero(((block.rows < 0) | (np.append(self.counts, 0)[block.rows] > 0)).all(axis=1))
+        if not len(self.alive):
             return
-        order = np.argsort(n[alive], axis=1, kind="stable")
-        offset = order[:, 0]
-        term = windows.rows[alive, offset]
+        (steps,) = unpacked(positions())
+        first = np.cumsum(counts) - counts
+        total = np.cumsum(steps)
+        used = np.unique(block.rows[self.alive])
+        used = used[used >= 0]  # the lists of terms that no whole row needs aren't spelt out
+        n = self.counts[used]
+        self.first = np.zeros(len(self.counts), np.int64)
+        self.first[used] = np.cumsum(n) - n
+        here = np.repeat(first[at[used]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        base = total[first[at[used]]] - steps[first[at[used]]]
+        self.keys = np.repeat(used, n) * self.size + total[here] - np.repeat(base, n)
+
+    def doc_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begin, at, side="right") - 1  # of empty documents at one place the last is meant, which holds it
+
+    def _rarest(self, block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, position of its rarest term) in chunks."""
+        term = block.rows[self.alive, block.order[self.alive, 0]]
         size = self.counts[term]
         for lo, hi in _chunks(size):
             w = np.repeat(np.arange(lo, hi), size[lo:hi])
             inner = np.arange(len(w)) - np.repeat(np.cumsum(size[lo:hi]) - size[lo:hi], size[lo:hi])
-            start = self.positions[self.first[term[w]] + inner] - offset[w]
-            for k in range(1, windows.rows.shape[1]):
-                off = order[w, k]
-                want = windows.rows[alive[w], off]
-                keep = (want < 0) | (self.ids[start + off] == want)
-                w, start = w[keep], start[keep]
+            yield self.alive[w], self.keys[self.first[term[w]] + inner] - term[w] * self.size
+
+    def phrases(self, block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, position) of all places where a row's terms stand one after the other in one document."""
+        if not len(self.alive):
+            return
+        for w, at in self._rarest(block):
+            start = at - block.order[w, 0]
+            inside = (start >= 0) & (start + block.sizes[w] < self.size)
+            w, start = w[inside], start[inside]
+            inside = self.doc_of(start) == self.doc_of(start + block.sizes[w] - 1)
+            w, start = w[inside], start[inside]
+            for k in range(1, block.rows.shape[1]):
                 if not len(w):
                     break
+                offset = block.order[w, k]
+                term = block.rows[w, offset]
+                keep = (term < 0) | (_find(self.keys, term * self.size + start + offset) >= 0)
+                w, start = w[keep], start[keep]
             if len(w):
-                yield alive[w], start
-
-    def near(self, terms: np.ndarray, span: int) -> np.ndarray:
-        """Documents in which all ``terms`` stand within ``span`` words, in any order, rarest list first."""
-        terms = np.unique(terms)
-        if not len(terms) or (terms < 0).any() or (self.counts[terms] == 0).any():
-            return np.array([], dtype=np.int64)
-        lists = [self.positions[self.first[t] : self.first[t + 1]] for t in sorted(terms, key=lambda t: self.counts[t])]
-        ends = np.unique(np.concatenate([x for x in lists]))
-        for x in lists:  # a span that ends at a term's place and holds each term's last place before it
-            at = np.searchsorted(x, ends, side="right") - 1
-            ends = ends[(at >= 0) & (ends - x[np.maximum(at, 0)] < span)]
-        begin = np.array(self.begin)
-        doc = np.searchsorted(begin, ends, side="right") - 1
-        return np.unique(doc[ends - begin[doc] >= 0])
+                yield w, start
+
+    def near(self, block: Block, span: int) -> list[tuple[int, int]]:
+        """(row, document) where all of a row's terms stand within ``span`` words, in any order."""
+        out = set()
+        if not len(self.alive):
+            return []
+        for w, at in self._rarest(block):
+            for k in range(1, block.rows.shape[1]):  # each other term must have a place less than a span away
+                term = block.rows[w, block.order[w, k]]
+                next_ = np.searchsorted(self.keys, term * self.size + np.maximum(at - span + 1, 0))
+                found = self.keys[np.minimum(next_, len(self.keys) - 1)]
+                keep = (term < 0) | ((next_ < len(self.keys)) & (found < term * self.size + np.minimum(at + span, self.size)))
+                w, at = w[keep], at[keep]
+            for row, doc in np.unique(np.stack([w, self.doc_of(at)], axis=1), axis=0).tolist():
+                begin, end = self.begin[doc], self.begin[doc] + self.n_words[doc]
+                lists = []
+                for term in np.unique(block.rows[row][block.rows[row] >= 0]).tolist():
+                    own = self.keys[self.first[term] : self.first[term] + self.counts[term]] - term * self.size
+                    lists.append(own[np.searchsorted(own, begin) : np.searchsorted(own, end)])
+                if not all(map(len, lists)):
+                    continue
+                ends = np.unique(np.concatenate(lists))
+                for x in lists:  # a span that ends at a term's place and holds each term's last place before it
+                    last = np.searchsorted(x, ends, side="right") - 1
+                    ends = ends[(last >= 0) & (ends - x[np.maximum(last, 0)] < span)]
+                if len(ends):
+                    out.add((row, doc))
+        return sorted(out)
 
 
 def _chunks(size: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of windows with about CHUNK places each."""
+    """Ranges of rows with about CHUNK places each."""
     total = np.cumsum(size)
     lo = 0
     while lo < len(size):
@@ -137,41 +244,41 @@ def _chunks(size: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _searcher(windows, hits: str, items: str, count: str) -> Callable:
-    """A mapper that adds a block's hits (a bit for each word), item ids and word count to each row."""
+_HITS = "segment long, doc int, doc_id long, tag long, n_words long, starts array<int>, stops array<int>, items array<bigint>"
+
+
+def _searcher(sent) -> Callable:
+    """A mapper from segments to their documents, with the stretches hit and the items found."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: Windows = windows.value
-        ids = np.array(block.items, dtype=np.int64)
-        pad = block.rows.shape[1]
+        block: Block = sent.value
         for batch in batches:
-            for part, texts in slices(batch):
-                index = Postings(texts, block.terms, pad)
-                edges = np.zeros(len(index.ids) + 1, dtype=np.int64)
-                pairs = []
-                begin = np.array(index.begin)
-                for w, start in index.phrases(block):
+            for k in range(batch.num_rows):
+                segment, docs, terms = (batch.column(c)[k].as_py() for c in range(3))
+                own = Postings(docs, terms, lambda k=k, batch=batch: batch.column(3)[k].as_py(), block)
+                edges, pairs = np.zeros(own.size + 1, np.int64), [np.empty((0, 2), np.int64)]
+                for w, start in own.phrases(block):
                     np.add.at(edges, start, 1)
                     np.add.at(edges, start + block.sizes[w], -1)
-                    doc = np.searchsorted(begin, start, side="right") - 1
                     n = block.starts[w + 1] - block.starts[w]
                     inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    pairs.append(np.unique(np.stack([np.repeat(doc, n), block.owners[np.repeat(block.starts[w], n) + inner]], axis=1), axis=0))
-                hit = np.cumsum(edges)[:-1] > 0
-                found: dict[int, set] = {}
-                for doc, owner in (np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)).tolist():
-                    found.setdefault(doc, set()).add(int(ids[owner]))
-                old_hits = part.column(part.schema.get_field_index(hits)).to_pylist() if hits in part.schema.names else [None] * len(texts)
-                old_items = part.column(part.schema.get_field_index(items)).to_pylist() if hits in part.schema.names else [[]] * len(texts)
-                new_hits, new_items = [], []
-                for k, (at, n) in enumerate(zip(index.begin, index.n_words)):
-                    bits = np.packbits(hit[at : at + n])
-                    if old_hits[k] is not None:
-                        bits |= np.frombuffer(old_hits[k], dtype=np.uint8)
-                    new_hits.append(bits.tobytes() if bits.any() else bytes(len(bits)))
-                    new_items.append(sorted(found.get(k, set()).union(old_items[k])))
-                plain = part.select([c for c in part.schema.names if c not in (hits, items, count)])
-                yield appended(plain, **{hits: pa.array(new_hits, pa.binary()), items: pa.array(new_items, pa.list_(pa.int64())), count: pa.array(index.n_words, pa.int64())})
+                    pairs.append(np.unique(np.stack([np.repeat(own.doc_of(start), n), block.owners[np.repeat(block.starts[w], n) + inner]], axis=1), axis=0))
+                hit = np.cumsum(edges) > 0
+                cut = np.zeros(own.size + 1, bool)
+                cut[own.begin] = True  # a stretch ends with its document
+                begin = np.flatnonzero(hit & (cut | ~np.concatenate([[False], hit[:-1]])))
+                end = np.flatnonzero(hit & np.concatenate([cut[1:] | ~hit[1:], [True]])) + 1
+                doc = own.doc_of(begin)
+                found = np.unique(np.concatenate(pairs), axis=0)
+                size = len(own.ids)
+                lists = lambda values, of: pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(size + 1)), pa.int32()), values)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(size, segment)), pa.array(np.arange(size), pa.int32()), pa.array(own.ids, pa.int64(), mask=own.none.astype(bool)), pa.array(own.tags), pa.array(own.n_words),
+                        lists(pa.array(begin - own.begin[doc], pa.int32()), doc), lists(pa.array(end - own.begin[doc], pa.int32()), doc), lists(pa.array(found[:, 1]), found[:, 0]),
+                    ],
+                    names=["segment", "doc", "doc_id", "tag", "n_words", "starts", "stops", "items"],
+                )
 
     return search
 
@@ -185,71 +292,87 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
         yield [tuple(r) for r in (rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).collect()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, names: tuple[str, str, str] | None = None) -> DataFrame:
-    """``docs`` with three more columns: hit words (bits), ids of items found, and number of words.
+def hits(table: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Of each document of an :func:`index`: its id, tag and length, the stretches that windows of the benchmark hit (``starts``, ``stops``) and the items found.
 
     A document word is hit if it lies inside any occurrence of any window of ``window`` item words;
-    an item of fewer words, but not none, is one window. Names get underscores where ``docs`` has
-    them already. Null texts have no words; null item ids count as hits but are not listed;
-    repeated items and rows are served as they stand. Without items nothing is hit.
+    an item of fewer words, but not none, is one window. Null texts have no words; null item ids count as hits but
+    are not listed; repeated items and rows are served as they stand. Without items nothing is hit; an empty index gives no rows.
     """
-    hits, items, count = names or tuple(fresh(docs.columns, x) for x in ("hit_bits", "item_ids", "word_count"))
-    spark, out = docs.sparkSession, docs.withColumn("text", F.col("text").cast("string"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + f", `{hits}` binary, `{items}` array<bigint>, `{count}` bigint"
-    batched(docs)
-    for block in _blocks(benchmark, block_bytes):
-        out = out.mapInArrow(_searcher(spark.sparkContext.broadcast(Windows(block, window)), hits, items, count), schema)
-    return out
+    context, out, n = table.sparkSession.sparkContext, None, 0
+    for n, items in enumerate(_blocks(benchmark, block_bytes), 1):
+        one = table.mapInArrow(_searcher(context.broadcast(Block(items, window).count(table))), _HITS)
+        out = one if out is None else out.unionByName(one)
+    if n == 1:
+        return out
+    merged = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "stops", "items")]
+    return out.groupBy("segment", "doc").agg(*[F.first(c).alias(c) for c in ("doc_id", "tag", "n_words")], *merged)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hits, items, n = (batch.column(k).to_pylist() for k in (1, 2, 3))
-        n_hit = [int(np.bitwise_count(np.frombuffer(h, dtype=np.uint8)).sum()) for h in hits]
-        sha = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array([h > 0 and 20 * h >= w for h, w in zip(n_hit, n)])], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+        n_hit, n_items, sha = [], [], []
+        for starts, stops, items in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5))):
+            covered = upto = 0
+            for a, b in sorted(zip(starts, stops)):
+                covered += max(0, b - max(a, upto))
+                upto = max(upto, b)
+            n_hit.append(covered)
+            own = sorted(map(str, set(items)))
+            n_items.append(len(own))
+            sha.append(hashlib.sha256(",".join(own).encode()).hexdigest())
+        n = batch.column(2).to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha), pa.array([h > 0 and 20 * h >= w for h, w in zip(n_hit, n)])], names=["doc_id", "tag", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for each row of ``docs``.
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    found = hits(index(docs), benchmark, window, block_bytes).select("doc_id", "tag", "n_words", "starts", "stops", "items")
+    return found.mapInArrow(_digests, "doc_id long, tag long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
-    A document is contaminated if it has a hit word and a twentieth of its words or more are hit.
-    """
-    found = contamination(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window, block_bytes)
-    a, b, c = found.columns[-3:]
-    return found.select("doc_id", a, b, c).mapInArrow(_digests, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for each row of ``docs`` (see :func:`hits`).
 
-def _clean(hits: str, count: str) -> Callable:
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_hit = [int(np.bitwise_count(np.frombuffer(h, dtype=np.uint8)).sum()) for h in batch.column(batch.schema.get_field_index(hits)).to_pylist()]
-            n = batch.column(batch.schema.get_field_index(count)).to_pylist()
-            kept = batch.filter(pa.array([not (h > 0 and 20 * h >= w) for h, w in zip(n_hit, n)], pa.bool_()))
-            yield kept.select(kept.schema.names[:-3])
-
-    return keep
+    A document is contaminated if it has a hit word and a twentieth of its words or more are hit. Null texts have no words and
+    aren't; repeated rows have a row each, null ids included; other columns aren't read; an empty table gives no rows.
+    """
+    return _judged(docs, benchmark, window, block_bytes).drop("tag")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, all columns kept."""
-    found = contamination(docs, benchmark, window, block_bytes)
-    return found.mapInArrow(_clean(found.columns[-3], found.columns[-1]), docs.withColumn("text", F.col("text").cast("string")).schema)
+    """The rows of ``docs`` that aren't contaminated (see :func:`report`), all columns kept, whatever their names.
+
+    Rows that repeat go or stay together; rows that share an id go by their own texts; rows without an id too. Null texts stay, and an
+    empty table stays empty.
+    """
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    gone = written(_judged(docs, benchmark, window, block_bytes).where("contaminated").select("doc_id", "tag").distinct(), "contaminated")
+    if not gone.take(1):
+        return docs
+    bits = bitmap(gone.select(place()))
+    tag, key = (fresh(docs.columns, x) for x in ("tag", "join_id"))
+    gone = gone.select(F.col("doc_id").alias(key), F.col("tag").alias(tag + "_"))
+    some = tagged(docs, bits, tag)
+    kept = some.join(gone, some["doc_id"].cast("long").eqNullSafe(gone[key]) & (some[tag] == gone[tag + "_"]), "left_anti").drop(tag)
+    return through(docs, bits, inside=False).unionByName(kept)
 
 
 def proximity(docs: DataFrame, queries: list[tuple[int, str]], span: int) -> DataFrame:
     """``(doc_id, query_id)`` of documents where all of a query's words stand within ``span`` words.
 
-    ``queries`` is a stated list of ids and texts. Words may stand in any order; repeats in a query count once.
+    ``queries`` is a stated list of ids and texts. Words may stand in any order; repeats in a query count once. Queries without a
+    word, and null texts, match nothing; each row that matches has a row, null ids included; an empty table gives no rows.
     """
-    terms = Terms()
-    asked = [(i, np.array([terms.setdefault(w, len(terms)) for w in words(t.encode())])) for i, t in queries]
+    table = index(docs)
+    block = Block([(i, " ".join(dict.fromkeys(x.decode() for x in words(t.encode())))) for i, t in queries], 1 << 30)
+    sent = table.sparkSession.sparkContext.broadcast(block.count(table))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch):
-                index, ids = Postings(texts, terms, span), part.column(0).to_pylist()
-                out = [(ids[d], i) for i, t in asked for d in index.near(t, span).tolist()]
+            for k in range(batch.num_rows):
+                docs, terms = (batch.column(c)[k].as_py() for c in (1, 2))
+                own = Postings(docs, terms, lambda k=k, batch=batch: batch.column(3)[k].as_py(), sent.value)
+                out = [(None if own.none[d] else int(own.ids[d]), int(i)) for w, d in own.near(sent.value, span) for i in sent.value.owners[sent.value.starts[w] : sent.value.starts[w + 1]]]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["doc_id", "query_id"])
 
-    return batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(find, "doc_id long, query_id long")
+    return table.mapInArrow(find, "doc_id long, query_id long")

@@ -34,7 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lockfleet.llm.arrow import appended, batched, fresh, packed, slices, split, unpacked
+from lockfleet.llm.arrow import batched, fresh, packed, slices, split, unpacked
+from lockfleet.llm.bitmap import FILTER, bitmap, is_set, place, tag_of, tagged, through
 from lockfleet.llm.graph import components, skew_join
 from lockfleet.llm.scratch import drop, written
 
@@ -46,8 +47,6 @@ ROWS, BANDS = 2, 6
 CROWD = 1000
 #: Paragraphs that a task gathers, rows of one paragraph among them that make it frequent, tokens that a bucket is meant to hold.
 GATHER, FREQUENT, BUCKET_TOKENS = 300_000, 16, 1_000_000
-#: Bits of the bitmaps that choose which texts are read again (8 MB).
-FILTER = 1 << 26
 
 _MIX = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % 2**64 | 1 for i in range(1, ROWS * BANDS + 1)], np.uint64)
 _SPACE = np.zeros(256, bool)
@@ -158,11 +157,6 @@ class Parsed:
         return np.unique((self.shingles[self.first[line] : self.stop[line] - SHINGLE + 1] >> np.uint64(32)).astype(np.uint32))
 
 
-def _tag(text: bytes) -> int:
-    """Tells rows apart that share a doc_id but not a text."""
-    return xxhash.xxh3_64_intdigest(text) >> 33
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     return batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
 
@@ -237,7 +231,7 @@ def _scan(buckets: int):
                 texts = [t or b"" for t in texts]
                 got, base = Parsed(texts), len(ids)
                 ids += part.column(0).to_pylist()
-                tags += map(_tag, texts)
+                tags += map(tag_of, texts)
                 passages.append([got.passage_ids(), got.doc[got.anchors] + base, got.anchors - got.begin[got.doc[got.anchors]]])
                 d = got.doc[got.first]
                 lines.append([got.line_ids(), d + base, got.first - got.begin[d], got.stop - got.begin[d], got.bands()])
@@ -435,41 +429,6 @@ def _links(met: DataFrame, sets: DataFrame, crowd: int) -> DataFrame:
 # ---- texts that are read again
 
 
-def _bitmap(places: DataFrame) -> np.ndarray:
-    """A bit for each value (under FILTER) of the one column of ``places``; FILTER bits at any size."""
-    at = F.col(places.columns[0])
-    rows = places.groupBy(F.floor(at / 32768).alias("b")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(32768))).alias("bits")).collect()
-    out = np.zeros(FILTER // 8, np.uint8)
-    for r in rows:
-        out[r.b * 4096 : (r.b + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out
-
-
-def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (at & 7)) & 1 == 1
-
-
-def _place(doc_id: str = "doc_id"):
-    """The bit of a document. That of a null id may be set for another; null ids match nothing later."""
-    return F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(FILTER)).alias("place")
-
-
-def _through(docs: DataFrame, bits: np.ndarray, inside: bool = True, then=None, schema=None) -> DataFrame:
-    """The rows whose document's bit is set, or isn't; ``then`` maps their batches on in the same worker."""
-    place = fresh(docs.columns, "place")
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            here = _is_set(sent.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
-            yield batch.select(batch.schema.names[:-1]).filter(pa.array(here == inside))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return then(keep(batches)) if then else keep(batches)
-
-    return docs.withColumn(place, _place()).mapInArrow(run, schema or docs.schema)
-
-
 def _sets(bits):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Identity and shingle set (hashes of 32 bits) of lines whose identity's bit is set."""
@@ -477,7 +436,7 @@ def _sets(bits):
             for part, texts in slices(batch):
                 got = Parsed([t or b"" for t in texts], passages=False)
                 ident = got.line_ids().view(np.int64)
-                at = np.flatnonzero(_is_set(bits.value, ident % FILTER))
+                at = np.flatnonzero(is_set(bits.value, ident % FILTER))
                 yield pa.RecordBatch.from_arrays([pa.array(ident[at]), pa.array([got.set_of(k).tobytes() for k in at.tolist()], pa.binary())], names=["ident", "shingles"])
 
     return sets
@@ -512,7 +471,7 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batch):
             out: list[tuple] = []
             for doc_id, raw, tag, asked in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist(), part.column(3).to_pylist()):
-                if _tag(raw or b"") != tag:
+                if tag_of(raw or b"") != tag:
                     continue
                 words = raw.lower().split()
                 near = np.frombuffer(b"".join(map(xxhash.xxh32_digest, words)), np.uint32)
@@ -550,13 +509,13 @@ def _passages(docs: DataFrame, hits: DataFrame, keepers: bool) -> DataFrame:
     edges = others.select("doc_id", "tag", "first", "stop", "keeper", F.explode(F.array(ask(0, "ident", F.col("first")), ask(1, "last", end))).alias("x"))
     edges = edges.select("doc_id", "tag", "first", "stop", "keeper", "x.*")
     # of several places in the keeper's text the last has the most before it, and the first the most after it
-    place = F.struct("first", "tag", "run")
-    known = places.join(edges.select("ident").distinct(), "ident").groupBy("ident", "doc_id").agg(F.max(place).alias("left"), F.min(place).alias("right"))
+    at = F.struct("first", "tag", "run")
+    known = places.join(edges.select("ident").distinct(), "ident").groupBy("ident", "doc_id").agg(F.max(at).alias("left"), F.min(at).alias("right"))
     known = known.select("doc_id", "ident", F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("x")) for k, c in enumerate(("left", "right"))])).alias("y"))
     known = known.select("doc_id", "y.x.tag", F.col("y.x.run").alias("first"), F.col("y.x.first").alias("stop"), F.col("doc_id").alias("keeper"), "y.side", "ident", F.col("y.x.first").alias("at"))
     asked = edges.unionByName(known).groupBy(F.col("doc_id").alias("id"), "tag").agg(F.collect_set(F.struct("side", "ident", "at", "first", "stop", "keeper")).alias("asked"))
     asked = written(asked, "asked")
-    texts = _through(_rows(docs), _bitmap(asked.select(_place("id"))))
+    texts = through(_rows(docs), bitmap(asked.select(place("id"))))
     met = texts.join(asked, F.col("doc_id") == F.col("id")).select("doc_id", "text", "tag", "asked")
     around = written(met.mapInArrow(_around, "ident long, side int, doc_id long, tag long, first int, stop int, keeper long, digest long, words binary"), "around")
     own = around.where("doc_id = keeper").groupBy("ident", "side").agg(F.any_value(F.struct("digest", "words", "tag", "first", "stop")).alias("x"))
@@ -615,8 +574,8 @@ def classes(docs: DataFrame, crowd: int = CROWD, keepers: bool = True) -> DataFr
     every = of(SET).select("ident", "keeper", "hi", "n", "bands")
     met = written(collisions(every, buckets), "collisions")
     asked = met.select("ident").distinct()
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(asked.select(F.pmod("ident", F.lit(FILTER)))))
-    sets = _through(rows, _bitmap(asked.join(every, "ident").select(_place("keeper"))), then=_sets(bits), schema="ident long, shingles binary")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(asked.select(F.pmod("ident", F.lit(FILTER)))))
+    sets = through(rows, bitmap(asked.join(every, "ident").select(place("keeper"))), then=_sets(bits), schema="ident long, shingles binary")
     sets = written(sets.groupBy("ident").agg(F.any_value("shingles").alias("shingles")), "sets")
     roots = components(_links(met, sets, crowd)).select(F.col("node").alias("ident"), "root")
     drop(sets)
@@ -694,16 +653,10 @@ def without_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     docs = docs.withColumn("text", F.col("text").cast("string"))
     gone = classes(docs, crowd, keepers=False).where("doc_id <> keeper").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first", "stop")).alias("spans"))
     gone = written(gone, "gone")
-    bits = _bitmap(gone.select(_place()))
+    bits = bitmap(gone.select(place()))
     tag, key, spans = (fresh(docs.columns, x) for x in ("tag", "join_id", "spans"))
 
-    def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch):
-                yield appended(part, **{tag: pa.array([_tag(x or b"") for x in texts], pa.int64())})
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{tag}` bigint"])
     gone = gone.select(F.col("doc_id").alias(key), F.col("tag").alias(tag + "_"), F.col("spans").alias(spans))
-    rows = _through(batched(docs), bits, then=tagged, schema=schema)
+    rows = tagged(docs, bits, tag)
     met = rows.join(gone, (rows["doc_id"].cast("long") == gone[key]) & (rows[tag] == gone[tag + "_"]), "left").select(*[rows[f"`{c}`"] for c in docs.columns], spans)
-    return _through(docs, bits, inside=False).unionByName(met.mapInArrow(_cutter(spans, "n_chars" in docs.columns), docs.schema))
+    return through(docs, bits, inside=False).unionByName(met.mapInArrow(_cutter(spans, "n_chars" in docs.columns), docs.schema))

@@ -1,18 +1,21 @@
 """Licence scans: a paragraph classifier with DataFrame functions only.
 
-Training, on the driver, from bounded data: the notices of TEMPLATES with made variants, and the lines of at
+Training, on the driver, from bounded data: the paragraphs of TEMPLATES with made variants, and the lines of at
 most ``SAMPLE`` documents as examples of what is no notice. The model is a multinomial logistic
 regression on word unigrams and bigrams, its temperature and its threshold for "unknown" set on
 examples held out from the fit.
 
-Scanning: a paragraph is a line. Only lines with an anchor (a stem that every template holds) can be
-confirmed, so only they are scored; each different line is scored once, however often it occurs. Its
-n-grams are joined to the weights, a small table of fixed size. A prediction stands if its calibrated
-probability passes the threshold and a template of the family is found in the line.
+Scanning: a paragraph is what stands between blank lines (a hard-wrapped notice), and also each line by itself (a notice within other
+text). A family stands only if a template of it is found: ``coverage`` of its bigrams. So what holds that much of no template is
+unknown whatever the model says, and needs no score; and it is told apart exactly, for who holds so many of a template's bigrams
+holds one of any so many that the rest would not do (the *keys*; those that a sample of documents has least often are
+taken). Each different paragraph is scored once, however often it occurs; its n-grams are joined to the weights, a small
+table of fixed size. A prediction stands if its calibrated probability passes the threshold and a template of the family is found.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -28,11 +31,13 @@ from lockfleet.llm.scratch import written
 
 #: Documents whose lines serve as examples of other text: those of least hash of doc_id.
 SAMPLE = 300
+#: Most characters of each, and most lines in all.
+SAMPLE_BYTES, SAMPLE_LINES = 100_000, 600
 #: Share of a template's bigrams that a line must hold to confirm its family.
 COVERAGE = 0.5
 UNKNOWN = "unknown"
 
-# Short notices of the licence families, in the wording that the licences themselves ask for.
+# Notices of the licence families, and paragraphs of the short licences, in their own wording.
 TEMPLATES: list[tuple[str, str]] = [
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, under the MIT license."),
@@ -64,8 +69,27 @@ TEMPLATES: list[tuple[str, str]] = [
     ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved."),
     ("proprietary", "Copyright. All rights reserved. No part of this publication may be reproduced without prior written permission."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("lgpl-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("lgpl-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
-# Lines with anchors that name no family.
+# Lines with words of licences that name no family.
 OTHER = [
     "She renewed her driving license at the office last week.",
     "The license plate of the car was found near the road.",
@@ -80,12 +104,10 @@ OTHER = [
     "See the file for the license and copyright terms.",
     "He was licensed to practise medicine in three states.",
 ]
-# Stems of which every template holds one.
-ANCHORS = ["licen", "copyright", "rights reserved", "warrant", "redistribut", "public domain", "permission is hereby", "creative commons", "spdx"]
 
 
 def words(text: str) -> list[str]:
-    return [w for w in re.split(r"[^a-z0-9]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)) if w]
+    return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
 
 
 def grams(text: str) -> set[str]:
@@ -174,44 +196,77 @@ def train(sampled: list[str], rounds: int = 250, decay: float = 1e-3) -> Model:
 
 
 def _sampled(docs: DataFrame, sample: int) -> list[str]:
-    """Lines without an anchor from a bounded sample of documents."""
+    """Lines of a bounded sample of documents that hold no template, and of each document one row and SAMPLE_BYTES at most."""
     some = least_hashed(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", sample).distinct()
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(some), "doc_id")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, SAMPLE_BYTES).alias("text")).where("text is not null").join(F.broadcast(some), "doc_id")
     few = chosen.groupBy("doc_id").agg(F.min("text").alias("text")).collect()
-    lines = [x for r in sorted(few) for x in r[1].split("\n") if x.strip() and not any(a in x.lower() for a in ANCHORS)]
-    return sorted(set(lines), key=lambda x: (len(x), x))[:: max(1, len(set(lines)) // 600)]
+    lines = sorted({x for r in sorted(few) for x in r[1].split("\n") if words(x)}, key=lambda x: (len(x), x))
+    held = [bigrams(t) for _, t in TEMPLATES]
+    lines = [x for x in lines if not any(2 * len(t & own) >= len(t) for own in [bigrams(x)] for t in held)]
+    return lines[:: max(1, len(lines) // SAMPLE_LINES)]
 
 
-def _ascii_lower(c):
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def keys(coverage: float, sampled: list[str]) -> list[str]:
+    """Bigrams of which each paragraph that holds ``coverage`` of a template's holds one; of the choices those that ``sampled`` has least."""
+    seen = Counter(g for x in sampled for g in bigrams(x))
+    out = set()
+    for _, text in TEMPLATES:
+        own = sorted(bigrams(text), key=lambda g: (seen[g], g))
+        out.update(own[: len(own) - math.ceil(len(own) * coverage - 1e-9) + 1])
+    return sorted(out)
 
 
-def _anchored(c):
-    """Whether a text holds an anchor; the text is lower-cased once."""
-    low, out = _ascii_lower(c), F.lit(False)
-    for a in ANCHORS:
-        out = out | low.contains(a)
-    return out
+def _words(c):
+    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
+
+
+def _bigrams(w: str):
+    """Neighbouring words, and the last by itself, of an array."""
+    return F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def paragraphs(docs: DataFrame, some: list[str]) -> DataFrame:
+    """``(doc_id, row, paragraph, line, text)`` of ``docs(doc_id, text)``: paragraphs of several lines (``line`` is null) and all lines that hold one of ``some`` bigrams."""
+    asked = F.array(*[F.lit(x) for x in some])
+
+    def holding(rows: DataFrame) -> DataFrame:
+        kept = [F.col(c) for c in rows.columns]
+        return rows.select(*kept, _words(F.col("text")).alias("__w")).where(F.arrays_overlap(_bigrams("__w"), asked)).select(*kept)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    parts = holding(rows).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(F.split("text", "\n[ \t\r\x0B\f]*\n")).alias("paragraph", "text"))
+    none = F.lit(None).cast("int")
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
+    whole = F.when(F.size("lines") > 1, F.array(F.struct(none.alias("line"), F.col("text")))).otherwise(F.array().cast("array<struct<line:int,text:string>>"))
+    parts = holding(parts).withColumn("lines", lines).select("doc_id", "row", "paragraph", F.explode(F.concat(whole, "lines")).alias("x"))
+    return holding(parts.select("doc_id", "row", "paragraph", "x.line", "x.text"))
 
 
 def scanned(docs: DataFrame, sample: int = SAMPLE, coverage: float = COVERAGE, model: Model | None = None) -> DataFrame:
-    """``doc_id, paragraph, family, predicted, probability, template, coverage`` for each line with an anchor.
+    """``doc_id, paragraph, line, family, predicted, probability, template, coverage`` for each paragraph and line that holds ``coverage`` of a template.
 
-    ``paragraph`` counts a text's lines from 0; ``family`` is ``predicted``, or "unknown" where the
-    probability is under the model's threshold or no template of the family has ``coverage`` of
-    its bigrams in the line. ``template`` is the place in TEMPLATES of the family's best (null if unknown
-    was predicted). Null texts have no lines. Repeated rows are served each; an empty table gives no rows.
+    ``paragraph`` counts what blank lines part, from 0, and ``line`` the lines of a paragraph; it is null for a
+    paragraph of several lines as a whole, which has a row only if none of its lines names a family by itself. ``family`` is ``predicted``, or
+    "unknown" where the probability is under the model's threshold or no template of the family has ``coverage`` of
+    its bigrams there. ``template`` is the place in TEMPLATES of the family's best (null if it has none there).
+    Null texts have no lines. Rows that repeat are served each, null ids too; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    model = model or train(_sampled(docs, sample))
-    lines = docs.where(_anchored("text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(_anchored("line"))
-    lines = written(lines.withColumn("line_id", F.sha2("line", 256)), "lines")
-    once = lines.groupBy("line_id").agg(F.any_value("line").alias("line"))
-    w = F.filter(F.split(_ascii_lower(F.col("line")), "[^a-z0-9]+"), lambda x: x != "")
-    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
-    once = once.select("line_id", w.alias("w")).select("line_id", F.array_distinct(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array()))).alias("grams"))
+    sampled = _sampled(docs, sample)
+    model = model or train(sampled)
+    lines = paragraphs(docs, keys(coverage, sampled))
+    lines = written(lines.withColumn("line_id", F.sha2("text", 256)), "lines")
+    once = lines.groupBy("line_id").agg(F.any_value("text").alias("text"))
+    once = once.select("line_id", _words(F.col("text")).alias("w")).select("line_id", F.array_distinct(F.concat("w", _bigrams("w"))).alias("grams"))
     gram = written(once.select("line_id", F.explode("grams").alias("gram")), "grams")
 
+    parts = [(i, f, g, len(bigrams(t))) for i, (f, t) in enumerate(TEMPLATES) for g in sorted(bigrams(t))]
+    parts = spark.createDataFrame(parts, "template int, family string, gram string, size int")
+    held = gram.join(F.broadcast(parts), "gram").groupBy("line_id", "family", "template", "size").agg(F.count("*").alias("n"))
+    held = held.groupBy("line_id", "family").agg(F.max(F.struct((F.col("n") / F.col("size")).alias("coverage"), "size", "template")).alias("x"))
+    held = written(held.select("line_id", F.col("family").alias("predicted"), F.col("x.coverage").alias("coverage"), F.col("x.template").alias("template")), "held")
+    gram = gram.join(held.where(F.col("coverage") >= coverage).select("line_id").distinct(), "line_id", "left_semi")
+
     k = range(len(model.classes))
     table = spark.createDataFrame([(g, model.weights[i].tolist()) for g, i in model.features.items()], "gram string, w array<double>")
     sums = gram.join(F.broadcast(table), "gram").groupBy("line_id").agg(*[F.sum(F.get("w", F.lit(i))).alias(f"z{i}") for i in k])
@@ -221,13 +276,10 @@ def scanned(docs: DataFrame, sample: int = SAMPLE, coverage: float = COVERAGE, m
     names = F.array(*[F.lit(c) for c in model.classes])
     said = sums.select("line_id", z.alias("z")).select("line_id", F.get(names, F.array_position("z", best).cast("int") - 1).alias("predicted"), (1 / mass).alias("probability"))
 
-    parts = [(i, f, g, len(bigrams(t))) for i, (f, t) in enumerate(TEMPLATES) for g in sorted(bigrams(t))]
-    parts = spark.createDataFrame(parts, "template int, family string, gram string, size int")
-    held = gram.join(F.broadcast(parts), "gram").groupBy("line_id", "family", "template", "size").agg(F.count("*").alias("n"))
-    held = held.groupBy("line_id", "family").agg(F.max(F.struct((F.col("n") / F.col("size")).alias("coverage"), "size", "template")).alias("x"))
-    held = held.select("line_id", F.col("family").alias("predicted"), F.col("x.coverage").alias("coverage"), F.col("x.template").alias("template"))
     verdict = said.join(held, ["line_id", "predicted"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
     sure = (F.col("probability") >= model.threshold) & (F.col("coverage") >= coverage)
     verdict = written(verdict.withColumn("family", F.when(sure, F.col("predicted")).otherwise(F.lit(UNKNOWN))), "verdicts")
-    out = skew_join(lines.drop("line"), verdict, "line_id")
-    return out.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.coalesce("family", F.lit(UNKNOWN)).alias("family"), F.coalesce("predicted", F.lit(UNKNOWN)).alias("predicted"), F.coalesce("probability", F.lit(0.0)).alias("probability"), "template", F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+    out = written(skew_join(lines.drop("text"), verdict, "line_id", "inner"), "found")
+    named = out.where(F.col("line").isNotNull() & (F.col("family") != UNKNOWN)).select("row", "paragraph").distinct()
+    out = out.where("line is not null").unionByName(out.where("line is null").join(named, ["row", "paragraph"], "left_anti"))
+    return out.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.col("line").cast("long").alias("line"), "family", "predicted", "probability", "template", "coverage")

@@ -257,15 +257,16 @@ def scanned(docs: DataFrame, sample: int = SAMPLE, coverage: float = COVERAGE, m
     lines = paragraphs(docs, keys(coverage, sampled))
     lines = written(lines.withColumn("line_id", F.sha2("text", 256)), "lines")
     once = lines.groupBy("line_id").agg(F.any_value("text").alias("text"))
-    once = once.select("line_id", _words(F.col("text")).alias("w")).select("line_id", F.array_distinct(F.concat("w", _bigrams("w"))).alias("grams"))
-    gram = written(once.select("line_id", F.explode("grams").alias("gram")), "grams")
-
+    once = once.select("line_id", _words(F.col("text")).alias("w"))
     parts = [(i, f, g, len(bigrams(t))) for i, (f, t) in enumerate(TEMPLATES) for g in sorted(bigrams(t))]
+    every = F.array(*[F.lit(g) for g in sorted({x[2] for x in parts})])
     parts = spark.createDataFrame(parts, "template int, family string, gram string, size int")
-    held = gram.join(F.broadcast(parts), "gram").groupBy("line_id", "family", "template", "size").agg(F.count("*").alias("n"))
+    met = once.select("line_id", F.explode(F.array_intersect(_bigrams("w"), every)).alias("gram"))
+    held = met.join(F.broadcast(parts), "gram").groupBy("line_id", "family", "template", "size").agg(F.count("*").alias("n"))
     held = held.groupBy("line_id", "family").agg(F.max(F.struct((F.col("n") / F.col("size")).alias("coverage"), "size", "template")).alias("x"))
     held = written(held.select("line_id", F.col("family").alias("predicted"), F.col("x.coverage").alias("coverage"), F.col("x.template").alias("template")), "held")
-    gram = gram.join(held.where(F.col("coverage") >= coverage).select("line_id").distinct(), "line_id", "left_semi")
+    some = once.join(held.where(F.col("coverage") >= coverage).select("line_id").distinct(), "line_id", "left_semi")
+    gram = some.select("line_id", F.explode(F.array_distinct(F.concat("w", _bigrams("w")))).alias("gram"))
 
     k = range(len(model.classes))
     table = spark.createDataFrame([(g, model.weights[i].tolist()) for g, i in model.features.items()], "gram string, w array<double>")

@@ -9,6 +9,7 @@ CASE WHEN expression over statistics columns.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,7 @@ from lockfleet.llm.sample import least_hashed
 SAMPLE = 20_000
 #: A rule must be right this often, on the pruning part too.
 PRECISION = 0.95
+#: Most rules of a list, terms of a rule, and cuts between values that are tried for a term: what keeps the list readable.
 MAX_RULES, MAX_TERMS, CUTS = 12, 4, 48
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_stops", "n_distinct"]
@@ -122,11 +124,11 @@ def _covers(rule: Rule, x: dict[str, np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
+def _grow(x: dict[str, np.ndarray], bad: np.ndarray, max_terms: int, max_cuts: int) -> Rule:
     """Adds the term of best FOIL gain until no good document is covered."""
     rule: Rule = ()
     live = np.ones(len(bad), bool)
-    while len(rule) < MAX_TERMS and bad[live].any() and not bad[live].all():
+    while len(rule) < max_terms and bad[live].any() and not bad[live].all():
         y = bad[live]
         before = np.log2(y.mean())
         best = (1e-9, None, None)
@@ -135,8 +137,8 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
             order = np.argsort(v, kind="stable")
             s, p = v[order], np.cumsum(y[order])
             ends = np.flatnonzero(s[1:] > s[:-1])  # a cut between different values
-            if len(ends) > CUTS:  # rank cuts, and the ends of the range in full
-                ends = np.unique(np.concatenate([ends[:16], ends[-16:], ends[np.linspace(0, len(ends) - 1, CUTS).astype(int)]]))
+            if len(ends) > max_cuts:  # rank cuts, and the ends of the range in full
+                ends = np.unique(np.concatenate([ends[:16], ends[-16:], ends[np.linspace(0, len(ends) - 1, max_cuts).astype(int)]]))
             cuts = (s[ends] + s[ends + 1]) / 2
             for above in (False, True):
                 pos = p[-1] - p[ends] if above else p[ends]
@@ -165,20 +167,21 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     return max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda r: (worth(r), -len(r)), default=())
 
 
-def learn(stats: np.ndarray, bad: np.ndarray, precision: float = PRECISION) -> list[Rule]:
+def learn(stats: np.ndarray, bad: np.ndarray, precision: float = PRECISION, max_rules: int = MAX_RULES, max_terms: int = MAX_TERMS, max_cuts: int = CUTS) -> list[Rule]:
     """The decision list: each rule rejects what it covers; what none covers is kept.
 
     ``stats`` has a row for each labelled document with the columns of STATS. Every third row is for
-    pruning. Without rejected or without kept examples the list is empty.
+    pruning. Without rejected or without kept examples the list is empty. ``max_rules``, ``max_terms`` and ``max_cuts`` bound the
+    list: what is learnt, not what it is applied to.
     """
     x = _ratios(lambda s: stats[:, STATS.index(s)].astype(float))
     part = np.arange(len(bad)) % 3 == 2
     left, rules, barred = np.ones(len(bad), bool), [], set()
-    while len(rules) < MAX_RULES and len(barred) < len(x):
+    while len(rules) < max_rules and len(barred) < len(x):
         g, p = left & ~part, left & part
         if bad[g].sum() < 3 or not (~bad[g]).any():
             break
-        grown = _grow({k: v[g] for k, v in x.items() if k not in barred}, bad[g])
+        grown = _grow({k: v[g] for k, v in x.items() if k not in barred}, bad[g], max_terms, max_cuts)
         if not grown:
             break
         for rule in (_prune(grown, {k: v[p] for k, v in x.items()}, bad[p]), grown):
@@ -203,8 +206,9 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
     few = least_hashed(labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), "doc_id", sample)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")
     measured, names = with_statistics(chosen)
-    rows = measured.select("doc_id", "quality", *names.values()).collect()
-    rows.sort()
+    # one row for each id, however often it is repeated, in an order that ids don't set
+    one = measured.groupBy("doc_id").agg(F.min(F.struct("quality", *names.values())).alias("x"))
+    rows = sorted(one.select("doc_id", "x.*").collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
     return np.array([r[2:] for r in rows], np.int64).reshape(len(rows), len(STATS)), np.array([r[1] == 0 for r in rows], bool)
 
 

@@ -145,7 +145,12 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, fingerprint, component_id``.
+    """One row for each row of ``docs``: ``doc_id, fingerprint, component_id`` (see :func:`groups`)."""
+    return groups(docs, bucket).drop("root")
+
+
+def groups(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id, fingerprint, component_id, root``; a component has one root of its own.
 
     Fingerprints link at 3 or fewer differing bits; ``component_id`` is the smallest doc_id reachable
     by links, the document's own included. Null and blank texts have fingerprint zero and link
@@ -155,7 +160,7 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     fps = written(fingerprints(docs), "fingerprints")
     least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = written(components(links(least.select("fp"))).select(F.col("node").alias("fp"), "root"), "roots")
-    tied = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = written(tied.join(ids, "root").select("fp", "component_id"), "components")
-    return skew_join(fps, ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    tied = written(least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "tied")
+    ids = tied.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    ids = written(skew_join(tied, ids, "root", "inner", rows="n").select("fp", "component_id", "root"), "components")
+    return skew_join(fps, ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")

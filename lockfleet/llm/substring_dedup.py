@@ -502,7 +502,7 @@ def _passages(docs: DataFrame, hits: DataFrame, keepers: bool) -> DataFrame:
     With ``keepers`` theirs are told too, and a run's class is the keeper's run that its first passage stands in.
     """
     lists = hits.groupBy(F.col("doc_id").alias("id"), "tag").agg(F.collect_set(F.struct("first", "ident", "keeper")).alias("asked"))
-    runs = written(lists.mapInArrow(_joined, "kind int, doc_id long, tag long, first int, stop int, ident long, last long, keeper long"), "runs", "kind")
+    runs = written(lists.mapInArrow(_joined, "kind int, doc_id long, tag long, first int, stop int, ident long, last long, keeper long"), "runs")
     others, places = runs.where("kind = 0 and doc_id <> keeper").drop("kind"), runs.where("kind = 1").select("ident", "doc_id", "tag", "first", F.col("stop").alias("run"))
     end = F.col("stop") - PASSAGE_WORDS
     ask = lambda side, ident, at: F.struct(F.lit(side).alias("side"), F.col(ident).alias("ident"), at.alias("at"))
@@ -568,7 +568,7 @@ def classes(docs: DataFrame, crowd: int = CROWD, keepers: bool = True) -> DataFr
     rows = _rows(docs)
     guess = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), guess // BUCKET_TOKENS)
-    found = written(rows.mapInArrow(_scan(buckets), "bucket int, packed binary").groupBy("bucket").applyInArrow(_found, _FOUND), "paragraphs", "kind")
+    found = written(rows.mapInArrow(_scan(buckets), "bucket int, packed binary").groupBy("bucket").applyInArrow(_found, _FOUND), "paragraphs")
     of = lambda kind: found.where(F.col("kind") == kind)
 
     every = of(SET).select("ident", "keeper", "hi", "n", "bands")

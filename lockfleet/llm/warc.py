@@ -19,6 +19,8 @@ from lockfleet.llm.graph import skew_join
 from lockfleet.llm.scratch import new_path, written
 
 MAGIC = "WARC/1.1\r\n"
+#: What records of either version begin with; archives are read in parts between it.
+SPLIT = "WARC/1."
 END = "\r\n\r\n"
 #: Payloads of fewer bytes are never revisits.
 LEAST = 1000
@@ -64,7 +66,7 @@ def write(pages: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
     """Each stretch of a file up to the next magic, with its place: file, split and order in the split."""
-    rows = spark.read.option("lineSep", MAGIC).text(path)
+    rows = spark.read.option("lineSep", SPLIT).text(path)
     return rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("order"))
 
 
@@ -79,7 +81,7 @@ def _parsed(value) -> list:
     start = F.octet_length(F.substring_index(value, END, 2)) + 4
     return [
         F.octet_length(value).cast("long").alias("size"),
-        F.when((F.octet_length(header) < F.octet_length(value)) & (size >= 0), F.octet_length(header) + 4 + size).alias("record_size"),
+        F.when(value.rlike("^[01]\\r\\n") & (F.octet_length(header) < F.octet_length(value)) & (size >= 0), F.octet_length(header) + 4 + size).alias("record_size"),
         _field(header, "WARC-Type").alias("record_type"),
         F.regexp_extract(_field(header, "WARC-Record-ID"), "<urn:x-page:(-?[0-9]*)>", 1).alias("id"),
         F.regexp_extract(_field(header, "WARC-Refers-To"), "<urn:x-page:(-?[0-9]*)>", 1).alias("refers"),
@@ -125,9 +127,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     ``payload_digest`` is measured on a response's payload; a revisit has no payload of its own, and its
     size and digest are those that its headers state. A last record that is cut short is left out, and so is
-    what follows bytes that are no record: the chain ends there. Empty folders give no rows.
+    what follows bytes that are no record: the chain ends there. Empty folders give no rows. Versions 1.0 and 1.1 are read, and files
+    whose names end in .gz, each record compressed by itself or all as one.
     """
-    d = len(MAGIC)
+    d = len(SPLIT)
     rows = written(_with_fields(_chunks(spark, path)), "candidates")
     splits = rows.groupBy("file", "split").agg(F.sum(F.col("size") + d).alias("bytes"))
     by_file = Window.partitionBy("file").orderBy("split")
@@ -156,7 +159,7 @@ def _mended(spark: SparkSession, path: str, good: DataFrame) -> DataFrame:
     parts = written(owned.where("owner.digest is null and owner.offset is not null").select("file", "split", "order", "offset", F.col("owner.offset").alias("owner")), "parts")
     text = _chunks(spark, path).join(parts, ["file", "split", "order"])
     whole = text.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("x"))
-    whole = whole.select("file", F.col("owner").alias("offset"), F.concat_ws(MAGIC, F.col("x.value")).alias("value"))
+    whole = whole.select("file", F.col("owner").alias("offset"), F.concat_ws(SPLIT, F.col("x.value")).alias("value"))
     fields = _with_fields(whole).select("file", "offset", "digest", "payload_bytes", "stated_bytes")
     return good.where("real and digest is null").drop("digest", "payload_bytes", "stated_bytes").join(fields, ["file", "offset"]).select(*good.columns)
 

@@ -57,3 +57,41 @@ def test_near_duplicates_without_ids(spark):
     got = near_duplicates(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, (r.text or "").lower()) for r in got.collect()), key=str) == sorted([(5, text), (7, "quite another text here"), (8, ""), (None, "alone and without id")], key=str)
+
+
+def test_rows_that_share_an_id_keep_their_components(spark):
+    from corpus_pipeline import near_duplicates
+
+    rows = [(5, "one two three four five six"), (5, "quite another text of the same id"), (6, "one two three four five six"), (7, "Quite another text of the same ID")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(rows[:2])
+
+
+def test_stages_on_nulls_clashes_and_nothing(spark, folder):
+    import corpus_pipeline as cp
+
+    sf, _ = folder
+    schema = SCHEMA + ", tag long, place int, root string, __keep long, segment long, hit_bits binary, n_words int"
+    long = " ".join(f"word{i}" for i in range(70))
+    rows = [(None, None, None, None, None), (None, long, None, "s", 1), (1, long, "en", None, None), (1, long, "en", None, None), (2, "", "en", "s", 0), (2, None, None, None, None), (3, " ".join(f"other{i}" for i in range(80)), "en", "s", 9)]
+    docs = spark.createDataFrame([(*r, 1, 2, "x", 3, 4, None, 5) for r in rows], schema)
+    for name, stage in cp.STAGES:
+        for some in (docs, docs.limit(0)):
+            some = spark.createDataFrame(some.collect(), schema)
+            out = stage(spark, some, sf)
+            got = out.collect()
+            if stage is not cp.STAGES[-1][1]:
+                assert out.columns == docs.columns, name
+                assert all(r.tag == 1 and r.root == "x" and r.segment == 4 for r in got)
+            texts = [(r.doc_id, r.text) for r in got] if "text" in out.columns else []
+            if some.count() == 0:
+                assert not got
+            elif stage is cp.quality_rules:
+                assert sorted(texts, key=str) == sorted([(None, long), (1, long), (1, long), (3, rows[6][1])], key=str)
+            elif stage is cp.near_duplicates:
+                assert sorted(texts, key=str) in [sorted([(1, long), (2, t), (3, rows[6][1])], key=str) for t in ("", None)]
+            elif stage in (cp.substring_repeats, cp.benchmark_contamination):
+                assert sorted(texts, key=str) == sorted([r[:2] for r in rows], key=str)
+            else:
+                assert len(got) == len(rows)

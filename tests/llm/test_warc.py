@@ -55,3 +55,18 @@ def test_files_cut_short_or_foreign(spark, tmp_path):
     (tmp_path / "c.warc").write_bytes((ok + "junk" + ok).encode())
     got = warc.read(spark, str(tmp_path)).collect()
     assert [tuple(r)[:4] for r in got] == [(1, 2, hashlib.sha1(b"hi").hexdigest(), "response")] * 2
+
+
+def test_older_version_and_compressed_records(spark, tmp_path):
+    import gzip
+
+    record = lambda k, body: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:{k}>\r\nContent-Length: {19 + len(body)}\r\n\r\nHTTP/1.1 200 OK\r\n\r\n{body}\r\n\r\n".encode()
+    bodies = {1: "hi", 2: "WARC/1.0\r\nContent-Length: 1\r\n\r\nx\r\n\r\n", 3: "a WARC/1.", 4: ""}
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "packed").mkdir()
+    (tmp_path / "plain/a.warc").write_bytes(b"".join(record(k, b) for k, b in bodies.items()))
+    (tmp_path / "packed/a.warc.gz").write_bytes(b"".join(gzip.compress(record(k, b)) for k, b in bodies.items()))
+    (tmp_path / "packed/b.warc.gz").write_bytes(gzip.compress(b"".join(record(k + 10, b) for k, b in bodies.items())))
+    want = [(k, len(b), hashlib.sha1(b.encode()).hexdigest(), "response") for k, b in bodies.items()]
+    assert sorted(tuple(r)[:4] for r in warc.read(spark, str(tmp_path / "plain")).collect()) == want
+    assert sorted(tuple(r)[:4] for r in warc.read(spark, str(tmp_path / "packed")).collect()) == want + [(k + 10, *x) for k, *x in want]

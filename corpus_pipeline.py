@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lockfleet.llm import bpe, decontaminate, quality, simhash, substring_dedup
+from lockfleet.llm.arrow import fresh
 from lockfleet.llm.queries import _ranks_path, table
 from lockfleet.llm.scratch import written
 
@@ -20,22 +21,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document of least doc_id stays; of rows that repeat it, one.
+    """Of each SimHash component one row stays: of least doc_id (rows without any come last), then of least fingerprint.
 
-    Rows with a null doc_id go where their component has an id; of those without any, one of each fingerprint stays.
+    Rows that share a doc_id but not a component are told apart by their fingerprints, so each component keeps its own. Null
+    texts are one component with blank ones; an empty table stays empty.
     """
-    groups = written(simhash.near_duplicates(docs), "groups")
+    rows = written(simhash.groups(docs), "groups")
+    keep = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fingerprint")).alias("k"))
+    id_, print_ = (fresh(docs.columns, x) for x in ("keep_id", "keep_fingerprint"))
+    keep = written(keep.select(F.col("k.doc_id").alias(id_), F.col("k.fingerprint").alias(print_)), "kept")
     mine = F.col("doc_id").cast("long")
-    keepers = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
-    named = docs.join(keepers, mine == F.col("__keep"), "left_semi")
-    if groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").take(1):
-        named = named.dropDuplicates(["doc_id"])
-    lone = groups.where("doc_id is null and component_id is null").select("fingerprint").distinct()
-    if not lone.take(1):
-        return named
-    nameless, name = simhash.with_fingerprint(docs.where("doc_id is null"))
-    nameless = nameless.join(lone.withColumnRenamed("fingerprint", name), name, "left_semi").dropDuplicates([name])
-    return named.unionByName(nameless.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    repeated = rows.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    if not keep.where(F.col(id_).isNull()).take(1) and not repeated.take(1):
+        return docs.join(keep, mine == F.col(id_), "left_semi")
+    marked, name = simhash.with_fingerprint(docs)
+    kept = marked.join(keep, mine.eqNullSafe(F.col(id_)) & (F.col(f"`{name}`") == F.col(print_)), "left_semi")
+    return kept.dropDuplicates(["doc_id", name]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def substring_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

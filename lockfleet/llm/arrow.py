@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Bytes of text that a worker takes up at once. A longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: Most rows in an Arrow batch of documents; Spark's own default would hold tens of megabytes of text at a time.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 400
 
 
 def batched(df: DataFrame) -> DataFrame:

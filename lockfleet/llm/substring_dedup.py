@@ -46,7 +46,7 @@ ROWS, BANDS = 2, 6
 #: Most different sets of a band that are compared in one go; more meet their first, and what isn't like it all others, block by block.
 CROWD = 1000
 #: Paragraphs that a task gathers, rows of one paragraph among them that make it frequent, tokens that a bucket is meant to hold.
-GATHER, FREQUENT, BUCKET_TOKENS = 300_000, 16, 1_000_000
+GATHER, FREQUENT, BUCKET_TOKENS = 150_000, 16, 1_000_000
 
 _MIX = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % 2**64 | 1 for i in range(1, ROWS * BANDS + 1)], np.uint64)
 _SPACE = np.zeros(256, bool)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lockfleet import schema
 from lockfleet.functions import text as T
-from lockfleet.functions.distance import damerau_levenshtein
+from lockfleet.functions.distance import damerau_levenshtein, maybe_within
 from lockfleet.operators import diff, evaluation, graph, report, resolve, rules, similarity
 from lockfleet.plans.embedding import SQL, Fleet, corpus, fleet
 
@@ -115,11 +115,13 @@ def labels(t: Fleet) -> DataFrame:
     return t.packages.select(T.label(F.col("name"), F.col("version")).alias("label")).distinct()
 
 
-@query("SELECT a.name AS a, b.name AS b, CAST(damerau_levenshtein(a.name, b.name) AS INT) AS distance FROM (SELECT DISTINCT name FROM packages) a, (SELECT DISTINCT name FROM packages) b WHERE a.name < b.name AND substr(a.name, 1, 2) = substr(b.name, 1, 2)")
+@query("SELECT a.name AS a, b.name AS b, CAST(damerau_levenshtein(a.name, b.name) AS INT) AS distance FROM (SELECT DISTINCT name FROM packages) a, (SELECT DISTINCT name FROM packages) b WHERE a.name < b.name AND damerau_levenshtein(a.name, b.name) <= 2")
 def edit_distance(t: Fleet) -> DataFrame:
-    names = t.packages.select("name").distinct().withColumn("p", F.substring("name", 1, 2))
-    pairs = names.alias("x").join(names.alias("y"), "p").where("x.name < y.name").select(F.col("x.name").alias("a"), F.col("y.name").alias("b"))
-    return pairs.withColumn("distance", damerau_levenshtein(F.col("a"), F.col("b")))
+    """All pairs of different names within two edits: names that share what either becomes by two deletions at most, measured exactly."""
+    cut = t.packages.select("name").distinct().select("name", F.explode(similarity.deletions(F.col("name"), 2)).alias("part"))
+    met = cut.alias("x").join(cut.alias("y"), "part").where("x.name < y.name").select(F.col("x.name").alias("a"), F.col("y.name").alias("b"))
+    met = met.where(maybe_within(F.col("a"), F.col("b"), F.lit(2))).distinct()
+    return met.withColumn("distance", damerau_levenshtein(F.col("a"), F.col("b"))).where("distance <= 2")
 
 
 @query("SELECT DISTINCT severity, CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END AS rank FROM (SELECT unnest(['low', 'medium', 'high', 'critical']) AS severity)")
@@ -348,12 +350,6 @@ def package_lookup(t: Fleet) -> DataFrame:
 # Sources -----------------------------------------------------------------------------------
 
 
-@query("WITH x AS (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT k, count(*) AS n FROM x GROUP BY k", plain=True)
-def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.from_json("props", "k long")["k"]
-    return _table(spark, sf_dir, "events").groupBy(k.alias("k")).agg(F.count("*").alias("n"))
-
-
 @query(
     "WITH x AS (SELECT p_partkey AS k, replace(p_name, ' ', '-') AS name, p_size || '.0' AS v FROM part) "
     "SELECT CAST(k AS BIGINT) AS k, name, CASE k % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'range' ELSE 'unconstrained' END AS pin_kind, CASE WHEN k % 3 = 0 THEN v ELSE '' END AS version, k % 3 = 0 AS has_integrity FROM x",
@@ -422,20 +418,6 @@ def left_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.split("version", "\\.")[1].cast("int").alias("idx"), "first_party", "origin")
 
 
-@query(
-    "WITH d AS (SELECT doc_id, text FROM documents), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) SELECT doc_id, count(*) FILTER (length(trim(line)) > 0) AS lines FROM l GROUP BY doc_id",
-    plain=True,
-)
-def line_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
-    return _table(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("long").alias("lines"))
-
-
-@query("WITH x AS (SELECT url LIKE 'https://%' AS secure, count(*) AS n FROM pages GROUP BY 1) SELECT * FROM x", plain=True)
-def url_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").groupBy(F.startswith("url", F.lit("https://")).alias("secure")).agg(F.count("*").alias("n"))
-
-
 @query(
     "WITH x AS (SELECT page_id, CASE WHEN page_id % 8 = 0 THEN 'package-lock.json' WHEN page_id % 8 = 1 THEN 'x-pnpm-lock.yaml' WHEN page_id % 8 = 2 THEN 'Cargo.lock' WHEN page_id % 8 = 3 THEN 'dev-requirements.txt' WHEN page_id % 8 = 4 THEN 'poetry.lock' WHEN page_id % 8 = 5 THEN 'uv.lock' WHEN page_id % 8 = 6 THEN 'go.mod' ELSE 'readme' END AS f FROM pages) "
     "SELECT page_id, CASE WHEN f = 'package-lock.json' THEN 'npm' WHEN f LIKE '%pnpm-lock.yaml' THEN 'pnpm' WHEN f = 'Cargo.lock' THEN 'cargo' WHEN f LIKE '%requirements.txt' THEN 'pip' WHEN f = 'poetry.lock' THEN 'poetry' WHEN f = 'uv.lock' THEN 'uv' WHEN f = 'go.mod' THEN 'gomod' END AS format FROM x",
@@ -480,18 +462,29 @@ def ablation_grid(t: Fleet) -> DataFrame:
     return out
 
 
+# The budgets that were weighed against one another, as min(most, (length - less) div per).
+POLICIES = [
+    ("2", 2, 1, 0), ("min(2, len/3)", 2, 3, 0), ("min(2, (len-1)/3)", 2, 3, 1), ("min(2, len/4)", 2, 4, 0), ("min(2, (len-1)/4)", 2, 4, 1),
+    ("min(2, len/5)", 2, 5, 0), ("min(2, (len-1)/5)", 2, 5, 1), ("min(2, len/6)", 2, 6, 0), ("1", 1, 1, 0),
+]
+
+
 @query(
-    ", p AS (SELECT unnest([1, 2]) AS most, unnest([5, 4]) AS per), u AS (SELECT DISTINCT norm FROM norm WHERE norm NOT IN (SELECT name FROM corpus)) "
-    "SELECT most, per, count(DISTINCT norm) AS hits FROM p, u, corpus c WHERE damerau_levenshtein(u.norm, c.name) <= least(most, length(u.norm) // per) GROUP BY most, per"
+    f", p AS (SELECT * FROM (VALUES {', '.join(map(str, POLICIES))}) v(policy, most, per, less)), u AS (SELECT norm, bool_or(idx % 50 = 0) AS planted FROM norm WHERE norm NOT IN (SELECT name FROM corpus) GROUP BY norm), "
+    "h AS (SELECT DISTINCT policy, norm, planted FROM p, u, corpus c WHERE damerau_levenshtein(u.norm, c.name) <= least(most, (greatest(length(u.norm) - less, 0)) // per)) "
+    "SELECT policy, count(*) FILTER (planted) AS tp, count(*) FILTER (NOT planted) AS fp FROM h GROUP BY policy"
 )
 def policy_sweep(t: Fleet) -> DataFrame:
-    names = similarity.unknown(t.packages.withColumn("ecosystem", F.lit("pypi")), t.corpus).select("norm").distinct()
-    policies = names.select("norm", F.explode(F.array(*[F.struct(F.lit(m).alias("most"), F.lit(p).alias("per")) for m, p in ((1, 5), (2, 4))])).alias("x")).select("norm", "x.*")
-    cuts = similarity.deletions
-    left = policies.withColumn("k", F.least(F.col("most"), F.floor(F.length("norm") / F.col("per")).cast("int"))).where("k > 0").select("*", F.explode(cuts(F.col("norm"), 2)).alias("part"))
-    right = t.corpus.select("name", F.explode(cuts(F.col("name"), 2)).alias("part"))
-    met = left.join(right, "part").select("most", "per", "k", "norm", "name").distinct().where(damerau_levenshtein(F.col("norm"), F.col("name")) <= F.col("k"))
-    return met.groupBy("most", "per").agg(F.count_distinct("norm").alias("hits"))
+    """True and false positives of each budget: names that a corpus doesn't hold, near one that it does; planted typos are true."""
+    names = similarity.unknown(t.packages.withColumn("ecosystem", F.lit("pypi")), t.corpus).groupBy("norm").agg(F.max(F.col("idx") % 50 == 0).alias("planted"))
+    policies = F.array(*[F.struct(F.lit(n).alias("policy"), F.lit(m).alias("most"), F.lit(p).alias("per"), F.lit(x).alias("less")) for n, m, p, x in POLICIES])
+    k = F.least(F.col("most"), F.floor(F.greatest(F.length("norm") - F.col("less"), F.lit(0)) / F.col("per")).cast("int"))
+    left = names.select("norm", "planted", F.explode(similarity.deletions(F.col("norm"), 2)).alias("part"))
+    right = t.corpus.select("name", F.explode(similarity.deletions(F.col("name"), 2)).alias("part"))
+    met = left.join(right, "part").select("norm", "planted", "name").distinct().where(maybe_within(F.col("norm"), F.col("name"), F.lit(2)))
+    near = met.withColumn("d", damerau_levenshtein(F.col("norm"), F.col("name"))).groupBy("norm", "planted").agg(F.min("d").alias("d"))
+    hits = near.select("norm", "planted", "d", F.explode(policies).alias("x")).select("norm", "planted", "d", "x.*").where(F.col("d") <= k)
+    return hits.groupBy("policy").agg(F.count_if("planted").alias("tp"), F.count_if(~F.col("planted")).alias("fp"))
 
 
 @query(
@@ -510,3 +503,95 @@ def decay_share(t: Fleet) -> DataFrame:
     digit = F.conv(F.substring(F.md5(T.normalize(F.col("name"), "pypi")), 1, 4), 16, 10).cast("int")
     rows = t.packages.join(graph.in_degree(t.edges), ["source", "idx"], "left").select("in_degree", digit.alias("digit"), F.explode(F.array(*map(F.lit, (2, 5, 10)))).alias("keep")).where("digit % keep = 0")
     return rows.groupBy("keep").agg(F.count("*").alias("off"), F.count("in_degree").alias("removed")).withColumn("share", F.col("removed") / F.col("off"))
+
+
+# Readers -----------------------------------------------------------------------------------
+
+_CHAINS = (
+    "WITH x AS (SELECT 'm' || p_partkey AS name, p_size || '.0.' || (p_partkey % 10) AS version, p_brand, p_partkey FROM part) "
+    "SELECT name, version, lag(name) OVER w IS NULL AS is_root, lead(name) OVER w AS to_name FROM x WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)"
+)
+
+
+def _cat(*parts):
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _if_next(p, *parts):
+    return F.when(p["next"].isNotNull(), _cat(*parts)).otherwise(F.lit(""))
+
+
+#: Each format's file name, its text before the packages (by the first of them), each package, what stands between them, and after them.
+_FORMS = {
+    "npm": (
+        "package-lock.json",
+        lambda p: _cat('{"lockfileVersion":3,"packages":{"":{"dependencies":{"', p["name"], '":"1"}},'),
+        lambda p: _cat('"node_modules/', p["name"], '":{"version":"', p["version"], '","resolved":"https://registry.npmjs.org/m/-/m.tgz"', _if_next(p, ',"dependencies":{"', p["next"], '":"1"}'), "}"),
+        ",",
+        "}}",
+    ),
+    "pnpm": (
+        "pnpm-lock.yaml",
+        lambda p: _cat("lockfileVersion: '9.0'\n\nimporters:\n\n  .:\n    dependencies:\n      ", p["name"], ":\n        specifier: ^1\n        version: ", p["version"], "\n\npackages:\n\n"),
+        lambda p: _cat("  ", p["name"], "@", p["version"], ":\n    resolution: {integrity: sha512-x}\n"),
+        "\n",
+        lambda x: _cat("\nsnapshots:\n\n", F.array_join(F.transform(x, lambda p: _cat("  ", p["name"], "@", p["version"], ":", F.when(p["next"].isNotNull(), _cat("\n    dependencies:\n      ", p["next"], ": ", p["next_version"], "\n")).otherwise(F.lit(" {}\n")))), "\n")),
+    ),
+    "cargo": (
+        "Cargo.lock",
+        lambda p: _cat('version = 3\n\n[[package]]\nname = "app"\nversion = "1.0.0"\ndependencies = [\n "', p["name"], '",\n]\n\n'),
+        lambda p: _cat('[[package]]\nname = "', p["name"], '"\nversion = "', p["version"], '"\nsource = "registry+https://github.com/rust-lang/crates.io-index"\n', _if_next(p, 'dependencies = [\n "', p["next"], '",\n]\n')),
+        "\n",
+        "",
+    ),
+    "poetry": (
+        "poetry.lock",
+        lambda p: F.lit(""),
+        lambda p: _cat('[[package]]\nname = "', p["name"], '"\nversion = "', p["version"], '"\noptional = false\n', _if_next(p, "\n[package.dependencies]\n", p["next"], ' = "*"\n')),
+        "\n",
+        '\n[metadata]\nlock-version = "2.0"\n',
+    ),
+    "uv": (
+        "uv.lock",
+        lambda p: _cat('version = 1\nrequires-python = ">=3.9"\n\n[[package]]\nname = "app"\nversion = "0.1.0"\nsource = { virtual = "." }\ndependencies = [\n    { name = "', p["name"], '" },\n]\n\n'),
+        lambda p: _cat('[[package]]\nname = "', p["name"], '"\nversion = "', p["version"], '"\nsource = { registry = "https://pypi.org/simple" }\n', _if_next(p, 'dependencies = [\n    { name = "', p["next"], '" },\n]\n')),
+        "\n",
+        "",
+    ),
+    "yarn": (
+        "yarn.lock",
+        lambda p: F.lit("# yarn lockfile v1\n\n"),
+        lambda p: _cat(p["name"], '@^1:\n  version "', p["version"], '"\n  resolved "https://registry.yarnpkg.com/m/-/m.tgz"\n', _if_next(p, "  dependencies:\n    ", p["next"], ' "^1"\n')),
+        "\n",
+        "",
+    ),
+}
+
+
+def _read_chains(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
+    """A lockfile for each brand, its packages a chain of the brand's parts, read back by the format's reader: ``name, version, is_root, to_name``."""
+    from lockfleet.sources.lockfiles import read
+
+    name, head, each, between, tail = _FORMS[form]
+    version = F.concat(F.col("p_size").cast("string"), F.lit(".0."), (F.col("p_partkey") % 10).cast("string"))
+    rows = _table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("k"), version.alias("version")))).alias("x"))
+    called = lambda k: F.concat(F.lit("m"), k.cast("string"))
+    rows = rows.withColumn("x", F.transform("x", lambda p, i: F.struct(called(p["k"]).alias("name"), p["version"].alias("version"), called(F.get(F.col("x"), i + 1)["k"]).alias("next"), F.get(F.col("x"), i + 1)["version"].alias("next_version"))))
+    text = F.concat(head(F.col("x")[0]), F.array_join(F.transform("x", each), between), F.lit(tail) if isinstance(tail, str) else tail(F.col("x")))
+    t = read(rows.select(F.concat("p_brand", F.lit("/" + name)).alias("source"), text.alias("text")))
+    own = t.packages.where("not first_party").select("source", "idx", "name", "version", "is_root")
+    to = t.edges.join(own.select("source", F.col("idx").alias("to_idx"), F.col("name").alias("to_name")), ["source", "to_idx"])
+    return own.join(to.withColumnRenamed("from_idx", "idx"), ["source", "idx"], "left").select("name", "version", "is_root", "to_name")
+
+
+def _register_readers() -> None:
+    for form in _FORMS:
+
+        def run(spark: SparkSession, sf_dir: str, form: str = form) -> DataFrame:
+            return _read_chains(spark, sf_dir, form)
+
+        run.__name__ = f"{form}_reader"
+        query(_CHAINS, plain=True)(run)
+
+
+_register_readers()

@@ -137,13 +137,14 @@ def blind_spots(listing: lockfiles.Listing, as_json: bool = True, verbose: bool
     if as_json:
         seen = {"unreadable": listing.unreadable, "unsupported": listing.unsupported}
         return json.dumps(seen, ensure_ascii=False, separators=(",", ":")) if any(seen.values()) else ""
+    # The wording of these lines, which readers of the output may look for.
     out = []
     if n := len(listing.unreadable):
-        out += ["", f"  unreadable, so the scan lacks what is in: {n}", *("     " + p for p in listing.unreadable)]
+        out += ["", f"  could not look inside {n} path{'s' * (n > 1)} — this scan is incomplete", *("     " + p for p in listing.unreadable)]
     if listing.unsupported:
-        out += ["", "  lockfiles of formats that are not read: " + ", ".join(listing.unsupported)]
+        out += ["", "  found but not read: " + ", ".join(listing.unsupported)]
     if verbose and listing.skipped:
-        out += ["", f"  folders and files left out: {len(listing.skipped)}", *(f"     {p} {why}" for p, why in listing.skipped)]
+        out += ["", f"  not descended into ({len(listing.skipped)})", *(f"     {p} {why}" for p, why in listing.skipped)]
     return "\n".join(out)
 
 

@@ -20,6 +20,7 @@ def data():
             text = "".join(rng.choice("ab é~<[]\n|01T") for _ in range(rng.choice([0, 5, 300, 900])))
             rows.append((conv, turn, rng.choice(["user", "assistant"]), text))
     rows += [(7, 1, None, None), (7, 1, "assistant", "x"), (7, 1, "assistant", "x"), (7, None, "assistant", "first"), (None, 1, "assistant", "</s>[INST]"), (8, 1, "assistant", "y" * 20000), (8, 2, "user]", "z"), (8, 0, "system", "s" * 9000)]
+    rows += [(9, 0, "system", "be brief"), *[(9, 1, "assistant", "y[" * 3000)] * 2, (9, 2, "user", "é\n~😀" * 900), (9, 3, "assistant", "é" * 700 + "<s>")]
     return [("w", *r, 0) for r in rows]
 
 
@@ -41,15 +42,14 @@ def test_windows_keep_to_the_budget(spark):
     for w in chat.windows(df, 300, 60).orderBy("conv_id", "window").collect():
         turns = [x for x in w.text[3:-4].split("[") if x]
         cost = lambda x: -(-len(x.split("]")[1].replace("~3", "]").replace("~2", "[").replace("~1", "<").replace("~0", "~").encode()) // 4) + 8
-        own = [x for x in turns if x[0] == "T"]
+        own = [x for x in turns if x[0] in "TC"]
         again = [x for x in turns if x[0] == "R"]
         assert w.text.startswith("<s>") and w.text.endswith("</s>") and own and turns == again + own
         system = [x for x in again if x.startswith("Rsystem]")]
         assert sum(cost(x) for x in again) - sum(map(cost, system)) <= 60
         if w.conv_id in (1, 3, 5) and w.window > 1:
             assert len(system) == 1 and again[0] == system[0]
-        if len(own) > 1 or cost(own[0]) < 60:
-            assert sum(map(cost, turns)) <= 300 or sum(map(cost, system)) > 150
+        assert sum(map(cost, turns)) <= 300 or w.conv_id == 8
         seen[w.conv_id] = seen.get(w.conv_id, 0) + 1
     assert max(seen.values()) > 5
 

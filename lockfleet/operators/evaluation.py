@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockfleet.operators.similarity import within
+from lockfleet.operators.similarity import close
 
 MASK = (1 << 64) - 1
 
@@ -39,9 +39,9 @@ def confusion(judged: DataFrame, *keys: str) -> DataFrame:
 def neighbours(corpus: DataFrame) -> DataFrame:
     """``(ecosystem, size, names, near1, near2)``: by length, how many names have another within 1 or 2 edits.
 
-    The budget is the length's own, as in a scan: names of 5 to 9 characters have 1, longer ones 2.
+    The budgets are flat: what a scan would allow a name of that length is what these rates are to tell.
     """
     names = corpus.select("ecosystem", F.col("name").alias("norm")).distinct()
-    near = within(names, corpus).where("norm <> candidate").groupBy("ecosystem", "norm").agg(F.min("distance").alias("d"))
+    near = close(names, corpus).where("norm <> candidate").groupBy("ecosystem", "norm").agg(F.min("distance").alias("d"))
     rows = names.join(near, ["ecosystem", "norm"], "left")
     return rows.groupBy("ecosystem", F.length("norm").alias("size")).agg(F.count("*").alias("names"), F.count_if(F.col("d") <= 1).alias("near1"), F.count_if(F.col("d") <= 2).alias("near2"))

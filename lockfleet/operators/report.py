@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ FLOORS = {4: 75, 3: 50, 2: 25, 1: 1}
 HEADINGS = {"slopsquat": "HALLUCINATION RISK", "install-script": "INSTALL SCRIPTS", "trivial": "TRIVIAL", "drift": "VERSION DRIFT", "pinning": "UNPINNED"}
 NOTES = {"slopsquat": "", "install-script": "arbitrary code at install time", "drift": "same package at 2+ versions in one tree", "pinning": "no exact version recorded"}
 NAME_MIN, HEAD_MIN = 24, 22
+SECTIONS = ["added", "removed", "changed", "introduced", "resolved"]
 
 
 def counters(lockfiles: DataFrame, packages: DataFrame) -> DataFrame:
@@ -59,12 +63,19 @@ def exit_code(unreadable: bool, parsed: int, gated: bool) -> int:
     return 2 if unreadable or not parsed else int(gated)
 
 
+_CONTROL = "[\\x00-\\x1f]"
+
+
 def quoted(c: Column) -> Column:
     """A JSON string: quotes, backslashes and control characters escaped, all else as it is."""
     out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     for a, b in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    code = lambda x: F.concat(F.lit("\\u00"), F.lower(F.lpad(F.hex(F.ascii(x)), 2, "0")))
+    others = lambda x: F.array_join(F.transform(F.split(x, ""), lambda y: F.when(y.rlike(_CONTROL), code(y)).otherwise(y)), "")
+    # bound by a lambda, as the optimiser would write the whole expression out at each use
+    once = F.transform(F.array(out), lambda x: F.when(x.rlike(_CONTROL), others(x)).otherwise(x))
+    return F.concat(F.lit('"'), F.get(once, 0), F.lit('"'))
 
 
 def _finding_json(x: Column) -> Column:
@@ -87,23 +98,34 @@ def ndjson(lockfiles: DataFrame, packages: DataFrame, findings: DataFrame, corpu
     return rows.select("source", line.alias("line"))
 
 
-def diff_json(old: str, new: str, added: DataFrame, removed: DataFrame, changed: DataFrame, introduced: DataFrame, resolved: DataFrame) -> DataFrame:
-    """``(line)``: one JSON object of a diff."""
-    def list_of(df: DataFrame, order: list[str], make) -> DataFrame:
-        return df.agg(F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order))), make), ","), F.lit("")).alias("x"))
-
-    change = lambda x: F.concat(F.lit('{"name":'), quoted(x["name"]), F.lit(',"from":'), quoted(x["from"]), F.lit(',"to":'), quoted(x["to"]), F.lit("}"))
-    names = lambda x: quoted(x["identity"])
-    found = ["rule_rank", "package", "version", "rule", "severity", "detail"]
-    parts = [list_of(added, ["identity"], names), list_of(removed, ["identity"], names), list_of(changed, ["name", "from", "to"], change), list_of(introduced, found, _finding_json), list_of(resolved, found, _finding_json)]
-    whole = added.sparkSession.range(1).select(F.concat(F.lit('{"old":'), quoted(F.lit(old)), F.lit(',"new":'), quoted(F.lit(new))).alias("line"))
-    for key, part in zip(("added", "removed", "changed", "introduced", "resolved"), parts):  # each side has one row
-        whole = whole.join(part).select(F.concat("line", F.lit(f',"{key}":['), "x", F.lit("]")).alias("line"))
-    return whole.select(F.concat("line", F.lit("}")).alias("line"))
-
-
-def human(lockfiles: DataFrame, packages: DataFrame, findings: DataFrame, corpus: DataFrame, verbose: bool = False) -> DataFrame:
-    """``(source, text)``: the report for people, without colour and timing."""
+def diff_items(rows: DataFrame, section: str) -> DataFrame:
+    """``(json, text)``: the items of a section of a diff in their order, a row each, however many there are."""
+    if section in ("added", "removed"):
+        order, as_json, text = ["identity"], quoted(F.col("identity")), F.col("identity")
+    elif section == "changed":
+        order = ["name", "from", "to"]
+        as_json = F.concat(F.lit('{"name":'), quoted(F.col("name")), F.lit(',"from":'), quoted(F.col("from")), F.lit(',"to":'), quoted(F.col("to")), F.lit("}"))
+        text = F.concat(pad(F.col("name"), NAME_MIN), F.lit(" "), F.col("from"), F.lit(" -> "), F.col("to"))
+    else:
+        order = ["rule_rank", "package", "version", "rule", "severity", "detail"]
+        as_json = _finding_json({k: F.col(k) for k in order})
+        text = F.concat(pad(label(F.col("package"), F.col("version")), NAME_MIN), F.lit(" "), F.col("detail"))
+    return rows.orderBy(*order).select(as_json.alias("json"), text.alias("text"))
+
+
+def diff_json(old: str, new: str, items: Callable[[str], Iterator[str]]) -> Iterator[str]:
+    """One JSON object of a diff in pieces, to be written one after another; ``items`` gives a section's objects in their order."""
+    yield '{"old":' + json.dumps(old, ensure_ascii=False) + ',"new":' + json.dumps(new, ensure_ascii=False)
+    for section in SECTIONS:
+        yield f',"{section}":['
+        for n, item in enumerate(items(section)):
+            yield "," * (n > 0) + item
+        yield "]"
+    yield "}"
+
+
+def human(lockfiles: DataFrame, packages: DataFrame, findings: DataFrame, corpus: DataFrame, verbose: bool = False, quiet: bool = False) -> DataFrame:
+    """``(source, text)``: the report for people, without colour and timing; if quiet, the findings alone."""
     shown = F.lit(verbose) | (F.col("rule") == "slopsquat")
     counts = counters(lockfiles, packages)
     f = findings.withColumn("label", label(F.col("package"), F.col("version"))).withColumn("shown", shown)
@@ -122,10 +144,12 @@ def human(lockfiles: DataFrame, packages: DataFrame, findings: DataFrame, corpus
     workspace = F.when(F.col("workspace") == 0, "").otherwise(F.concat(F.lit(" · "), thousands(F.col("workspace")), F.lit(" workspace")))
     top = F.concat(F.lit("\n  "), pad(F.col("file_name"), NAME_MIN), F.lit(" "), thousands(F.col("packages")), F.lit(" packages   ("), thousands(F.col("direct")), F.lit(" direct · "), thousands(F.col("transitive")), F.lit(" transitive"), workspace, F.lit(")\n\n"))
     found = F.coalesce(F.array_join(F.col("b.b"), ""), F.lit("  no findings\n"))
-    quiet = F.coalesce(F.concat(F.array_join(F.col("s.b"), ""), F.lit("\n")), F.lit(""))
+    silent_rules = F.coalesce(F.concat(F.array_join(F.col("s.b"), ""), F.lit("\n")), F.lit(""))
     end = F.concat(F.lit("  risk "), F.coalesce("risk", F.lit(0)).cast("string"), F.lit("/100\n\n"))
     assert len(head) == len(HEADINGS)
-    return rows.select("source", F.concat(top, found, quiet, end).alias("text"))
+    if quiet:
+        return rows.select("source", F.coalesce(F.array_join(F.col("b.b"), ""), F.lit("")).alias("text"))
+    return rows.select("source", F.concat(top, found, silent_rules, end).alias("text"))
 
 
 def fleet(lockfiles: DataFrame, packages: DataFrame, findings: DataFrame) -> DataFrame:

@@ -45,6 +45,15 @@ def within(names: DataFrame, corpus: DataFrame) -> DataFrame:
     return met.withColumn("distance", damerau_levenshtein(F.col("norm"), F.col("candidate"))).where("distance <= k").drop("k")
 
 
+def close(names: DataFrame, corpus: DataFrame, most: int = 2) -> DataFrame:
+    """``(ecosystem, norm, candidate, distance)``: corpus names within ``most`` (1 or 2) edits of ``names(ecosystem, norm)``, however short they are."""
+    left = names.select("ecosystem", "norm", F.explode(deletions(F.col("norm"), most)).alias("part"))
+    known = corpus.select("ecosystem", F.col("name").alias("candidate")).distinct()
+    right = known.select("ecosystem", "candidate", F.explode(deletions(F.col("candidate"), most)).alias("part"))
+    met = left.join(right, ["ecosystem", "part"]).where(maybe_within(F.col("norm"), F.col("candidate"), F.lit(most))).select("ecosystem", "norm", "candidate").distinct()
+    return met.withColumn("distance", damerau_levenshtein(F.col("norm"), F.col("candidate"))).where(F.col("distance") <= most)
+
+
 def nearest(names: DataFrame, corpus: DataFrame) -> DataFrame:
     """``(ecosystem, norm, nearest, distance)``: the nearest known name in budget; ties go to fewer bytes, then byte order."""
     best = F.min(F.struct("distance", F.octet_length("candidate").alias("size"), "candidate")).alias("x")

@@ -488,7 +488,7 @@ def policy_sweep(t: Fleet) -> DataFrame:
 
 
 @query(
-    ", n AS (SELECT DISTINCT p_name AS name FROM part), d AS (SELECT a.name, min(CAST(damerau_levenshtein(a.name, b.name) AS INT)) AS d FROM n a JOIN n b ON a.name <> b.name AND damerau_levenshtein(a.name, b.name) <= least(2, length(a.name) // 5) GROUP BY a.name) "
+    ", n AS (SELECT DISTINCT p_name AS name FROM part), d AS (SELECT a.name, min(CAST(damerau_levenshtein(a.name, b.name) AS INT)) AS d FROM n a JOIN n b ON a.name <> b.name AND damerau_levenshtein(a.name, b.name) <= 2 GROUP BY a.name) "
     "SELECT CAST(length(n.name) AS INT) AS size, count(*) AS names, count(*) FILTER (d <= 1) AS near1, count(*) FILTER (d <= 2) AS near2 FROM n LEFT JOIN d ON d.name = n.name GROUP BY 1"
 )
 def leave_one_out_fpr(t: Fleet) -> DataFrame:

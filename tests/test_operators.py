@@ -28,9 +28,13 @@ def test_diff_json_and_stream(spark, tmp_path):
     for d, v in (("old", "==4.17.20"), ("new", "")):
         (tmp_path / d).mkdir()
         (tmp_path / d / "requirements.txt").write_text(f"lodash{v}\n")
-    got = json.loads(Engine(spark).diff(str(tmp_path / "old"), str(tmp_path / "new")).json().first()[0])
+    moved = Engine(spark).diff(str(tmp_path / "old"), str(tmp_path / "new"))
+    got = json.loads("".join(moved.json()))
     assert got["added"] == ["lodash@"] and got["removed"] == ["lodash@4.17.20"] and got["changed"] == [{"name": "lodash", "from": "4.17.20", "to": ""}]
     assert [f["rule"] for f in got["introduced"]] == ["pinning"] and got["resolved"] == []
+    lines = list(moved.human())
+    assert lines[3:8] == ["  added       1", "     lodash@", "", "  removed     1", "     lodash@4.17.20"] and "     lodash                   4.17.20 -> " in lines
+    assert "  introduced  1 finding" in lines and lines[-2].startswith("     lodash                   no bound") and "  this change introduced no findings" not in lines
     from lockfleet.streaming.landing import audits
 
     corpus = spark.createDataFrame([], "ecosystem string, name string")
@@ -57,10 +61,67 @@ def test_tree_json(spark, tmp_path):
     assert not lost["found"] and [n["name"] for n in lost["near"]] == ["b", "a", "c"]
 
 
+def test_diff_forms():
+    from lockfleet.operators import console, report
+
+    none = [(s, 0, iter([])) for s in report.SECTIONS]
+    assert list(console.diff("a\x1b", "b", none))[1:] == ["  a\ufffd -> b", "", "  no change to the dependency tree"] and list(console.diff("a", "b", none, True)) == []
+    some = [("added", 1200, iter(["x@1"])), ("introduced", 0, iter([])), ("resolved", 2, iter(["y", "z"]))]
+    assert list(console.diff("a", "b", some, True)) == ["  added       1,200", "     x@1", "", "  resolved    2 findings", "     y", "     z", ""]
+    assert json.loads("".join(report.diff_json('a"', "b", lambda s: iter(["1", "2"] if s == "added" else [])))) == {"old": 'a"', "new": "b", "added": [1, 2], "removed": [], "changed": [], "introduced": [], "resolved": []}
+
+
+def test_tree_for_people(spark, tmp_path):
+    (tmp_path / "package-lock.json").write_text('{"lockfileVersion":3,"packages":{"":{"dependencies":{"a":"1"}},"node_modules/a":{"version":"1.0.0","dependencies":{"b":"1","c":"1"}},"node_modules/b":{"version":"2.0.0","dev":true,"dependencies":{"a":"1","c":"1"}},"node_modules/c":{"version":"3.0.0","dependencies":{"d":"1"}},"node_modules/d":{"version":"4.0.0"}}}')
+    (tmp_path / "requirements.txt").write_text("a==1\n")
+    e, at = Engine(spark), str(tmp_path)
+    lines = list(e.tree_text(at, "a"))
+    assert f"  {at}/package-lock.json   npm · 4 packages" in lines and "  a@1.0.0   node_modules/a" in lines
+    cut = lines.index("     depended on by   in-degree 1")
+    assert lines[cut + 1 : cut + 10] == ["                      b@2.0.0", "", "     depends on       2 direct, to depth 3", "     ├─ b@2.0.0", "     │  ├─ a@1.0.0 · cycle, stands above", "     │  └─ c@3.0.0", "     │     └─ d@4.0.0", "     └─ c@3.0.0 (*)", "     (*) already expanded above"]
+    assert "     flat format      no graph in this file" in lines
+
+
+def test_tree_forms():
+    from lockfleet.operators import console
+
+    leaf = lambda n, **k: {"name": n, "version": "1", "dependencies": []} | k
+    one = {"source": "s", "ecosystem": "npm", "name": "b", "version": "2", "key": "b@2", "dev": True, "optional": True, "first_party": False, "direct": False, "records_edges": True, "in_degree": 2, "packages": 1234}
+    one |= {"parents": [{"name": "p", "version": "1", "key": "x/p"}, {"name": "p", "version": "1", "key": "y/p"}], "dependencies": [leaf("c", stop="depth", hidden=1)]}
+    found = {"query": "b", "found": True, "lockfiles": 1, "depth": 1, "occurrences": [one], "near": []}
+    lines = list(console.tree(found, "here", quiet=True))
+    assert lines == ["", "  b@2", "     dev-only · optional", "", "     depended on by   in-degree 2", "                      p@1   x/p", "                      p@1   y/p", "", "     depends on       1 direct, to depth 1", "     └─ c@1 · 1 more below depth 1", ""]
+    assert list(console.tree(found, "here"))[1] == "  s   npm · 1,234 packages"
+    own = one | {"first_party": True, "in_degree": 0, "parents": [], "dependencies": []}
+    lines = list(console.tree(found | {"occurrences": [own], "depth": 0}, "here"))
+    assert "     workspace member" in lines and "     depended on by   in-degree 0" in lines and "     depends on       nothing" in lines
+    near = [{"name": "bb", "distance": 1, "source": "s"}]
+    lost = list(console.tree(found | {"occurrences": [], "lockfiles": 2, "near": near}, "here"))
+    assert lost[1] == "  no package named `b` in the 2 lockfiles under here" and lost[4] == "     bb                       d=1 · s"
+    assert "  no name is close to it either" in list(console.tree(found | {"occurrences": []}, "here"))
+
+
+def test_quoted(spark):
+    from pyspark.sql import functions as F
+
+    from lockfleet.operators.report import quoted
+
+    texts = ["", "a", 'q"\\/', "\n\r\t", "\x00\x01é\x1f\b\f😀", "\x7f\u2028"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(quoted(F.col("t"))).collect()]
+    assert [json.loads(x) for x in got] == texts and got[4] == '"\\u0000\\u0001é\\u001f\\u0008\\u000c😀"'
+
+
+def test_quiet_report(spark, tmp_path):
+    (tmp_path / "requirements.txt").write_text("a==1\nb\n")
+    text = Engine(spark).scan(str(tmp_path)).human(verbose=True, quiet=True).first()["text"]
+    assert text.startswith("  ⚠  UNPINNED") and "risk" not in text and "packages" not in text
+
+
 def test_blind_spots():
     from lockfleet.plans.engine import blind_spots
     from lockfleet.sources.lockfiles import Listing
 
     seen = Listing([], ["/x"], ["go.sum"], [("/y", "hidden")])
     assert blind_spots(seen) == '{"unreadable":["/x"],"unsupported":["go.sum"]}' and blind_spots(Listing([], [], [], [])) == ""
+    assert blind_spots(seen, quiet=True) == '{"unreadable":["/x"],"unsupported":[]}' and "not descended" not in blind_spots(seen, False, True, True)
     assert "not descended into (1)" in blind_spots(seen, False, True)

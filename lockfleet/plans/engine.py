@@ -61,7 +61,11 @@ class Diff:
 
     def human(self, quiet: bool = False) -> Iterator[str]:
         """The lines for people."""
-        lines = lambda section: (r.text for r in self.items(section).select("text").toLocalIterator())
+
+        def lines(section: str) -> Iterator[str]:  # starts no job before its first line is asked for
+            for r in self.items(section).select("text").toLocalIterator():
+                yield r.text
+
         return console.diff(self.old, self.new, ((s, getattr(self, s).count(), lines(s)) for s in report.SECTIONS), quiet)
 
 

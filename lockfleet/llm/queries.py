@@ -110,22 +110,25 @@ FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 _OP10_SQL = """
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-a AS (SELECT *, (strlen(text) + 3) // 4 + 8 AS t, row_number() OVER w = 1 AND role = 'system' AS sys,
-             length(role) + length(regexp_replace(role, '[^~<\\[\\]]', '', 'g')) + length(text) + length(regexp_replace(text, '[^~<\\[\\]]', '', 'g')) + 3 AS chars
+a AS (SELECT *, row_number() OVER w AS n, row_number() OVER w = 1 AND role = 'system' AS sys, (strlen(text) + 3) // 4 + 8 AS whole
       FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-b AS (SELECT *, CAST(sum(t) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) - t AS p FROM a),
-c AS (SELECT *, greatest(8, (768 - first(CASE WHEN sys THEN t ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY p)) // 2) AS s FROM b),
-d AS (SELECT *, coalesce(lag(t > s) OVER (PARTITION BY conv_id ORDER BY p), false) OR t > s AS cut, p // s AS bin FROM c),
+b AS (SELECT *, (768 - first(CASE WHEN sys THEN whole ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY n)) // 2 AS room FROM a),
+c AS (SELECT *, greatest(8, room) AS s, whole > greatest(8, room) AND NOT sys AND room >= 64 AS long, CASE WHEN strlen(text) = length(text) THEN 4 * (room - 8) ELSE room - 8 END AS size FROM b),
+k AS (SELECT * REPLACE (CASE WHEN long THEN substr(text, CAST(piece * size + 1 AS BIGINT), CAST(size AS BIGINT)) ELSE text END AS text)
+      FROM (SELECT *, unnest(CASE WHEN long THEN range(0, CAST((length(text) + size - 1) // size AS BIGINT)) ELSE [0] END) AS piece FROM c)),
+l AS (SELECT *, (strlen(text) + 3) // 4 + 8 AS t, length(role) + length(regexp_replace(role, '[^~<\\[\\]]', '', 'g')) + length(text) + length(regexp_replace(text, '[^~<\\[\\]]', '', 'g')) + 3 AS chars FROM k),
+m AS (SELECT *, CAST(sum(t) OVER (PARTITION BY conv_id ORDER BY n, piece ROWS UNBOUNDED PRECEDING) AS BIGINT) - t AS p FROM l),
+d AS (SELECT *, coalesce(lag(t > s) OVER (PARTITION BY conv_id ORDER BY p), false) OR t > s AS cut, p // s AS bin FROM m),
 e AS (SELECT *, sum(CAST(cut AS INT)) OVER (PARTITION BY conv_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS block FROM d),
 f AS (SELECT *, (lag(block) OVER w IS DISTINCT FROM block) OR (lag(bin) OVER w IS DISTINCT FROM bin) AS head,
              sum(CASE WHEN sys THEN 0 ELSE chars END) OVER (PARTITION BY conv_id ORDER BY p RANGE BETWEEN 256 PRECEDING AND 1 PRECEDING) AS back,
              sum(CASE WHEN sys THEN chars ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lead_sys
       FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY p))
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY p)) AS turns_sha256,
+SELECT conv_id, count(*) FILTER (piece = 0) AS n_turns, sha256(string_agg(CASE WHEN piece = 0 THEN role || chr(10) ELSE '' END || text || CASE WHEN last THEN chr(10) ELSE '' END, '' ORDER BY p)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY p), '')) AS loss_sha256,
        CAST(sum(chars + CASE WHEN head THEN 7 + coalesce(back, 0) + coalesce(lead_sys, 0) ELSE 0 END) AS BIGINT) AS formatted_chars
-FROM f GROUP BY conv_id
+FROM (SELECT *, lead(n) OVER (PARTITION BY conv_id ORDER BY p) IS DISTINCT FROM n AS last FROM f) GROUP BY conv_id
 """
 
 #: SQL with the same result, by query.

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and the SQL of those that SQL can express."""
+"""The registered queries of the operators, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -77,7 +77,17 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_lm_scoring, op4_byte_level_bpe, op5_token_counts, op6_substring_dedup, op7_quality_rules, op8_license_scans, op9_warc, op10_chat_formatting)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lockfleet.llm.vector_codes import report
+
+    return report(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (
+    op1_simhash_near_dedup, op2_benchmark_decontamination, op3_lm_scoring, op4_byte_level_bpe, op5_token_counts, op6_substring_dedup, op7_quality_rules,
+    op8_license_scans, op9_warc, op10_chat_formatting, op11_vector_codes,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -131,5 +141,32 @@ SELECT conv_id, count(*) FILTER (piece = 0) AS n_turns, sha256(string_agg(CASE W
 FROM (SELECT *, lead(n) OVER (PARTITION BY conv_id ORDER BY p) IS DISTINCT FROM n AS last FROM f) GROUP BY conv_id
 """
 
+
+
+def _op11_sql(rounds: int = 4) -> str:
+    """Codebooks round by round: ``b0`` to ``b4`` are the entries, ``a0`` to ``a4`` the parts with their nearest entry."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT rid, p, any_value(x.part) AS part, min(k) % 256 AS entry, min(k) // 256 AS d
+      FROM (SELECT x.rid, x.p, x.part, CAST(list_inner_product(x.part, x.part) - 2 * list_inner_product(x.part, b.part) + list_inner_product(b.part, b.part) AS BIGINT) * 256 + b.entry AS k
+            FROM x JOIN b{r} b ON b.p = x.p) x GROUP BY rid, p)""")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (SELECT b.p, b.entry, coalesce(n.part, b.part) AS part
+      FROM b{r} b LEFT JOIN (SELECT p, entry, list(m ORDER BY pos) AS part
+                             FROM (SELECT p, entry, pos, floor(sum(v) / count(*)) AS m FROM (SELECT p, entry, unnest(part) AS v, generate_subscripts(part, 1) AS pos FROM a{r}) GROUP BY p, entry, pos)
+                             GROUP BY p, entry) n ON n.p = b.p AND n.entry = b.entry)""")
+    chain = ",\n".join(steps)
+    return f"""
+WITH v AS (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id, embedding) AS rid, len(embedding) // 4 AS m FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+x AS MATERIALIZED (SELECT rid, p, list_transform(embedding[p * m + 1:(p + 1) * m], lambda x: floor(1024 * CAST(x AS DOUBLE))) AS part FROM (SELECT *, unnest([0, 1, 2, 3]) AS p FROM v)),
+b0 AS (SELECT p, rid - 1 AS entry, part FROM x WHERE rid <= 256),
+{chain},
+s AS (SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY p, entry, pos)) AS codebooks_sha256 FROM (SELECT p, entry, unnest(part) AS v, generate_subscripts(part, 1) AS pos FROM b{rounds})),
+c AS (SELECT rid, string_agg(format('{{:02x}}', entry), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN c USING (rid), s
+"""
+
+
 #: SQL with the same result, by query.
-ORACLE_SQL: dict[str, str] = {"op2_benchmark_decontamination": _OP2_SQL, "op9_warc": _OP9_SQL, "op10_chat_formatting": _OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_benchmark_decontamination": _OP2_SQL, "op9_warc": _OP9_SQL, "op10_chat_formatting": _OP10_SQL, "op11_vector_codes": _op11_sql()}

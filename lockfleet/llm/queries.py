@@ -83,9 +83,17 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "embeddings"))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lockfleet.llm.piece_bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 _ALL = (
     op1_simhash_near_dedup, op2_benchmark_decontamination, op3_lm_scoring, op4_byte_level_bpe, op5_token_counts, op6_substring_dedup, op7_quality_rules,
-    op8_license_scans, op9_warc, op10_chat_formatting, op11_vector_codes,
+    op8_license_scans, op9_warc, op10_chat_formatting, op11_vector_codes, op12_sentencepiece,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 

@@ -91,9 +91,15 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lockfleet.llm.periodic import digests, repeated
+
+    return digests(repeated(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 _ALL = (
     op1_simhash_near_dedup, op2_benchmark_decontamination, op3_lm_scoring, op4_byte_level_bpe, op5_token_counts, op6_substring_dedup, op7_quality_rules,
-    op8_license_scans, op9_warc, op10_chat_formatting, op11_vector_codes, op12_sentencepiece,
+    op8_license_scans, op9_warc, op10_chat_formatting, op11_vector_codes, op12_sentencepiece, op13_periodic_runs,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 

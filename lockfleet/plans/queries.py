@@ -11,6 +11,7 @@ from lockfleet import schema
 from lockfleet.functions import text as T
 from lockfleet.functions.distance import damerau_levenshtein, maybe_within
 from lockfleet.operators import diff, evaluation, graph, report, resolve, rules, similarity
+from lockfleet.plans import readers
 from lockfleet.plans.embedding import SQL, Fleet, corpus, fleet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -414,7 +415,7 @@ def left_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.array_join(F.transform("ks", lambda x: F.concat(F.lit("\tex.org/m v1."), x.cast("string"), F.lit(".0\n"))), "")
     to = F.when(F.col("r") % 3 == 0, F.lit("./local")).otherwise(F.lit("ex.org/fork v1.0.0"))
     text = F.concat(F.lit("module ex.org/x\n\nrequire (\n"), body, F.lit(")\n"), F.when(F.col("r").isNotNull(), F.concat(F.lit("replace ex.org/m => "), to, F.lit("\n"))).otherwise(F.lit("")))
-    got = read(require.select(F.concat("p_brand", F.lit("/go.mod")).alias("source"), text.alias("text"))).packages
+    got = read(require.select(F.concat("p_brand", F.lit("/go.mod")).alias("source"), text.alias("text")), ["gomod"]).packages
     return got.select(F.split("version", "\\.")[1].cast("int").alias("idx"), "first_party", "origin")
 
 
@@ -578,7 +579,7 @@ def _read_chains(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
     called = lambda k: F.concat(F.lit("m"), k.cast("string"))
     rows = rows.withColumn("x", F.transform("x", lambda p, i: F.struct(called(p["k"]).alias("name"), p["version"].alias("version"), called(F.get(F.col("x"), i + 1)["k"]).alias("next"), F.get(F.col("x"), i + 1)["version"].alias("next_version"))))
     text = F.concat(head(F.col("x")[0]), F.array_join(F.transform("x", each), between), F.lit(tail) if isinstance(tail, str) else tail(F.col("x")))
-    t = read(rows.select(F.concat("p_brand", F.lit("/" + name)).alias("source"), text.alias("text")))
+    t = read(rows.select(F.concat("p_brand", F.lit("/" + name)).alias("source"), text.alias("text")), [form])
     own = t.packages.where("not first_party").select("source", "idx", "name", "version", "is_root")
     to = t.edges.join(own.select("source", F.col("idx").alias("to_idx"), F.col("name").alias("to_name")), ["source", "to_idx"])
     return own.join(to.withColumnRenamed("from_idx", "idx"), ["source", "idx"], "left").select("name", "version", "is_root", "to_name")
@@ -595,3 +596,5 @@ def _register_readers() -> None:
 
 
 _register_readers()
+QUERIES.update(readers.QUERIES)
+ORACLES.update(readers.ORACLES)

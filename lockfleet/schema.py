@@ -8,6 +8,13 @@ PACKAGES = (
 EDGES = "source string, from_idx int, to_idx int"
 CORPUS = "ecosystem string, name string"
 FINDINGS = "source string, rule string, rule_rank int, severity string, sev_rank int, package string, version string, detail string"
+#: What a file's reader found: its entries with what they refer to, what its manifests ask for, or what is wrong and where.
+DEPS = "array<struct<name:string,version:string,src:string>>"
+ENTRIES = (
+    "array<struct<name:string,version:string,key:string,dev:boolean,optional:boolean,first_party:boolean,install_script:boolean,has_integrity:boolean,"
+    f"origin:string,src:string,direct:boolean,aliases:array<string>,deps:{DEPS}>>"
+)
+PARSED = f"source string, format string, entries {ENTRIES}, wanted array<string>, scripts boolean, what string, line int, col int"
 ERRORS = "source string, kind string, what string, line int, col int"
 
 # Formats by the suffix of a file's name, their ecosystems, and what they record.

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lockfleet import schema
 from lockfleet.functions.text import scrub
 from lockfleet.operators import resolve
+from lockfleet.sources import gomod, npm, yarn
 from lockfleet.sources.pip import requirements
 
 
@@ -200,10 +201,8 @@ class Tables:
             t.unpersist()
 
 
-_ENTRY = (
-    "struct<name:string,version:string,key:string,dev:boolean,optional:boolean,first_party:boolean,install_script:boolean,has_integrity:boolean,"
-    "origin:string,src:string,direct:boolean,aliases:array<string>,deps:array<struct<name:string,version:string,src:string>>>"
-)
+#: Formats that are read in Catalyst; the others go one file at a time through Python.
+NATIVE = {"npm": npm.parsed, "gomod": gomod.parsed, "yarn": yarn.parsed}
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,8 +222,20 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["source", "format", "entries", "wanted", "scripts", "what", "line", "col"])
 
 
-def read(raw: DataFrame) -> Tables:
-    """The canonical tables of ``raw(source, text)``.
+def _documents(raw: DataFrame, formats: list[str]) -> DataFrame:
+    """``schema.PARSED`` of ``raw(source, format, text)``: a part for each native format, and one for all others."""
+    parts = [NATIVE[f](raw.where(F.col("format") == f)) for f in formats if f in NATIVE]
+    others = [f for f in formats if f not in NATIVE and f != "pip"]
+    if others:
+        parts.append(raw.where(F.col("format").isin(others)).select("source", "format", "text").mapInPandas(_parse, schema.PARSED))
+    out = parts[0] if parts else raw.where(F.lit(False)).select(F.from_json(F.lit("{}"), schema.PARSED).alias("x")).select("x.*")
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def read(raw: DataFrame, formats: list[str] | None = None) -> Tables:
+    """The canonical tables of ``raw(source, text)``. Where the caller says that all files are of some ``formats``, plans hold those readers only.
 
     A file that can't be read has one row in ``errors`` and none elsewhere; the others are unaffected.
     Control characters in names, versions, keys and specifiers are scrubbed. ``idx`` follows the bytes
@@ -241,8 +252,11 @@ def read(raw: DataFrame) -> Tables:
     false = F.lit(False)
     pip_packages = numbered.select("source", "idx", "x.name", "x.version", F.col("x.name").alias("key"), false.alias("dev"), false.alias("optional"), false.alias("first_party"), false.alias("install_script"), "x.has_integrity", "x.pin_kind", "x.pin_spec", "x.origin", F.lit(True).alias("is_root"))
 
-    docs = raw.where("format <> 'pip'").select("source", "format", "text").mapInPandas(_parse, f"source string, format string, entries array<{_ENTRY}>, wanted array<string>, scripts boolean, what string, line int, col int").persist()  # each file is parsed once, not once for each table
-    doc_errors = docs.where("what is not null").select("source", F.when(F.col("line") > 0, "syntax").otherwise("usage").alias("kind"), "what", "line", "col")
+    docs = _documents(raw, formats or [f[1] for f in schema.FORMATS]).persist()  # each file is parsed once, not once for each table
+    refused = docs.where("what is not null")
+    no_json = (F.col("format") == "npm") & (F.col("what") == npm.NOT_JSON)
+    doc_errors = refused.where(~no_json).select("source", "what", "line", "col").unionByName(npm.explained(raw.where("format = 'npm'").join(refused.where(no_json).select("source"), "source", "left_semi")))
+    doc_errors = doc_errors.select("source", F.when(F.col("line") > 0, "syntax").otherwise("usage").alias("kind"), "what", "line", "col")
     good = docs.where("what is null")
     entries = good.select("source", "format", F.posexplode("entries").alias("idx", "e")).select("source", "format", "idx", "e.*")
     edges, roots = resolve.all_formats(good, entries)
@@ -254,7 +268,7 @@ def read(raw: DataFrame) -> Tables:
 
     errors = unknown.unionByName(pip_errors).unionByName(doc_errors)
     scripts = good.select("source", "scripts")
-    heads = raw.where("format is not null").select("source", "file_name", "format").join(errors.select("source"), "source", "left_anti").join(scripts, "source", "left")
+    heads = raw.where("format is not null").select("source", "file_name", "format").join(bad.select("source").unionByName(refused.select("source")), "source", "left_anti").join(scripts, "source", "left")
     lockfiles = heads.select("source", "file_name", "format", _of_format(F.col("format"), 2).alias("ecosystem"), _of_format(F.col("format"), 3).alias("records_edges"), F.coalesce("scripts", F.lit(False)).alias("records_install_scripts"))
     return Tables(lockfiles, packages, edges, errors, docs)
 

@@ -1,4 +1,4 @@
-"""go.mod in Catalyst: lines are numbered, blocks filled down by windows, and directives meet by joins."""
+"""go.mod in Catalyst: lines are numbered, and windows fill blocks down and bring modules to what replaces them; one shuffle, by file."""
 
 from __future__ import annotations
 
@@ -82,23 +82,23 @@ def parsed(files: DataFrame) -> DataFrame:
     A module that is replaced comes from elsewhere, and is first-party if its replacement is a path.
     """
     rows = _directives(files.select("source", "text"))
-    state = rows.groupBy("source").agg(F.min("error").alias("error"), F.max_by("open", "line").alias("open"), F.max(F.coalesce(F.col("kind") == "module", F.lit(False))).alias("module"))
-    left_open = F.concat(F.lit("the file ends inside a block of "), F.col("open.first"))
-    what = F.coalesce("error.what", left_open, F.when(~F.col("module"), "the module directive is missing"))
-    state = state.select("source", what.alias("what"), F.coalesce("error.line", "open.line", F.lit(0)).alias("line"), F.coalesce("error.col", "open.col", F.lit(0)).alias("col"))
-
-    path = F.col("args")[0]
+    said = lambda kind: (F.col("kind") == kind) & F.col("error").isNull()
+    rows = rows.withColumn("path", F.when(said("require") | said("replace"), F.col("args")[0]))
     to = F.get("args", F.array_position("args", "=>").cast("int"))  # the position counts from 1: this is what follows
-    replaced = rows.where("kind = 'replace' and error is null").select("source", path.alias("path"), to.alias("to"), "line").groupBy("source", "path").agg(F.max_by("to", "line").alias("to"))
-    indirect = (F.col("note") == "indirect") | F.col("note").startswith("indirect;")
-    required = rows.where("kind = 'require' and error is null").select("source", "line", path.alias("path"), F.col("args")[1].alias("version"), indirect.alias("indirect")).join(replaced, ["source", "path"], "left")
+    # a module meets what replaces it, the last if there are several, wherever in the file that stands
+    met = Window.partitionBy("source", "path")
+    rows = rows.withColumn("to", F.max_by(F.when(said("replace"), to), F.when(said("replace"), F.col("line"))).over(met))
+    version, indirect = F.col("args")[1], (F.col("note") == "indirect") | F.col("note").startswith("indirect;")
     none, no = F.lit(None).cast("string"), F.lit(False)
     ours = F.coalesce(F.col("to").startswith(".") | F.col("to").startswith("/"), no)
     entry = F.struct(
-        F.col("path").alias("name"), F.col("version").alias("version"), F.col("path").alias("key"), no.alias("dev"), no.alias("optional"), ours.alias("first_party"), no.alias("install_script"), no.alias("has_integrity"),
-        F.when(F.col("to").isNull(), "registry").otherwise("elsewhere").alias("origin"), none.alias("src"), (~F.col("indirect")).alias("direct"), F.array().cast("array<string>").alias("aliases"), F.array().cast(schema.DEPS).alias("deps"),
+        F.col("path").alias("name"), version.alias("version"), F.col("path").alias("key"), no.alias("dev"), no.alias("optional"), ours.alias("first_party"), no.alias("install_script"), no.alias("has_integrity"),
+        F.when(F.col("to").isNull(), "registry").otherwise("elsewhere").alias("origin"), none.alias("src"), (~indirect).alias("direct"), F.array().cast("array<string>").alias("aliases"), F.array().cast(schema.DEPS).alias("deps"),
     )
-    entries = required.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", entry.alias("e")))), lambda x: x["e"]).alias("entries"))
-    out = state.join(entries, "source", "left")
+    entries = F.array_sort(F.collect_list(F.when(said("require"), F.struct("line", entry.alias("e")))))
+    out = rows.groupBy("source").agg(F.min("error").alias("error"), F.max_by("open", "line").alias("open"), F.max(F.coalesce(F.col("kind") == "module", F.lit(False))).alias("module"), F.transform(entries, lambda x: x["e"]).alias("entries"))
+    left_open = F.concat(F.lit("the file ends inside a block of "), F.col("open.first"))
+    what = F.coalesce("error.what", left_open, F.when(~F.col("module"), "the module directive is missing"))
+    out = out.withColumn("what", what).withColumn("line", F.coalesce("error.line", "open.line", F.lit(0))).withColumn("col", F.coalesce("error.col", "open.col", F.lit(0)))
     good = F.when(F.col("what").isNull(), F.col("entries"))
     return out.select("source", F.lit("gomod").alias("format"), F.coalesce(good, F.array().cast(schema.ENTRIES)).alias("entries"), F.array().cast("array<string>").alias("wanted"), no.alias("scripts"), "what", F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("col"))

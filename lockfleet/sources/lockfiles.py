@@ -17,6 +17,7 @@ from lockfleet.functions.text import scrub
 from lockfleet.operators import resolve
 from lockfleet.sources import gomod, npm, yarn
 from lockfleet.sources.pip import requirements
+from lockfleet.storage import drop, written
 
 
 def format_of(name: Column) -> Column:
@@ -188,7 +189,7 @@ class Tables:
     packages: DataFrame
     edges: DataFrame
     errors: DataFrame
-    parsed: DataFrame  # kept, as all tables read it
+    parsed: tuple[DataFrame, ...]  # written, as all tables read them
 
     def persist(self) -> Tables:
         for t in (self.lockfiles, self.packages, self.edges, self.errors):
@@ -196,9 +197,11 @@ class Tables:
         return self
 
     def release(self) -> None:
-        """Gives back what is kept in memory."""
-        for t in (self.lockfiles, self.packages, self.edges, self.errors, self.parsed):
+        """Gives back what is kept in memory and storage; the tables can't be read any more."""
+        for t in (self.lockfiles, self.packages, self.edges, self.errors):
             t.unpersist()
+        for t in self.parsed:
+            drop(t)
 
 
 #: Formats that are read in Catalyst; the others go one file at a time through Python.
@@ -235,7 +238,9 @@ def _documents(raw: DataFrame, formats: list[str]) -> DataFrame:
 
 
 def read(raw: DataFrame, formats: list[str] | None = None) -> Tables:
-    """The canonical tables of ``raw(source, text)``. Where the caller says that all files are of some ``formats``, plans hold those readers only.
+    """The canonical tables of ``raw(source, text)``.
+
+    Only readers of ``formats`` run: of those that the caller says all files have, else of those that the files' names say.
 
     A file that can't be read has one row in ``errors`` and none elsewhere; the others are unaffected.
     Control characters in names, versions, keys and specifiers are scrubbed. ``idx`` follows the bytes
@@ -244,7 +249,10 @@ def read(raw: DataFrame, formats: list[str] | None = None) -> Tables:
     raw = raw.withColumn("file_name", F.substring_index("source", "/", -1)).withColumn("format", format_of(F.col("file_name")))
     unknown = raw.where("format is null").select("source", F.lit("usage").alias("kind"), F.concat("file_name", F.lit(": not a lockfile that is known")).alias("what"), F.lit(0).alias("line"), F.lit(0).alias("col"))
 
+    formats = formats or sorted(r[0] for r in raw.where("format is not null").select("format").distinct().collect())
+    # each file is parsed once, not once for each table
     pip = requirements(raw.where("format = 'pip'").select("source", "text"))
+    pip = written(pip, "requirements") if "pip" in formats else pip.where(F.lit(False))
     bad = pip.where("what is not null").groupBy("source").agg(F.min(F.struct("line", "col", "what")).alias("x"))
     pip_errors = bad.select("source", F.lit("syntax").alias("kind"), "x.what", "x.line", "x.col")
     numbered = pip.join(bad.select("source"), "source", "left_anti").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("line", "name", "version", "pin_kind", "pin_spec", "has_integrity", "origin"))).alias("x"))
@@ -252,10 +260,12 @@ def read(raw: DataFrame, formats: list[str] | None = None) -> Tables:
     false = F.lit(False)
     pip_packages = numbered.select("source", "idx", "x.name", "x.version", F.col("x.name").alias("key"), false.alias("dev"), false.alias("optional"), false.alias("first_party"), false.alias("install_script"), "x.has_integrity", "x.pin_kind", "x.pin_spec", "x.origin", F.lit(True).alias("is_root"))
 
-    docs = _documents(raw, formats or [f[1] for f in schema.FORMATS]).persist()  # each file is parsed once, not once for each table
+    docs = written(_documents(raw, formats), "documents")
     refused = docs.where("what is not null")
     no_json = (F.col("format") == "npm") & (F.col("what") == npm.NOT_JSON)
-    doc_errors = refused.where(~no_json).select("source", "what", "line", "col").unionByName(npm.explained(raw.where("format = 'npm'").join(refused.where(no_json).select("source"), "source", "left_semi")))
+    no_json_texts = raw.where("format = 'npm'").join(refused.where(no_json).select("source"), "source", "left_semi")
+    doc_errors = refused.where(~no_json).select("source", "what", "line", "col")
+    doc_errors = doc_errors.unionByName(npm.explained(no_json_texts)) if "npm" in formats else doc_errors
     doc_errors = doc_errors.select("source", F.when(F.col("line") > 0, "syntax").otherwise("usage").alias("kind"), "what", "line", "col")
     good = docs.where("what is null")
     entries = good.select("source", "format", F.posexplode("entries").alias("idx", "e")).select("source", "format", "idx", "e.*")
@@ -270,7 +280,7 @@ def read(raw: DataFrame, formats: list[str] | None = None) -> Tables:
     scripts = good.select("source", "scripts")
     heads = raw.where("format is not null").select("source", "file_name", "format").join(bad.select("source").unionByName(refused.select("source")), "source", "left_anti").join(scripts, "source", "left")
     lockfiles = heads.select("source", "file_name", "format", _of_format(F.col("format"), 2).alias("ecosystem"), _of_format(F.col("format"), 3).alias("records_edges"), F.coalesce("scripts", F.lit(False)).alias("records_install_scripts"))
-    return Tables(lockfiles, packages, edges, errors, docs)
+    return Tables(lockfiles, packages, edges, errors, (docs, pip))
 
 
 def corpus(spark: SparkSession, paths: dict[str, str]) -> DataFrame:

@@ -7,7 +7,6 @@ from plain_readers import READERS
 from pyspark.sql import functions as F
 from test_sources import GO, NPM, YARN
 
-from lockfleet.plans import readers
 from lockfleet.sources import npm
 from lockfleet.sources.grammars import Refused
 from lockfleet.sources.lockfiles import NATIVE, read
@@ -72,8 +71,9 @@ def test_refused_json_is_explained(spark):
 
 def test_no_python_in_native_plans_and_no_setting_left(spark):
     before = spark.conf.get("spark.sql.variant.allowDuplicateKeys")
-    for name in ("npm_packages", "npm_edges", "yarn_edges", "gomod_packages"):
-        plan = readers.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    rows = spark.createDataFrame([("a", "")], "source string, text string")
+    for parsed in NATIVE.values():
+        plan = parsed(rows)._jdf.queryExecution().toString()
         assert "InPandas" not in plan and "InArrow" not in plan and "NestedLoop" not in plan
     assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == before
 

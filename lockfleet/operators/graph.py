@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lockfleet.functions.text import version_order
+from lockfleet.storage import drop, written
 
 
 def in_degree(edges: DataFrame) -> DataFrame:
@@ -29,71 +29,75 @@ def place(packages: DataFrame):
     return F.struct("name", version_order(F.col("version")).alias("v"), "key", "idx")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """``(source, start, idx, depth)``: what each start reaches, and in how many steps at least; ``depth`` rounds of one join.
+def reachable(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """``(source, start, idx, depth)``: what each of ``starts(source, start)`` reaches, and in how many steps at least.
 
-    ``starts(source, start)``. Each round keeps only what no earlier round has reached.
+    Each round follows the edges of what the round before reached first, and is written; it ends when a round
+    reaches nothing new, or after ``depth`` rounds. So a plan holds one round, however deep the graph is.
     """
-    step = edges.select("source", F.col("from_idx").alias("idx"), "to_idx").distinct()
-    seen = starts.select("source", "start", F.col("start").alias("idx"), F.lit(0).alias("depth"))
-    front = seen
-    for d in range(1, depth + 1):
+    step = written(edges.select("source", F.col("from_idx").alias("idx"), "to_idx").distinct(), "steps")
+    front = written(starts.select("source", "start", F.col("start").alias("idx"), F.lit(0).alias("depth")).distinct(), "reached")
+    seen, rounds = front, 0
+    while rounds != depth:
+        rounds += 1
         new = front.join(step, ["source", "idx"]).select("source", "start", F.col("to_idx").alias("idx")).distinct()
-        front = new.join(seen, ["source", "start", "idx"], "left_anti").withColumn("depth", F.lit(d))
+        front = written(new.join(seen, ["source", "start", "idx"], "left_anti").withColumn("depth", F.lit(rounds)), "reached")
+        if front.isEmpty():
+            drop(front)
+            break
         seen = seen.unionByName(front)
+    drop(step)
     return seen
 
 
-def expand(kids: dict[int, list[int]], root: int, limit: int) -> list[tuple[int, int, str | None, int]]:
-    """The ordered walk below ``root``: (depth, node, stop, kids hidden) in preorder.
+def _first_paths(kids: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
+    """``(source, hit, idx, path, nodes)``: where in the walk below each hit a node is expanded.
 
-    A node on the way down is a "cycle"; one at the limit that has kids stops as "depth"; one that was
-    already expanded is a "repeat".
+    A path is the places of the nodes among their parents' kids, so the walk goes in the order of paths. A node is
+    expanded at the least path that leads to it from an expanded one, without a cycle and above the limit. Paths
+    are taken on from all expanded nodes in rounds until none changes. That has one solution only: where two differ, the one with the least path that
+    only one has is reached from a node on which both agree.
     """
-    out, seen, path = [], {root}, [root]
-    stack = [iter(kids.get(root, []))]
-    while stack:
-        kid = next(stack[-1], None)
-        if kid is None:
-            stack.pop()
-            path.pop()
-            continue
-        below = len(kids.get(kid, []))
-        if kid in path:
-            stop = "cycle"
-        elif limit and len(path) >= limit:
-            stop = "depth" if below else None
-            out.append((len(path), kid, stop, below if stop else 0))
-            continue
-        elif kid in seen:
-            stop = "repeat"
-        else:
-            seen.add(kid)
-            stop = None
-        out.append((len(path), kid, stop, 0))
-        if stop is None:
-            path.append(kid)
-            stack.append(iter(kids.get(kid, [])))
-    return out
+    roots = hits.select("source", "hit", F.col("hit").alias("idx"), F.array().cast("array<int>").alias("path"), F.array("hit").alias("nodes"))
+    now, state = written(roots.distinct(), "expanded"), None
+    while True:
+        on = _followed(now, kids).where("not cycle" + (f" and size(nodes) <= {limit}" if limit else ""))
+        least = on.groupBy("source", "hit", "idx").agg(F.min(F.struct("path", "nodes")).alias("x")).select("source", "hit", "idx", "x.path", "x.nodes")
+        new = written(roots.distinct().unionByName(least), "expanded")
+        drop(now)
+        now = new
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("source", "hit", "idx", "path").cast("decimal(38,0)"))).first()
+        if seen == state:
+            return now
+        state = seen
+
+
+def _followed(expanded: DataFrame, kids: DataFrame) -> DataFrame:
+    """Each kid of each expanded node, with its path, the nodes on it (itself last), and whether it stands among those before it."""
+    met = expanded.withColumnRenamed("idx", "from_idx").join(kids, ["source", "from_idx"])
+    cycle = F.array_contains("nodes", F.col("to_idx"))
+    return met.select("source", "hit", F.col("to_idx").alias("idx"), F.array_append("path", F.col("nth")).alias("path"), F.array_append("nodes", F.col("to_idx")).alias("nodes"), cycle.alias("cycle"), "below")
 
 
 def walks(hits: DataFrame, packages: DataFrame, edges: DataFrame, limit: int = 3) -> DataFrame:
-    """``(source, hit, seq, depth, idx, stop, hidden)``: the ordered walk below each of ``hits(source, hit)``.
+    """``(source, hit, seq, depth, idx, stop, hidden)``: the ordered walk below each of ``hits(source, hit)``, to ``limit`` levels (0: all).
 
-    A walk is sequential, but one file's graph is small; files go side by side.
+    Kids go by name, version, key and place. A node that stands above itself is a "cycle"; one at the limit that has kids
+    stops as "depth", with how many are ``hidden``; one whose kids are shown earlier is a "repeat". No task holds a whole graph: nodes are joined to
+    their kids level by level; only the numbering of a walk's rows brings these together.
     """
+    hits = hits.select("source", F.col("hit").cast("int").alias("hit"))
     order = F.row_number().over(Window.partitionBy("source", "from_idx").orderBy("p.name", "p.v", "p.key", "p.idx"))
     p = packages.select("source", F.col("idx").alias("to_idx"), place(packages).alias("p"))
     ordered = edges.join(hits.select("source").distinct(), "source", "left_semi").join(p, ["source", "to_idx"]).select("source", "from_idx", "to_idx", order.alias("nth"))
-    lists = ordered.groupBy("source", "from_idx").agg(F.array_sort(F.collect_list(F.struct("nth", "to_idx"))).alias("x")).select("source", "from_idx", F.col("x.to_idx").alias("kids"))
-    graph = lists.groupBy("source").agg(F.collect_list(F.struct("from_idx", "kids")).alias("graph"))
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for source, hit, graph in zip(batch["source"], batch["hit"], batch["graph"]):
-                kids = {} if graph is None else {g["from_idx"]: list(g["kids"]) for g in graph}
-                rows += [(source, hit, n, *x) for n, x in enumerate(expand(kids, hit, limit), 1)]
-            yield pd.DataFrame(rows, columns=["source", "hit", "seq", "depth", "idx", "stop", "hidden"])
-
-    return hits.join(graph, "source", "left").select("source", "hit", "graph").mapInPandas(run, "source string, hit int, seq int, depth int, idx int, stop string, hidden int")
+    below = ordered.groupBy("source", F.col("from_idx").alias("to_idx")).agg(F.count("*").cast("int").alias("below"))
+    kids = written(ordered.join(below, ["source", "to_idx"], "left").fillna(0, ["below"]), "kids")
+    hits = written(hits, "hits")
+    expanded = _first_paths(kids, hits, limit)
+    first = expanded.select("source", "hit", "idx", F.col("path").alias("first"))
+    rows = _followed(expanded, kids).join(first, ["source", "hit", "idx"], "left").withColumn("depth", F.size("path"))
+    cut = (F.col("depth") >= limit) & F.lit(limit > 0)
+    stop = F.when(F.col("cycle"), "cycle").when(cut, F.when(F.col("below") > 0, "depth")).when(F.col("path") != F.col("first"), "repeat")
+    rows = rows.withColumn("stop", stop).withColumn("hidden", F.when(F.col("stop") == "depth", F.col("below")).otherwise(0))
+    seq = F.row_number().over(Window.partitionBy("source", "hit").orderBy("path"))
+    return rows.select("source", "hit", seq.alias("seq"), "depth", "idx", "stop", "hidden")

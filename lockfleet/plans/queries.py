@@ -12,10 +12,13 @@ from lockfleet.functions import text as T
 from lockfleet.functions.distance import damerau_levenshtein, maybe_within
 from lockfleet.operators import diff, evaluation, graph, report, resolve, rules, similarity
 from lockfleet.plans import readers
-from lockfleet.plans.embedding import SQL, Fleet, corpus, fleet
+from lockfleet.plans.embedding import SQL, Fleet, fleet
+from lockfleet.storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Before SQL that goes on after the common tables and is recursive.
+_RECURSIVE = "RECURSIVE"
 
 
 def query(sql: str | None = None, plain: bool = False):
@@ -23,7 +26,9 @@ def query(sql: str | None = None, plain: bool = False):
 
     def add(f):
         QUERIES[f.__name__] = f if plain else lambda spark, sf_dir: f(fleet(spark, sf_dir))
-        if sql is not None:
+        if sql is not None and sql.startswith(_RECURSIVE):
+            ORACLES[f.__name__] = SQL.replace("WITH", "WITH RECURSIVE", 1) + sql.removeprefix(_RECURSIVE)
+        elif sql is not None:
             ORACLES[f.__name__] = sql if sql.lstrip().upper().startswith("WITH") else SQL + sql
         return f
 
@@ -58,17 +63,29 @@ def parents(t: Fleet) -> DataFrame:
 
 
 @query(
-    ", hop1 AS (SELECT DISTINCT s.idx AS start, e.to_idx AS idx FROM (SELECT DISTINCT to_idx AS idx FROM edges) s JOIN edges e ON e.from_idx = s.idx), "
-    "hop2 AS (SELECT DISTINCT h.start, e.to_idx AS idx FROM hop1 h JOIN edges e ON e.from_idx = h.idx), "
-    "allof AS (SELECT DISTINCT to_idx AS start, to_idx AS idx, 0 AS depth FROM edges UNION ALL SELECT start, idx, 1 FROM hop1 UNION ALL SELECT start, idx, 2 FROM hop2) "
-    "SELECT start, idx, min(depth) AS depth FROM allof GROUP BY start, idx"
+    _RECURSIVE + ", r(start, idx, depth) USING KEY (start, idx) AS (SELECT DISTINCT to_idx, to_idx, 0 FROM edges UNION "
+    "SELECT r.start, e.to_idx, min(r.depth) + 1 FROM r JOIN edges e ON e.from_idx = r.idx WHERE NOT EXISTS (SELECT 1 FROM recurring.r s WHERE s.start = r.start AND s.idx = e.to_idx) GROUP BY r.start, e.to_idx) "
+    "SELECT start, idx, depth FROM r"
 )
 def reachability(t: Fleet) -> DataFrame:
     starts = t.edges.select("source", F.col("to_idx").alias("start")).distinct()
-    return graph.reachable(t.edges, starts, 2).select("start", "idx", "depth")
+    return graph.reachable(t.edges, starts).select("start", "idx", "depth")
 
 
-@query()
+def _walk_sql(limit: int) -> str:
+    """The walk by a stack in a recursive query: each round takes every hit's next node, and puts its kids in front."""
+    return (
+        _RECURSIVE + ", kids AS (SELECT e.from_idx, list(e.to_idx ORDER BY p.name, CAST(split_part(p.version, '.', 1) AS INT), CAST(split_part(p.version, '.', 2) AS INT), p.key, p.idx) AS ks FROM edges e JOIN packages p ON p.idx = e.to_idx GROUP BY e.from_idx), "
+        "s(hit, seq, stack, seen, depth, idx, stop, hidden) AS (SELECT idx, 0, list_transform(ks, lambda k: {'idx': k, 'path': [idx]}), [idx], 0, idx, CAST(NULL AS VARCHAR), 0 FROM packages JOIN kids ON from_idx = idx WHERE name = 'red widget' "
+        "UNION ALL SELECT hit, seq + 1, CASE WHEN go THEN list_concat(list_transform(coalesce(ks, []), lambda k: {'idx': k, 'path': list_append(e.path, e.idx)}), rest) ELSE rest END, CASE WHEN go THEN list_append(seen, e.idx) ELSE seen END, len(e.path), e.idx, stop, CASE WHEN stop = 'depth' THEN below ELSE 0 END "
+        f"FROM (SELECT *, stop IS NULL AND ({limit} = 0 OR len(e.path) < {limit}) AS go FROM (SELECT s.hit, s.seq, s.seen, s.stack[1] AS e, s.stack[2:] AS rest, ks, coalesce(len(ks), 0)::INT AS below, "
+        f"CASE WHEN list_contains(s.stack[1].path, s.stack[1].idx) THEN 'cycle' WHEN {limit} > 0 AND len(s.stack[1].path) >= {limit} THEN CASE WHEN len(ks) > 0 THEN 'depth' END WHEN list_contains(s.seen, s.stack[1].idx) THEN 'repeat' END AS stop "
+        "FROM s LEFT JOIN kids ON kids.from_idx = s.stack[1].idx WHERE len(s.stack) > 0))) "
+        "SELECT hit, seq, depth, idx, stop, hidden FROM s WHERE seq > 0"
+    )
+
+
+@query(_walk_sql(3))
 def dfs_preorder(t: Fleet) -> DataFrame:
     hits = t.packages.where("name = 'red widget'").select("source", F.col("idx").alias("hit"))
     return graph.walks(hits, t.packages, t.edges, 3).select("hit", "seq", "depth", "idx", "stop", "hidden")
@@ -125,11 +142,6 @@ def edit_distance(t: Fleet) -> DataFrame:
     return met.withColumn("distance", damerau_levenshtein(F.col("a"), F.col("b"))).where("distance <= 2")
 
 
-@query("SELECT DISTINCT severity, CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END AS rank FROM (SELECT unnest(['low', 'medium', 'high', 'critical']) AS severity)")
-def severity_parse(t: Fleet) -> DataFrame:
-    return t.lockfiles.select(F.explode(F.array(*map(F.lit, schema.SEVERITIES))).alias("severity")).select("severity", T.severity_rank(F.upper("severity")).alias("rank"))
-
-
 @query(
     "SELECT idx, CASE idx % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'compatible' WHEN 2 THEN 'range' ELSE 'unconstrained' END AS kind, "
     "CASE idx % 4 WHEN 1 THEN '>=' || version || ',~=' || version WHEN 2 THEN '!=1.5,<' || version END AS spec, CASE WHEN idx % 4 = 0 THEN version ELSE '' END AS version FROM packages"
@@ -221,6 +233,13 @@ def rule_union(t: Fleet) -> DataFrame:
     return _found(_audit(t))
 
 
+@query("SELECT upper(substr(severity, 1, 1)) || substr(severity, 2) AS severity, sev_rank AS rank, count(*) AS n FROM findings GROUP BY ALL UNION ALL SELECT 'no ' || severity, NULL, count(*) FROM findings GROUP BY severity")
+def severity_parse(t: Fleet) -> DataFrame:
+    """The severities of all findings read back from text in other case, and from text that names none."""
+    said = F.explode(F.array(F.initcap("severity"), F.concat(F.lit("no "), F.col("severity")))).alias("severity")
+    return _audit(t).select(said).groupBy("severity").agg(F.count("*").alias("n")).select("severity", T.severity_rank(F.col("severity")).alias("rank"), "n")
+
+
 # Reports -----------------------------------------------------------------------------------
 
 _RISK = "SELECT max(sev_rank) AS worst, CASE max(sev_rank) WHEN 4 THEN 75 WHEN 3 THEN 50 WHEN 2 THEN 25 ELSE 1 END + CAST(24 * count(*) FILTER (sev_rank = (SELECT max(sev_rank) FROM findings)) // (count(*) FILTER (sev_rank = (SELECT max(sev_rank) FROM findings)) + 8) AS INT) AS risk FROM findings"
@@ -236,9 +255,9 @@ def risk_score(t: Fleet) -> DataFrame:
     return report.risk(_audit(t)).select("worst", "risk")
 
 
-@query("SELECT max(sev_rank) AS worst FROM findings WHERE rule IN ('drift', 'pinning')")
+@query("SELECT rule, max(sev_rank) AS worst FROM findings GROUP BY ROLLUP (rule)")
 def worst_severity(t: Fleet) -> DataFrame:
-    return rules.drift(t.packages).unionByName(rules.pinning(t.lockfiles, t.packages)).agg(F.max("sev_rank").alias("worst"))
+    return _audit(t).rollup("rule").agg(F.max("sev_rank").alias("worst"))
 
 
 @query("SELECT s AS threshold, (SELECT max(sev_rank) FROM findings) >= s AS gated FROM (SELECT unnest([1, 2, 3, 4]) AS s)")
@@ -441,28 +460,38 @@ def precision_recall(t: Fleet) -> DataFrame:
     return evaluation.confusion(judged.select((F.col("idx") % 50 == 0).alias("planted"), F.col("k").isNull().alias("found")))
 
 
+# Shares of the corpus that are kept, in a thousand, and the seed of the sequence that thins it.
+KEPT, SEED = (1000, 900, 700, 500, 250), 0x5EED1234
+_LOW = (1 << 64) - 1
 _GRID = (
-    ", k AS (SELECT unnest([2, 3, 5, 7, 10]) AS keep), kc AS (SELECT keep, name FROM k, (SELECT DISTINCT p_name AS name FROM part) WHERE CAST('0x' || substr(md5(name), 1, 4) AS INT) % keep <> 0), "
+    _RECURSIVE + ", n AS (SELECT name, row_number() OVER (ORDER BY name) AS place FROM (SELECT DISTINCT p_name AS name FROM part)), "
+    f"s(place, a) AS (SELECT 0, CAST({SEED | 1} AS UBIGINT) UNION ALL SELECT place + 1, xor(c, (c & {_LOW >> 17}::UBIGINT) << 17) FROM (SELECT place, xor(b, b >> 7) AS c FROM (SELECT place, xor(a, (a & {_LOW >> 13}::UBIGINT) << 13) AS b FROM s WHERE place < (SELECT count(*) FROM n)))), "
+    f"k AS (SELECT unnest({list(KEPT)}) AS keep), kc AS (SELECT keep, name FROM k, n JOIN s USING (place) WHERE a % 1000 < keep), "
     "u AS (SELECT k.keep, n.idx, n.norm, coalesce(i.n, 0) AS deg FROM k, norm n LEFT JOIN indeg i ON i.idx = n.idx WHERE NOT first_party AND origin = 'registry' AND NOT EXISTS (SELECT 1 FROM kc WHERE kc.keep = k.keep AND kc.name = n.norm)), "
     "h AS (SELECT DISTINCT u.keep, u.norm FROM (SELECT DISTINCT keep, norm FROM u) u JOIN kc ON kc.keep = u.keep AND damerau_levenshtein(u.norm, kc.name) <= least(2, length(u.norm) // 5) WHERE length(u.norm) >= 5), "
     "f AS (SELECT u.* FROM u JOIN h USING (keep, norm)) "
-    "SELECT keep, c.clause, count(*) FILTER (idx % 50 = 0) AS tp, count(*) FILTER (idx % 50 <> 0) AS fp FROM f, (SELECT unnest([true, false]) AS clause) c WHERE NOT c.clause OR deg = 0 GROUP BY keep, c.clause"
 )
 
 
-@query(_GRID)
-def ablation_grid(t: Fleet) -> DataFrame:
-    part = t.part
+def _under_decay(t: Fleet) -> DataFrame:
+    """``(keep, clause, idx)``: what the rule finds with each share of the corpus, with and without its clause on parents."""
+    names = written(evaluation.drawn(t.part.select(F.col("p_name").alias("name")).distinct(), SEED), "drawn")
     out = None
-    for keep in (2, 3, 5, 7, 10):
+    for keep in KEPT:
+        known = names.where(F.col("draw") < keep).select(F.lit("pypi").alias("ecosystem"), "name")
         for clause in (True, False):
-            found = rules.slopsquat(t.lockfiles, t.packages.withColumn("version", F.col("idx").cast("string")), t.edges, corpus(part, keep), clause)
-            planted = F.col("version").cast("int") % 50 == 0
-            one = found.agg(F.count_if(planted).alias("tp"), F.count_if(~planted).alias("fp")).where("tp + fp > 0").select(F.lit(keep).alias("keep"), F.lit(clause).alias("clause"), "tp", "fp")
+            found = rules.slopsquat(t.lockfiles, t.packages.withColumn("version", F.col("idx").cast("string")), t.edges, known, clause)
+            one = found.select(F.lit(keep).alias("keep"), F.lit(clause).alias("clause"), F.col("version").cast("int").alias("idx"))
             out = one if out is None else out.unionByName(one)
     return out
 
 
+@query(_GRID + "SELECT keep, c.clause, count(*) FILTER (idx % 50 = 0) AS tp, count(*) FILTER (idx % 50 <> 0) AS fp FROM f, (SELECT unnest([true, false]) AS clause) c WHERE NOT c.clause OR deg = 0 GROUP BY keep, c.clause")
+def ablation_grid(t: Fleet) -> DataFrame:
+    planted = F.col("idx") % 50 == 0
+    return _under_decay(t).groupBy("keep", "clause").agg(F.count_if(planted).alias("tp"), F.count_if(~planted).alias("fp"))
+
+
 # The budgets that were weighed against one another, as min(most, (length - less) div per).
 POLICIES = [
     ("2", 2, 1, 0), ("min(2, len/3)", 2, 3, 0), ("min(2, (len-1)/3)", 2, 3, 1), ("min(2, len/4)", 2, 4, 0), ("min(2, (len-1)/4)", 2, 4, 1),
@@ -498,12 +527,11 @@ def leave_one_out_fpr(t: Fleet) -> DataFrame:
     return evaluation.neighbours(names).drop("ecosystem")
 
 
-@query(", s AS (SELECT unnest([2, 5, 10]) AS keep), r AS (SELECT keep, count(*) AS off, count(*) FILTER (i.n IS NULL) AS kept FROM s, norm p LEFT JOIN indeg i ON i.idx = p.idx WHERE CAST('0x' || substr(md5(p.norm), 1, 4) AS INT) % keep = 0 GROUP BY keep) SELECT keep, off, off - kept AS removed, CASE WHEN off = 0 THEN 0.0 ELSE (off - kept)::DOUBLE / off END AS share FROM r")
+@query(_GRID + "SELECT keep, count(*) AS off, count(*) FILTER (deg > 0) AS removed, count(*) FILTER (deg > 0)::DOUBLE / count(*) AS share FROM f GROUP BY keep")
 def decay_share(t: Fleet) -> DataFrame:
-    # how many of the names that a thinned corpus lost have a parent
-    digit = F.conv(F.substring(F.md5(T.normalize(F.col("name"), "pypi")), 1, 4), 16, 10).cast("int")
-    rows = t.packages.join(graph.in_degree(t.edges), ["source", "idx"], "left").select("in_degree", digit.alias("digit"), F.explode(F.array(*map(F.lit, (2, 5, 10)))).alias("keep")).where("digit % keep = 0")
-    return rows.groupBy("keep").agg(F.count("*").alias("off"), F.count("in_degree").alias("removed")).withColumn("share", F.col("removed") / F.col("off"))
+    """How many of the rule's findings under a thinned corpus its clause on parents takes away."""
+    found = _under_decay(t).groupBy("keep").agg(F.count_if(~F.col("clause")).alias("off"), F.count_if("clause").alias("on"))
+    return found.select("keep", "off", (F.col("off") - F.col("on")).alias("removed"), ((F.col("off") - F.col("on")) / F.col("off")).alias("share"))
 
 
 # Readers -----------------------------------------------------------------------------------

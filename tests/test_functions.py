@@ -1,10 +1,12 @@
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lockfleet.functions import text as T
 from lockfleet.functions.distance import distance
-from lockfleet.operators.evaluation import thinned
+from lockfleet.operators.evaluation import states, thinned
 from lockfleet.operators.report import score
 
 
@@ -61,8 +63,33 @@ def test_scores_keep_to_their_bands(spark):
     assert all(got[w, 100_000] < got[w + 1, 1] for w in (1, 2, 3))
 
 
-def test_thinning_is_seeded(spark):
-    names = [f"n{i}" for i in range(500)]
-    a = [r[0] for r in thinned(spark, names, 500, 0x5EED1234).collect()]
-    assert a == [r[0] for r in thinned(spark, names[::-1], 500, 0x5EED1234).collect()] and 150 < len(a) < 350
-    assert thinned(spark, names, 1000, 1).count() == 500
+def serial(count, seed):
+    """The sequence that thins a corpus, one step after the other."""
+    s, out, mask = seed | 1, [], (1 << 64) - 1
+    for _ in range(count):
+        s ^= (s << 13) & mask
+        s ^= s >> 7
+        s ^= (s << 17) & mask
+        out.append(s)
+    return out
+
+
+def test_leaps_equal_steps():
+    want = serial(3000, 0x5EED1234)
+    places = np.random.default_rng(0).permutation(3000) + 1
+    assert states(places, 0x5EED1234).tolist() == [want[i - 1] for i in places]
+    far = states(np.array([10**12, 10**12 + 1, (1 << 62) + 5]), 7)
+    s = int(far[0])
+    s ^= (s << 13) & ((1 << 64) - 1)
+    s ^= s >> 7
+    assert int(far[1]) == s ^ (s << 17) & ((1 << 64) - 1)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_thinning_equals_the_serial_sequence(spark, parts):
+    names = [f"n{i}" for i in range(500)] + ["é", "￮", "😀", "n7"]
+    df = spark.createDataFrame([(n,) for n in names], "name string").repartition(parts)
+    draws = dict(zip(range(len(names)), (x % 1000 for x in serial(len(names), 0x5EED1234))))
+    want = [n for i, n in enumerate(sorted(names, key=str.encode)) if draws[i] < 500]
+    assert sorted(r[0] for r in thinned(df, 500, 0x5EED1234).collect()) == sorted(want)
+    assert thinned(df, 1000, 1).count() == len(names) and thinned(df.where("false"), 500, 1).count() == 0

@@ -1,4 +1,7 @@
 import json
+import random
+
+from pyspark.sql import functions as F
 
 from lockfleet.operators import diff, graph
 from lockfleet.plans.engine import Engine
@@ -16,7 +19,59 @@ def test_walks(spark):
     assert [(r.depth, r.idx, r.stop) for r in rows if r.hit == 0] == [(1, 1, None), (2, 3, None), (3, 0, "cycle"), (1, 2, None), (2, 3, "repeat")]
     rows = graph.walks(hit, p, e, 1).where("hit = 0").orderBy("seq").collect()
     assert [(r.idx, r.stop, r.hidden) for r in rows] == [(1, "depth", 1), (2, "depth", 1)]
-    assert graph.expand({}, 5, 3) == []
+
+
+def plain_walk(kids, root, limit):
+    """(depth, node, stop, kids hidden) in preorder, by one stack."""
+    out, seen, path = [], {root}, [root]
+
+    def go(node):
+        for kid in kids.get(node, []):
+            below = len(kids.get(kid, []))
+            if kid in path:
+                out.append((len(path), kid, "cycle", 0))
+            elif limit and len(path) >= limit:
+                out.append((len(path), kid, "depth" if below else None, below))
+            elif kid in seen:
+                out.append((len(path), kid, "repeat", 0))
+            else:
+                seen.add(kid)
+                out.append((len(path), kid, None, 0))
+                path.append(kid)
+                go(kid)
+                path.pop()
+
+    go(root)
+    return out
+
+
+def test_walks_and_closure_of_many_graphs(spark):
+    rng, graphs = random.Random(4), {}
+    for n in range(30):
+        size = rng.randrange(1, 9)
+        graphs[f"s{n}"] = sorted({(rng.randrange(size), rng.randrange(size)) for _ in range(rng.randrange(0, 2 * size + 1))})
+    p = spark.createDataFrame([(s, i, f"n{i}", "1.0.0", f"n{i}", False) for s in graphs for i in range(9)], "source string, idx int, name string, version string, key string, first_party boolean")
+    e = spark.createDataFrame([(s, a, b) for s, edges in graphs.items() for a, b in edges], "source string, from_idx int, to_idx int")
+    hits = spark.createDataFrame([(s, h) for s in graphs for h in (0, 1)], "source string, hit int")
+    for limit in (0, 1, 3):
+        got = {}
+        for r in graph.walks(hits, p, e, limit).orderBy("source", "hit", "seq").collect():
+            got.setdefault((r.source, r.hit), []).append((r.depth, r.idx, r.stop, r.hidden))
+        for s, edges in graphs.items():
+            kids = {a: [b for x, b in edges if x == a] for a, _ in edges}
+            for h in (0, 1):
+                assert got.get((s, h), []) == plain_walk(kids, h, limit), (edges, h, limit)
+    near = {}
+    for r in graph.reachable(e, hits.select("source", F.col("hit").alias("start"))).collect():
+        near.setdefault((r.source, r.start), {})[r.idx] = r.depth
+    for s, edges in graphs.items():
+        for h in (0, 1):
+            want, front = {h: 0}, [h]
+            while front:
+                front = [b for a, b in edges if a in front and b not in want and not want.update({b: want[a] + 1})]
+            assert near[s, h] == want
+    assert {r.depth for r in graph.reachable(e, hits.select("source", F.col("hit").alias("start")), 1).collect()} == {0, 1}
+    assert graph.walks(hits.where("false"), p, e, 0).collect() == []
 
 
 def test_diff_pads(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lockfleet.functions.distance import damerau_levenshtein, maybe_within
+from lockfleet.functions.distance import distance_within, maybe_within
 from lockfleet.functions.text import budget, charmap, normalize
 
 
@@ -42,7 +42,7 @@ def within(names: DataFrame, corpus: DataFrame) -> DataFrame:
     right = known.where(F.length("candidate") >= 4).select("ecosystem", "candidate", charmap(F.col("candidate")).alias("mb"), F.explode(F.when(F.length("candidate") >= 8, deletions(F.col("candidate"), 2)).otherwise(deletions(F.col("candidate"), 1))).alias("part"))
     met = left.join(right, ["ecosystem", "part"]).where(maybe_within(F.col("norm"), F.col("candidate"), F.col("k"), F.col("ma"), F.col("mb")))
     met = met.select("ecosystem", "norm", "candidate", "k").distinct()
-    return met.withColumn("distance", damerau_levenshtein(F.col("norm"), F.col("candidate"))).where("distance <= k").drop("k")
+    return met.withColumn("distance", distance_within(F.col("norm"), F.col("candidate"), F.col("k"))).where("distance is not null").drop("k")
 
 
 def close(names: DataFrame, corpus: DataFrame, most: int = 2) -> DataFrame:
@@ -51,7 +51,7 @@ def close(names: DataFrame, corpus: DataFrame, most: int = 2) -> DataFrame:
     known = corpus.select("ecosystem", F.col("name").alias("candidate")).distinct()
     right = known.select("ecosystem", "candidate", F.explode(deletions(F.col("candidate"), most)).alias("part"))
     met = left.join(right, ["ecosystem", "part"]).where(maybe_within(F.col("norm"), F.col("candidate"), F.lit(most))).select("ecosystem", "norm", "candidate").distinct()
-    return met.withColumn("distance", damerau_levenshtein(F.col("norm"), F.col("candidate"))).where(F.col("distance") <= most)
+    return met.withColumn("distance", distance_within(F.col("norm"), F.col("candidate"), F.lit(most))).where("distance is not null")
 
 
 def nearest(names: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def near_names(packages: DataFrame, query: str, most: int = 2, top: int = 8) ->
     """``(distance, name, source)``: package names within ``most`` edits of a query, the first ``top``. ``packages`` has ``ecosystem``."""
     rows = packages.withColumn("norm", normalize(F.col("name"), F.col("ecosystem"))).withColumn("want", normalize(F.lit(query), F.col("ecosystem")))
     rows = rows.where(maybe_within(F.col("want"), F.col("norm"), F.lit(most))).select("name", "source", "norm", "want").distinct()
-    rows = rows.withColumn("distance", damerau_levenshtein(F.col("want"), F.col("norm"))).where(F.col("distance") <= most)
+    rows = rows.withColumn("distance", distance_within(F.col("want"), F.col("norm"), F.lit(most))).where("distance is not null")
     return rows.select("distance", "name", "source").distinct().orderBy("distance", "name", "source").limit(top)
 
 

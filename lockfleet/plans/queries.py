@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lockfleet import schema
 from lockfleet.functions import text as T
-from lockfleet.functions.distance import damerau_levenshtein, maybe_within
+from lockfleet.functions.distance import distance_within, maybe_within
 from lockfleet.operators import diff, evaluation, graph, report, resolve, rules, similarity
 from lockfleet.plans import readers
 from lockfleet.plans.embedding import SQL, Fleet, fleet
@@ -139,7 +139,7 @@ def edit_distance(t: Fleet) -> DataFrame:
     cut = t.packages.select("name").distinct().select("name", F.explode(similarity.deletions(F.col("name"), 2)).alias("part"))
     met = cut.alias("x").join(cut.alias("y"), "part").where("x.name < y.name").select(F.col("x.name").alias("a"), F.col("y.name").alias("b"))
     met = met.where(maybe_within(F.col("a"), F.col("b"), F.lit(2))).distinct()
-    return met.withColumn("distance", damerau_levenshtein(F.col("a"), F.col("b"))).where("distance <= 2")
+    return met.withColumn("distance", distance_within(F.col("a"), F.col("b"), F.lit(2))).where("distance is not null")
 
 
 @query(
@@ -512,7 +512,7 @@ def policy_sweep(t: Fleet) -> DataFrame:
     left = names.select("norm", "planted", F.explode(similarity.deletions(F.col("norm"), 2)).alias("part"))
     right = t.corpus.select("name", F.explode(similarity.deletions(F.col("name"), 2)).alias("part"))
     met = left.join(right, "part").select("norm", "planted", "name").distinct().where(maybe_within(F.col("norm"), F.col("name"), F.lit(2)))
-    near = met.withColumn("d", damerau_levenshtein(F.col("norm"), F.col("name"))).groupBy("norm", "planted").agg(F.min("d").alias("d"))
+    near = met.withColumn("d", distance_within(F.col("norm"), F.col("name"), F.lit(2))).groupBy("norm", "planted").agg(F.min("d").alias("d"))
     hits = near.select("norm", "planted", "d", F.explode(policies).alias("x")).select("norm", "planted", "d", "x.*").where(F.col("d") <= k)
     return hits.groupBy("policy").agg(F.count_if("planted").alias("tp"), F.count_if(~F.col("planted")).alias("fp"))
 

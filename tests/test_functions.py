@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lockfleet.functions import text as T
-from lockfleet.functions.distance import distance
+from lockfleet.functions.distance import bounded, distance, distance_within
 from lockfleet.operators.evaluation import states, thinned
 from lockfleet.operators.report import score
 
@@ -31,6 +31,21 @@ def test_distance_is_a_metric(a, b, c):
     assert distance(a, c) <= distance(a, b) + distance(b, c)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.text("abcé", max_size=9), st.text("abcé", max_size=9)), max_size=30), st.integers(0, 4))
+def test_bounded_distance_equals_the_whole_one(pairs, most):
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    want = [d if (d := distance(x, y)) <= most else -1 for x, y in pairs]
+    assert bounded(a, b, most).tolist() == want
+
+
+def test_bounded_distance_of_columns(spark):
+    rows = [("lodahs", "lodash", 1), ("CA", "ABC", 2), ("CA", "ABC", 1), ("x" * 5000, "x" * 5001, 2), (None, "a", 1), ("a", "a", None), ("", "", 0), ("😀b", "b😀", 1)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string, k int")
+    got = [r[0] for r in df.orderBy("i").select(distance_within(F.col("a"), F.col("b"), F.col("k"))).collect()]
+    assert got == [1, 2, None, 1, None, None, 0, 1]
+
+
 def test_semver_order(spark):
     order = ["1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-beta", "1.0.0-beta.2", "1.0.0-beta.11", "1.0.0-rc.1", "1.0.0", "v1.2", "1.10+build", "2", "1.2.3.4", "nope"]
     df = spark.createDataFrame([(v,) for v in reversed(order)], "v string")

@@ -38,7 +38,7 @@ def third_party(packages: DataFrame) -> DataFrame:
 def slopsquat(lockfiles: DataFrame, packages: DataFrame, edges: DataFrame, corpus: DataFrame, require_no_parent: bool = True) -> DataFrame:
     """Registry names that the corpus doesn't know, without parents, near a name that it knows."""
     covered = corpus.select("ecosystem").distinct()
-    mine = third_party(packages).where("origin = 'registry'").join(lockfiles.select("source", "ecosystem", "records_edges"), "source").join(F.broadcast(covered), "ecosystem", "left_semi")
+    mine = third_party(packages).where("origin = 'registry'").join(lockfiles.select("source", "ecosystem", "records_edges"), "source").join(covered, "ecosystem", "left_semi")
     mine = unknown(mine, corpus)
     degree = in_degree(edges)
     mine = mine.join(degree, ["source", "idx"], "left").withColumn("in_degree", F.coalesce("in_degree", F.lit(0)))
@@ -93,7 +93,7 @@ def audit(lockfiles: DataFrame, packages: DataFrame, edges: DataFrame, corpus: D
 def not_applicable(lockfiles: DataFrame, corpus: DataFrame) -> DataFrame:
     """``(source, rule, rule_rank)`` of rules that can't fire on a file."""
     covered = corpus.select("ecosystem").distinct().withColumn("covered", F.lit(True))
-    rows = lockfiles.join(F.broadcast(covered), "ecosystem", "left")
+    rows = lockfiles.join(covered, "ecosystem", "left")
     silent = F.array(F.when(F.col("covered").isNull(), 0), F.when(~F.col("records_install_scripts"), 1), F.when(F.col("format") != "pip", 4))
     rank = rows.select("source", F.explode(F.array_compact(silent)).alias("rule_rank"))
     return rank.select("source", F.get(F.array(*map(F.lit, schema.RULES)), "rule_rank").alias("rule"), "rule_rank")

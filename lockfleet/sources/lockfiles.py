@@ -151,6 +151,16 @@ def _literal(path: str) -> str:
     return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
+def entered(source: Column, folders: list[str]) -> Column:
+    """Whether discovery, looking through ``folders`` (longer ones first), enters all folders between one of them and the file."""
+    below = None
+    for r in folders:
+        below = (F.when if below is None else below.when)(source.startswith(r + "/"), F.substring(source, len(r) + 2, 1 << 20))
+    parents = F.split(below, "/")
+    dirs = F.slice(parents, 1, F.size(parents) - 1)
+    return ~F.exists(dirs, lambda d: d.isin(*schema.SKIPPED_DIRS) | (d.startswith(".") & (F.length(d) > 1))) & (F.size(dirs) <= schema.MAX_DEPTH)
+
+
 def files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``(source, text)`` of lockfiles under shared paths, in any store that Spark reads.
 
@@ -164,13 +174,7 @@ def files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         globs = "{" + ",".join("*" + f[0] for f in schema.FORMATS) + "}"
         rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", globs).text([_literal(r) or "/" for r in folders], wholetext=True)
         rows = rows.select(source.alias("source"), F.col("value").alias("text"))
-        below = None
-        for r in folders:
-            inside = F.col("source").startswith(r + "/")
-            below = (F.when if below is None else below.when)(inside, F.substring("source", len(r) + 2, 1 << 20))
-        parents = F.split(below, "/")
-        dirs = F.slice(parents, 1, F.size(parents) - 1)
-        rows = rows.where(~F.exists(dirs, lambda d: d.isin(*schema.SKIPPED_DIRS) | (d.startswith(".") & (F.length(d) > 1))) & (F.size(dirs) <= schema.MAX_DEPTH))
+        rows = rows.where(entered(F.col("source"), folders))
         for linked in [p for r in every if r.local and not r.is_file for p, why in discover(r.path).skipped if why == "symlinked directory"]:
             rows = rows.where(~F.col("source").startswith(linked + "/"))
         rows = rows.where(~F.col("source").isin(named)) if named else rows

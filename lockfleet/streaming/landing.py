@@ -8,17 +8,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lockfleet import schema
 from lockfleet.operators import rules
-from lockfleet.sources.lockfiles import read, source_of
+from lockfleet.sources.lockfiles import entered, read, roots, source_of
 
 
 def audits(spark: SparkSession, landing: str, out: str, checkpoint: str, corpus: DataFrame, once: bool = False) -> StreamingQuery:
     """Writes findings and errors of each new file under ``out``; a batch that runs again replaces its own rows.
 
-    Files are independent of one another, so batches need no state; the checkpoint knows which files are done.
+    Files are independent of one another, so batches need no state; the checkpoint knows which files are done. Folders that
+    discovery doesn't enter (see ``lockfiles.discover``) aren't read here either.
     """
     globs = "{" + ",".join("*" + f[0] for f in schema.FORMATS) + "}"
     rows = spark.readStream.schema("value string").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", globs).text(landing)
     rows = rows.select(source_of(F.col("_metadata.file_path")).alias("source"), F.col("value").alias("text"))
+    rows = rows.where(entered(F.col("source"), sorted({r.path.rstrip("/") for r in roots(spark, landing)}, key=lambda x: -len(x))))
 
     def batch(df: DataFrame, epoch: int) -> None:
         t = read(df.persist())

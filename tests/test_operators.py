@@ -93,6 +93,9 @@ def test_diff_json_and_stream(spark, tmp_path):
     from lockfleet.streaming.landing import audits
 
     corpus = spark.createDataFrame([], "ecosystem string, name string")
+    for d in ("node_modules/x", ".hid"):  # what discovery doesn't enter, the stream doesn't read
+        (tmp_path / d).mkdir(parents=True)
+        (tmp_path / d / "requirements.txt").write_text("loose\n")
     q = audits(spark, str(tmp_path), str(tmp_path / "out"), str(tmp_path / "ck"), corpus, once=True)
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out/findings")).count() == 1

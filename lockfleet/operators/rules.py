@@ -19,9 +19,11 @@ RANGE = " · a range, so the file does not say what installs"
 CAPPED = " · capped at the major, still floats below the cap"
 
 # Packages of one expression.
-KNOWN = """array-flatten code-point-at es-errors gopd has-flag hasown inherits is-arrayish is-buffer is-even is-extendable
-is-negative-zero is-npm is-number is-obj is-odd is-plain-obj is-windows isarray isobject left-pad number-is-nan
-object-assign pad-left""".split()
+KNOWN = [
+    "array-flatten", "code-point-at", "es-errors", "gopd", "has-flag", "hasown", "inherits", "is-arrayish", "is-buffer", "is-even",
+    "is-extendable", "is-negative-zero", "is-npm", "is-number", "is-obj", "is-odd", "is-plain-obj", "is-windows", "isarray", "isobject",
+    "left-pad", "number-is-nan", "object-assign", "pad-left",
+]
 
 
 def _finding(rule: str, severity: Column | str, package: str | Column, version: Column, detail: Column) -> list[Column]:

@@ -49,7 +49,14 @@ def blocks(findings: DataFrame) -> DataFrame:
 
 
 def percentage(hits: Column, third: Column) -> Column:
-    return F.format_string("%.1f", (100.0 * hits / F.greatest(third, F.lit(1))).cast("double"))
+    """Percent with one decimal place, rounded by the number's exact binary value, and to the even digit if it lies midway."""
+    x = (100.0 * hits / F.greatest(third, F.lit(1))).cast("double")
+    whole = F.floor(x)
+    # twentieths, and what is over, in units of 2**-57: numbers of 1/32 and more have no finer digits
+    units = ((x - whole) * F.lit(float(1 << 57))).cast("long") * 20
+    k, over = F.shiftright(units, 57), units % F.lit(1 << 57)
+    tenths = F.shiftright(k, 1) + F.when((k % 2 == 1) & ((over > 0) | (k % 4 == 3)), 1).otherwise(0)
+    return F.concat((whole + F.when(tenths == 10, 1).otherwise(0)).cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
 def gate(findings: DataFrame, fail_on: str) -> bool:

@@ -1,14 +1,15 @@
-"""The driver's tables read as a fleet: parts are packages, line items are edges. The same in SQL, for oracles."""
+"""The driver's tables read as a fleet: a lockfile for each brand, parts are its packages, line items are edges. The same in SQL, for oracles.
+
+An edge stays within its part's lockfile: the supplier's number picks one of the brand's hubs, its first quarter of parts.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SOURCE = "fleet/requirements.txt"
-
 
 @dataclass
 class Fleet:
@@ -22,18 +23,24 @@ class Fleet:
 def fleet(spark: SparkSession, sf_dir: str) -> Fleet:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     key, name = F.col("p_partkey"), F.col("p_name")
+    source = F.concat(F.lit("fleet/"), "p_brand", F.lit("/requirements.txt")).alias("source")
     typo = F.concat(F.substring(name, 1, 2), F.substring(name, 4, 1), F.substring(name, 3, 1), F.expr("substring(p_name, 5)"))
     version = F.concat_ws(".", F.col("p_size").cast("string"), (key % 10).cast("string"), F.lit("0"))
     kind = F.element_at(F.array(*map(F.lit, ("exact", "compatible", "range", "unconstrained"))), (key % 4 + 1).cast("int"))
     packages = part.select(
-        F.lit(SOURCE).alias("source"), key.cast("int").alias("idx"), F.when(key % 50 == 0, typo).otherwise(name).alias("name"), version.alias("version"),
+        source, key.cast("int").alias("idx"), F.when(key % 50 == 0, typo).otherwise(name).alias("name"), version.alias("version"),
         F.concat(name, F.lit("@"), key.cast("string")).alias("key"), (key % 3 == 0).alias("dev"), (key % 7 == 0).alias("optional"), (F.col("p_type") == "PROMO").alias("first_party"),
         (key % 23 == 0).alias("install_script"), (key % 4 != 1).alias("has_integrity"), kind.alias("pin_kind"),
         F.when(key % 4 == 1, F.concat(F.lit("~="), version)).when(key % 4 == 2, F.concat(F.lit(">="), version)).alias("pin_spec"),
         F.when(F.col("p_brand").isin("Brand#3", "Brand#9"), "elsewhere").otherwise("registry").alias("origin"), (key % 5 == 0).alias("is_root"),
     )
-    edges = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.lit(SOURCE).alias("source"), F.col("l_partkey").cast("int").alias("from_idx"), F.col("l_suppkey").cast("int").alias("to_idx")).distinct()
-    lockfiles = spark.sql(f"SELECT '{SOURCE}' AS source, 'requirements.txt' AS file_name, 'pip' AS format, 'pypi' AS ecosystem, true AS records_edges, false AS records_install_scripts")
+    brand = Window.partitionBy("p_brand")
+    ranked = part.select(source, key.cast("int").alias("to_idx"), (F.row_number().over(brand.orderBy(key)) - 1).alias("hub"), F.ceil(F.count("*").over(brand) / 4).alias("hubs"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("k")).distinct()
+    sizes = ranked.select("source", "hubs").distinct()
+    lines = lines.join(part.select("p_partkey", source), "p_partkey").join(sizes, "source").select("source", key.cast("int").alias("from_idx"), (F.col("k") % F.col("hubs")).alias("hub"))
+    edges = lines.join(ranked.where("hub < hubs").drop("hubs"), ["source", "hub"]).select("source", "from_idx", "to_idx").distinct()
+    lockfiles = part.select(source, F.lit("requirements.txt").alias("file_name"), F.lit("pip").alias("format"), F.lit("pypi").alias("ecosystem"), F.lit(True).alias("records_edges"), F.lit(False).alias("records_install_scripts")).distinct()
     return Fleet(lockfiles, packages, edges, corpus(part), part)
 
 
@@ -45,9 +52,9 @@ def corpus(part: DataFrame, modulus: int = 10) -> DataFrame:
 
 
 #: The same as common table expressions.
-SQL = f"""
+SQL = """
 WITH packages AS (
-  SELECT '{SOURCE}' AS source, CAST(p_partkey AS INT) AS idx,
+  SELECT 'fleet/' || p_brand || '/requirements.txt' AS source, CAST(p_partkey AS INT) AS idx,
          CASE WHEN p_partkey % 50 = 0 THEN substr(p_name, 1, 2) || substr(p_name, 4, 1) || substr(p_name, 3, 1) || substr(p_name, 5) ELSE p_name END AS name,
          p_size || '.' || (p_partkey % 10) || '.0' AS version, p_name || '@' || p_partkey AS key,
          p_partkey % 3 = 0 AS dev, p_partkey % 7 = 0 AS optional, p_type = 'PROMO' AS first_party,
@@ -56,7 +63,8 @@ WITH packages AS (
          CASE p_partkey % 4 WHEN 1 THEN '~=' || p_size || '.' || (p_partkey % 10) || '.0' WHEN 2 THEN '>=' || p_size || '.' || (p_partkey % 10) || '.0' END AS pin_spec,
          CASE WHEN p_brand IN ('Brand#3', 'Brand#9') THEN 'elsewhere' ELSE 'registry' END AS origin, p_partkey % 5 = 0 AS is_root
   FROM part),
-edges AS (SELECT DISTINCT '{SOURCE}' AS source, CAST(l_partkey AS INT) AS from_idx, CAST(l_suppkey AS INT) AS to_idx FROM lineitem),
+ranked AS (SELECT source, idx, row_number() OVER (PARTITION BY source ORDER BY idx) - 1 AS hub, CAST(ceil(count(*) OVER (PARTITION BY source) / 4) AS INT) AS hubs FROM packages),
+edges AS (SELECT DISTINCT f.source, f.idx AS from_idx, h.idx AS to_idx FROM lineitem JOIN ranked f ON f.idx = l_partkey JOIN ranked h ON h.source = f.source AND h.hub = l_suppkey % f.hubs),
 corpus AS (SELECT DISTINCT p_name AS name FROM part WHERE CAST('0x' || substr(md5(p_name), 1, 4) AS INT) % 10 <> 0),
 norm AS (SELECT *, regexp_replace(translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[-_.]+', '-', 'g') AS norm FROM packages),
 indeg AS (SELECT to_idx AS idx, count(*) AS n FROM edges GROUP BY to_idx),

@@ -154,11 +154,11 @@ def pin_classifier(t: Fleet) -> DataFrame:
 
 # Rules -------------------------------------------------------------------------------------
 
-_FINDING = "rule, severity, package, version, detail"
+_FINDING = "source, rule, severity, package, version, detail"
 
 
 def _found(df: DataFrame) -> DataFrame:
-    return df.select("rule", "severity", "package", "version", "detail")
+    return df.select("source", "rule", "severity", "package", "version", "detail")
 
 
 @query(f"SELECT {_FINDING} FROM findings WHERE rule = 'drift'")
@@ -174,7 +174,7 @@ def drift_versions(t: Fleet) -> DataFrame:
 @query(
     "WITH p AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN 'a/is-' || p_brand WHEN p_partkey % 10 = 1 THEN 'left-pad' WHEN p_partkey % 10 = 2 THEN 'has-flag' ELSE 'is-' || p_size END AS name, CAST(p_partkey AS INT) AS idx, p_size || '.0.0' AS version, p_type = 'PROMO' AS first_party FROM part), "
     "o AS (SELECT DISTINCT l_partkey AS idx FROM lineitem WHERE l_partkey % 2 = 0) "
-    "SELECT DISTINCT 'trivial' AS rule, 'low' AS severity, name AS package, version, CASE WHEN name IN ('left-pad', 'has-flag') THEN 'one expression, one publisher · inlining it removes an account from your build' "
+    "SELECT DISTINCT 's' AS source, 'trivial' AS rule, 'low' AS severity, name AS package, version, CASE WHEN name IN ('left-pad', 'has-flag') THEN 'one expression, one publisher · inlining it removes an account from your build' "
     "ELSE 'predicate-shaped, resolves nothing · size not measured, see rule docs' END AS detail "
     "FROM p WHERE NOT first_party AND (name IN ('left-pad', 'has-flag') OR idx NOT IN (SELECT idx FROM o))"
 )
@@ -198,9 +198,9 @@ def pinning(t: Fleet) -> DataFrame:
     return _found(rules.pinning(t.lockfiles, t.packages))
 
 
-@query("WITH x AS (SELECT 'install-script' AS rule, 1 AS rule_rank) SELECT * FROM x")
+@query("SELECT DISTINCT source, 'install-script' AS rule, 1 AS rule_rank FROM packages")
 def not_applicable(t: Fleet) -> DataFrame:
-    return rules.not_applicable(t.lockfiles, t.corpus).select("rule", "rule_rank")
+    return rules.not_applicable(t.lockfiles, t.corpus).select("source", "rule", "rule_rank")
 
 
 @query("SELECT idx, norm FROM norm WHERE norm NOT IN (SELECT name FROM corpus)")
@@ -242,17 +242,20 @@ def severity_parse(t: Fleet) -> DataFrame:
 
 # Reports -----------------------------------------------------------------------------------
 
-_RISK = "SELECT max(sev_rank) AS worst, CASE max(sev_rank) WHEN 4 THEN 75 WHEN 3 THEN 50 WHEN 2 THEN 25 ELSE 1 END + CAST(24 * count(*) FILTER (sev_rank = (SELECT max(sev_rank) FROM findings)) // (count(*) FILTER (sev_rank = (SELECT max(sev_rank) FROM findings)) + 8) AS INT) AS risk FROM findings"
+_RISK = (
+    "SELECT source, max(sev_rank) AS worst, CASE max(sev_rank) WHEN 4 THEN 75 WHEN 3 THEN 50 WHEN 2 THEN 25 ELSE 1 END + CAST(24 * arg_max(n, sev_rank) // (arg_max(n, sev_rank) + 8) AS INT) AS risk "
+    "FROM (SELECT source, sev_rank, count(*) AS n FROM findings GROUP BY source, sev_rank) GROUP BY source"
+)
 
 
-@query("SELECT count(*) FILTER (NOT first_party) AS packages, count(*) FILTER (is_root) AS direct, greatest(count(*) FILTER (NOT first_party) - count(*) FILTER (is_root), 0) AS transitive, count(*) FILTER (first_party) AS workspace, count(*) FILTER (NOT first_party AND has_integrity) AS integrity FROM packages")
+@query("SELECT source, count(*) FILTER (NOT first_party) AS packages, count(*) FILTER (is_root) AS direct, greatest(count(*) FILTER (NOT first_party) - count(*) FILTER (is_root), 0) AS transitive, count(*) FILTER (first_party) AS workspace, count(*) FILTER (NOT first_party AND has_integrity) AS integrity FROM packages GROUP BY source")
 def lockfile_counters(t: Fleet) -> DataFrame:
-    return report.counters(t.lockfiles, t.packages).drop("source")
+    return report.counters(t.lockfiles, t.packages)
 
 
 @query(_RISK)
 def risk_score(t: Fleet) -> DataFrame:
-    return report.risk(_audit(t)).select("worst", "risk")
+    return report.risk(_audit(t))
 
 
 @query("SELECT rule, max(sev_rank) AS worst FROM findings GROUP BY ROLLUP (rule)")
@@ -266,29 +269,29 @@ def fail_on_gate(t: Fleet) -> DataFrame:
     return worst.select(F.explode(F.array(*[F.struct(F.lit(s).alias("threshold"), (F.col("w") >= s).alias("gated")) for s in (1, 2, 3, 4)])).alias("x")).select("x.*")
 
 
-@query("SELECT rule, count(*) AS hits, max(sev_rank) AS worst FROM findings GROUP BY rule")
+@query("SELECT source, rule, count(*) AS hits, max(sev_rank) AS worst FROM findings GROUP BY source, rule")
 def rule_block_counts(t: Fleet) -> DataFrame:
-    return report.blocks(_audit(t)).select("rule", "hits", "worst")
+    return report.blocks(_audit(t)).select("source", "rule", "hits", "worst")
 
 
-@query("SELECT rule, format('{:.1f}', 100.0::DOUBLE * count(*) / (SELECT greatest(count(*), 1) FROM packages WHERE NOT first_party)) AS pct FROM findings GROUP BY rule")
+@query("SELECT source, rule, format('{:.1f}', 100.0::DOUBLE * count(*) / (SELECT greatest(count(*), 1) FROM packages p WHERE NOT first_party AND p.source = f.source)) AS pct FROM findings f GROUP BY source, rule")
 def rule_pct(t: Fleet) -> DataFrame:
     third = report.counters(t.lockfiles, t.packages).select("source", "packages")
-    return report.blocks(_audit(t)).join(third, "source").select("rule", report.percentage(F.col("hits"), F.col("packages")).alias("pct"))
+    return report.blocks(_audit(t)).join(third, "source").select("source", "rule", report.percentage(F.col("hits"), F.col("packages")).alias("pct"))
 
 
-@query("SELECT CASE WHEN grouping(e) = 1 THEN NULL ELSE e END AS ecosystem, CAST(sum(f) AS BIGINT) AS files, CAST(sum(p) AS BIGINT) AS packages, CAST(sum(n) AS BIGINT) AS findings FROM (SELECT 'pypi' AS e, 1 AS f, (SELECT count(*) FROM packages WHERE NOT first_party) AS p, (SELECT count(*) FROM findings) AS n) GROUP BY ROLLUP (e)")
+@query("SELECT CASE WHEN grouping(e) = 1 THEN NULL ELSE e END AS ecosystem, CAST(sum(f) AS BIGINT) AS files, CAST(sum(p) AS BIGINT) AS packages, CAST(sum(n) AS BIGINT) AS findings FROM (SELECT 'pypi' AS e, (SELECT count(DISTINCT source) FROM packages) AS f, (SELECT count(*) FROM packages WHERE NOT first_party) AS p, (SELECT count(*) FROM findings) AS n) GROUP BY ROLLUP (e)")
 def fleet_rollup(t: Fleet) -> DataFrame:
     return report.fleet(t.lockfiles, t.packages, _audit(t))
 
 
 @query(
-    ", x AS (SELECT string_agg('{\"rule\":\"' || rule || '\",\"severity\":\"' || severity || '\",\"package\":\"' || package || '\",\"version\":\"' || version || '\",\"detail\":\"' || replace(detail, '\"', '\\\"') || '\"}', ',' ORDER BY rule_rank, package, version, severity, detail) AS f FROM findings), "
-    f"r AS ({_RISK}), c AS (SELECT count(*) FILTER (NOT first_party) AS p, count(*) FILTER (is_root) AS d, count(*) FILTER (first_party) AS w, count(*) FILTER (NOT first_party AND has_integrity) AS i FROM packages) "
-    "SELECT '{\"source\":\"fleet/requirements.txt\",\"ecosystem\":\"pypi\",\"packages\":' || p || ',\"direct\":' || d || ',\"transitive\":' || greatest(p - d, 0) || ',\"workspace\":' || w || ',\"integrity\":' || i || ',\"risk\":' || risk || ',\"findings\":[' || f || '],\"not_applicable\":[\"install-script\"]}' AS line FROM x, r, c"
+    ", x AS (SELECT source, string_agg('{\"rule\":\"' || rule || '\",\"severity\":\"' || severity || '\",\"package\":\"' || package || '\",\"version\":\"' || version || '\",\"detail\":\"' || replace(detail, '\"', '\\\"') || '\"}', ',' ORDER BY rule_rank, package, version, severity, detail) AS f FROM findings GROUP BY source), "
+    f"r AS ({_RISK}), c AS (SELECT source, count(*) FILTER (NOT first_party) AS p, count(*) FILTER (is_root) AS d, count(*) FILTER (first_party) AS w, count(*) FILTER (NOT first_party AND has_integrity) AS i FROM packages GROUP BY source) "
+    "SELECT source, '{\"source\":\"' || source || '\",\"ecosystem\":\"pypi\",\"packages\":' || p || ',\"direct\":' || d || ',\"transitive\":' || greatest(p - d, 0) || ',\"workspace\":' || w || ',\"integrity\":' || i || ',\"risk\":' || coalesce(risk, 0) || ',\"findings\":[' || coalesce(f, '') || '],\"not_applicable\":[\"install-script\"]}' AS line FROM c LEFT JOIN x USING (source) LEFT JOIN r USING (source)"
 )
 def ndjson_sink(t: Fleet) -> DataFrame:
-    return report.ndjson(t.lockfiles, t.packages, _audit(t), t.corpus).select("line")
+    return report.ndjson(t.lockfiles, t.packages, _audit(t), t.corpus)
 
 
 # Diffs -------------------------------------------------------------------------------------
@@ -356,15 +359,15 @@ def diff_resolved(t: Fleet) -> DataFrame:
 # Lookups -----------------------------------------------------------------------------------
 
 
-@query(", x AS (SELECT DISTINCT CAST(damerau_levenshtein('red widgte', norm) AS INT) AS distance, name FROM norm WHERE damerau_levenshtein('red widgte', norm) <= 2 ORDER BY 1, 2 LIMIT 8) SELECT distance, name, row_number() OVER (ORDER BY distance, name) AS rn FROM x")
+@query(", x AS (SELECT DISTINCT CAST(damerau_levenshtein('red widgte', norm) AS INT) AS distance, name, source FROM norm WHERE damerau_levenshtein('red widgte', norm) <= 2 ORDER BY ALL LIMIT 8) SELECT distance, name, source, row_number() OVER (ORDER BY distance, name, source) AS rn FROM x")
 def near_topk(t: Fleet) -> DataFrame:
     near = similarity.near_names(t.packages.withColumn("ecosystem", F.lit("pypi")), "Red Widgte")
-    return similarity.ranked_near(near).select("distance", "name", F.col("rn").cast("long").alias("rn"))
+    return similarity.ranked_near(near).select("distance", "name", "source", F.col("rn").cast("long").alias("rn"))
 
 
-@query("SELECT idx, name, version FROM norm WHERE norm = 'red widget'")
+@query("SELECT source, idx, name, version FROM norm WHERE norm = 'red widget'")
 def package_lookup(t: Fleet) -> DataFrame:
-    return t.packages.where(T.normalize(F.col("name"), "pypi") == T.normalize(F.lit("RED WIDGET"), "pypi")).select("idx", "name", "version")
+    return t.packages.where(T.normalize(F.col("name"), "pypi") == T.normalize(F.lit("RED WIDGET"), "pypi")).select("source", "idx", "name", "version")
 
 
 # Sources -----------------------------------------------------------------------------------
@@ -393,14 +396,14 @@ def pip_line_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_ancestor_resolve(t: Fleet) -> DataFrame:
     p = t.part.select(F.lit("s").alias("source"), F.col("p_partkey").alias("k"), F.concat(F.lit("node_modules/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))).alias("path"))
     own = p.where("k % 10 = 0").select("source", F.concat("path", F.lit("/node_modules/dep")).alias("key"), "k").groupBy("source", "key").agg((F.min("k") + 2).cast("int").alias("idx"))
-    keys = own.unionByName(t.lockfiles.select(F.lit("s").alias("source"), F.lit("node_modules/dep").alias("key"), F.lit(1).alias("idx")))
+    keys = own.unionByName(t.lockfiles.select(F.lit("s").alias("source"), F.lit("node_modules/dep").alias("key"), F.lit(1).alias("idx")).distinct())
     refs = p.select("source", F.col("k").alias("ref"), "path", F.lit("dep").alias("dep"))
     return resolve.nearest_ancestor(refs, keys).select("ref", "to_idx")
 
 
 @query(
-    ", q AS (SELECT idx AS ref, name, CASE WHEN idx % 2 = 0 THEN version END AS v, CASE WHEN idx % 4 = 0 THEN origin END AS s FROM packages WHERE NOT first_party), "
-    "c AS (SELECT q.ref, p.idx, CASE WHEN q.v IS NOT NULL AND q.s = p.origin THEN 0 ELSE 1 END AS r FROM q JOIN packages p ON p.name = q.name AND (q.v IS NULL OR q.v = p.version)) "
+    ", q AS (SELECT source, idx AS ref, name, CASE WHEN idx % 2 = 0 THEN version END AS v, CASE WHEN idx % 4 = 0 THEN origin END AS s FROM packages WHERE NOT first_party), "
+    "c AS (SELECT q.ref, p.idx, CASE WHEN q.v IS NOT NULL AND q.s = p.origin THEN 0 ELSE 1 END AS r FROM q JOIN packages p ON p.source = q.source AND p.name = q.name AND (q.v IS NULL OR q.v = p.version)) "
     "SELECT ref, arg_min(idx, r * 1000000000 + idx) AS to_idx FROM c GROUP BY ref"
 )
 def ranked_resolve(t: Fleet) -> DataFrame:
@@ -410,13 +413,13 @@ def ranked_resolve(t: Fleet) -> DataFrame:
     return resolve.ranked(refs, names).select("ref", "to_idx")
 
 
-@query(", q AS (SELECT idx AS ref, upper(name) AS name, CASE WHEN idx % 2 = 0 THEN version END AS v FROM packages), m AS (SELECT q.ref, p.idx, min(CASE WHEN q.v = p.version THEN p.idx END) OVER (PARTITION BY q.ref) AS one FROM q JOIN norm p ON p.norm = lower(q.name)) SELECT DISTINCT ref, CASE WHEN one IS NULL THEN idx ELSE one END AS to_idx FROM m")
+@query(", q AS (SELECT source, idx AS ref, upper(name) AS name, CASE WHEN idx % 2 = 0 THEN version END AS v FROM packages), m AS (SELECT q.ref, p.idx, min(CASE WHEN q.v = p.version THEN p.idx END) OVER (PARTITION BY q.ref) AS one FROM q JOIN norm p ON p.source = q.source AND p.norm = lower(q.name)) SELECT DISTINCT ref, CASE WHEN one IS NULL THEN idx ELSE one END AS to_idx FROM m")
 def normalised_resolve(t: Fleet) -> DataFrame:
     refs = t.packages.select("source", F.col("idx").alias("ref"), F.lit(0).alias("nth"), F.upper("name").alias("name"), F.when(F.col("idx") % 2 == 0, F.col("version")).alias("version"))
     return resolve.normalised(refs, t.packages.select("source", "idx", "name", "version")).select("ref", "to_idx").distinct()
 
 
-@query(", a AS (SELECT name || '@^' || idx % 3 AS spec, max(idx) AS to_idx FROM packages GROUP BY 1) SELECT p.idx AS ref, a.to_idx FROM packages p JOIN a ON a.spec = p.name || '@^' || p.idx % 5")
+@query(", a AS (SELECT source, name || '@^' || idx % 3 AS spec, max(idx) AS to_idx FROM packages GROUP BY 1, 2) SELECT p.idx AS ref, a.to_idx FROM packages p JOIN a ON a.source = p.source AND a.spec = p.name || '@^' || p.idx % 5")
 def alias_resolve(t: Fleet) -> DataFrame:
     spec = lambda m: F.concat(F.col("name"), F.lit("@^"), (F.col("idx") % m).cast("string"))
     names = t.packages.select("source", "idx", F.array(spec(3)).alias("aliases"))

@@ -108,3 +108,11 @@ def test_thinning_equals_the_serial_sequence(spark, parts):
     want = [n for i, n in enumerate(sorted(names, key=str.encode)) if draws[i] < 500]
     assert sorted(r[0] for r in thinned(df, 500, 0x5EED1234).collect()) == sorted(want)
     assert thinned(df, 1000, 1).count() == len(names) and thinned(df.where("false"), 500, 1).count() == 0
+
+
+def test_percentages_round_by_their_exact_value(spark):
+    from lockfleet.operators.report import percentage
+
+    rows = [(h, n) for n in (1, 3, 7, 16, 40, 80, 2000, 999_983) for h in {0, 1, 3, 5, n // 7, n // 2, n - 1, n}] + [(h, 2000) for h in range(2001)]
+    got = spark.createDataFrame(rows, "h long, n long").select("h", "n", percentage(F.col("h"), F.col("n")).alias("p")).collect()
+    assert all(r.p == f"{100.0 * r.h / r.n:.1f}" for r in got)

@@ -119,6 +119,10 @@ def _bounded(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
     return out.where(out >= 0)
 
 
+# a filter on the distance would else be moved below it, and the distance measured on either side
+_bounded = _bounded.asNondeterministic()
+
+
 def distance_within(a: Column, b: Column, most: Column) -> Column:
     """The distance where it is ``most`` at most, else null. Costs grow with ``most``, not with the product of the lengths."""
     return _bounded(a, b, most)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +39,8 @@ def third_party(packages: DataFrame) -> DataFrame:
     return packages.where(~F.col("first_party"))
 
 
-def slopsquat(lockfiles: DataFrame, packages: DataFrame, edges: DataFrame, corpus: DataFrame, require_no_parent: bool = True) -> DataFrame:
-    """Registry names that the corpus doesn't know, without parents, near a name that it knows."""
+def slopsquat(lockfiles: DataFrame, packages: DataFrame, edges: DataFrame, corpus: DataFrame, require_no_parent: bool = True, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Registry names that the corpus doesn't know, without parents, near a name that it knows; ``near`` finds the nearest of names (by default a join with the corpus)."""
     covered = corpus.select("ecosystem").distinct()
     mine = third_party(packages).where("origin = 'registry'").join(lockfiles.select("source", "ecosystem", "records_edges"), "source").join(covered, "ecosystem", "left_semi")
     mine = unknown(mine, corpus)
@@ -46,10 +48,11 @@ def slopsquat(lockfiles: DataFrame, packages: DataFrame, edges: DataFrame, corpu
     mine = mine.join(degree, ["source", "idx"], "left").withColumn("in_degree", F.coalesce("in_degree", F.lit(0)))
     if require_no_parent:
         mine = mine.where("in_degree = 0")
-    near = nearest(mine.select("ecosystem", "norm").distinct(), corpus)
+    names = mine.select("ecosystem", "norm").distinct()
+    found = near(names) if near else nearest(names, corpus)
     parent = F.when(~F.col("records_edges"), "no dependency graph in this format").when(F.col("in_degree") == 0, "root-only, no parent").otherwise(F.concat(F.col("in_degree").cast("string"), F.lit(" parent(s)")))
     detail = F.concat(F.lit("not in corpus · d="), F.col("distance").cast("string"), F.lit(' from "'), F.col("nearest"), F.lit('" · '), parent)
-    return mine.join(near, ["ecosystem", "norm"]).select(*_finding("slopsquat", "critical", "name", F.col("version"), detail))
+    return mine.join(found, ["ecosystem", "norm"]).select(*_finding("slopsquat", "critical", "name", F.col("version"), detail))
 
 
 def install_scripts(packages: DataFrame) -> DataFrame:
@@ -84,9 +87,9 @@ def pinning(lockfiles: DataFrame, packages: DataFrame) -> DataFrame:
     return packages.where(kind != "exact").join(pypi, "source", "left_semi").select(*_finding("pinning", severity, "name", F.col("version"), detail))
 
 
-def audit(lockfiles: DataFrame, packages: DataFrame, edges: DataFrame, corpus: DataFrame, require_no_parent: bool = True) -> DataFrame:
+def audit(lockfiles: DataFrame, packages: DataFrame, edges: DataFrame, corpus: DataFrame, require_no_parent: bool = True, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All findings; order them by source, rule_rank, package, version."""
-    out = slopsquat(lockfiles, packages, edges, corpus, require_no_parent)
+    out = slopsquat(lockfiles, packages, edges, corpus, require_no_parent, near)
     for more in (install_scripts(packages), trivial(packages, edges), drift(packages), pinning(lockfiles, packages)):
         out = out.unionByName(more)
     return out

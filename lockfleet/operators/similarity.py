@@ -54,10 +54,15 @@ def close(names: DataFrame, corpus: DataFrame, most: int = 2) -> DataFrame:
     return met.withColumn("distance", distance_within(F.col("norm"), F.col("candidate"), F.lit(most))).where("distance is not null")
 
 
+def best(pairs: DataFrame) -> DataFrame:
+    """``(ecosystem, norm, nearest, distance)``: of rows of :func:`within` the nearest; ties go to fewer bytes, then byte order."""
+    least = F.min(F.struct("distance", F.octet_length("candidate").alias("size"), "candidate")).alias("x")
+    return pairs.groupBy("ecosystem", "norm").agg(least).select("ecosystem", "norm", F.col("x.candidate").alias("nearest"), F.col("x.distance").alias("distance"))
+
+
 def nearest(names: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``(ecosystem, norm, nearest, distance)``: the nearest known name in budget; ties go to fewer bytes, then byte order."""
-    best = F.min(F.struct("distance", F.octet_length("candidate").alias("size"), "candidate")).alias("x")
-    return within(names, corpus).groupBy("ecosystem", "norm").agg(best).select("ecosystem", "norm", F.col("x.candidate").alias("nearest"), F.col("x.distance").alias("distance"))
+    """``(ecosystem, norm, nearest, distance)``: the nearest known name in budget, see :func:`best`."""
+    return best(within(names, corpus))
 
 
 def near_names(packages: DataFrame, query: str, most: int = 2, top: int = 8) -> DataFrame:

@@ -16,6 +16,7 @@ from lockfleet import schema
 from lockfleet.functions.text import label, normalize
 from lockfleet.operators import diff as diffs
 from lockfleet.operators import console, graph, report, rules, similarity
+from lockfleet.operators.name_index import NameIndex
 from lockfleet.sources import lockfiles
 from lockfleet.sources.lockfiles import Tables, Unusable
 
@@ -70,11 +71,12 @@ class Diff:
 
 
 class Engine:
-    """Reads lockfiles with one session and a corpus of known names ``(ecosystem, name)``."""
+    """Reads lockfiles with one session and a corpus of known names ``(ecosystem, name)``, or a stored index of them."""
 
-    def __init__(self, spark: SparkSession, corpus: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, corpus: DataFrame | NameIndex | None = None):
         self.spark = spark
-        self.corpus = spark.createDataFrame([], schema.CORPUS) if corpus is None else corpus
+        self.near_known = corpus.nearest if isinstance(corpus, NameIndex) else None
+        self.corpus = corpus.names() if isinstance(corpus, NameIndex) else spark.createDataFrame([], schema.CORPUS) if corpus is None else corpus
 
     def read(self, paths: str | list[str] | Tables) -> Tables:
         """The tables of what is under ``paths``; tables that were read already are served as they are."""
@@ -83,7 +85,7 @@ class Engine:
     def scan(self, paths: str | list[str] | Tables, require_no_parent: bool = True) -> Scan:
         """All findings of all files under ``paths``; files that can't be read are in ``tables.errors``."""
         t = self.read(paths)
-        return Scan(t, rules.audit(t.lockfiles, t.packages, t.edges, self.corpus, require_no_parent), self.corpus)
+        return Scan(t, rules.audit(t.lockfiles, t.packages, t.edges, self.corpus, require_no_parent, self.near_known), self.corpus)
 
     def tree(self, paths: str | list[str] | Tables, package: str, depth: int = 3) -> tuple[DataFrame, DataFrame]:
         """Where a package stands: hits with in-degree and direct flag, and their ordered walks; see :meth:`near` if there are none."""
@@ -143,7 +145,7 @@ class Engine:
             a.release(), b.release()
             unread = [path for path, k in zip((old, new), kinds) if not k]
             raise Unusable(f"{unread[0]} can't be read" if unread else f"{old} and {new} are different ecosystems ({kinds[0][0][0]} and {kinds[1][0][0]}); there is nothing to compare")
-        fa, fb = (rules.audit(t.lockfiles, t.packages, t.edges, self.corpus).persist() for t in (a, b))
+        fa, fb = (rules.audit(t.lockfiles, t.packages, t.edges, self.corpus, near=self.near_known).persist() for t in (a, b))
         p, q = a.packages, b.packages
         return Diff(old, new, diffs.added(p, q), diffs.added(q, p), diffs.changed(p, q), diffs.introduced(fa, fb), diffs.introduced(fb, fa), (a, b, fa, fb))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 from lockfleet import schema
 from lockfleet.functions import text as T
 from lockfleet.functions.distance import distance_within, maybe_within
-from lockfleet.operators import diff, evaluation, graph, report, resolve, rules, similarity
+from lockfleet.operators import diff, evaluation, graph, name_index, report, resolve, rules, similarity
 from lockfleet.plans import readers
-from lockfleet.plans.embedding import SQL, Fleet, fleet
-from lockfleet.storage import written
+from lockfleet.plans.embedding import SQL, Fleet, corpus, fleet
+from lockfleet.storage import shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -214,6 +215,17 @@ def nearest_name(t: Fleet) -> DataFrame:
     return similarity.nearest(names, t.corpus).select("norm", "nearest", "distance")
 
 
+@query("SELECT norm, nearest, distance FROM near")
+def nearest_name_indexed(t: Fleet) -> DataFrame:
+    """The same from a stored index, which was that of another corpus and is refreshed by what differs."""
+    spark = t.part.sparkSession
+    index = name_index.NameIndex(spark, f"{shared_dir(spark)}/known-{uuid.uuid4().hex}", 16)
+    index.refresh(corpus(t.part, 7))
+    index.refresh(t.corpus)
+    names = similarity.unknown(t.packages.withColumn("ecosystem", F.lit("pypi")), index.names()).select("ecosystem", "norm").distinct()
+    return index.nearest(names).select("norm", "nearest", "distance")
+
+
 @query(f"SELECT {_FINDING} FROM findings WHERE rule = 'slopsquat'")
 def slopsquat(t: Fleet) -> DataFrame:
     return _found(rules.slopsquat(t.lockfiles, t.packages, t.edges, t.corpus))

@@ -265,7 +265,11 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decoded(tokens: DataFrame, path: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
-    """``tokens`` with the text that the array column ``ids`` stands for (null: null). Unknown ids are an error."""
+    """``tokens`` with the text that the array column ``ids`` stands for (null: null). Unknown ids are an error.
+
+    ``into`` gets underscores where ``tokens`` has such a column already; all rows and columns stay.
+    """
+    into = fresh(tokens.columns, into)
     data = _ranks(tokens, path)
 
     def run(batches):

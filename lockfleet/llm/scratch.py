@@ -17,10 +17,12 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session."""
+    """The shared folder of this session; on a cluster that names none, an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     if "dir" not in _fallback:
         _fallback["dir"] = tempfile.mkdtemp(prefix="lockfleet-")
         atexit.register(__import__("shutil").rmtree, _fallback["dir"], True)

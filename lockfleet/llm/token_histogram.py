@@ -43,13 +43,13 @@ def context_table(hist: DataFrame) -> DataFrame:
 
 
 def truncated_at(hist: DataFrame, limits: list[int]) -> DataFrame:
-    """``(context_limit, truncated_total, docs_longer)`` for a stated list of limits."""
-    cols = [F.struct(F.lit(k).cast("long").alias("context_limit"), F.sum(F.least(F.col("n_tokens"), F.lit(k)) * F.col("n_docs")).alias("truncated_total"), F.sum(F.when(F.col("n_tokens") > k, F.col("n_docs")).otherwise(0)).alias("docs_longer")) for k in limits]
+    """``(context_limit, truncated_total, docs_longer)`` for a stated list of limits; both are 0 if the histogram is empty."""
+    cols = [F.struct(F.lit(k).cast("long").alias("context_limit"), F.coalesce(F.sum(F.least(F.col("n_tokens"), F.lit(k)) * F.col("n_docs")), F.lit(0)).alias("truncated_total"), F.coalesce(F.sum(F.when(F.col("n_tokens") > k, F.col("n_docs")).otherwise(0)), F.lit(0)).alias("docs_longer")) for k in limits]
     return hist.agg(F.array(*cols).alias("x")).select(F.inline("x"))
 
 
 def quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:
-    """``(share, n_tokens)``: the least length with at least that share of documents within it."""
+    """``(share, n_tokens)``: the least length with at least that share of documents within it; null if the histogram is empty."""
     t = context_table(hist)
     cols = [F.struct(F.lit(q).alias("share"), F.min(F.when(F.col("quantile") >= q, F.col("n_tokens"))).alias("n_tokens")) for q in shares]
     return t.agg(F.array(*cols).alias("x")).select(F.inline("x"))

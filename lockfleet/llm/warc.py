@@ -26,6 +26,10 @@ END = "\r\n\r\n"
 LEAST = 1000
 #: Records in a file before the writer begins another.
 FILE_RECORDS = 20_000
+#: Records that are pages; others (warcinfo, request, metadata, conversion, continuation) tell about them.
+PAGES = ["response", "resource", "revisit"]
+#: Fixed value: the digits of base32, in which other writers state digests.
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -74,22 +78,35 @@ def _field(header, name: str):
     return F.regexp_extract(header, f"(?i)(?:^|\\r\\n){name}:[ \\t]*([^\\r\\n]*)", 1)
 
 
+def _hex(digest):
+    """A stated SHA-1 (``sha1:`` and hex or base32 digits) as lower-case hex; null for anything else."""
+    plain = F.lower(F.regexp_extract(digest, "(?i)^sha1:([0-9a-f]{40})$", 1))
+    letters = F.upper(F.regexp_extract(digest, "(?i)^sha1:([a-z2-7]{32})$", 1))
+    bits = F.array_join(F.transform(F.split(letters, ""), lambda c: F.lpad(F.bin(F.instr(F.lit(BASE32), c) - 1), 5, "0")), "")
+    given = F.concat(*[F.lpad(F.lower(F.conv(F.substring(bits, 1 + 40 * i, 40), 2, 16)), 10, "0") for i in range(4)])
+    return F.when(plain != "", plain).when(letters != "", given)
+
+
 def _parsed(value) -> list:
     """Columns of what a candidate's bytes say, payload digest included if they are whole."""
     raw, header = value.cast("binary"), F.substring_index(value, END, 1)
     size = F.expr("try_cast(nullif(trim(length_), '') as long)")
-    start = F.octet_length(F.substring_index(value, END, 2)) + 4
+    # a payload follows the HTTP header, or is the whole block; a block that ends within its HTTP header has none
+    after, end = F.octet_length(header) + 4, F.octet_length(header) + 4 + size
+    kind = _field(header, "Content-Type")
+    http = kind.rlike("(?i)^application/http") | ((kind == "") & F.substring_index(F.substring_index(value, END, 2), END, -1).startswith("HTTP/"))
+    start = F.when(http, F.least(F.octet_length(F.substring_index(value, END, 2)) + 4, F.greatest(after, end))).otherwise(after)
     return [
         F.octet_length(value).cast("long").alias("size"),
         F.when(value.rlike("^[01]\\r\\n") & (F.octet_length(header) < F.octet_length(value)) & (size >= 0), F.octet_length(header) + 4 + size).alias("record_size"),
         _field(header, "WARC-Type").alias("record_type"),
         F.regexp_extract(_field(header, "WARC-Record-ID"), "<urn:x-page:(-?[0-9]*)>", 1).alias("id"),
         F.regexp_extract(_field(header, "WARC-Refers-To"), "<urn:x-page:(-?[0-9]*)>", 1).alias("refers"),
-        F.regexp_extract(_field(header, "WARC-Payload-Digest"), "sha1:([0-9a-f]+)", 1).alias("stated"),
+        _hex(_field(header, "WARC-Payload-Digest")).alias("stated"),
         F.expr("try_cast(nullif(trim(http_length_), '') as long)").alias("stated_bytes"),
         start.alias("payload_start"),
-        (F.octet_length(header) + 4 + size - start).alias("payload_bytes"),
-        F.when(F.octet_length(value) >= F.octet_length(header) + 4 + size, F.sha1(F.substring(raw, (start + 1).cast("int"), (F.octet_length(header) + 4 + size - start).cast("int")))).alias("digest"),
+        (end - start).alias("payload_bytes"),
+        F.when(F.octet_length(value) >= end, F.sha1(F.substring(raw, (start + 1).cast("int"), (end - start).cast("int")))).alias("digest"),
     ]
 
 
@@ -123,10 +140,13 @@ def _reached(cands: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the archives under ``path``: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
+    """The pages of the archives under ``path``: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
 
+    Pages are records of type response, resource and revisit, whoever wrote them; records of other types are passed over.
+    A payload is what follows the HTTP header in a block of type application/http (or of no type, if it begins as one), else the whole block; a block that ends
+    before its HTTP header does has an empty payload. Ids that :func:`write` doesn't give (such as ``urn:uuid:``) are null.
     ``payload_digest`` is measured on a response's payload; a revisit has no payload of its own, and its
-    size and digest are those that its headers state. A last record that is cut short is left out, and so is
+    size and digest are those that its headers state: SHA-1 in hex or base32, null if stated otherwise or not at all. A last record that is cut short is left out, and so is
     what follows bytes that are no record: the chain ends there. Empty folders give no rows. Versions 1.0 and 1.1 are read, and files
     whose names end in .gz, each record compressed by itself or all as one.
     """
@@ -144,9 +164,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     cands = at.withColumn("broken", broken).withColumn("run", F.sum("broken").over(in_file.rowsBetween(Window.unboundedPreceding, 0)))
     cands = written(cands.drop("base", "before", "broken", "file_bytes"), "offsets")
     good = cands.join(_reached(cands), ["file", "run"], "left").withColumn("real", F.coalesce(F.col("offset") >= F.col("entry"), F.lit(False)) & F.col("next").isNotNull())
-    real = good.where("real")
+    real = good.where("real").where(F.col("record_type").isin(PAGES))
     if real.where("digest is null").take(1):
-        real = real.where("digest is not null").unionByName(_mended(spark, path, good))
+        real = real.where("digest is not null").unionByName(_mended(spark, path, good).where(F.col("record_type").isin(PAGES)))
     revisit = F.col("record_type") == "revisit"
     number = lambda c: F.expr(f"try_cast(nullif({c}, '') as long)")
     return real.select(number("id").alias("page_id"), F.when(revisit, F.col("stated_bytes")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"), F.when(revisit, F.col("stated")).otherwise(F.col("digest")).alias("payload_digest"), "record_type", F.when(revisit, number("refers")).alias("refers_to"))

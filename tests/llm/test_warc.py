@@ -70,3 +70,38 @@ def test_older_version_and_compressed_records(spark, tmp_path):
     want = [(k, len(b), hashlib.sha1(b.encode()).hexdigest(), "response") for k, b in bodies.items()]
     assert sorted(tuple(r)[:4] for r in warc.read(spark, str(tmp_path / "plain")).collect()) == want
     assert sorted(tuple(r)[:4] for r in warc.read(spark, str(tmp_path / "packed")).collect()) == want + [(k + 10, *x) for k, *x in want]
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """Records of all types, digests in base32, blocks that aren't HTTP or end within their HTTP header."""
+    import base64
+
+    def record(kind, block, *more):
+        block = block.encode()
+        head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:0-1>", *more, f"Content-Length: {len(block)}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    sha = hashlib.sha1(b"body")
+    http, as_http = "HTTP/1.1 200 OK\r\nContent-Length: 4\r\n\r\n", "Content-Type: application/http; msgtype=response"
+    base32 = "WARC-Payload-Digest: sha1:" + base64.b32encode(sha.digest()).decode()
+    records = [
+        record("warcinfo", "software: x", "Content-Type: application/warc-fields"),
+        record("request", "GET / HTTP/1.1\r\nHost: x\r\n\r\n", "Content-Type: application/http; msgtype=request"),
+        record("response", http + "body", as_http, base32),
+        record("metadata", "a: b", "Content-Type: application/warc-fields"),
+        record("revisit", http, as_http, base32),
+        record("revisit", http, as_http, base32.lower().replace("warc-payload-digest", "WARC-Payload-Digest")),
+        record("revisit", http, as_http, "WARC-Payload-Digest: SHA1:" + sha.hexdigest().upper()),
+        record("revisit", http, as_http, "WARC-Payload-Digest: md5:" + "0" * 32),
+        record("revisit", "HTTP/1.1 304 Not Modified\r\n", as_http),
+        record("resource", "body\r\n\r\nbody WARC/1.0\r\n", "Content-Type: text/plain"),
+        record("response", "60 dns x", "Content-Type: text/dns"),
+        record("response", "HTTP/1.1 200 OK\r\nX: y", as_http),
+        record("conversion", "WARC/1.0\r\nbody", "Content-Type: text/plain"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    got = warc.read(spark, str(tmp_path)).collect()
+    whole = lambda x: (None, len(x), hashlib.sha1(x).hexdigest())
+    revisits = [(None, 4, sha.hexdigest(), "revisit", None)] * 3 + [(None, 4, None, "revisit", None), (None, None, None, "revisit", None)]
+    want = [(*whole(b"body"), "response", None), *revisits, (*whole(b"body\r\n\r\nbody WARC/1.0\r\n"), "resource", None), (*whole(b"60 dns x"), "response", None), (*whole(b""), "response", None)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)

@@ -21,3 +21,14 @@ def test_normalised_gathers_no_pairs(spark):
     assert "collect_list" not in plan(got)
     # pairs are results only: nothing is grouped or made distinct above the join that makes them
     assert not re.search(r"Aggregate", plan(got).split("Join", 1)[0])
+
+
+def test_ranked_meets_one_name_a_reference(spark):
+    many = [("s", i, "a", "1" if i % 2 else "2", "x" if i > 50 else None) for i in range(100)]
+    names = spark.createDataFrame([*many, ("s", 200, "b", None, "x"), ("t", 201, "a", "1", "x")], "source string, idx int, name string, version string, src string")
+    asked = [("a", "1", "x"), ("a", "1", None), ("a", "2", "y"), ("a", None, "x"), ("a", "3", "x"), ("b", None, None), ("b", "1", "x"), ("c", None, None)]
+    refs = spark.createDataFrame([("s", 9, n, *a) for n, a in enumerate(asked)] + [("t", 8, 0, "a", "1", None)], "source string, ref int, nth int, name string, version string, src string")
+    got = resolve.ranked(refs, names)
+    assert rows(got) == [("s", 9, 0), ("s", 9, 0), ("s", 9, 1), ("s", 9, 51), ("s", 9, 200), ("t", 8, 201)]
+    # names are grouped before they are met, and what is met isn't grouped again
+    assert plan(got).count("Aggregate") == 3 and "Aggregate" not in plan(got).split("Join", 1)[0]

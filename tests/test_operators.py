@@ -183,3 +183,22 @@ def test_blind_spots():
     assert blind_spots(seen) == '{"unreadable":["/x"],"unsupported":["go.sum"]}' and blind_spots(Listing([], [], [], [])) == ""
     assert blind_spots(seen, quiet=True) == '{"unreadable":["/x"],"unsupported":[]}' and "not descended" not in blind_spots(seen, False, True, True)
     assert "not descended into (1)" in blind_spots(seen, False, True)
+
+
+def test_closure_keeps_words_of_starts_not_pairs(spark, monkeypatch):
+    """What a closure writes grows by a row for 64 starts, and a round shuffles nothing but what it may broadcast."""
+    ring = spark.range(200).select(F.lit("s").alias("source"), F.col("id").cast("int").alias("from_idx"), F.explode(F.array(*[((F.col("id") * 7 + k) % 200).cast("int") for k in range(5)])).alias("to_idx"))
+    rows, old = [], graph._append
+
+    def append(df, table):
+        old(df, table)
+        rows.append((table.split("_")[0], df))
+
+    monkeypatch.setattr(graph, "_append", append)
+    got = graph.reachable(ring, ring.select("source", F.col("from_idx").alias("start")))
+    assert got.count() == got.distinct().count() == 200 * 200
+    rounds = [df for name, df in rows if name == "reached"]
+    assert sum(df.count() for df in rounds[:1]) == 200
+    assert "Exchange hashpartitioning" not in rounds[1]._jdf.queryExecution().executedPlan().toString()
+    stored = next(t for t in spark.catalog.listTables() if t.name.startswith("reached_"))
+    assert spark.table(stored.name).count() < 200 * 200 / 4

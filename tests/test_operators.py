@@ -202,3 +202,13 @@ def test_closure_keeps_words_of_starts_not_pairs(spark, monkeypatch):
     assert "Exchange hashpartitioning" not in rounds[1]._jdf.queryExecution().executedPlan().toString()
     stored = next(t for t in spark.catalog.listTables() if t.name.startswith("reached_"))
     assert spark.table(stored.name).count() < 200 * 200 / 4
+
+
+def test_walks_number_no_rows_at_the_limit(spark):
+    p = packages(spark, [(f"n{i}", "1") for i in range(41)])
+    e = spark.range(1, 41).select(F.lit("s").alias("source"), F.lit(0).alias("from_idx"), F.col("id").cast("int").alias("to_idx"))
+    hit = spark.createDataFrame([("s", 0)], "source string, hit int")
+    got = graph.walks(hit, p, e, 1)
+    assert got.count() == 40 and sorted(r.seq for r in got.collect()) == list(range(1, 41))
+    shown = got.queryExecution if hasattr(got, "queryExecution") else got._jdf.queryExecution()
+    assert "Window" not in shown.optimizedPlan().toString()

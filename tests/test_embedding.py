@@ -1,4 +1,11 @@
-from lockfleet.plans.embedding import fleet
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from lockfleet.plans import embedding
+from lockfleet.plans.embedding import SQL, fleet
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_edges_are_made_distinct_once(spark):
@@ -6,3 +13,57 @@ def test_edges_are_made_distinct_once(spark):
     plan = edges._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Aggregate [p_partkey" in line]
     assert edges.count() == edges.distinct().count() > 0
+
+
+def _tables(tmp_path, part: str, lineitem: str) -> str:
+    """A folder with the smallest tables, changed by these selections of ``part`` and ``lineitem``."""
+    con = duckdb.connect()
+    for name, sql in (("part", part), ("lineitem", lineitem)):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+        con.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet'")
+    return str(tmp_path)
+
+
+def _wanted(folder: str) -> list[tuple]:
+    con = duckdb.connect()
+    for name in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    return sorted(con.execute(SQL + "SELECT source, from_idx, to_idx FROM edges").fetchall())
+
+
+def test_a_task_takes_a_share_of_the_edges_however_many_there_are(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "SHARE", 500)
+    t = fleet(spark, SF)
+    assert t.tasks == (t.part.count() + t.lineitem.count()) // 500 + 1 > 10
+    dealt = t.edges.groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) > 8 and max(r["count"] for r in dealt) < 5 * 500
+
+
+@pytest.mark.parametrize(
+    "part, lineitem",
+    [
+        ("SELECT * FROM part", "SELECT * FROM lineitem"),
+        ("SELECT * FROM part UNION ALL SELECT * FROM part WHERE p_partkey % 3 = 0", "SELECT * FROM lineitem"),  # keys repeat
+        ("SELECT * REPLACE (p_partkey * 1000 AS p_partkey) FROM part", "SELECT * REPLACE (l_partkey * 1000 AS l_partkey) FROM lineitem"),  # many blocks, with gaps
+        ("SELECT * REPLACE (p_partkey - 100 AS p_partkey) FROM part", "SELECT * REPLACE (l_partkey - 100 AS l_partkey) FROM lineitem"),  # keys below 0
+        ("SELECT * REPLACE (CASE WHEN p_partkey % 5 > 0 THEN p_brand END AS p_brand) FROM part", "SELECT * REPLACE (CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey END AS l_suppkey) FROM lineitem"),
+        ("SELECT * FROM part", "SELECT * FROM lineitem WHERE false"),
+        ("SELECT * FROM part WHERE false", "SELECT * FROM lineitem"),
+    ],
+)
+def test_edges_equal_the_sql(spark, tmp_path, part, lineitem):
+    folder = _tables(tmp_path, part, lineitem)
+    want = _wanted(folder)
+    assert sorted(map(tuple, fleet(spark, folder).edges.collect())) == want
+    assert bool(want) == ("false" not in part + lineitem)
+
+
+def test_hubs_are_numbered_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "BLOCK", 7)
+    t = fleet(spark, SF)
+    want = fleet(spark, SF).part.count()
+    sizes, hubs = embedding._hubs(t.part, 4)
+    got = hubs.groupBy("p_brand").agg(F.count("*").alias("n"), F.count_distinct("hub").alias("d"), F.max("hub").alias("last")).join(sizes, "p_brand").collect()
+    assert got and all(r["n"] == r["d"] == r["last"] + 1 == r["hubs"] for r in got) and sum(r["hubs"] for r in got) < want
+    plan = hubs._jdf.queryExecution().optimizedPlan().toString()
+    assert "[p_brand#" in plan and all("block" in line for line in plan.splitlines() if "Window [row_number" in line)

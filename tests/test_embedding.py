@@ -2,6 +2,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lockfleet.operators import graph
 from lockfleet.plans import embedding
 from lockfleet.plans.embedding import SQL, fleet
 
@@ -37,6 +38,10 @@ def test_a_task_takes_a_share_of_the_edges_however_many_there_are(spark, monkeyp
     assert t.tasks == (t.part.count() + t.lineitem.count()) // 500 + 1 > 10
     dealt = t.edges.groupBy(F.spark_partition_id()).count().collect()
     assert len(dealt) > 8 and max(r["count"] for r in dealt) < 5 * 500
+    kin = graph.parents(t.edges, t.packages, t.tasks)
+    assert len(kin.select(F.spark_partition_id()).distinct().collect()) > 8
+    plain = graph.parents(t.edges, t.packages)
+    assert sorted(kin.collect()) == sorted(plain.collect())
 
 
 @pytest.mark.parametrize(

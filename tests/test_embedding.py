@@ -2,7 +2,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lockfleet.operators import graph
+from lockfleet.operators import graph, resolve
 from lockfleet.plans import embedding
 from lockfleet.plans.embedding import SQL, fleet
 
@@ -72,3 +72,11 @@ def test_hubs_are_numbered_across_blocks(spark, monkeypatch):
     assert got and all(r["n"] == r["d"] == r["last"] + 1 == r["hubs"] for r in got) and sum(r["hubs"] for r in got) < want
     plan = hubs._jdf.queryExecution().optimizedPlan().toString()
     assert "[p_brand#" in plan and all("block" in line for line in plan.splitlines() if "Window [row_number" in line)
+
+
+def test_edges_are_met_by_entries_once_for_each_target(spark):
+    edges = spark.createDataFrame([("s", 1, 2)] * 50 + [("s", 3, 2)], "source string, from_idx int, to_idx int")
+    entries = spark.createDataFrame([("s", 1), ("s", 2), ("s", 3)], "source string, idx int")
+    got = resolve.without_parents(entries, edges)
+    assert sorted(r["idx"] for r in got.collect()) == [1, 3]
+    assert "Aggregate [source" in got._jdf.queryExecution().optimizedPlan().toString()

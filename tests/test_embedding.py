@@ -1,8 +1,10 @@
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lockfleet.operators import graph, resolve
+from lockfleet.operators import graph, resolve, rules
 from lockfleet.plans import embedding
 from lockfleet.plans.embedding import SQL, fleet
 
@@ -80,3 +82,11 @@ def test_edges_are_met_by_entries_once_for_each_target(spark):
     got = resolve.without_parents(entries, edges)
     assert sorted(r["idx"] for r in got.collect()) == [1, 3]
     assert "Aggregate [source" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_line_items_are_dealt_once_for_all_rules(spark):
+    t = fleet(spark, SF)
+    found = rules.audit(t.lockfiles, t.packages, t.edges, t.corpus)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    filters = {re.sub(r"#\d+L?", "", x).strip(" +-:") for x in plan if "Filter" in x and "l_partkey" in x}
+    assert filters == {"Filter isnotnull(l_partkey)"}, filters

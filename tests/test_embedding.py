@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lockfleet.operators import graph, resolve, rules
 from lockfleet.plans import embedding
 from lockfleet.plans.embedding import SQL, fleet
+from lockfleet.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,6 +63,7 @@ def test_edges_equal_the_sql(spark, tmp_path, part, lineitem):
     folder = _tables(tmp_path, part, lineitem)
     want = _wanted(folder)
     assert sorted(map(tuple, fleet(spark, folder).edges.collect())) == want
+    assert sorted(map(tuple, fleet(spark, folder).outgoing.collect())) == [e[:2] for e in want]
     assert bool(want) == ("false" not in part + lineitem)
 
 
@@ -90,3 +92,11 @@ def test_line_items_are_dealt_once_for_all_rules(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     filters = {re.sub(r"#\d+L?", "", x).strip(" +-:") for x in plan if "Filter" in x and "l_partkey" in x}
     assert filters == {"Filter isnotnull(l_partkey)"}, filters
+
+
+def test_out_degrees_are_counted_where_line_items_were_dealt(spark):
+    t = fleet(spark, SF)
+    got = graph.out_degree(t.outgoing)
+    assert sorted(got.collect()) == sorted(graph.out_degree(t.edges).collect())
+    plan = QUERIES["out_degree"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert [line.count("p_partkey") for line in plan.splitlines() if "RepartitionByExpression" in line] == [1]

@@ -100,3 +100,16 @@ def test_out_degrees_are_counted_where_line_items_were_dealt(spark):
     assert sorted(got.collect()) == sorted(graph.out_degree(t.edges).collect())
     plan = QUERIES["out_degree"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert [line.count("p_partkey") for line in plan.splitlines() if "RepartitionByExpression" in line] == [1]
+
+
+@pytest.mark.parametrize("name", ["slopsquat", "slopsquat_no_parent", "decay_share", "out_degree"])
+def test_a_query_deals_line_items_once_and_by_their_number(spark, monkeypatch, name):
+    plain = QUERIES[name](spark, SF)
+    monkeypatch.setattr(embedding, "SHARE", 500)
+    got = QUERIES[name](spark, SF)
+    if name != "decay_share":  # ten times the rule, so its plan alone is looked at
+        want = sorted(plain.collect())
+        assert want and sorted(got.collect()) == want
+    plan = re.sub(r"#\d+L?", "", got._jdf.queryExecution().optimizedPlan().toString()).splitlines()
+    below = {(plan[i - 1].strip(" +-:"), plan[i].strip(" +-:")) for i in range(len(plan)) if "Project [l_partkey" in plan[i]}
+    assert below == {(f"RepartitionByExpression [p_partkey], {fleet(spark, SF).tasks}", "Project [l_partkey AS p_partkey, l_suppkey AS k]")}, below

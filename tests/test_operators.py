@@ -1,6 +1,7 @@
 import json
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lockfleet.operators import diff, graph
@@ -212,3 +213,31 @@ def test_walks_number_no_rows_at_the_limit(spark):
     assert got.count() == 40 and sorted(r.seq for r in got.collect()) == list(range(1, 41))
     shown = got.queryExecution if hasattr(got, "queryExecution") else got._jdf.queryExecution()
     assert "Window" not in shown.optimizedPlan().toString()
+
+
+def test_closure_writes_no_oftener_for_deeper_graphs(spark, monkeypatch):
+    """A path of 40 nodes takes 40 rounds; they are followed in one pass, where the group of starts lies."""
+    path = spark.range(40).select(F.lit("s").alias("source"), F.col("id").cast("int").alias("from_idx"), (F.col("id") + 1).cast("int").alias("to_idx"))
+    written, old = [], graph._append
+    monkeypatch.setattr(graph, "_append", lambda df, table: (old(df, table), written.append(table.split("_")[0])))
+    got = graph.reachable(path, path.select("source", F.col("from_idx").alias("start")))
+    assert sorted((r.start, r.idx, r.depth) for r in got.collect()) == [(a, b, b - a) for a in range(40) for b in range(a, 41)]
+    assert written.count("reached") == 2
+
+
+def test_bits_of_starts_are_followed_in_parts(monkeypatch):
+    """Words beyond the first, targets whose edges are in several parts, and a node without a number."""
+    monkeypatch.setattr(graph, "AT_ONCE", 3)
+    rng = random.Random(5)
+    edges = sorted({(rng.randrange(100), rng.randrange(100)) for _ in range(160)} | {(i, 7) for i in range(20)}) + [(3, None)]
+    starts = pa.table({"grp": pa.array([4] * 100, pa.int64()), "word": pa.array([i // 64 for i in range(100)], pa.int32()), "bit": pa.array([i % 64 for i in range(100)], pa.int32()), "start": pa.array(range(100), pa.int32())})
+    steps = pa.table({"grp": pa.array([4] * len(edges), pa.int64()), "idx": pa.array([a for a, _ in edges], pa.int32()), "to_idx": pa.array([b for _, b in edges], pa.int32())})
+    for depth in (None, 2, 0):
+        got = {(64 * w + b, r["idx"], r["depth"]) for r in graph._followed_by_bits(starts, steps, depth).to_pylist() for w, held in enumerate(r["bits"]) for b in range(64) if held >> b & 1}
+        want = set()
+        for s in range(100):
+            near, front = {s: 0}, [s]
+            while front and near[front[0]] != depth:
+                front = [b for a, b in dict.fromkeys((a, b) for x in front for a, b in edges if a == x) if b not in near and not near.update({b: near[a] + 1})]
+            want |= {(s, b, d) for b, d in near.items() if d}
+        assert got == want

@@ -241,3 +241,42 @@ def test_bits_of_starts_are_followed_in_parts(monkeypatch):
                 front = [b for a, b in dict.fromkeys((a, b) for x in front for a, b in edges if a == x) if b not in near and not near.update({b: near[a] + 1})]
             want |= {(s, b, d) for b, d in near.items() if d}
         assert got == want
+
+
+def test_walks_write_no_walk(spark, monkeypatch):
+    """A path of 20 nodes takes 20 levels; what is written before they are walked is the lockfile's edges, packages and hits, each once."""
+    p = packages(spark, [(f"n{i:02}", "1") for i in range(20)])
+    e = spark.range(19).select(F.lit("s").alias("source"), F.col("id").cast("int").alias("from_idx"), (F.col("id") + 1).cast("int").alias("to_idx"))
+    held, old = {}, graph.written
+
+    def written(df, name):
+        assert name not in held
+        held[name] = old(df, name)
+        return held[name]
+
+    monkeypatch.setattr(graph, "written", written)
+    hit = spark.createDataFrame([("s", h) for h in range(10)], "source string, hit int")
+    got = graph.walks(hit, p, e, 0)
+    assert sorted((r.hit, r.seq, r.depth, r.idx) for r in got.collect()) == [(h, d, d, h + d) for h in range(10) for d in range(1, 20 - h)]
+    assert max(held["kids"].count(), held["hits"].count()) <= 19
+
+
+def test_walks_of_groups_in_pieces(monkeypatch):
+    """Groups over several batches, walks over several chunks, repeated edges, hits without edges; all limits."""
+    monkeypatch.setattr(graph, "CHUNK", 3)
+    rng, graphs, rows = random.Random(6), [], []
+    for n in range(12):
+        graphs.append(sorted((rng.randrange(9), rng.randrange(9)) for _ in range(rng.randrange(0, 25))))
+        rows += [(n, 0, a, b, None) for a, b in graphs[-1]] + [(n, 1, h, 0, f"s{n}") for h in range(9)]
+    names = ["grp", "kind", "a", "b", "source"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+    table = pa.table({c: pa.array(x, t) for c, x, t in zip(names, zip(*rows), types)})
+    for limit in range(5):
+        got = {}
+        for batch in graph._walked(iter(table.to_batches(max_chunksize=7)), limit):
+            for r in batch.to_pylist():
+                got.setdefault((r["source"], r["hit"]), []).extend((x["seq"], x["depth"], x["idx"], (None, *graph.STOPS)[x["stop"]], x["hidden"]) for x in r["steps"])
+        for n, edges in enumerate(graphs):
+            kids = {a: [b for x, b in edges if x == a] for a, _ in edges}
+            for h in range(9):
+                assert sorted(got.get((f"s{n}", h), [])) == [(i, *x) for i, x in enumerate(plain_walk(kids, h, limit), 1)], (edges, h, limit)
